@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .chat_format import op2_chat_format
+from .chunk_store import op7_chunk_store
+from .packing import op9_packing
 from .quality_rules import op3_quality_rules
 from .sp_codec import op1_sentencepiece
 from .url_filter import OP5_SQL, op5_url_filter
@@ -12,5 +14,7 @@ QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op3_quality_rules": op3_quality_rules,
     "op5_url_filter": op5_url_filter,
+    "op7_chunk_store": op7_chunk_store,
+    "op9_packing": op9_packing,
 }
 ORACLE = {"op5_url_filter": OP5_SQL}
