@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from .chat_format import op2_chat_format
 from .chunk_store import op7_chunk_store
+from .language_model import op4_language_model
 from .packing import op9_packing
 from .quality_rules import op3_quality_rules
 from .sp_codec import op1_sentencepiece
 from .url_filter import OP5_SQL, op5_url_filter
+from .vector_search import op10_vector_search
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_chat_format": op2_chat_format,
     "op3_quality_rules": op3_quality_rules,
+    "op4_language_model": op4_language_model,
     "op5_url_filter": op5_url_filter,
     "op7_chunk_store": op7_chunk_store,
     "op9_packing": op9_packing,
+    "op10_vector_search": op10_vector_search,
 }
 ORACLE = {"op5_url_filter": OP5_SQL}
