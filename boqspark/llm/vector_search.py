@@ -5,8 +5,8 @@ its nearest lists in column blocks: after each block a hypothesis test compares
 scaled up to all dimensions, with the query's fifth-best distance so far, and abandons candidates that are very
 unlikely to get below it. Survivors are scored exactly, in double precision, on the original vectors.
 
-The centroids come from a bounded sample (`sample` rows at most, the smallest hashes of vec_id); every row is
-indexed. Lists and their queries are split into blocks of bounded size, so a list that holds a third of all rows is
+The centroids, and the number of lists to probe for the recall `target`, come from a bounded sample (`sample` rows
+at most, the smallest hashes of vec_id); every row is indexed. Lists and their queries are split into blocks of bounded size, so a list that holds a third of all rows is
 scanned by many tasks. Candidates are scanned in the order of vec_id, so ties go to the smaller one.
 
 Defined results: rows with a null vec_id, a null, empty or zero vector, or one with null or non-finite components
@@ -52,6 +52,18 @@ def centroids(x: np.ndarray, k: int, rounds: int = 12, seed: int = 2) -> np.ndar
     return c
 
 
+def probes_for(x: np.ndarray, c: np.ndarray, k: int, target: float, asked: int = 256, seed: int = 4) -> int:
+    """Lists to probe so that the share `target` of true neighbours within the sample is found."""
+    at = np.random.default_rng(seed).choice(len(x), min(asked, len(x)), replace=False)
+    near = x[at] @ x.T
+    near[np.arange(len(at)), at] = -2
+    best = np.argpartition(-near, min(k, len(x) - 1) - 1, axis=1)[:, :k] if len(x) > 1 else np.zeros((len(at), 0), int)
+    own = np.argmax(x @ c.T, axis=1)
+    place = np.argsort(np.argsort(-(x[at] @ c.T), axis=1), axis=1)
+    ranks = np.take_along_axis(place, own[best], axis=1).ravel()
+    return int(np.quantile(ranks, target, method="higher")) + 1 if len(ranks) else 1
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -65,8 +77,8 @@ def scan(q: np.ndarray, x: np.ndarray, qo: np.ndarray, xo: np.ndarray, ids: np.n
     first, rest = alive[: 8 * k], alive[8 * k :]
     score = lambda at: (xo[at] * qo).sum(axis=1) / (np.sqrt((xo[at] * xo[at]).sum(axis=1)) * np.sqrt((qo * qo).sum()))
     got, best = first, score(first)
-    for lo in range(0, len(rest), 1024):
-        part = rest[lo : lo + 1024]
+    for lo in range(0, len(rest), 2048):
+        part = rest[lo : lo + 2048]
         bar = 2 - 2 * np.partition(best, -k)[-k] if len(best) >= k else 4.0
         near = np.zeros(len(part))
         for a in range(0, dim, width):
@@ -87,7 +99,7 @@ def scan(q: np.ndarray, x: np.ndarray, qo: np.ndarray, xo: np.ndarray, ids: np.n
     return ids[got[top]], best[top]
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, probes: int = 24, sample: int = 20_000, lists: int | None = None, width: int = 16, strict: float = 2.1) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, target: float = 0.97, sample: int = 20_000, lists: int | None = None, width: int = 16, strict: float = 2.1) -> DataFrame:
     """query_id, rank, vec_id, score. vectors, queries: vec_id, embedding."""
     spark = vectors.sparkSession
     small_batches(spark)
@@ -103,7 +115,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, probes: int = 24,
     drawn = np.array(drawn.tolist(), np.float64).reshape(-1, dim)
     drawn = drawn / np.linalg.norm(drawn, axis=1, keepdims=True)
     n_lists = min(n_lists, len(drawn))
-    centres = spark.sparkContext.broadcast(centroids(drawn, n_lists).astype(np.float32))
+    middle = centroids(drawn, n_lists)
+    probes = probes_for(drawn, middle, k, target)
+    centres = spark.sparkContext.broadcast(middle.astype(np.float32))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
