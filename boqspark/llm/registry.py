@@ -8,6 +8,7 @@ from .language_model import op4_language_model
 from .packing import op9_packing
 from .quality_rules import op3_quality_rules
 from .sp_codec import op1_sentencepiece
+from .substring_dedup import op8_substring_dedup
 from .url_filter import OP5_SQL, op5_url_filter
 from .vector_search import op10_vector_search
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_language_model": op4_language_model,
     "op5_url_filter": op5_url_filter,
     "op7_chunk_store": op7_chunk_store,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_packing": op9_packing,
     "op10_vector_search": op10_vector_search,
 }
