@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat_format import op2_chat_format
 from .chunk_store import op7_chunk_store
+from .jaccard_join import op6_jaccard_join
 from .language_model import op4_language_model
 from .packing import op9_packing
 from .quality_rules import op3_quality_rules
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_language_model": op4_language_model,
     "op5_url_filter": op5_url_filter,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_chunk_store": op7_chunk_store,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_packing": op9_packing,
