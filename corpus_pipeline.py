@@ -1,17 +1,34 @@
-"""Corpus pipeline: quality rules."""
+"""Corpus pipeline: quality rules, near duplicates, repeated passages, packing.
+
+STAGES lists (name, function); each function takes (spark, docs, sf_dir) and works on all that its predecessor kept.
+All but the last return the columns of documents; `run` writes each stage's result to the shared folder and reads it
+again, so a lost executor costs one stage at most.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from boqspark.llm.common import fresh_path
+from boqspark.llm.jaccard_join import stage_near_duplicates
+from boqspark.llm.packing import stage_packing
 from boqspark.llm.quality_rules import stage_quality
+from boqspark.llm.substring_dedup import stage_substrings
 
-STAGES = [("quality rules", stage_quality)]
+STAGES = [
+    ("quality rules", stage_quality),
+    ("n-gram Jaccard join", stage_near_duplicates),
+    ("substring dedup", stage_substrings),
+    ("packing", stage_packing),
+]
+#: Learned rules and tokenizers have no SQL form; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        path = fresh_path(spark, "pipeline-" + name.replace(" ", "-"))
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
