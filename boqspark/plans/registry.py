@@ -1,4 +1,6 @@
-"""Queries of the reference's operators and their DuckDB forms."""
+"""Queries of the library's operators and their DuckDB forms."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import price_queries, work_queries
+
+QUERIES = price_queries.QUERIES | work_queries.QUERIES
+ORACLE = price_queries.ORACLE | work_queries.ORACLE
