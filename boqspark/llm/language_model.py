@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path, small_batches, table
 
-VOCABULARY, HEAD, DIM, NOISE, BATCH, REPLICAS = 1022, 262_144, 24, 32, 1024, 1024
+VOCABULARY, HEAD, DIM, NOISE, BATCH, REPLICAS = 1022, 131_072, 24, 32, 1024, 1024
 END = b" "  # no word can be this
 
 
@@ -65,6 +65,21 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def frequent(counts: DataFrame, most: int = HEAD) -> dict[bytes, int]:
+    """The most frequent tokens, `most` at most, by falling count: those over a bound read from a histogram of log counts."""
+    level = F.floor(F.log2("c") * 16)
+    left, bound = most, None
+    for row in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):  # some hundred levels
+        if row["count"] > left:
+            break
+        left, bound = left - row["count"], row["level"]
+    if bound is None:
+        return {}
+    top = counts.filter(level >= bound).toPandas()
+    pairs = zip(map(bytes, top["word"]), map(int, top["c"]), strict=True)
+    return dict(sorted(pairs, key=lambda x: (-x[1], x[0])))
+
+
 class LogBilinear:
     """Tokens by number: words 0..n-1, n the other words, n + 1 the end (also the context before a text)."""
 
@@ -198,8 +213,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     count_tokens(rows).write.parquet(f"{path}/counts")
     counts = spark.read.parquet(f"{path}/counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(HEAD).toPandas()
-    head = dict(zip(map(bytes, top["word"]), map(int, top["c"]), strict=True))
+    head = frequent(counts)
     words = [w for w in head if w != END][:VOCABULARY]
     known = sum(head[w] for w in words)
     ends = head.get(END, 0)
