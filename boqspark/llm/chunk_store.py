@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import cut, fresh_path, small_batches, table
 from .word_ids import word_ids
 
-WINDOW, MEAN_BITS, LEAST, MOST = 8, 10, 256, 8192
+WINDOW, MEAN_BITS, LEAST, MOST = 4, 10, 256, 8192
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -79,7 +79,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 0
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        pressed, reader = zstandard.ZstdCompressor(level=3), word_ids(tokenizer_file)
+        pressed, reader = zstandard.ZstdCompressor(level=1), word_ids(tokenizer_file)
         seen: set[bytes] = set()
         names = ["kind", "hash", "data", "n", "doc_id", "n_tokens", "root", "hashes"]
         for batch in batches:
@@ -111,7 +111,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 0
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     schema = _ROWS.format(kind=kind)
-    spread = F.coalesce(F.xxhash64("hash"), F.xxhash64("root", "doc_id"))
+    spread = F.when(F.col("hash").isNotNull(), F.xxhash64("hash")).otherwise(F.xxhash64("root", "doc_id"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.mapInArrow(encode, schema).repartition(parts, spread).sortWithinPartitions("kind", "hash")
     dealt.mapInArrow(once, schema).write.partitionBy("kind").option("compression", "none").parquet(f"{path}/rows")

@@ -1,96 +1,154 @@
 """Token ids of whole texts with a tokenizers file, word by word from a memo.
 
 Both tokenizer kinds used here split texts into words before any merge, so a word's ids do not depend on its
-neighbours. Texts with white space other than single spaces and single line ends go to the library whole.
+neighbours, and a closing full stop or comma after a letter is a piece of its own. Texts with white space other than
+single spaces and single line ends go to the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from array import array
 
 import numpy as np
 
-from .common import Memo, one_thread
+from .common import one_thread
 
-_ODD = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]|  |\n\n|^[ \n]|[ \n]$| \n|\n ")
+#: White space other than the space and the line end, in any reading of the term.
+_CODES = [*range(0x09, 0x0A), *range(0x0B, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]
+_ODD = re.compile("[" + "".join(map(chr, _CODES)) + "]")
 _READERS: dict[str, "WordIds"] = {}
 
 
+class OddSpace(Exception):
+    """A word holds white space: its text has to be encoded whole."""
+
+
+class WordMemo(dict):
+    """word -> id bytes, with a prefix before the word. Keeps up to `cap` words; others are looked up in `new`, made batch by batch."""
+
+    def __init__(self, encode, prefix: str, cap: int):
+        super().__init__()
+        self.encode, self.prefix, self.cap, self.new = encode, prefix, cap, {}
+
+    def learn(self, lists: list[list[str]]) -> None:
+        words = set().union(*lists) - self.keys()
+        stems, closed = set(), []
+        for w in words:
+            if (w.endswith(".") or w.endswith(",")) and w[-2:-1].isalpha():
+                closed.append(w)
+                w = w[:-1]
+                if w in self:
+                    continue
+            stems.add(w)
+        if _ODD.search(" ".join(stems)):
+            stems = {s for s in stems if not _ODD.search(s)}
+        found = dict(zip(stems, self.encode([self.prefix + s for s in stems]), strict=True))
+        ends = {e: self.encode([e])[0] for e in ".,"}
+        for w in closed:
+            stem = found.get(w[:-1]) or self.get(w[:-1])
+            if stem is not None:
+                found[w] = stem + ends[w[-1]]
+        if len(self) + len(found) <= self.cap:
+            self.update(found)
+            self.new = {}
+        else:
+            self.new = found
+
+    def __missing__(self, word: str) -> bytes:
+        if word in self.new:
+            return self.new[word]
+        raise OddSpace(word)
+
+
+def single_pieces(tokenizer):
+    """The merges of one piece by tiktoken, for byte-level vocabularies whose ids follow the order of the merges; else none."""
+    import tiktoken
+
+    kind = json.loads(tokenizer.to_str())
+    model = kind["model"]
+    pre = kind["pre_tokenizer"] or {}
+    merges = [m if isinstance(m, str) else " ".join(m) for m in model.get("merges", [])]
+    plain = pre.get("type") == "ByteLevel" and not pre["add_prefix_space"] and pre["use_regex"] and not kind["normalizer"]
+    if not plain or model.get("end_of_word_suffix") or any(model["vocab"].get(m.replace(" ", "")) != 256 + i for i, m in enumerate(merges)):
+        return None
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves in a byte-level vocabulary
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+    ranks = {bytes(byte_of[c] for c in w): i for w, i in model["vocab"].items() if w not in special}
+    return tiktoken.Encoding("pieces", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+
 class WordIds:
-    def __init__(self, file: str, cap: int = 600_000):
+    def __init__(self, file: str, cap: int = 1_200_000):
         one_thread()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        first = self._library([" a b", "a b"])
-        self.spaces_count = not np.array_equal(*first)  # whether a leading space is part of a word
-        self.spaced = Memo(lambda w: self._bytes([" " + w])[0], cap)
-        self.bare = Memo(lambda w: self._bytes([w])[0], cap if not self.spaces_count else cap // 8)
-
-    def _library(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        with_space, without = self._bytes([" a b", "a b"])
+        self.spaces_count = with_space != without  # whether a leading space is part of a word
+        self.bare = WordMemo(self._words, "", cap if not self.spaces_count else cap // 8)
+        self.spaced = WordMemo(self._words, " ", cap)
+        self.piece = single_pieces(self.tokenizer) if self.spaces_count else None
+        self.newline = self._bytes(["\n"])[0] if self.spaces_count else b""
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [x.tobytes() for x in self._library(texts)]
-
-    def _fill(self, memo: Memo, lists: list[list[str]], prefix: str) -> Memo:
-        """A view of the memo that knows all the words."""
-        missing = list(set().union(*lists) - memo.keys()) if lists else []
-        new = dict(zip(missing, self._bytes([prefix + w for w in missing]), strict=True))
-        room = memo.cap - len(memo)
-        if len(new) <= room:
-            memo.update(new)
-            return memo
-        memo.make = new.__getitem__
-        return memo
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Words, each with a space before it or not. Letters alone are one piece, which needs the merges only."""
+        if self.piece is None:
+            return self._bytes(words)
+        out = [array("I", self.piece(w.encode())).tobytes() if w.isalpha() or w[:1] == " " and w[1:].isalpha() else None for w in words]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, self._bytes([words[i] for i in rest]), strict=True):
+            out[i] = x
+        return out
 
     def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
         """Ids of each text, then the end id."""
         end = np.array([end_id], "<u4").tobytes()
-        heads: list[list[str]] = []
-        tails: list[list[str]] = []
-        plans: list[list[tuple[str, list[str]]] | str | None] = []
-        for t in texts:
-            if not t:
-                plans.append(None)
-            elif _ODD.search(t):
-                plans.append(t)
-            elif not self.spaces_count:
-                words = t.split()
-                heads.append(words)
-                plans.append([("", words)])
-            else:
-                lines = []
-                for line in t.split("\n"):
-                    first, *rest = line.split(" ")
-                    heads.append([first])
-                    tails.append(rest)
-                    lines.append((first, rest))
-                plans.append(lines)
-        bare, spaced = self._fill(self.bare, heads, ""), self._fill(self.spaced, tails, " ")
-        newline = self.bare["\n"] if self.spaces_count else b""
+        plan = self._by_line if self.spaces_count else self._by_word
+        plans = [plan(t) if t else None for t in texts]
+        heads = [first for p in plans if p for first, _ in p]
+        self.bare.learn([[f] for f in heads] if self.spaces_count else heads)
+        if self.spaces_count:
+            self.spaced.learn([rest for p in plans if p for _, rest in p])
         out = []
-        for p in plans:
-            if p is None:
-                parts = [end]
-            elif isinstance(p, str):
-                parts = [*self._bytes([p]), end]
-            elif not self.spaces_count:
-                parts = [*map(bare.__getitem__, p[0][1]), end]
-            else:
-                parts = []
-                for k, (first, rest) in enumerate(p):
-                    if k:
-                        parts.append(newline)
-                    parts.append(bare[first])
-                    parts.extend(map(spaced.__getitem__, rest))
-                parts.append(end)
-            out.append(np.frombuffer(b"".join(parts), "<u4"))
-        for memo, prefix in ((self.bare, ""), (self.spaced, " ")):
-            memo.make = lambda w, p=prefix: self._bytes([p + w])[0]
+        for t, p in zip(texts, plans, strict=True):
+            try:
+                parts = self._parts(p) if p else self._bytes([t]) if t else []
+            except OddSpace:
+                parts = self._bytes([t])
+            out.append(np.frombuffer(b"".join(parts) + end, "<u4"))
         return out
 
+    def _by_word(self, text: str) -> list[tuple[list[str], list]]:
+        return [(text.split(" ") if "\n" not in text else text.replace("\n", " ").split(" "), [])]
+
+    def _by_line(self, text: str) -> list[tuple[str, list[str]]] | None:
+        """First word and the other words of each line; none if white space comes in runs or at an end."""
+        lines = []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            if not first or "" in rest:
+                return None
+            lines.append((first, rest))
+        return lines
+
+    def _parts(self, plan: list[tuple]) -> list[bytes]:
+        if not self.spaces_count:
+            return list(map(self.bare.__getitem__, plan[0][0]))
+        parts = []
+        for k, (first, rest) in enumerate(plan):
+            if k:
+                parts.append(self.newline)
+            parts.append(self.bare[first])
+            parts.extend(map(self.spaced.__getitem__, rest))
+        return parts
+
 
 def word_ids(file: str) -> WordIds:
     if file not in _READERS:
