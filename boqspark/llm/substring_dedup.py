@@ -284,6 +284,21 @@ def _search(groups: list[list[tuple]]) -> Iterator[pa.RecordBatch]:
         yield _intervals(found[lo : lo + 20_000])
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ord, t1, starts, stops in; ord, t1, spans out, overlapping and touching spans joined."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    for b in batches:
+        out = []
+        for starts, stops in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            a, e = np.array(starts), np.array(stops)
+            order = np.argsort(a, kind="stable")
+            a, reach = a[order], np.maximum.accumulate(e[order])
+            first = np.flatnonzero(np.r_[True, a[1:] > reach[:-1]])
+            last = np.r_[first[1:], len(a)] - 1
+            out.append([{"start": x, "stop": y} for x, y in zip(a[first].tolist(), reach[last].tolist(), strict=True)])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, kind)], ["ord", "t1", "spans"])
+
+
 def _restrict(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     """docs whose (ord, t1) are in ids: by broadcast up to a counted bound, by shuffle beyond it."""
     return docs.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, ["ord", "t1"], "left_semi")
@@ -307,7 +322,8 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     rows = chosen.join(todo, ["ord", "t1"]).select("ord", "t1", "text", "v")
     stretches = rows.mapInArrow(lambda it: _stretches(it, hot.value), _STRETCH).repartition(parts, "shard").sortWithinPartitions("shard", "value")
     spans = stretches.mapInArrow(_index, "ord long, t1 long, start long, stop long")
-    spans = spans.groupBy("ord", "t1").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = spans.groupBy("ord", "t1").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
+    spans = spans.mapInArrow(_merged, "ord long, t1 long, spans array<struct<start:bigint,stop:bigint>>")
     copied = firsts.filter("ord <> last").withColumnRenamed("ord", "first").drop("last")
     whole = ids.join(copied, ["t1", "t2"]).filter("ord <> first").select("ord", "t1").distinct()
     whole = whole.select("ord", "t1", F.lit(True).alias("whole"), F.lit(None).cast("array<struct<start:bigint,stop:bigint>>").alias("spans"))
@@ -335,7 +351,7 @@ _MADE = ("_sd_ord", "_sd_t1", "_sd_whole", "_sd_spans", "_sd_words", "_sd_remove
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with _sd_words, _sd_removed and _sd_kept: words, words removed, and the words left joined by one space."""
     found = find_repeats(docs, key, text)
-    n = found.count()
+    n = found.agg(F.count("*") + F.coalesce(F.sum(F.greatest(F.size("spans"), F.lit(0))), F.lit(0))).first()[0]
     found = found.select(*(F.col(c).alias(f"_sd_{c}") for c in found.columns))
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.withColumns({"_sd_ord": F.coalesce(F.col(key).cast("long"), F.lit(FIRST_ID)), "_sd_t1": F.xxhash64(t)})
