@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Memo, cut, small_batches, table
@@ -160,8 +160,8 @@ def _sketch(batches: Iterator[pa.RecordBatch], buckets: int, finer: dict[int, in
             yield _batch(1, k=[k], blob=[[p.tobytes() for p in parts]])
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bucket rows in; out: a row per set and band with what it shares in the bucket, and the hubs of those groups. Document rows pass."""
+def _groups(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Bucket rows in; out: what each set shares in the bucket and the hubs of those groups, packed for the task of the set. Document rows pass."""
     got: list[list[np.ndarray]] = []
     for b in batches:
         blobs = b.column("blob").is_valid()
@@ -182,42 +182,56 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     a1, a2, size, band, total = (np.concatenate([g[i] for g in got]) for i in range(3, 8))
     del got
     # one number per set and band, over all tasks; sets in the order of their names
-    names = np.stack([a1, a2, band.astype(np.int64)], axis=1)
-    _, first, number = np.unique(names, axis=0, return_index=True, return_inverse=True)
+    _, first, number = np.unique(np.stack([a1, a2, band.astype(np.int64)], axis=1), axis=0, return_index=True, return_inverse=True)
     owner = number.ravel()[owner]
     a1, a2, size, band, total = a1[first], a2[first], size[first], band[first], total[first]
     order = np.lexsort((owner, band[owner], value))
     value, owner, kind = value[order], owner[order], kind[order]
-    fresh = np.r_[True, (value[1:] != value[:-1]) | (band[owner[1:]] != band[owner[:-1]])]
-    heads = np.flatnonzero(fresh)
+    heads = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (band[owner[1:]] != band[owner[:-1]])])
     count = np.diff(np.r_[heads, len(value)])
-    several = owner[heads] != owner[np.r_[heads[1:], len(owner)] - 1]  # at least two different sets
-    keep = np.repeat(several, count)
+    keep = np.repeat(owner[heads] != owner[np.r_[heads[1:], len(owner)] - 1], count)  # at least two different sets
     hub = np.repeat(owner[heads], count)[keep]
     owner, kind = owner[keep], kind[keep]
     if not len(owner):
         return
-    pairs = np.unique(np.stack([owner, hub], axis=1), axis=0)
-    # a whole segment counts once, however its value came to be shared
     shared = np.bincount(owner, weights=kind, minlength=len(a1)).astype(np.int32)
-    begin = np.flatnonzero(np.r_[True, pairs[1:, 0] != pairs[:-1, 0]])
-    end = np.r_[begin[1:], len(pairs)]
-    hub_names = np.stack([a1[pairs[:, 1]], a2[pairs[:, 1]]], axis=1)
-    for lo in range(0, len(begin), 2000):
-        own = pairs[begin[lo : lo + 2000], 0]
-        hubs = [hub_names[i:j].tobytes() for i, j in zip(begin[lo : lo + 2000], end[lo : lo + 2000], strict=True)]
-        yield _batch(len(own), k=np.full(len(own), -1), a1=a1[own], a2=a2[own], n=size[own], band=band[own], total=total[own], shared=shared[own], hubs=hubs)
-
-
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a1, a2, lists of packed hub names in; distinct (h1, h2, a1, a2) out."""
+    pairs = np.unique(owner * (len(a1) + 1) + hub)
+    pair_owner, pair_hub = pairs // (len(a1) + 1), pairs % (len(a1) + 1)
+    live = np.unique(pair_owner)
+    task = (_mixed(a1[live].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    n_hubs = np.bincount(pair_owner, minlength=len(a1))
+    hubs_at = np.r_[0, np.cumsum(n_hubs)]
+    for t in np.unique(task).tolist():
+        own = live[task == t]
+        hubs = a1[np.concatenate([pair_hub[hubs_at[i] : hubs_at[i + 1]] for i in own.tolist()])]
+        columns = [a1[own], a2[own], size[own], band[own], total[own], shared[own], n_hubs[own].astype(np.int32), hubs]
+        yield _batch(1, k=[t], blob=[[c.tobytes() for c in columns]])
+
+
+def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shares of the sets in; out: (hub, set) rows, k = -1 and the hub in `ord`, for sets that can have a partner. Document rows pass."""
+    types = (np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, np.int32, np.int64)
+    got: list[list[np.ndarray]] = []
     for b in batches:
-        out = []
-        for a1, a2, lists in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            hubs = np.unique(np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in lists]), axis=0)
-            out += [(int(h1), int(h2), a1, a2) for h1, h2 in hubs if (h1, h2) != (a1, a2)]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["h1", "h2", "a1", "a2"])
+        blobs = b.column("blob").is_valid()
+        if (rest := b.filter(pc.invert(blobs))).num_rows:
+            yield rest
+        got += [[np.frombuffer(x, t) for x, t in zip(blob, types, strict=True)] for blob in b.filter(blobs).column("blob").to_pylist()]
+    if not got:
+        return
+    a1, a2, size, band, total, shared, n_hubs, hubs = (np.concatenate([g[i] for g in got]) for i in range(8))
+    del got
+    _, first, number = np.unique(np.stack([a1, a2, band.astype(np.int64)], axis=1), axis=0, return_index=True, return_inverse=True)
+    number = number.ravel()
+    alone = total[first] - np.bincount(number, weights=shared).astype(np.int64)
+    live = 3 * alone <= size[first]  # more segments alone than the allowed difference: no partner
+    row = np.repeat(number, n_hubs)
+    keep = live[row]
+    edges = np.unique(np.stack([hubs[keep], a1[first][row[keep]], a2[first][row[keep]]], axis=1), axis=0)
+    edges = edges[edges[:, 0] != edges[:, 1]]
+    for lo in range(0, len(edges), 20_000):
+        e = edges[lo : lo + 20_000]
+        yield _batch(len(e), k=np.full(len(e), -1), ord=e[:, 0], a1=e[:, 1], a2=e[:, 2])
 
 
 def linked(sets: list[np.ndarray], first: int) -> list[tuple[int, int]]:
@@ -292,18 +306,23 @@ def least_labels(links: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """a1, a2, s: packed sets of the wanted classes (ord, a1, a2), from one document of each."""
-    ids = wanted.select("ord").distinct()
-    chosen = docs.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, docs["ord"].eqNullSafe(ids["ord"]), "left_semi")
+    """a1, a2, s: packed sets of the wanted classes (ord, a1, a2), each from the documents of one key."""
+    w = wanted.select(F.col("ord").alias("_ord"), "a1", "a2")
+    chosen = docs.join(F.broadcast(w) if n <= BROADCAST_ROWS else w, docs["ord"].eqNullSafe(w["_ord"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [shingles(t) for t in b.column(1).to_pylist()]
-            names = [name_of(s) for s in own]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in names], pa.int64()), pa.array([y for _, y in names], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["a1", "a2", "s"])
+            own = [shingles(t) for t in b.column(0).to_pylist()]
+            names = np.array([name_of(s) for s in own], np.int64).reshape(-1, 2)
+            right = (names[:, 0] == b.column(1).to_numpy()) & (names[:, 1] == b.column(2).to_numpy())
+            made = pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([s.tobytes() for s in own], pa.binary())], ["a1", "a2", "s"])
+            yield made.filter(pa.array(right, pa.bool_()))
+
+    return chosen.select("text", "a1", "a2").mapInArrow(run, "a1 long, a2 long, s binary")
+
 
-    made = chosen.select("ord", "text").mapInArrow(run, "a1 long, a2 long, s binary").dropDuplicates(["a1", "a2"])
-    return made.join(wanted.select("a1", "a2"), ["a1", "a2"], "left_semi")
+def _with_sets(sets: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    return sets.join(F.broadcast(members) if n <= BROADCAST_ROWS else members, ["a1", "a2"])
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -314,54 +333,49 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     d = docs.select(F.col(key).cast("long").alias("ord"), F.col(text).cast("string").alias("text"))
     finer: dict[int, int] = {}
     only: frozenset[int] | None = None
-    classes, shares = None, []
+    classes = edges = None
     while True:
         sent = d.mapInArrow(lambda it, f=dict(finer), o=only: _sketch(it, parts, f, o), _SKETCH)
-        rows = cut(sent.repartition(parts, "k").mapInArrow(_groups, _SKETCH))
+        told = sent.repartition(parts, "k").mapInArrow(lambda it: _groups(it, parts), _SKETCH)
+        rows = cut(told.repartition(parts, "k").mapInArrow(_live, _SKETCH).drop("blob", "hubs", "total", "shared"))
         own = rows.filter("k <> -1").select("ord", "a1", "a2", F.col("n").alias("n_shingles"), F.col("band").alias("poor"))
-        classes = own if classes is None else classes
-        shared = rows.filter("k = -1")
-        shares.append(shared)
+        found = rows.filter("k = -1").select(F.col("ord").alias("h"), "a1", "a2")
+        classes, edges = (own, found) if classes is None else (classes, edges.union(found))
         poor = [r["poor"] for r in own.filter("poor IS NOT NULL").select("poor").distinct().collect()]  # bands
         if not poor:
             break
         finer |= {b: 4 * finer.get(b, 1) for b in poor}
         only = frozenset(poor)
-    edges = None
-    for shared in shares:  # allowed difference: a third of the size; more segments alone than that: no partner
-        by = shared.groupBy("a1", "a2", "band").agg(F.sum("shared").alias("shared"), F.first("total").alias("total"), F.first("n").alias("n"), F.collect_list("hubs").alias("hubs"))
-        live = by.filter(3 * (F.col("total") - F.col("shared")) <= F.col("n")).select("a1", "a2", "hubs")
-        found = live.mapInArrow(_edges, "h1 long, h2 long, a1 long, a2 long")
-        edges = found if edges is None else edges.union(found)
-    edges = cut(edges.distinct())
-    hubs = edges.groupBy("h1", "h2").agg(F.count("*").alias("leaves"))
-    nodes = edges.select("a1", "a2").union(edges.select("h1", "h2")).distinct()
-    least = classes.groupBy("a1", "a2").agg(F.min("ord").alias("ord"))
-    wanted = cut(nodes.join(least, ["a1", "a2"]))
-    sets = cut(_sets(d, wanted, wanted.count()))
+    edges = edges.distinct()
+    least = classes.filter("n_shingles > 0").groupBy("a1", "a2").agg(F.min("ord").alias("ord"))
+    hubs = edges.groupBy("h").agg(F.count("*").alias("leaves"))
+    hub_sets = hubs.join(least, F.col("h") == F.col("a1")).select("h", "a1", "a2", "leaves")
     blocks = F.ceil(F.col("leaves") / BLOCK).cast("int")
-    dealt = edges.join(hubs, ["h1", "h2"]).withColumn("block", F.pmod(F.xxhash64("a1", "a2"), blocks).cast("int"))
-    with_hub = hubs.select("h1", "h2", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("h1").alias("a1"), F.col("h2").alias("a2"))
-    members = dealt.select("h1", "h2", "block", "a1", "a2").union(with_hub)
-    links = cut(members.join(sets, ["a1", "a2"]).withColumn("old", F.lit(False)).groupBy("h1", "h2", "block").applyInArrow(_verify, _LINKS))
+    dealt = edges.join(hubs, "h").select("h", F.pmod(F.xxhash64("a1", "a2"), blocks).cast("int").alias("block"), "a1", "a2", "leaves")
+    with_hub = hub_sets.select("h", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "a1", "a2", "leaves")
+    members = cut(dealt.union(with_hub).distinct())
+    wanted = cut(members.select("a1", "a2").distinct().join(least, ["a1", "a2"]))
+    n_members, n_wanted = members.count(), wanted.count()
+    sets = _sets(d, wanted, n_wanted)
+    placed = _with_sets(sets, members.select("h", "block", "a1", "a2"), n_members).withColumn("old", F.lit(False))
+    links = cut(placed.groupBy("h", "block").applyInArrow(_verify, _LINKS))
     labels = least_labels(links)
-    wide = cut(members.join(hubs.filter(F.col("leaves") > BLOCK), ["h1", "h2"]).select("h1", "h2", "a1", "a2").distinct())
+    wide = members.filter(F.col("leaves") > BLOCK).select("h", "a1", "a2").distinct()
     if not wide.isEmpty():  # hubs of several blocks: across blocks, where components still differ
-        label = wide.join(labels, ["a1", "a2"], "left").select("h1", "h2", "a1", "a2", F.coalesce("l1", "a1").alias("l1"), F.coalesce("l2", "a2").alias("l2"))
-        label = cut(label)
-        per = label.groupBy("h1", "h2", "l1", "l2").agg(F.count("*").alias("c"))
-        main = per.groupBy("h1", "h2").agg(F.max(F.struct("c", "l1", "l2")).alias("m"), F.sum("c").alias("all"))
-        main = main.select("h1", "h2", F.col("m.l1").alias("m1"), F.col("m.l2").alias("m2"), F.ceil(F.col("m.c") / BLOCK).cast("int").alias("ob"), F.ceil((F.col("all") - F.col("m.c")) / BLOCK).cast("int").alias("xb"))
-        told = label.join(main.filter("xb > 0"), ["h1", "h2"]).withColumn("old", (F.col("l1") == F.col("m1")) & (F.col("l2") == F.col("m2")))
-        place = F.pmod(F.xxhash64("a1", "a2"), F.when(F.col("old"), F.col("ob")).otherwise(F.col("xb"))).cast("int")
-        told = told.withColumn("place", place)
+        label = cut(wide.join(labels, ["a1", "a2"], "left").select("h", "a1", "a2", F.coalesce("l1", "a1").alias("l1"), F.coalesce("l2", "a2").alias("l2")))
+        per = label.groupBy("h", "l1", "l2").agg(F.count("*").alias("c"))
+        main = per.groupBy("h").agg(F.max(F.struct("c", "l1", "l2")).alias("m"), F.sum("c").alias("all"))
+        main = main.select("h", F.col("m.l1").alias("m1"), F.col("m.l2").alias("m2"), F.ceil(F.col("m.c") / BLOCK).cast("int").alias("ob"), F.ceil((F.col("all") - F.col("m.c")) / BLOCK).cast("int").alias("xb"))
+        told = label.join(main.filter("xb > 0"), "h").withColumn("old", (F.col("l1") == F.col("m1")) & (F.col("l2") == F.col("m2")))
+        told = told.withColumn("place", F.pmod(F.xxhash64("a1", "a2"), F.when(F.col("old"), F.col("ob")).otherwise(F.col("xb"))).cast("int"))
         # the main component's blocks each meet every block of the others; those also meet each other
-        with_main = told.filter("old").select("h1", "h2", F.col("place").alias("i"), F.explode(F.sequence(F.lit(0), F.col("xb") - 1)).alias("j"), "a1", "a2", F.lit(True).alias("old"))
-        others = told.filter("NOT old").select("h1", "h2", F.explode(F.sequence(F.lit(0), F.col("ob") - 1)).alias("i"), F.col("place").alias("j"), "a1", "a2", F.lit(False).alias("old"))
+        with_main = told.filter("old").select("h", F.col("place").alias("i"), F.explode(F.sequence(F.lit(0), F.col("xb") - 1)).alias("j"), "a1", "a2", "old")
+        others = told.filter("NOT old").select("h", F.explode(F.sequence(F.lit(0), F.col("ob") - 1)).alias("i"), F.col("place").alias("j"), "a1", "a2", "old")
         low = F.transform(F.sequence(F.lit(0), F.col("xb") - 1), lambda x: F.struct((-1 - F.least(x, F.col("place"))).alias("i"), F.greatest(x, F.col("place")).alias("j")))
-        among = told.filter("NOT old").select("h1", "h2", F.inline(low), "a1", "a2", F.lit(False).alias("old")).select("h1", "h2", "i", "j", "a1", "a2", "old")
-        again = with_main.union(others).union(among).join(sets, ["a1", "a2"]).groupBy("h1", "h2", "i", "j").applyInArrow(_verify, _LINKS)
-        labels = least_labels(links.union(again))
+        among = told.filter("NOT old").select("h", F.inline(low), "a1", "a2", "old").select("h", "i", "j", "a1", "a2", "old")
+        again = cut(with_main.union(others).union(among))
+        placed = _with_sets(sets, again, again.count())
+        labels = least_labels(links.union(placed.groupBy("h", "i", "j").applyInArrow(_verify, _LINKS)))
     out = classes.join(labels, ["a1", "a2"], "left")
     return out.select("ord", "n_shingles", "a1", "a2", F.coalesce("l1", "a1").alias("l1"), F.coalesce("l2", "a2").alias("l2"))
 
