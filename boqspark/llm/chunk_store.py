@@ -115,16 +115,17 @@ def write_store(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.mapInArrow(encode, schema).repartition(parts, spread).sortWithinPartitions("kind", "hash")
     dealt.mapInArrow(once, schema).write.partitionBy("kind").option("compression", "none").parquet(f"{path}/rows")
-    _order(spark, path, parts)
+    _order(spark, path, parts, kind)
 
 
-def _rows(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/rows").filter(F.col("kind") == kind)
+def _rows(spark: SparkSession, path: str, kind: str, key: str = "long") -> DataFrame:
+    schema = "hash binary, data binary, n int, kind string" if kind == "chunk" else f"doc_id {key}, n_tokens long, root binary, hashes array<binary>, kind string"
+    return spark.read.schema(schema).parquet(f"{path}/rows").filter(F.col("kind") == kind)
 
 
-def _order(spark: SparkSession, path: str, parts: int) -> None:
+def _order(spark: SparkSession, path: str, parts: int, key: str) -> None:
     """Recipes in ascending doc_id order with their starts, and the manifest."""
-    recipes = _rows(spark, path, "recipe").select("doc_id", "n_tokens", "root", "hashes")
+    recipes = _rows(spark, path, "recipe", key).select("doc_id", "n_tokens", "root", "hashes")
     ranged = cut(recipes.repartitionByRange(parts, "doc_id", "root").sortWithinPartitions("doc_id", "root").withColumn("part", F.spark_partition_id()))
     sums = ranged.groupBy("part").agg(F.sum("n_tokens").alias("part_tokens"))
     before = sums.select("part", (F.sum("part_tokens").over(Window.orderBy("part")) - F.col("part_tokens")).alias("base"))
