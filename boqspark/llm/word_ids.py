@@ -33,7 +33,7 @@ class WordMemo(dict):
         self.encode, self.prefix, self.cap, self.new = encode, prefix, cap, {}
 
     def learn(self, lists: list[list[str]]) -> None:
-        words = set().union(*lists) - self.keys()
+        words = [w for w in set().union(*lists) if w not in self]
         stems, closed = set(), []
         for w in words:
             if (w.endswith(".") or w.endswith(",")) and w[-2:-1].isalpha():
