@@ -107,14 +107,14 @@ def _gain(p: int, n: int, p0: int, n0: int) -> float:
 
 
 def _best(rows: DataFrame) -> tuple[Condition | None, float]:
-    """The condition of highest gain on the rows, from one grouped count per feature and grid place."""
+    """The condition of highest gain on the rows, from one grouped count per feature and grid place; midway to the next lower place that has rows."""
     pairs = ", ".join(f"'{f}', {f}" for f in GRID)
     long = rows.select("bad", F.expr(f"stack({len(GRID)}, {pairs}) AS (feature, step)"))
     stats = long.groupBy("feature", "step").agg(F.sum("bad").alias("p"), F.sum(1 - F.col("bad")).alias("n"))
     below = Window.partitionBy("feature").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy("feature")
     table_ = stats.select(
-        "feature", "step",
+        "feature", "step", ((F.coalesce(F.lag("step").over(Window.partitionBy("feature").orderBy("step")), F.col("step")) + F.col("step") + 1) / 2).cast("int").alias("middle"),
         F.coalesce(F.sum("p").over(below), F.lit(0)).alias("pb"), F.coalesce(F.sum("n").over(below), F.lit(0)).alias("nb"),
         F.sum("p").over(every).alias("pa"), F.sum("n").over(every).alias("na"),
     )
@@ -122,7 +122,7 @@ def _best(rows: DataFrame) -> tuple[Condition | None, float]:
     for r in table_.collect():  # at most the grid's places: rates are bounded by the grid, not by the rows
         for p, n, above in ((r.pa - r.pb, r.na - r.nb, True), (r.pb, r.nb, False)):
             g = _gain(p, n, r.pa, r.na)
-            one = (g, -n, r.feature, r.step, above)
+            one = (g, -n, r.feature, r.middle, above)
             if g > 0 and (found is None or one > found):
                 found = one
     return (Condition(found[2], found[3], found[4]), found[0]) if found else (None, 0.0)
