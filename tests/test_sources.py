@@ -24,3 +24,16 @@ def test_archive(spark, tmp_path):
     assert ingest.to_archive(found, manifest).count() == 1
     extra = manifest.union(spark.createDataFrame([("file:/gone", "0")], "archive_path string, sha256 string"))
     assert {r.status for r in ingest.integrity(extra, found).collect()} == {"verified", "missing"}
+
+
+def test_mapping(spark):
+    from boqspark.sources import mapping
+
+    heads = spark.createDataFrame([("f", 0, "项目编码"), ("f", 1, "项目名称(必填)"), ("f", 2, "名称"), ("f", 3, "xyz")], "path string, at int, header string")
+    got = {r["at"]: r["field"] for r in mapping.propose(heads).collect()}
+    assert got == {0: "item_code", 2: "item_name"} or got[0] == "item_code" and "item_name" in got.values()
+    files = spark.createDataFrame([("a.csv", ["x", "y"]), ("b.csv", ["q"])], "path string, headers array<string>")
+    templates = spark.createDataFrame([("t1", ["x", "y"], "a.*"), ("t2", ["x"], "zzz")], "template string, headers array<string>, pattern string")
+    assert [(r.path, r.template) for r in mapping.recommend_template(files, templates).collect()] == [("a.csv", "t1")]
+    m = spark.createDataFrame([("f", "h1", "item_code"), ("f", "h2", "item_code"), ("f", "h3", "nope")], "path string, header string, field string")
+    assert {(r.problem, r.name) for r in mapping.mapping_problems(m).collect()} == {("unknown", "nope"), ("duplicate", "item_code"), ("missing", "item_name")}
