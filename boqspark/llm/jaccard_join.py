@@ -108,17 +108,21 @@ def _batch(size: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[c], types.get(c, pa.int64())) if c in columns else pa.nulls(size, types.get(c, pa.int64())) for c in _NAMES], _NAMES)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], buckets: int, finer: dict[int, int], only: frozenset[int] | None) -> Iterator[pa.RecordBatch]:
+def _task(a1: np.ndarray, parts: int) -> np.ndarray:
+    return (_mixed(a1.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
+def _sketch(batches: Iterator[pa.RecordBatch], parts: int, buckets: int, finer: dict[int, int], only: frozenset[int] | None) -> Iterator[pa.RecordBatch]:
     """Rows in: ord, text. Out: a row per document (name and size of its set) and the signatures, packed by bucket."""
     seen: set[tuple[int, int]] = set()
-    a1s, a2s, sizes, bands, totals = [], [], [], [], []
+    a1s, bands = [], []
     values, owners, kinds = [], [], []
     for b in batches:
         rows = []
         for o, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             s = shingles(text)
             a1, a2 = name_of(s)
-            poor = None
+            poor, counts = None, [0, 0]
             if len(s) and (a1, a2) not in seen:
                 seen.add((a1, a2))
                 for band in bands_of(len(s)):
@@ -129,19 +133,16 @@ def _sketch(batches: Iterator[pa.RecordBatch], buckets: int, finer: dict[int, in
                         poor = band
                     i = len(a1s)
                     a1s.append(a1)
-                    a2s.append(a2)
-                    sizes.append(len(s))
                     bands.append(band)
-                    totals.append(len(whole))
+                    counts[band - bands_of(len(s))[0]] = len(whole)
                     for v, kind in ((whole, 1), (less, 0)):
                         values.append(v)
                         owners.append(np.full(len(v), i, np.uint32))
                         kinds.append(np.full(len(v), kind, np.uint8))
-            rows.append((o, a1, a2, len(s), poor))
+            rows.append((o, a1, a2, len(s), poor, *counts))
         if rows:
-            o, a1, a2, n, poor = zip(*rows, strict=True)
-            mixed = _mixed(np.array(a1, np.int64).astype(np.uint64))
-            yield _batch(len(rows), k=(mixed >> np.uint64(2)).astype(np.int64), a1=a1, a2=a2, ord=o, n=n, band=poor)
+            o, a1, a2, n, poor, total, upper = zip(*rows, strict=True)
+            yield _batch(len(rows), k=_task(np.array(a1, np.int64), parts), a1=a1, a2=a2, ord=o, n=n, band=poor, total=total, shared=upper)
     if not a1s:
         return
     value, owner, kind = np.concatenate(values), np.concatenate(owners), np.concatenate(kinds)
@@ -151,7 +152,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], buckets: int, finer: dict[int, in
     value, owner, kind = (value[by] & np.uint64(0xFFFFFFFF)).astype(np.uint32), owner[by], kind[by]
     edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
     del bucket, by
-    head = [np.array(x, t) for x, t in ((a1s, np.int64), (a2s, np.int64), (sizes, np.int64), (bands, np.int32), (totals, np.int32))]
+    head = [np.array(a1s, np.int64), np.array(bands, np.int8)]
     for k in range(buckets):
         at = slice(int(edges[k]), int(edges[k + 1]))
         if at.stop > at.start:
@@ -172,19 +173,19 @@ def _groups(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
             value = np.frombuffer(blob[0], np.uint32)
             local = np.frombuffer(blob[1], np.uint32 if len(a1) > 65535 else np.uint16).astype(np.int64)
             kind = np.unpackbits(np.frombuffer(blob[2], np.uint8), count=len(value))
-            got.append([value, local, kind, a1, *(np.frombuffer(x, t) for x, t in zip(blob[4:], (np.int64, np.int64, np.int32, np.int32), strict=True))])
+            got.append([value, local, kind, a1, np.frombuffer(blob[4], np.int8)])
     if not got:
         return
     shift = np.cumsum([0, *(len(g[3]) for g in got)])
     value = np.concatenate([g[0] for g in got])
     owner = np.concatenate([g[1] + s for g, s in zip(got, shift, strict=False)])
     kind = np.concatenate([g[2] for g in got])
-    a1, a2, size, band, total = (np.concatenate([g[i] for g in got]) for i in range(3, 8))
+    a1, band = (np.concatenate([g[i] for g in got]) for i in (3, 4))
     del got
     # one number per set and band, over all tasks; sets in the order of their names
-    _, first, number = np.unique(np.stack([a1, a2, band.astype(np.int64)], axis=1), axis=0, return_index=True, return_inverse=True)
+    _, first, number = np.unique(np.stack([a1, band.astype(np.int64)], axis=1), axis=0, return_index=True, return_inverse=True)
     owner = number.ravel()[owner]
-    a1, a2, size, band, total = a1[first], a2[first], size[first], band[first], total[first]
+    a1, band = a1[first], band[first]
     order = np.lexsort((owner, band[owner], value))
     value, owner, kind = value[order], owner[order], kind[order]
     heads = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (band[owner[1:]] != band[owner[:-1]])])
@@ -198,42 +199,65 @@ def _groups(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
     pairs = np.unique(owner * (len(a1) + 1) + hub)
     pair_owner, pair_hub = pairs // (len(a1) + 1), pairs % (len(a1) + 1)
     live = np.unique(pair_owner)
-    task = (_mixed(a1[live].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    task = _task(a1[live], parts)
     n_hubs = np.bincount(pair_owner, minlength=len(a1))
     hubs_at = np.r_[0, np.cumsum(n_hubs)]
     for t in np.unique(task).tolist():
         own = live[task == t]
         hubs = a1[np.concatenate([pair_hub[hubs_at[i] : hubs_at[i + 1]] for i in own.tolist()])]
-        columns = [a1[own], a2[own], size[own], band[own], total[own], shared[own], n_hubs[own].astype(np.int32), hubs]
+        columns = [a1[own], band[own], shared[own], n_hubs[own].astype(np.int32), hubs]
         yield _batch(1, k=[t], blob=[[c.tobytes() for c in columns]])
 
 
 def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shares of the sets in; out: (hub, set) rows, k = -1 and the hub in `ord`, for sets that can have a partner. Document rows pass."""
-    types = (np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, np.int32, np.int64)
+    """Document rows and shares of the same sets in; out: (hub, set) rows, k = -1 and the hub in `ord`, for sets that can have a partner. Document rows pass."""
     got: list[list[np.ndarray]] = []
+    docs: list[np.ndarray] = []
     for b in batches:
         blobs = b.column("blob").is_valid()
         if (rest := b.filter(pc.invert(blobs))).num_rows:
             yield rest
-        got += [[np.frombuffer(x, t) for x, t in zip(blob, types, strict=True)] for blob in b.filter(blobs).column("blob").to_pylist()]
+            docs.append(np.stack([rest.column(c).to_numpy().astype(np.int64) for c in ("a1", "a2", "n", "total", "shared")], axis=1))
+        got += [[np.frombuffer(x, t) for x, t in zip(blob, (np.int64, np.int8, np.int32, np.int32, np.int64), strict=True)] for blob in b.filter(blobs).column("blob").to_pylist()]
     if not got:
         return
-    a1, a2, size, band, total, shared, n_hubs, hubs = (np.concatenate([g[i] for g in got]) for i in range(8))
-    del got
-    _, first, number = np.unique(np.stack([a1, a2, band.astype(np.int64)], axis=1), axis=0, return_index=True, return_inverse=True)
+    sets = np.concatenate(docs)
+    sets = np.unique(sets[sets[:, 3] + sets[:, 4] > 0], axis=0)  # the first of equal sets in a task has the totals
+    a1, band, shared, n_hubs, hubs = (np.concatenate([g[i] for g in got]) for i in range(5))
+    del got, docs
+    names, number = np.unique(np.stack([a1, band.astype(np.int64)], axis=1), axis=0, return_inverse=True)
     number = number.ravel()
-    alone = total[first] - np.bincount(number, weights=shared).astype(np.int64)
-    live = 3 * alone <= size[first]  # more segments alone than the allowed difference: no partner
+    met = np.bincount(number, weights=shared).astype(np.int64)
     row = np.repeat(number, n_hubs)
-    keep = live[row]
-    edges = np.unique(np.stack([hubs[keep], a1[first][row[keep]], a2[first][row[keep]]], axis=1), axis=0)
-    edges = edges[edges[:, 0] != edges[:, 1]]
+    order = np.argsort(row, kind="stable")
+    row, hubs = row[order], hubs[order]
+    at = np.searchsorted(row, np.arange(len(names) + 1))
+    own_band = np.searchsorted(_EDGES, sets[:, 2], side="right") - 1
+    edges = []
+    for above in (0, 1):  # a set's own band, and the next
+        total = sets[:, 3 + above]
+        key = np.stack([sets[:, 0], own_band + above], axis=1)
+        place = _find(names, key)
+        ok = (total > 0) & (place >= 0)
+        ok[ok] = 3 * (total[ok] - met[place[ok]]) <= sets[ok, 2]  # more segments alone than the allowed difference: no partner
+        for i in np.flatnonzero(ok).tolist():
+            own = np.unique(hubs[at[place[i]] : at[place[i] + 1]])
+            own = own[own != sets[i, 0]]
+            edges.append(np.stack([own, np.full(len(own), sets[i, 0]), np.full(len(own), sets[i, 1])], axis=1))
+    edges = np.concatenate(edges) if edges else np.zeros((0, 3), np.int64)
     for lo in range(0, len(edges), 20_000):
         e = edges[lo : lo + 20_000]
         yield _batch(len(e), k=np.full(len(e), -1), ord=e[:, 0], a1=e[:, 1], a2=e[:, 2])
 
 
+def _find(rows: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Place of each wanted pair among sorted distinct pairs, -1 if it is not there."""
+    pair = np.dtype([("x", np.int64), ("y", np.int64)])
+    have, want = (np.ascontiguousarray(x).view(pair).ravel() for x in (rows, wanted))
+    at = np.minimum(np.searchsorted(have, want), len(have) - 1)
+    return np.where(have[at] == want, at, -1)
+
+
 def linked(sets: list[np.ndarray], first: int) -> list[tuple[int, int]]:
     """A forest of the links among the sets; with first > 0 only links between sets[:first] and the others, and among the others."""
     n = len(sets)
@@ -335,7 +359,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     only: frozenset[int] | None = None
     classes = edges = None
     while True:
-        sent = d.mapInArrow(lambda it, f=dict(finer), o=only: _sketch(it, parts, f, o), _SKETCH)
+        sent = d.mapInArrow(lambda it, f=dict(finer), o=only: _sketch(it, parts, max(1, parts // 2), f, o), _SKETCH)
         told = sent.repartition(parts, "k").mapInArrow(lambda it: _groups(it, parts), _SKETCH)
         rows = cut(told.repartition(parts, "k").mapInArrow(_live, _SKETCH).drop("blob", "hubs", "total", "shared"))
         own = rows.filter("k <> -1").select("ord", "a1", "a2", F.col("n").alias("n_shingles"), F.col("band").alias("poor"))
