@@ -6,7 +6,8 @@ Sets of 5-word shingles with Jaccard similarity of at least 0.75 differ in at mo
     if a partner may be larger than the band, in the next. Small bands also index every segment with one shingle
     left out. A band in which some set leaves too few segments filled is cut finer and sketched again.
  2. Allocation by cost. A segment that nobody else has costs nothing: a set with more such segments than the allowed
-    difference (a third of its size) has no partner in this band and drops out. Only the others go on.
+    difference (a third of its size) has no partner in this band and drops out. The others leave out their weakest
+    groups, as far as two partners still have one in common.
  3. Hubs. Within a group of sets that share a segment, every set is compared with the others around the least set
     (the hub), in blocks of bounded size: exact intersections by matrix products, links out as a forest. Blocks of one
     hub are first joined inside and with the hub, then, where components still differ, with each other.
@@ -168,20 +169,25 @@ def _groups(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
         blobs = b.column("blob").is_valid()
         if (rest := b.filter(pc.invert(blobs))).num_rows:
             yield rest
-        for blob in b.filter(blobs).column("blob").to_pylist():
+        packed = b.filter(blobs)
+        for k, blob in zip(packed.column("k").to_pylist(), packed.column("blob").to_pylist(), strict=True):
             a1 = np.frombuffer(blob[3], np.int64)
             value = np.frombuffer(blob[0], np.uint32)
             local = np.frombuffer(blob[1], np.uint32 if len(a1) > 65535 else np.uint16).astype(np.int64)
             kind = np.unpackbits(np.frombuffer(blob[2], np.uint8), count=len(value))
-            got.append([value, local, kind, a1, np.frombuffer(blob[4], np.int8)])
+            got.append([value, local, kind, a1, np.frombuffer(blob[4], np.int8), np.full(len(a1), k)])
     if not got:
         return
     shift = np.cumsum([0, *(len(g[3]) for g in got)])
     value = np.concatenate([g[0] for g in got])
     owner = np.concatenate([g[1] + s for g, s in zip(got, shift, strict=False)])
     kind = np.concatenate([g[2] for g in got])
-    a1, band = (np.concatenate([g[i] for g in got]) for i in (3, 4))
+    a1, band, bucket = (np.concatenate([g[i] for g in got]) for i in (3, 4, 5))
     del got
+    # a set that several tasks sketched counts once in each bucket, of which a task may have several
+    _, first, number = np.unique(np.stack([a1, band.astype(np.int64), bucket], axis=1), axis=0, return_index=True, return_inverse=True)
+    once = first[number.ravel()[owner]] == owner
+    value, owner, kind = value[once], owner[once], kind[once]
     # one number per set and band, over all tasks; sets in the order of their names
     _, first, number = np.unique(np.stack([a1, band.astype(np.int64)], axis=1), axis=0, return_index=True, return_inverse=True)
     owner = number.ravel()[owner]
@@ -196,7 +202,8 @@ def _groups(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
     if not len(owner):
         return
     shared = np.bincount(owner, weights=kind, minlength=len(a1)).astype(np.int32)
-    pairs = np.unique(owner * (len(a1) + 1) + hub)
+    pairs, at = np.unique(owner * (len(a1) + 1) + hub, return_inverse=True)
+    weight = np.bincount(at.ravel(), weights=kind).astype(np.int32)  # whole segments with this hub
     pair_owner, pair_hub = pairs // (len(a1) + 1), pairs % (len(a1) + 1)
     live = np.unique(pair_owner)
     task = _task(a1[live], parts)
@@ -204,8 +211,8 @@ def _groups(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
     hubs_at = np.r_[0, np.cumsum(n_hubs)]
     for t in np.unique(task).tolist():
         own = live[task == t]
-        hubs = a1[np.concatenate([pair_hub[hubs_at[i] : hubs_at[i + 1]] for i in own.tolist()])]
-        columns = [a1[own], band[own], shared[own], n_hubs[own].astype(np.int32), hubs]
+        mine = np.concatenate([np.arange(hubs_at[i], hubs_at[i + 1]) for i in own.tolist()])
+        columns = [a1[own], band[own], shared[own], n_hubs[own].astype(np.int32), a1[pair_hub[mine]], weight[mine]]
         yield _batch(1, k=[t], blob=[[c.tobytes() for c in columns]])
 
 
@@ -218,19 +225,19 @@ def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (rest := b.filter(pc.invert(blobs))).num_rows:
             yield rest
             docs.append(np.stack([rest.column(c).to_numpy().astype(np.int64) for c in ("a1", "a2", "n", "total", "shared")], axis=1))
-        got += [[np.frombuffer(x, t) for x, t in zip(blob, (np.int64, np.int8, np.int32, np.int32, np.int64), strict=True)] for blob in b.filter(blobs).column("blob").to_pylist()]
+        got += [[np.frombuffer(x, t) for x, t in zip(blob, (np.int64, np.int8, np.int32, np.int32, np.int64, np.int32), strict=True)] for blob in b.filter(blobs).column("blob").to_pylist()]
     if not got:
         return
     sets = np.concatenate(docs)
     sets = np.unique(sets[sets[:, 3] + sets[:, 4] > 0], axis=0)  # the first of equal sets in a task has the totals
-    a1, band, shared, n_hubs, hubs = (np.concatenate([g[i] for g in got]) for i in range(5))
+    a1, band, shared, n_hubs, hubs, weight = (np.concatenate([g[i] for g in got]) for i in range(6))
     del got, docs
     names, number = np.unique(np.stack([a1, band.astype(np.int64)], axis=1), axis=0, return_inverse=True)
     number = number.ravel()
     met = np.bincount(number, weights=shared).astype(np.int64)
     row = np.repeat(number, n_hubs)
     order = np.argsort(row, kind="stable")
-    row, hubs = row[order], hubs[order]
+    row, hubs, weight = row[order], hubs[order], weight[order]
     at = np.searchsorted(row, np.arange(len(names) + 1))
     own_band = np.searchsorted(_EDGES, sets[:, 2], side="right") - 1
     edges = []
@@ -241,8 +248,8 @@ def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ok = (total > 0) & (place >= 0)
         ok[ok] = 3 * (total[ok] - met[place[ok]]) <= sets[ok, 2]  # more segments alone than the allowed difference: no partner
         for i in np.flatnonzero(ok).tolist():
-            own = np.unique(hubs[at[place[i]] : at[place[i] + 1]])
-            own = own[own != sets[i, 0]]
+            mine = slice(at[place[i]], at[place[i] + 1])
+            own = _needed(hubs[mine], weight[mine], int(sets[i, 0]), int(total[i] - sets[i, 2] // 3))
             edges.append(np.stack([own, np.full(len(own), sets[i, 0]), np.full(len(own), sets[i, 1])], axis=1))
     edges = np.concatenate(edges) if edges else np.zeros((0, 3), np.int64)
     for lo in range(0, len(edges), 20_000):
@@ -250,6 +257,19 @@ def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(len(e), k=np.full(len(e), -1), ord=e[:, 0], a1=e[:, 1], a2=e[:, 2])
 
 
+def _needed(hubs: np.ndarray, weight: np.ndarray, own: int, common: int) -> np.ndarray:
+    """Hubs of a set that can't be left out. `common`: whole segments that it shares with any partner, at least.
+
+    A set leaves out its weakest hubs as long as they cover less than half of `common`. As its partner does the same,
+    a segment that both share always keeps its hub on both sides.
+    """
+    hubs, at = np.unique(hubs, return_inverse=True)
+    weight = np.bincount(at.ravel(), weights=weight)[hubs != own]
+    hubs = hubs[hubs != own]
+    order = np.argsort(weight, kind="stable")
+    return hubs[order[2 * np.cumsum(weight[order]) >= max(common, 0)]]
+
+
 def _find(rows: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Place of each wanted pair among sorted distinct pairs, -1 if it is not there."""
     pair = np.dtype([("x", np.int64), ("y", np.int64)])
