@@ -290,6 +290,43 @@ def test_components_of_families(spark, monkeypatch, block):
     assert got_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute_components(rows)
 
 
+def test_groups_count_a_set_once_per_bucket():
+    """Several buckets in one task: each counts. The same set from several tasks: once."""
+    sets = [jaccard_join.shingles(" ".join(some_words(60, 3)[:n])) for n in (60, 58)]
+    names = [jaccard_join.name_of(s)[0] for s in sets]
+    band = jaccard_join.bands_of(len(sets[0]))[0]
+    sketch = []
+    for _ in range(2):  # two tasks that sketch the same texts
+        batch = jaccard_join.pa.table({"ord": [1, 2], "text": [" ".join(some_words(60, 3)[:n]) for n in (60, 58)]}).to_batches()
+        sketch += [b for b in jaccard_join._sketch(iter(batch), 1, 8, {}, None) if b.column("blob").null_count == 0]
+    shared, weights = collections.Counter(), collections.Counter()
+    for b in jaccard_join._groups(iter(sketch), 1):
+        for blob in b.column("blob").to_pylist():
+            a1, bands, met, n_hubs, hubs, weight = (np.frombuffer(x, t) for x, t in zip(blob, ("i8", "i1", "i4", "i4", "i8", "i4"), strict=True))
+            owners = np.repeat(np.arange(len(a1)), n_hubs)
+            for i, x in enumerate(a1.tolist()):
+                if bands[i] == band:
+                    shared[x] += int(met[i])
+            for i, w in zip(owners.tolist(), weight.tolist(), strict=True):
+                if bands[i] == band:
+                    weights[int(a1[i])] += w
+    whole, less = zip(*([set(v.tolist()) for v in jaccard_join.signatures(s, band, 1)[:2]] for s in sets), strict=True)
+    met = [len(whole[i] & (whole[1 - i] | less[1 - i])) for i in (0, 1)]  # by a whole segment, or one with a shingle left out
+    assert min(met) > 10 and shared == weights == dict(zip(names, met, strict=True))
+
+
+def test_left_out_hubs_cover_less_than_half_of_what_partners_share():
+    r = random.Random(5)
+    for _ in range(300):
+        hubs = np.array([r.randrange(1, 12) for _ in range(r.randrange(1, 20))])
+        weight = np.array([r.randrange(6) for _ in hubs])
+        common = r.randrange(-3, 20)
+        kept = set(jaccard_join._needed(hubs, weight, 7, common).tolist())
+        gone = sum(w for h, w in zip(hubs.tolist(), weight.tolist(), strict=True) if h != 7 and h not in kept)
+        assert 7 not in kept and (2 * gone < common or gone == 0)
+        assert common > 0 or kept == set(hubs.tolist()) - {7}
+
+
 def test_bands_are_cut_finer_until_enough_segments_are_filled(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "n_segments", lambda band, finer: max(2, int(finer * jaccard_join._EDGES[band + 1] // 12)))
     s = jaccard_join.shingles(" ".join(some_words(60, 8)))
