@@ -4,7 +4,8 @@ A turn is rendered as ``### <role>: <text>`` and closed by a line ``</turn>``. G
 blocks that end in ``\n</turn>\n``; a block is ``### ``, a role without an open colon, ``: `` and the text. A
 text is first rendered as it is and reparsed; where the parser recovers something else (a control string inside the
 text, or a backslash before one), the text is escaped by one more backslash before each control string, which the
-parser takes away again. A text whose escaped form still failed would be reported by `round_trip` = false.
+parser takes away again. A whole run of three or more ``#`` is one control string. A text whose escaped form is not
+read back as it was is an error.
 
 Defined results: null role or text = empty; turns in the order of turn (null first), role, text; repeated rows are
 turns of their own; null conversation ids form one conversation; an empty table gives no rows; extra columns are
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 CLOSE = "\n</turn>\n"
-_CONTROL = r"(?:###|</turn>)"
+_CONTROL = r"(?:#{3,}|</turn>)"
+_OPEN = r"(?<!\\)(?:(?<!#)#{3}|</turn>)"
 
 
 def escape(text: Column) -> Column:
@@ -48,15 +50,18 @@ def parse_role(block: Column) -> Column:
 def parse_text(block: Column) -> Column:
     """The text of a block; null if the block breaks the grammar: an open control string in the text."""
     body = F.regexp_replace(block, _HEAD, "")
-    return F.when(~body.rlike(rf"(?<!\\){_CONTROL}"), unescape(body))
+    return F.when(~body.rlike(_OPEN), unescape(body))
 
 
 def _rendered(role: Column, text: Column) -> Column:
-    """Raw where the parser recovers the source from it, else escaped."""
-    raw = F.concat(_head(role), text)
-    back = F.split(F.concat(raw, F.lit(CLOSE)), CLOSE, -1)
-    same = (F.size(back) == 2) & parse_role(back[0]).eqNullSafe(role) & parse_text(back[0]).eqNullSafe(text)
-    return F.when(same, text).otherwise(escape(text))
+    """Raw where the parser recovers the source from it, else escaped; an error where it recovers it from neither."""
+
+    def same(body: Column) -> Column:
+        back = F.split(F.concat(_head(role), body, F.lit(CLOSE)), CLOSE, -1)
+        return (F.size(back) == 2) & parse_role(back[0]).eqNullSafe(role) & parse_text(back[0]).eqNullSafe(text)
+
+    failed = F.raise_error(F.concat(F.lit("turn is not read back as it was, role: "), role))
+    return F.when(same(text), text).when(same(escape(text)), escape(text)).otherwise(failed)
 
 
 def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learn: str = "assistant") -> DataFrame:

@@ -136,6 +136,23 @@ def test_chats(spark):
     assert chat_format.format_chats(df.filter("false")).count() == 0
 
 
+def test_chat_runs_of_hashes(spark):
+    texts = [f"{lead}{slashes}{'#' * n}{tail}" for lead in ("", "a\n", "#") for slashes in ("", "\\", "\\\\", "\\\\\\") for n in range(1, 10) for tail in ("", " Steps", "\\####", "</turn>")]
+    rows = [(i, 0, "assistant", t) for i, t in enumerate(texts)]
+    out = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    out = out.select("conv_id", "round_trip", chat_format.parse_chat(F.col("formatted")).alias("read"), chat_format.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    got = {r.conv_id: r for r in out.collect()}
+    assert [(t.role, t.text) for i in range(len(texts)) for t in got[i].read] == [("assistant", t) for t in texts]
+    assert [got[i].loss for i in range(len(texts))] == texts and all(r.round_trip for r in got.values())
+
+
+def test_chat_text_that_is_not_read_back_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(chat_format, "escape", lambda text: text)
+    df = spark.createDataFrame([(1, 0, "user", "#### Steps")], "conv_id long, turn long, role string, text string")
+    with pytest.raises(Exception, match="not read back"):
+        chat_format.format_chats(df).collect()
+
+
 # --- 3 ---
 
 
