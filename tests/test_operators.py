@@ -70,6 +70,18 @@ def test_upsert_moves_by_key_and_is_idempotent(spark):
     assert [(r.change, r.quantity) for r in again.collect()] == [("updated", 2)]
 
 
+def test_upsert_leaves_other_batches_untouched(spark):
+    old = bill(spark, [(1, 1, "a", "x", 1, None), (2, 2, "b", "y", 1, None), (3, 1, "a", "x", 1, "kept"), (4, 1, "c", "z", 4, None)])
+    old = old.withColumn("import_batch_id", F.when(F.col("id") <= 2, 1).otherwise(F.col("id") - 1)).withColumn("active", F.col("id") != 4)
+    new = bill(spark, [(11, 1, "a", "x", 5, None)])
+    out = {r.id: r for r in merge.upsert(old, new).collect()}
+    assert {i: (r.change, r.active, r.quantity) for i, r in out.items()} == {1: ("updated", True, 5), 2: ("orphaned", False, 1), 3: ("kept", True, 1), 4: ("kept", False, 4)}
+    before = {r.id: r for r in old.select(*merge.upsert(old, new).drop("change").columns).collect()}
+    assert all(before[i] == tuple(out[i])[:-1] for i in (3, 4))
+    emptied = spark.createDataFrame([(1,), (2,)], "import_batch_id long")
+    assert {r.id: r.change for r in merge.upsert(old, new, emptied).collect()} == {1: "updated", 2: "orphaned", 3: "orphaned", 4: "kept"}
+
+
 def test_audit_and_confirmations(spark):
     df = spark.createDataFrame([(1, "error", "completed"), (2, "warning", "completed")], "id long, anomaly_flag string, data_source_type string")
     ids = df.select("id")
