@@ -112,17 +112,28 @@ def fuse(scores: dict[str, DataFrame], item: str, weights: dict[str, float] = FU
     )
 
 
+def parts(df: DataFrame, text: str, of: DataFrame, whole: str) -> DataFrame:
+    """df with `part`: every substring of its text whose length, 2 or more, is that of some text of the other table."""
+    sizes = of.agg(F.collect_set(F.length(whole)).alias("_sizes"))  # one row, as many numbers as there are lengths
+    n = F.length(text)
+    sized = F.filter("_sizes", lambda k: (k >= 2) & (k < n))
+    cut = F.transform(sized, lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col(text), i, k)))
+    return df.join(F.broadcast(sizes)).withColumn("part", F.explode(F.array_distinct(F.flatten(cut)))).drop("_sizes")
+
+
 def progressive(items: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """items (item, name), dictionary (dict_id, dict_name): exact, else contained (80 + 20 * length ratio), else none. Ties: the smaller id.
+    """items (item, name), dictionary (dict_id, dict_name): exact, else contained, else none. Ties: the smaller id.
 
-    Containment is checked only for pairs that share the dictionary name's first word.
+    Contained: 80 + 20 * length ratio where the name holds the dictionary name, 75 + 20 * ratio where it is the other
+    way round; both have two characters at least. All such pairs are found, by equality with substrings.
     """
-    first = lambda c: F.element_at(F.split(F.lower(c), " "), 1)
     exact = items.join(dictionary, F.col("name") == F.col("dict_name")).groupBy("item").agg(F.min("dict_id").alias("dict_id")).select("item", "dict_id", F.lit(100.0).alias("score"), F.lit("exact").alias("how"))
     left = items.join(exact, "item", "left_anti")
-    words = left.select("item", "name", F.explode(F.array_distinct(F.split(F.lower("name"), " "))).alias("word"))
-    near = words.join(dictionary.withColumn("word", first(F.col("dict_name"))), "word").filter(F.contains("name", "dict_name"))
-    near = near.select("item", "dict_id", (80 + 20 * F.length("dict_name") / F.length("name")).alias("score"))
-    best = top_k(near, "item", 1).select("item", "dict_id", "score", F.lit("contained").alias("how"))
+    d = dictionary.groupBy("dict_name").agg(F.min("dict_id").alias("dict_id"))
+    inner = parts(left, "name", d, "dict_name").join(d, F.col("part") == F.col("dict_name"))
+    inner = inner.select("item", "dict_id", (80 + 20 * F.length("dict_name") / F.length("name")).alias("score"))
+    outer = parts(d, "dict_name", left, "name").join(left, F.col("part") == F.col("name"))
+    outer = outer.select("item", "dict_id", (75 + 20 * F.length("name") / F.length("dict_name")).alias("score"))
+    best = top_k(inner.unionByName(outer), "item", 1).select("item", "dict_id", "score", F.lit("contained").alias("how"))
     none = left.join(best, "item", "left_anti").select("item", F.lit(None).cast("long").alias("dict_id"), F.lit(0.0).alias("score"), F.lit("none").alias("how"))
     return exact.unionByName(best).unionByName(none)

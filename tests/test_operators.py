@@ -1,4 +1,5 @@
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,6 +110,26 @@ def test_similarity(spark):
     assert round(got.a, 2) == 61.54 and got.b == 0 and got.c == 0
 
 
+def best_contained(name, dictionary):
+    scored = [(100.0, -i, i, "exact") for i, d in dictionary if d == name]
+    scored = scored or [(80 + 20 * len(d) / len(name), -i, i, "contained") for i, d in dictionary if len(d) >= 2 and d in name]
+    if not scored or scored[0][3] != "exact":
+        scored += [(75 + 20 * len(name) / len(d), -i, i, "contained") for i, d in dictionary if len(name) >= 2 and name in d]
+    score, _, i, how = max(scored, default=(0.0, 0, None, "none"))
+    return i, round(score, 6), how
+
+
+def test_containment_in_both_directions(spark):
+    rng = random.Random(7)
+    text = lambda n: "".join(rng.choice("电力缆铜 ab") for _ in range(rng.randint(1, n)))
+    names = sorted({"铜芯电力电缆", "电力电缆", "阻燃", "x", "电", *(text(6) for _ in range(150))})
+    dictionary = list(enumerate(["电力电缆", "阻燃电力电缆", "阻燃电力电缆", "电", "Ab", *(text(8) for _ in range(60))]))
+    items = spark.createDataFrame([(n, n) for n in names], "item string, name string")
+    rows = similarity.progressive(items, spark.createDataFrame(dictionary, "dict_id long, dict_name string")).collect()
+    assert {r.item: (r.dict_id, round(r.score, 6), r.how) for r in rows} == {n: best_contained(n, dictionary) for n in names}
+    assert len(rows) == len(names) and best_contained("铜芯电力电缆", dictionary) == (0, 93.333333, "contained")
+
+
 def test_validation(spark):
     df = spark.createDataFrame([(1, None, 5), (2, "x", 0), (3, "x", 2)], "id long, name string, q long")
     rules = [validate.Rule("r", "required", "name"), validate.Rule("q", "range", "q", "warning", {"min": 0, "exclusive": True}), validate.Rule("u", "unique", "name", "info")]
