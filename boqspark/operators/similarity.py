@@ -39,15 +39,50 @@ def indel_ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.lit(200.0) * lcs_length(a, b), F.length(a) + F.length(b)), F.lit(0.0))
 
 
-def candidates(left: DataFrame, right: DataFrame, l_id: str, l_text: str, r_id: str, r_text: str, least_shared: int = 2, most_rows: int | None = None) -> DataFrame:
-    """l_id, r_id, shared: pairs that share character bigrams. Lossy below least_shared; most_rows drops bigrams of more rows on the right."""
+def candidates(left: DataFrame, right: DataFrame, l_id: str, l_text: str, r_id: str, r_text: str, least_shared: int = 2) -> DataFrame:
+    """l_id, r_id, shared: the pairs that share least_shared distinct character bigrams or more. No bound on edit similarity: see near_pairs."""
     lg = left.select(l_id, F.explode(bigrams(F.col(l_text))).alias("g"))
     rg = right.select(r_id, F.explode(bigrams(F.col(r_text))).alias("g"))
-    if most_rows is not None:
-        rg = rg.join(rg.groupBy("g").count().filter(F.col("count") <= most_rows).select("g"), "g", "left_semi")
     return lg.join(rg, "g").groupBy(l_id, r_id).agg(F.count("*").alias("shared")).filter(F.col("shared") >= least_shared)
 
 
+def near_pairs(left: DataFrame, right: DataFrame, l_text: str, r_text: str, above: int = 80) -> DataFrame:
+    """l_text, r_text, score: all pairs of an indel ratio over `above` (80 or more), of tables of distinct texts.
+
+    Of n characters in both, L > above * n / 200 are common in order. Of the L - 1 steps between them a - L at most are
+    torn in the one text and b - L in the other, so 3L - 1 - n bigrams are common, counted with repetition. From 80 on
+    that is one at least, but for two equal single characters, which stand for themselves.
+    """
+    if above < 80:
+        raise ValueError("below 80 a pair may share no bigram")
+
+    def counted(df: DataFrame, text: str, count: str) -> DataFrame:
+        t = F.col(text)
+        pairs = F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))
+        grams = F.when(F.length(t) >= 2, pairs).when(F.length(t) == 1, F.array(t))
+        return df.select(text, F.explode(grams).alias("_g")).groupBy(text, "_g").agg(F.count("*").alias(count))
+
+    a, b = F.length(l_text), F.length(r_text)
+    least = F.floor((a + b) * above / 200).cast("int") + 1
+    shared = counted(left, l_text, "_l").join(counted(right, r_text, "_r"), "_g").filter(F.least(a, b) >= least)
+    shared = shared.groupBy(l_text, r_text).agg(F.sum(F.least("_l", "_r")).alias("_shared")).filter(F.col("_shared") >= F.greatest(F.lit(1), 3 * least - 1 - a - b))
+    return shared.select(l_text, r_text, indel_ratio(F.col(l_text), F.col(r_text)).alias("score")).filter(F.col("score") > above)
+
+
+def best_by_edit(left: DataFrame, right: DataFrame, l_text: str, r_text: str, k: int, blocks: int = 8) -> DataFrame:
+    """The k best of right for each text of left by indel ratio (four decimals), of all pairs of a positive ratio.
+
+    Texts with k near ones are done with these; the others meet every text of the right table.
+    """
+    near = near_pairs(left.select(l_text).distinct(), right.select(r_text).distinct(), l_text, r_text)
+    done = near.groupBy(l_text).count().filter(F.col("count") >= k).select(l_text)
+    rest = left.select(l_text).distinct().join(done, l_text, "left_anti").withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    other = right.select(r_text).distinct().withColumn("_block", F.pmod(F.xxhash64(r_text), F.lit(blocks)).cast("int"))
+    far = rest.join(other, "_block").select(l_text, r_text, indel_ratio(F.col(l_text), F.col(r_text)).alias("score")).filter("score > 0")
+    scored = near.join(done, l_text, "left_semi").unionByName(far).withColumn("score", F.round("score", 4))
+    return top_k(scored, l_text, k, by=r_text)
+
+
 def level_weight(level: Column) -> Column:
     out = F.lit(0.5)
     for k, w in LEVEL_WEIGHT.items():

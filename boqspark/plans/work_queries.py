@@ -227,11 +227,8 @@ def ngram_candidates(spark, sf):
 
 @query()
 def indel_match(spark, sf):
-    """Best dictionary name by edit similarity of every part name; candidates share bigrams."""
-    names, dict_ = _names(spark, sf)
-    pairs = similarity.candidates(names, dict_, "name", "name", "dict_name", "dict_name", least_shared=6)
-    scored = pairs.withColumn("score", F.round(similarity.indel_ratio(F.col("name"), F.col("dict_name")), 4))
-    return similarity.top_k(scored, "name", 3, by="dict_name").select("name", "rank", "dict_name", "score")
+    """The three best dictionary names by edit similarity of every part name."""
+    return similarity.best_by_edit(*_names(spark, sf), "name", "dict_name", 3).select("name", "rank", "dict_name", "score")
 
 
 _TFIDF = """WITH d AS (SELECT p_name || ' ' || p_brand AS doc FROM part GROUP BY 1), w AS (SELECT doc, unnest(regexp_extract_all(lower(doc), '[a-z0-9]{2,}')) AS term FROM d),

@@ -130,6 +130,31 @@ def test_containment_in_both_directions(spark):
     assert len(rows) == len(names) and best_contained("铜芯电力电缆", dictionary) == (0, 93.333333, "contained")
 
 
+def indel(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        old, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(max(row[-1], old[j + 1], old[j] + (x == y)))
+    return 200.0 * row[-1] / (len(a) + len(b))
+
+
+def test_best_by_edit_equals_brute_force(spark):
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("电力缆铜Ab") for _ in range(rng.randint(1, n)))
+    names = sorted({"电缆", "电", "配电箱", "none", *(text(5) for _ in range(25)), *(text(14) for _ in range(25))})
+    dictionary = sorted({"电缆", "电", "配电箱", "电力电缆", *names[::3], *(n + "铜" for n in names[::2]), *(text(7) for _ in range(40))})
+    left, right = spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(d,) for d in dictionary], "dict_name string")
+    near = similarity.near_pairs(left, right, "name", "dict_name").collect()
+    assert sorted((r.name, r.dict_name) for r in near) == sorted((n, d) for n in names for d in dictionary if indel(n, d) > 80)
+    got = {(r.name, r.rank): (r.dict_name, r.score) for r in similarity.best_by_edit(left, right, "name", "dict_name", 3).collect()}
+    want = {}
+    for n in names:
+        best = sorted((-round(indel(n, d), 4), d) for d in dictionary if indel(n, d) > 0)[:3]
+        want |= {(n, i + 1): (d, -score) for i, (score, d) in enumerate(best)}
+    assert got == want
+
+
 def test_validation(spark):
     df = spark.createDataFrame([(1, None, 5), (2, "x", 0), (3, "x", 2)], "id long, name string, q long")
     rules = [validate.Rule("r", "required", "name"), validate.Rule("q", "range", "q", "warning", {"min": 0, "exclusive": True}), validate.Rule("u", "unique", "name", "info")]
