@@ -2,8 +2,8 @@
 
 Format: a folder with three Parquet tables.
   kind=chunk   hash, data, n: every distinct chunk once; data: zstd of little-endian 16- or 32-bit ids
-  recipe       doc_id, start, n_tokens, root, hashes: files in ascending doc_id order; start: ids of all documents before
-  manifest     part, first_doc, last_doc, n_docs, n_tokens, root: a Merkle root over the document roots of each part
+  recipe       doc_id, start, n_tokens, root, hashes, part: files in ascending doc_id order; start: ids of all documents before
+  manifest     part, first_start, n_docs, n_tokens, root: the Merkle root over the document roots of each part, by start
 
 A rolling hash over the last ids cuts the stream of a document where its low bits are zero, so that equal passages
 give equal chunks. Chunks are named by SHA-256; a document's root is the Merkle root of its chunk names. Reading
@@ -136,24 +136,50 @@ def _order(spark: SparkSession, path: str, parts: int, key: str) -> None:
     ordered = placed.select("doc_id", "start", "n_tokens", "root", "hashes", "part").repartitionByRange(parts, "start").sortWithinPartitions("start")
     ordered.write.parquet(f"{path}/recipe")
 
+    _manifest(spark.read.parquet(f"{path}/recipe")).write.parquet(f"{path}/manifest")
+
+
+def _manifest(recipes: DataFrame) -> DataFrame:
+    """A row per part of the recipes, which have to be without gaps or copies: part, first_start, n_docs, n_tokens, root."""
+
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaves: list[bytes] = []
-        first = last = None
-        total = 0
+        part, first, following, leaves = None, 0, 0, []
+        out: list[tuple] = []
         for b in batches:
-            if not b.num_rows:
-                continue
-            starts, sizes = b.column(0).to_pylist(), b.column(1).to_pylist()
-            first = starts[0] if first is None else first
-            last = starts[-1]
-            total += sum(sizes)
-            leaves.append(merkle(b.column(2).to_pylist()))
+            for p, start, n, root in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if p != part:
+                    if leaves:
+                        out.append((part, first, len(leaves), following - first, merkle(leaves)))
+                    part, first, following, leaves = p, start, start, []
+                if start != following:
+                    raise ValueError("a recipe is missing or repeated")
+                following += n
+                leaves.append(root)
         if leaves:
-            yield pa.RecordBatch.from_pydict({"first_start": [first], "last_start": [last], "n_tokens": [total], "root": [merkle(leaves)]})
+            out.append((part, first, len(leaves), following - first, merkle(leaves)))
+        if out:
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["part", "first_start", "n_docs", "n_tokens", "root"])
 
-    spark.read.parquet(f"{path}/recipe").select("start", "n_tokens", "root").mapInArrow(
-        roots, "first_start long, last_start long, n_tokens long, root binary"
-    ).write.parquet(f"{path}/manifest")
+    parts = int(recipes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = recipes.select("part", "start", "n_tokens", "root").repartition(parts, "part").sortWithinPartitions("part", "start")
+    return dealt.mapInArrow(roots, "part int, first_start long, n_docs long, n_tokens long, root binary")
+
+
+def verified_recipes(spark: SparkSession, path: str) -> DataFrame:
+    """The recipes, once the manifest built from them is the stored one and its parts follow each other; else an error."""
+    recipes = spark.read.parquet(f"{path}/recipe")
+    columns = ["first_start", "n_docs", "n_tokens", "root"]
+    stored = {r["part"]: tuple(r[c] for c in columns) for r in spark.read.parquet(f"{path}/manifest").collect()}  # a row per shuffle partition
+    found = {r["part"]: tuple(r[c] for c in columns) for r in _manifest(recipes).collect()}
+    if found != stored:
+        raise ValueError(f"recipes differ from the manifest in parts {sorted(p for p in {*found, *stored} if found.get(p) != stored.get(p))[:10]}")
+    following = 0
+    for first, _, n, _ in sorted(stored.values()):
+        if first != following:
+            raise ValueError("parts of the manifest do not follow each other")
+        following += n
+    return recipes
 
 
 def read_contents(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
@@ -205,8 +231,8 @@ def read_contents(spark: SparkSession, path: str, wide: bool = False) -> DataFra
 
 
 def read_documents(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
-    """doc_id, start, n_tokens, ids of every document, from the files."""
-    return spark.read.parquet(f"{path}/recipe").select("doc_id", "start", "n_tokens", "root").join(read_contents(spark, path, wide), "root").drop("root")
+    """doc_id, start, n_tokens, ids of every document, from the files, verified by the manifest."""
+    return verified_recipes(spark, path).select("doc_id", "start", "n_tokens", "root").join(read_contents(spark, path, wide), "root").drop("root")
 
 
 def op7_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,4 +241,4 @@ def op7_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "store")
     write_store(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     read = read_contents(spark, path).select("root", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
-    return spark.read.parquet(f"{path}/recipe").select("doc_id", "start", "root").join(read, "root").drop("root")
+    return verified_recipes(spark, path).select("doc_id", "start", "root").join(read, "root").drop("root")

@@ -387,6 +387,32 @@ def test_damaged_store_is_noticed(spark, docs):
         chunk_store.read_contents(spark, broken).collect()
 
 
+def test_lost_or_repeated_recipes_are_noticed(spark, docs, none):
+    path = fresh_path(spark, "store")
+    chunk_store.write_store(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    recipes, manifest = spark.read.parquet(f"{path}/recipe"), spark.read.parquet(f"{path}/manifest")
+    first = recipes.filter("start = 0")
+    other = recipes.filter("n_tokens > 1").limit(1).withColumn("root", F.sha2("root", 256).cast("binary"))
+    damaged = {
+        "lost part": recipes.join(manifest.orderBy("first_start").limit(1).select("part"), "part", "left_anti"), "lost end": recipes.filter(f"start < {recipes.agg(F.max('start')).first()[0]}"),
+        "repeated": recipes.unionByName(recipes.filter("n_tokens > 1").limit(1)), "changed": recipes.join(other.select("start"), "start", "left_anti").unionByName(other), "whole": recipes.repartition(7),
+    }
+    assert first.count() == 1
+    for name, df in damaged.items():
+        broken = fresh_path(spark, "store")
+        spark.read.parquet(f"{path}/rows").write.partitionBy("kind").parquet(f"{broken}/rows")
+        manifest.write.parquet(f"{broken}/manifest")
+        df.select(recipes.columns).write.parquet(f"{broken}/recipe")
+        if name == "whole":
+            assert chunk_store.read_documents(spark, broken).count() == docs.count()
+            continue
+        with pytest.raises(Exception, match="missing or repeated|differ from the manifest"):
+            chunk_store.read_documents(spark, broken).collect()
+    empty = fresh_path(spark, "store")
+    chunk_store.write_store(none, empty, public_tokenizers.path("byte_bpe_50k.json"))
+    assert chunk_store.read_documents(spark, empty).count() == 0
+
+
 def test_cuts_cover_and_follow_content():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 50_000, 60_000).astype("<u4")
