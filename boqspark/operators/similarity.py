@@ -66,7 +66,8 @@ def near_pairs(left: DataFrame, right: DataFrame, l_text: str, r_text: str, abov
     least = F.floor((a + b) * above / 200).cast("int") + 1
     shared = counted(left, l_text, "_l").join(counted(right, r_text, "_r"), "_g").filter(F.least(a, b) >= least)
     shared = shared.groupBy(l_text, r_text).agg(F.sum(F.least("_l", "_r")).alias("_shared")).filter(F.col("_shared") >= F.greatest(F.lit(1), 3 * least - 1 - a - b))
-    return shared.select(l_text, r_text, indel_ratio(F.col(l_text), F.col(r_text)).alias("score")).filter(F.col("score") > above)
+    # A checkpoint, so that each ratio is worked out once.
+    return shared.select(l_text, r_text, indel_ratio(F.col(l_text), F.col(r_text)).alias("score")).checkpoint().filter(F.col("score") > above)
 
 
 def best_by_edit(left: DataFrame, right: DataFrame, l_text: str, r_text: str, k: int, blocks: int = 8) -> DataFrame:
@@ -78,7 +79,8 @@ def best_by_edit(left: DataFrame, right: DataFrame, l_text: str, r_text: str, k:
     done = near.groupBy(l_text).count().filter(F.col("count") >= k).select(l_text)
     rest = left.select(l_text).distinct().join(done, l_text, "left_anti").withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     other = right.select(r_text).distinct().withColumn("_block", F.pmod(F.xxhash64(r_text), F.lit(blocks)).cast("int"))
-    far = rest.join(other, "_block").select(l_text, r_text, indel_ratio(F.col(l_text), F.col(r_text)).alias("score")).filter("score > 0")
+    far = rest.join(other, "_block").filter(F.arrays_overlap(F.split(l_text, ""), F.split(r_text, "")))
+    far = far.select(l_text, r_text, indel_ratio(F.col(l_text), F.col(r_text)).alias("score"))
     scored = near.join(done, l_text, "left_semi").unionByName(far).withColumn("score", F.round("score", 4))
     return top_k(scored, l_text, k, by=r_text)
 
