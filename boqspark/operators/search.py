@@ -12,7 +12,14 @@ from ..functions.text import trigram_similarity, trigrams
 FIELDS = {"item_code", "item_name", "item_feature", "unit", "quantity", "province", "price_period", "data_source_type", "anomaly_flag", "import_batch_id", "material_dict_id"}
 TEXTS = ("item_name", "item_feature", "item_code", "std_name")
 # Words that mean the same.
-SYNONYMS = [("电缆", "电线", "线缆"), ("钢管", "焊管"), ("混凝土", "砼"), ("brass", "copper"), ("steel", "iron")]
+SYNONYMS = [
+    ("配电箱", "配电柜", "配电箱柜", "照明箱", "动力箱", "开关柜", "箱式变电站"), ("配电柜", "配电箱", "配电箱柜", "开关柜"),
+    ("桥架", "电缆桥架", "电缆线槽", "线槽", "梯式桥架", "槽式桥架"), ("电缆", "电力电缆", "电线电缆", "控制电缆", "电缆线"),
+    ("电线", "绝缘导线", "布电线", "BV线", "BVR线"), ("钢管", "焊接钢管", "镀锌钢管", "无缝钢管", "焊管", "镀锌管"),
+    ("塑料管", "PVC管", "PPR管", "HDPE管", "PE管", "PVC-U管", "UPVC管"), ("阀门", "闸阀", "截止阀", "球阀", "蝶阀", "止回阀"),
+    ("钢筋", "螺纹钢", "圆钢", "钢筋网", "热轧带肋钢筋"), ("水泥", "硅酸盐水泥", "普通水泥", "PO水泥", "复合硅酸盐水泥"),
+    ("砼", "混凝土", "商品砼", "商品混凝土", "现浇混凝土"), ("砂浆", "水泥砂浆", "混合砂浆", "抹灰砂浆"), ("土方", "挖沟槽", "挖土方", "回填土", "土石方"),
+]
 
 
 def _one(field: str, op: str, value) -> Column:
@@ -35,7 +42,7 @@ def variants(word: str) -> list[str]:
     out = {word}
     for group in ("×x*", "Φφ", "- "):
         out |= {w.replace(a, b) for w in out for a in group for b in group}
-    out |= {s for group in SYNONYMS if word.lower() in group for s in group}
+    out |= {s for group in SYNONYMS if word.lower() in map(str.lower, group) for s in group}
     return sorted(out)
 
 

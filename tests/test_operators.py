@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from boqspark.operators import learning, merge, pricing, similarity, tree, validate
+from boqspark.operators import learning, merge, pricing, search, similarity, tree, validate
 
 
 def prices(spark, rows):
@@ -130,6 +130,13 @@ def test_containment_in_both_directions(spark):
     assert len(rows) == len(names) and best_contained("铜芯电力电缆", dictionary) == (0, 93.333333, "contained")
 
 
+def test_synonyms_of_all_groups():
+    assert len(search.SYNONYMS) == 13
+    for word, other in (("配电箱", "开关柜"), ("线槽", "桥架"), ("阀门", "球阀"), ("土方", "回填土"), ("pvc管", "塑料管"), ("混凝土", "砼")):
+        assert other in search.variants(word)
+    assert search.variants("red") == ["red"]
+
+
 def indel(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
