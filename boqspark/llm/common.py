@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a checkpoint folder that the session has set."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
@@ -27,7 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="boqspark-"))
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="boqspark-"))  # one machine
     return sc.getCheckpointDir()
 
 
@@ -53,6 +55,24 @@ def one_thread() -> None:
     os.environ["RAYON_NUM_THREADS"] = "1"
 
 
+_kept: dict = {}
+
+
+def kept(name: str, make):
+    """What a worker keeps between tasks (tokenizers, word memos), for one name at a time: workers are used again by the next operator."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def word_hashes() -> "Memo":
+    """word (bytes) -> 64-bit hash."""
+    import xxhash
+
+    return kept("word hashes", lambda: Memo(xxhash.xxh64_intdigest))
+
+
 class Memo(dict):
     """word -> encoded bytes. Keeps the first `cap` words for the life of the worker; `make` handles the rest."""
 

@@ -30,12 +30,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, cut, small_batches, table
+from .common import cut, small_batches, table, word_hashes
 
 SHINGLE, BLOCK, SMALL_BAND, BAND_RATIO, PER_SEGMENT = 5, 768, 200, 3, 2.2
+#: Signatures that a task holds before it sends them, and shingles that one block of sets to be compared may hold.
+RUN, BLOCK_SHINGLES = 2_000_000, 1_000_000
 BROADCAST_ROWS = 1_000_000
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-_hashes: Memo | None = None
 _EDGES = np.array([1 * BAND_RATIO**i for i in range(36)], np.int64)
 
 
@@ -47,16 +48,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct hashes of the shingles of a text."""
-    import xxhash
-
-    global _hashes
-    if _hashes is None:
-        _hashes = Memo(xxhash.xxh64_intdigest, cap=400_000)
     words = (text or "").encode("utf-8", "replace").lower().split()
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, n)
+    h = np.fromiter(map(word_hashes().__getitem__, words), np.uint64, n)
     k = min(SHINGLE, n)
     g = np.full(n - k + 1, k, np.uint64)
     for j in range(k):
@@ -100,12 +96,12 @@ def signatures(s: np.ndarray, band: int, finer: int) -> tuple[np.ndarray, np.nda
     return whole, less, len(heads) >= need
 
 
-_NAMES = ["k", "a1", "a2", "ord", "n", "band", "total", "shared", "hubs", "blob"]
-_SKETCH = "k long, a1 long, a2 long, ord long, n long, band int, total int, shared int, hubs binary, blob array<binary>"
+_NAMES = ["k", "a1", "a2", "ord", "n", "band", "total", "shared", "blob"]
+_SKETCH = "k long, a1 long, a2 long, ord long, n long, band int, total int, shared int, blob array<binary>"
 
 
 def _batch(size: int, **columns) -> pa.RecordBatch:
-    types = {"band": pa.int32(), "total": pa.int32(), "shared": pa.int32(), "hubs": pa.binary(), "blob": pa.list_(pa.binary())}
+    types = {"band": pa.int32(), "total": pa.int32(), "shared": pa.int32(), "blob": pa.list_(pa.binary())}
     return pa.RecordBatch.from_arrays([pa.array(columns[c], types.get(c, pa.int64())) if c in columns else pa.nulls(size, types.get(c, pa.int64())) for c in _NAMES], _NAMES)
 
 
@@ -113,87 +109,120 @@ def _task(a1: np.ndarray, parts: int) -> np.ndarray:
     return (_mixed(a1.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
 
+class _Run:
+    """Signatures of some distinct sets, a bounded number of them, packed by bucket when full."""
+
+    def __init__(self) -> None:
+        self.seen: set[tuple[int, int]] = set()
+        self.a1, self.bands, self.values, self.owners, self.kinds, self.size = [], [], [], [], [], 0
+
+    def add(self, a1: int, band: int, whole: np.ndarray, less: np.ndarray) -> None:
+        for v, kind in ((whole, 1), (less, 0)):
+            self.values.append(v)
+            self.owners.append(np.full(len(v), len(self.a1), np.uint32))
+            self.kinds.append(np.full(len(v), kind, np.uint8))
+            self.size += len(v)
+        self.a1.append(a1)
+        self.bands.append(band)
+
+    def packed(self, buckets: int) -> Iterator[pa.RecordBatch]:
+        if not self.a1:
+            return
+        value = np.concatenate(self.values)
+        bucket = ((value >> np.uint64(33)) % np.uint64(buckets)).astype(np.uint32)
+        by = np.argsort(bucket, kind="stable")
+        value = value[by].astype(np.uint32)
+        owner, kind = np.concatenate(self.owners)[by], np.concatenate(self.kinds)[by]
+        edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
+        del bucket, by
+        head = [np.array(self.a1, np.int64), np.array(self.bands, np.int8)]
+        for k in range(buckets):
+            at = slice(int(edges[k]), int(edges[k + 1]))
+            if at.stop > at.start:
+                own, local = np.unique(owner[at], return_inverse=True)
+                parts = [value[at], local.astype(np.uint32 if len(own) > 65535 else np.uint16), np.packbits(kind[at]), *(h[own] for h in head)]
+                yield _batch(1, k=[k], blob=[[p.tobytes() for p in parts]])
+
+
 def _sketch(batches: Iterator[pa.RecordBatch], parts: int, buckets: int, finer: dict[int, int], only: frozenset[int] | None) -> Iterator[pa.RecordBatch]:
-    """Rows in: ord, text. Out: a row per document (name and size of its set) and the signatures, packed by bucket."""
-    seen: set[tuple[int, int]] = set()
-    a1s, bands = [], []
-    values, owners, kinds = [], [], []
+    """Rows in: ord, text. Out: a row per document (name and size of its set) and the signatures, packed by bucket.
+
+    A set met again in the same run of a task is not sketched again and has totals of 0.
+    """
+    run = _Run()
     for b in batches:
         rows = []
         for o, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             s = shingles(text)
             a1, a2 = name_of(s)
             poor, counts = None, [0, 0]
-            if len(s) and (a1, a2) not in seen:
-                seen.add((a1, a2))
-                for band in bands_of(len(s)):
+            if len(s) and (a1, a2) not in run.seen:
+                run.seen.add((a1, a2))
+                own = bands_of(len(s))
+                for band in own:
                     if only is not None and band not in only:
                         continue
                     whole, less, enough = signatures(s, band, finer.get(band, 1))
-                    if not enough and band == bands_of(len(s))[0]:
+                    if not enough and band == own[0]:
                         poor = band
-                    i = len(a1s)
-                    a1s.append(a1)
-                    bands.append(band)
-                    counts[band - bands_of(len(s))[0]] = len(whole)
-                    for v, kind in ((whole, 1), (less, 0)):
-                        values.append(v)
-                        owners.append(np.full(len(v), i, np.uint32))
-                        kinds.append(np.full(len(v), kind, np.uint8))
+                    counts[band - own[0]] = len(whole)
+                    run.add(a1, band, whole, less)
+                if run.size > RUN:
+                    yield from run.packed(buckets)
+                    run = _Run()
             rows.append((o, a1, a2, len(s), poor, *counts))
         if rows:
             o, a1, a2, n, poor, total, upper = zip(*rows, strict=True)
             yield _batch(len(rows), k=_task(np.array(a1, np.int64), parts), a1=a1, a2=a2, ord=o, n=n, band=poor, total=total, shared=upper)
-    if not a1s:
-        return
-    value, owner, kind = np.concatenate(values), np.concatenate(owners), np.concatenate(kinds)
-    del values, owners, kinds
-    bucket = (value >> np.uint64(33)) % np.uint64(buckets)
-    by = np.argsort(bucket, kind="stable")
-    value, owner, kind = (value[by] & np.uint64(0xFFFFFFFF)).astype(np.uint32), owner[by], kind[by]
-    edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
-    del bucket, by
-    head = [np.array(a1s, np.int64), np.array(bands, np.int8)]
-    for k in range(buckets):
-        at = slice(int(edges[k]), int(edges[k + 1]))
-        if at.stop > at.start:
-            own, local = np.unique(owner[at], return_inverse=True)
-            parts = [value[at], local.astype(np.uint32 if len(own) > 65535 else np.uint16), np.packbits(kind[at]), *(h[own] for h in head)]
-            yield _batch(1, k=[k], blob=[[p.tobytes() for p in parts]])
+    yield from run.packed(buckets)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Bucket rows in; out: what each set shares in the bucket and the hubs of those groups, packed for the task of the set. Document rows pass."""
-    got: list[list[np.ndarray]] = []
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """(k, rows) for each key of a task whose rows are sorted by k."""
+    held: list[pa.RecordBatch] = []
+    now = None
     for b in batches:
-        blobs = b.column("blob").is_valid()
-        if (rest := b.filter(pc.invert(blobs))).num_rows:
-            yield rest
-        packed = b.filter(blobs)
-        for k, blob in zip(packed.column("k").to_pylist(), packed.column("blob").to_pylist(), strict=True):
-            a1 = np.frombuffer(blob[3], np.int64)
-            value = np.frombuffer(blob[0], np.uint32)
-            local = np.frombuffer(blob[1], np.uint32 if len(a1) > 65535 else np.uint16).astype(np.int64)
-            kind = np.unpackbits(np.frombuffer(blob[2], np.uint8), count=len(value))
-            got.append([value, local, kind, a1, np.frombuffer(blob[4], np.int8), np.full(len(a1), k)])
-    if not got:
-        return
-    shift = np.cumsum([0, *(len(g[3]) for g in got)])
-    value = np.concatenate([g[0] for g in got])
-    owner = np.concatenate([g[1] + s for g, s in zip(got, shift, strict=False)])
-    kind = np.concatenate([g[2] for g in got])
-    a1, band, bucket = (np.concatenate([g[i] for g in got]) for i in (3, 4, 5))
-    del got
-    # a set that several tasks sketched counts once in each bucket, of which a task may have several
-    _, first, number = np.unique(np.stack([a1, band.astype(np.int64), bucket], axis=1), axis=0, return_index=True, return_inverse=True)
-    once = first[number.ravel()[owner]] == owner
-    value, owner, kind = value[once], owner[once], kind[once]
-    # one number per set and band, over all tasks; sets in the order of their names
-    _, first, number = np.unique(np.stack([a1, band.astype(np.int64)], axis=1), axis=0, return_index=True, return_inverse=True)
-    owner = number.ravel()[owner]
-    a1, band = a1[first], band[first]
+        k = b.column("k").to_numpy()
+        heads = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else []
+        for lo, hi in zip(heads, [*heads[1:], len(k)], strict=True):
+            if held and k[lo] != now:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = int(k[lo])
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows of buckets in, sorted by bucket; out: what each set shares in a bucket and the hubs of those groups, packed for the task of the set."""
+    for _, rows in _by_key(batches):
+        yield from _group(rows.column("blob").to_pylist(), parts)
+
+
+def _group(blobs: list[list[bytes]], parts: int) -> Iterator[pa.RecordBatch]:
+    a1s = [np.frombuffer(blob[3], np.int64) for blob in blobs]
+    shift = np.cumsum([0, *map(len, a1s)])
+    value = np.concatenate([np.frombuffer(blob[0], np.uint32) for blob in blobs])
+    owner = np.concatenate([np.frombuffer(blob[1], np.uint32 if len(a) > 65535 else np.uint16).astype(np.uint32) + np.uint32(s) for blob, a, s in zip(blobs, a1s, shift, strict=False)])
+    kind = np.concatenate([np.unpackbits(np.frombuffer(blob[2], np.uint8), count=len(blob[0]) // 4) for blob in blobs])
+    a1, band = np.concatenate(a1s), np.concatenate([np.frombuffer(blob[4], np.int8) for blob in blobs])
+    blobs.clear()
+    # one number per set and band, in the order of names; a set that several runs sketched counts once
+    order = np.lexsort((band, a1))
+    fresh = np.r_[True, (a1[order][1:] != a1[order][:-1]) | (band[order][1:] != band[order][:-1])]
+    first = order[fresh]
+    number = np.empty(len(a1), np.uint32)
+    number[order] = np.cumsum(fresh) - 1
+    once = np.zeros(len(a1), bool)
+    once[first] = True
+    if not fresh.all():
+        mine = once[owner]
+        value, owner, kind = value[mine], owner[mine], kind[mine]
+    owner, a1, band = number[owner], a1[first], band[first]
     order = np.lexsort((owner, band[owner], value))
     value, owner, kind = value[order], owner[order], kind[order]
+    del order
     heads = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (band[owner[1:]] != band[owner[:-1]])])
     count = np.diff(np.r_[heads, len(value)])
     keep = np.repeat(owner[heads] != owner[np.r_[heads[1:], len(owner)] - 1], count)  # at least two different sets
@@ -202,36 +231,38 @@ def _groups(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
     if not len(owner):
         return
     shared = np.bincount(owner, weights=kind, minlength=len(a1)).astype(np.int32)
-    pairs, at = np.unique(owner * (len(a1) + 1) + hub, return_inverse=True)
+    pairs, at = np.unique(owner.astype(np.int64) * (len(a1) + 1) + hub, return_inverse=True)
     weight = np.bincount(at.ravel(), weights=kind).astype(np.int32)  # whole segments with this hub
     pair_owner, pair_hub = pairs // (len(a1) + 1), pairs % (len(a1) + 1)
-    live = np.unique(pair_owner)
+    n_hubs = np.bincount(pair_owner, minlength=len(a1)).astype(np.int32)
+    live = np.flatnonzero(n_hubs)
     task = _task(a1[live], parts)
-    n_hubs = np.bincount(pair_owner, minlength=len(a1))
-    hubs_at = np.r_[0, np.cumsum(n_hubs)]
+    by = np.argsort(task, kind="stable")
+    live, task = live[by], task[by]
+    pair_task = _task(a1[pair_owner], parts)
+    by = np.argsort(pair_task, kind="stable")
+    pair_task, pair_hub, weight = pair_task[by], pair_hub[by], weight[by]
     for t in np.unique(task).tolist():
-        own = live[task == t]
-        mine = np.concatenate([np.arange(hubs_at[i], hubs_at[i + 1]) for i in own.tolist()])
-        columns = [a1[own], band[own], shared[own], n_hubs[own].astype(np.int32), a1[pair_hub[mine]], weight[mine]]
+        own = live[slice(*np.searchsorted(task, [t, t + 1]))]
+        mine = slice(*np.searchsorted(pair_task, [t, t + 1]))
+        columns = [a1[own], band[own], shared[own], n_hubs[own], a1[pair_hub[mine]], weight[mine]]
         yield _batch(1, k=[t], blob=[[c.tobytes() for c in columns]])
 
 
 def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Document rows and shares of the same sets in; out: (hub, set) rows, k = -1 and the hub in `ord`, for sets that can have a partner. Document rows pass."""
-    got: list[list[np.ndarray]] = []
-    docs: list[np.ndarray] = []
-    for b in batches:
-        blobs = b.column("blob").is_valid()
-        if (rest := b.filter(pc.invert(blobs))).num_rows:
-            yield rest
-            docs.append(np.stack([rest.column(c).to_numpy().astype(np.int64) for c in ("a1", "a2", "n", "total", "shared")], axis=1))
-        got += [[np.frombuffer(x, t) for x, t in zip(blob, (np.int64, np.int8, np.int32, np.int32, np.int64, np.int32), strict=True)] for blob in b.filter(blobs).column("blob").to_pylist()]
-    if not got:
-        return
-    sets = np.concatenate(docs)
-    sets = np.unique(sets[sets[:, 3] + sets[:, 4] > 0], axis=0)  # the first of equal sets in a task has the totals
-    a1, band, shared, n_hubs, hubs, weight = (np.concatenate([g[i] for g in got]) for i in range(6))
-    del got, docs
+    """Sets and their shares in, sorted by k; out: (hub, set) rows, the hub in `ord`, for sets that can have a partner."""
+    for _, rows in _by_key(batches):
+        blobs = rows.column("blob").is_valid()
+        sets = rows.filter(pc.invert(blobs))
+        packed = rows.filter(blobs).column("blob").to_pylist()
+        if packed and sets.num_rows:
+            yield from _live_sets(np.stack([sets.column(c).to_numpy().astype(np.int64) for c in ("a1", "a2", "n", "total", "shared")], axis=1), packed)
+
+
+def _live_sets(sets: np.ndarray, packed: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+    types = (np.int64, np.int8, np.int32, np.int32, np.int64, np.int32)
+    a1, band, shared, n_hubs, hubs, weight = (np.concatenate([np.frombuffer(blob[i], t) for blob in packed]) for i, t in enumerate(types))
+    packed.clear()
     names, number = np.unique(np.stack([a1, band.astype(np.int64)], axis=1), axis=0, return_inverse=True)
     number = number.ravel()
     met = np.bincount(number, weights=shared).astype(np.int64)
@@ -240,7 +271,8 @@ def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     row, hubs, weight = row[order], hubs[order], weight[order]
     at = np.searchsorted(row, np.arange(len(names) + 1))
     own_band = np.searchsorted(_EDGES, sets[:, 2], side="right") - 1
-    edges = []
+    edges: list[np.ndarray] = []
+    held = 0
     for above in (0, 1):  # a set's own band, and the next
         total = sets[:, 3 + above]
         key = np.stack([sets[:, 0], own_band + above], axis=1)
@@ -250,11 +282,18 @@ def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in np.flatnonzero(ok).tolist():
             mine = slice(at[place[i]], at[place[i] + 1])
             own = _needed(hubs[mine], weight[mine], int(sets[i, 0]), int(total[i] - sets[i, 2] // 3))
-            edges.append(np.stack([own, np.full(len(own), sets[i, 0]), np.full(len(own), sets[i, 1])], axis=1))
-    edges = np.concatenate(edges) if edges else np.zeros((0, 3), np.int64)
-    for lo in range(0, len(edges), 20_000):
-        e = edges[lo : lo + 20_000]
-        yield _batch(len(e), k=np.full(len(e), -1), ord=e[:, 0], a1=e[:, 1], a2=e[:, 2])
+            edges.append(np.column_stack([own, np.broadcast_to(sets[i, :3], (len(own), 3))]))
+            held += len(own)
+            if held > 20_000:
+                yield _edge_rows(edges)
+                edges, held = [], 0
+    if held:
+        yield _edge_rows(edges)
+
+
+def _edge_rows(edges: list[np.ndarray]) -> pa.RecordBatch:
+    e = np.concatenate(edges)
+    return _batch(len(e), ord=e[:, 0], a1=e[:, 1], a2=e[:, 2], n=e[:, 3])
 
 
 def _needed(hubs: np.ndarray, weight: np.ndarray, own: int, common: int) -> np.ndarray:
@@ -379,11 +418,13 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     only: frozenset[int] | None = None
     classes = edges = None
     while True:
-        sent = d.mapInArrow(lambda it, f=dict(finer), o=only: _sketch(it, parts, max(1, parts // 2), f, o), _SKETCH)
-        told = sent.repartition(parts, "k").mapInArrow(lambda it: _groups(it, parts), _SKETCH)
-        rows = cut(told.repartition(parts, "k").mapInArrow(_live, _SKETCH).drop("blob", "hubs", "total", "shared"))
-        own = rows.filter("k <> -1").select("ord", "a1", "a2", F.col("n").alias("n_shingles"), F.col("band").alias("poor"))
-        found = rows.filter("k = -1").select(F.col("ord").alias("h"), "a1", "a2")
+        sent = cut(d.mapInArrow(lambda it, f=dict(finer), o=only: _sketch(it, parts, 2 * parts, f, o), _SKETCH))
+        own = sent.filter("blob IS NULL").select("ord", "a1", "a2", F.col("n").alias("n_shingles"), F.col("band").alias("poor"))
+        # totals of each distinct set once, whatever the number of its copies; copies and documents stay out of the shuffles by bucket
+        distinct = sent.filter("blob IS NULL AND total + shared > 0").groupBy("k", "a1", "a2", "n").agg(F.max("total").alias("total"), F.max("shared").alias("shared"))
+        at_hand = lambda x: x.repartition(parts, "k").sortWithinPartitions("k")
+        told = at_hand(sent.filter("blob IS NOT NULL")).mapInArrow(lambda it: _groups(it, parts), _SKETCH)
+        found = cut(at_hand(told.unionByName(distinct, allowMissingColumns=True)).mapInArrow(_live, _SKETCH).select(F.col("ord").alias("h"), "a1", "a2", "n"))
         classes, edges = (own, found) if classes is None else (classes, edges.union(found))
         poor = [r["poor"] for r in own.filter("poor IS NOT NULL").select("poor").distinct().collect()]  # bands
         if not poor:
@@ -392,11 +433,13 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         only = frozenset(poor)
     edges = edges.distinct()
     least = classes.filter("n_shingles > 0").groupBy("a1", "a2").agg(F.min("ord").alias("ord"))
-    hubs = edges.groupBy("h").agg(F.count("*").alias("leaves"))
-    hub_sets = hubs.join(least, F.col("h") == F.col("a1")).select("h", "a1", "a2", "leaves")
-    blocks = F.ceil(F.col("leaves") / BLOCK).cast("int")
-    dealt = edges.join(hubs, "h").select("h", F.pmod(F.xxhash64("a1", "a2"), blocks).cast("int").alias("block"), "a1", "a2", "leaves")
-    with_hub = hub_sets.select("h", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "a1", "a2", "leaves")
+    # sets a block: BLOCK at most, and fewer where they are long (sets of one hub have sizes of one band)
+    fits = F.greatest(F.lit(2), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_SHINGLES) / F.max("n")))).cast("int")
+    hubs = edges.groupBy("h").agg(F.count("*").alias("leaves"), fits.alias("fits"))
+    hub_sets = hubs.join(least, F.col("h") == F.col("a1")).select("h", "a1", "a2", "leaves", "fits")
+    blocks = F.ceil(F.col("leaves") / F.col("fits")).cast("int")
+    dealt = edges.join(hubs, "h").select("h", F.pmod(F.xxhash64("a1", "a2"), blocks).cast("int").alias("block"), "a1", "a2", "leaves", "fits")
+    with_hub = hub_sets.select("h", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "a1", "a2", "leaves", "fits")
     members = cut(dealt.union(with_hub).distinct())
     wanted = cut(members.select("a1", "a2").distinct().join(least, ["a1", "a2"]))
     n_members, n_wanted = members.count(), wanted.count()
@@ -404,13 +447,13 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     placed = _with_sets(sets, members.select("h", "block", "a1", "a2"), n_members).withColumn("old", F.lit(False))
     links = cut(placed.groupBy("h", "block").applyInArrow(_verify, _LINKS))
     labels = least_labels(links)
-    wide = members.filter(F.col("leaves") > BLOCK).select("h", "a1", "a2").distinct()
+    wide = members.filter(F.col("leaves") > F.col("fits")).select("h", "fits", "a1", "a2").distinct()
     if not wide.isEmpty():  # hubs of several blocks: across blocks, where components still differ
-        label = cut(wide.join(labels, ["a1", "a2"], "left").select("h", "a1", "a2", F.coalesce("l1", "a1").alias("l1"), F.coalesce("l2", "a2").alias("l2")))
-        per = label.groupBy("h", "l1", "l2").agg(F.count("*").alias("c"))
-        main = per.groupBy("h").agg(F.max(F.struct("c", "l1", "l2")).alias("m"), F.sum("c").alias("all"))
-        main = main.select("h", F.col("m.l1").alias("m1"), F.col("m.l2").alias("m2"), F.ceil(F.col("m.c") / BLOCK).cast("int").alias("ob"), F.ceil((F.col("all") - F.col("m.c")) / BLOCK).cast("int").alias("xb"))
-        told = label.join(main.filter("xb > 0"), "h").withColumn("old", (F.col("l1") == F.col("m1")) & (F.col("l2") == F.col("m2")))
+        label = cut(wide.join(labels, ["a1", "a2"], "left").select("h", "fits", "a1", "a2", F.coalesce("l1", "a1").alias("l1"), F.coalesce("l2", "a2").alias("l2")))
+        per = label.groupBy("h", "fits", "l1", "l2").agg(F.count("*").alias("c"))
+        main = per.groupBy("h", "fits").agg(F.max(F.struct("c", "l1", "l2")).alias("m"), F.sum("c").alias("all"))
+        main = main.select("h", F.col("m.l1").alias("m1"), F.col("m.l2").alias("m2"), F.ceil(F.col("m.c") / F.col("fits")).cast("int").alias("ob"), F.ceil((F.col("all") - F.col("m.c")) / F.col("fits")).cast("int").alias("xb"))
+        told = label.drop("fits").join(main.filter("xb > 0"), "h").withColumn("old", (F.col("l1") == F.col("m1")) & (F.col("l2") == F.col("m2")))
         told = told.withColumn("place", F.pmod(F.xxhash64("a1", "a2"), F.when(F.col("old"), F.col("ob")).otherwise(F.col("xb"))).cast("int"))
         # the main component's blocks each meet every block of the others; those also meet each other
         with_main = told.filter("old").select("h", F.col("place").alias("i"), F.explode(F.sequence(F.lit(0), F.col("xb") - 1)).alias("j"), "a1", "a2", "old")

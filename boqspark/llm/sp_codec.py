@@ -21,11 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, small_batches, table
+from .common import Memo, kept, small_batches, table
 
 BAR = "▁"
 _CHUNKS = re.compile(f"{BAR}*[^{BAR}\n]+|{BAR}+|\n")
-_ENCODERS: dict[str, "PrefixTableEncoder"] = {}
 
 
 class PrefixTableEncoder:
@@ -155,9 +154,7 @@ class PrefixTableEncoder:
 
 
 def encoder(model_file: str) -> PrefixTableEncoder:
-    if model_file not in _ENCODERS:
-        _ENCODERS[model_file] = PrefixTableEncoder(model_file)
-    return _ENCODERS[model_file]
+    return kept(f"pieces {model_file}", lambda: PrefixTableEncoder(model_file))
 
 
 def encode_decode(docs: DataFrame, model_file: str, key: str = "doc_id", text: str = "text") -> DataFrame:

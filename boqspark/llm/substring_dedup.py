@@ -29,28 +29,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, cut, small_batches, table
+from .common import cut, small_batches, table, word_hashes
 from .fm_index import FMIndex
 
 WINDOW, GRAM = 20, 10
 HOT_TEXTS, HOT_LISTS, SHARD_WORDS, BROADCAST_ROWS = 50_000, 10_000, 1_500_000, 1_000_000
 FIRST_ID = -(1 << 63)
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-_hashes: Memo | None = None
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    import xxhash
-
-    global _hashes
-    if _hashes is None:
-        _hashes = Memo(xxhash.xxh64_intdigest, cap=400_000)
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words))
 
 
 def anchors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Place and value of the anchor of each window of the text."""
-    h = word_hashes(words)
+    h = hashes_of(words)
     n = len(h) - GRAM + 1
     g = np.zeros(n, np.uint64)
     for j in range(GRAM):

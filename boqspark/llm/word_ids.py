@@ -13,12 +13,11 @@ from array import array
 
 import numpy as np
 
-from .common import one_thread
+from .common import kept, one_thread
 
 #: White space other than the space and the line end, in any reading of the term.
 _CODES = [*range(0x09, 0x0A), *range(0x0B, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]
 _ODD = re.compile("[" + "".join(map(chr, _CODES)) + "]")
-_READERS: dict[str, "WordIds"] = {}
 
 
 class OddSpace(Exception):
@@ -151,6 +150,4 @@ class WordIds:
 
 
 def word_ids(file: str) -> WordIds:
-    if file not in _READERS:
-        _READERS[file] = WordIds(file)
-    return _READERS[file]
+    return kept(f"words {file}", lambda: WordIds(file))
