@@ -27,7 +27,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, small_batches, table, word_hashes
@@ -35,6 +36,10 @@ from .common import cut, small_batches, table, word_hashes
 SHINGLE, BLOCK, SMALL_BAND, BAND_RATIO, PER_SEGMENT = 5, 768, 200, 3, 2.2
 #: Signatures that a task holds before it sends them, and shingles that one block of sets to be compared may hold.
 RUN, BLOCK_SHINGLES = 2_000_000, 1_000_000
+#: Signatures of a bucket that are unpacked at a time.
+OPEN = 500_000
+#: A key with more rows than this, and more than the BROADCAST_ROWS-th part of all, is joined by broadcast: there are BROADCAST_ROWS of them at most.
+HOT = 1000
 BROADCAST_ROWS = 1_000_000
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _EDGES = np.array([1 * BAND_RATIO**i for i in range(36)], np.int64)
@@ -129,8 +134,8 @@ class _Run:
         if not self.a1:
             return
         value = np.concatenate(self.values)
-        bucket = ((value >> np.uint64(33)) % np.uint64(buckets)).astype(np.uint32)
-        by = np.argsort(bucket, kind="stable")
+        bucket = ((value >> np.uint64(33)) % np.uint64(buckets)).astype(np.uint64)
+        by = np.argsort(bucket << np.uint64(32) | value & np.uint64(0xFFFFFFFF), kind="stable")  # within a bucket by value
         value = value[by].astype(np.uint32)
         owner, kind = np.concatenate(self.owners)[by], np.concatenate(self.kinds)[by]
         edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
@@ -145,13 +150,11 @@ class _Run:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], parts: int, buckets: int, finer: dict[int, int], only: frozenset[int] | None) -> Iterator[pa.RecordBatch]:
-    """Rows in: ord, text. Out: a row per document (name and size of its set) and the signatures, packed by bucket.
-
-    A set met again in the same run of a task is not sketched again and has totals of 0.
-    """
-    run = _Run()
+    """Rows in: ord, text. Out: a row per document (name and size of its set; spread evenly by `k`), a row per distinct set
+    of a run (with totals, by the task of the set), and the signatures, packed by bucket."""
+    run, n_rows = _Run(), TaskContext.get().partitionId() if TaskContext.get() else 0
     for b in batches:
-        rows = []
+        rows, sets = [], []
         for o, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             s = shingles(text)
             a1, a2 = name_of(s)
@@ -167,13 +170,18 @@ def _sketch(batches: Iterator[pa.RecordBatch], parts: int, buckets: int, finer:
                         poor = band
                     counts[band - own[0]] = len(whole)
                     run.add(a1, band, whole, less)
+                sets.append((a1, a2, len(s), *counts))
                 if run.size > RUN:
                     yield from run.packed(buckets)
                     run = _Run()
-            rows.append((o, a1, a2, len(s), poor, *counts))
+            rows.append((o, a1, a2, len(s), poor))
         if rows:
-            o, a1, a2, n, poor, total, upper = zip(*rows, strict=True)
-            yield _batch(len(rows), k=_task(np.array(a1, np.int64), parts), a1=a1, a2=a2, ord=o, n=n, band=poor, total=total, shared=upper)
+            o, a1, a2, n, poor = zip(*rows, strict=True)
+            yield _batch(len(rows), k=(n_rows + np.arange(len(rows))) % parts, a1=a1, a2=a2, ord=o, n=n, band=poor)
+            n_rows += len(rows)
+        if sets:
+            a1, a2, n, total, upper = zip(*sets, strict=True)
+            yield _batch(len(sets), k=_task(np.array(a1, np.int64), parts), a1=a1, a2=a2, n=n, total=total, shared=upper)
     yield from run.packed(buckets)
 
 
@@ -195,68 +203,77 @@ def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]
 
 
 def _groups(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Rows of buckets in, sorted by bucket; out: what each set shares in a bucket and the hubs of those groups, packed for the task of the set."""
+    """Rows of buckets in, sorted by bucket; out: what each set shares in a bucket and the hubs of those groups, packed for the task of the set. Other rows pass."""
     for _, rows in _by_key(batches):
-        yield from _group(rows.column("blob").to_pylist(), parts)
+        blobs = rows.column("blob").is_valid()
+        yield from rows.filter(pc.invert(blobs)).to_batches()
+        if packed := rows.filter(blobs).column("blob").to_pylist():
+            yield from _group(packed, parts)
 
 
 def _group(blobs: list[list[bytes]], parts: int) -> Iterator[pa.RecordBatch]:
+    """One bucket, as it was sent; unpacked in ranges of its values, so that only a bounded part of it is open at a time."""
     a1s = [np.frombuffer(blob[3], np.int64) for blob in blobs]
     shift = np.cumsum([0, *map(len, a1s)])
-    value = np.concatenate([np.frombuffer(blob[0], np.uint32) for blob in blobs])
-    owner = np.concatenate([np.frombuffer(blob[1], np.uint32 if len(a) > 65535 else np.uint16).astype(np.uint32) + np.uint32(s) for blob, a, s in zip(blobs, a1s, shift, strict=False)])
-    kind = np.concatenate([np.unpackbits(np.frombuffer(blob[2], np.uint8), count=len(blob[0]) // 4) for blob in blobs])
+    values = [np.frombuffer(blob[0], np.uint32) for blob in blobs]
     a1, band = np.concatenate(a1s), np.concatenate([np.frombuffer(blob[4], np.int8) for blob in blobs])
-    blobs.clear()
     # one number per set and band, in the order of names; a set that several runs sketched counts once
     order = np.lexsort((band, a1))
     fresh = np.r_[True, (a1[order][1:] != a1[order][:-1]) | (band[order][1:] != band[order][:-1])]
-    first = order[fresh]
     number = np.empty(len(a1), np.uint32)
     number[order] = np.cumsum(fresh) - 1
+    first = order[fresh]
     once = np.zeros(len(a1), bool)
     once[first] = True
-    if not fresh.all():
+    a1, band = a1[first], band[first]
+    steps = max(1, -(-sum(map(len, values)) // OPEN))
+    edges = [np.searchsorted(v, np.arange(steps + 1, dtype=np.uint64) * np.uint64(1 << 32) // np.uint64(steps)) for v in values]
+    shared = np.zeros(len(a1), np.int64)
+    found = []
+    for i in range(steps):
+        cuts = [slice(int(e[i]), int(e[i + 1])) for e in edges]
+        value = np.concatenate([v[c] for v, c in zip(values, cuts, strict=True)])
+        local = [np.frombuffer(blob[1], np.uint32 if len(a) > 65535 else np.uint16)[c].astype(np.uint32) + np.uint32(s) for blob, a, s, c in zip(blobs, a1s, shift, cuts, strict=False)]
+        owner = np.concatenate(local)
+        kind = np.concatenate([np.unpackbits(np.frombuffer(blob[2], np.uint8), count=len(v))[c] for blob, v, c in zip(blobs, values, cuts, strict=True)])
         mine = once[owner]
-        value, owner, kind = value[mine], owner[mine], kind[mine]
-    owner, a1, band = number[owner], a1[first], band[first]
-    order = np.lexsort((owner, band[owner], value))
-    value, owner, kind = value[order], owner[order], kind[order]
-    del order
-    heads = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (band[owner[1:]] != band[owner[:-1]])])
-    count = np.diff(np.r_[heads, len(value)])
-    keep = np.repeat(owner[heads] != owner[np.r_[heads[1:], len(owner)] - 1], count)  # at least two different sets
-    hub = np.repeat(owner[heads], count)[keep]
-    owner, kind = owner[keep], kind[keep]
-    if not len(owner):
+        value, owner, kind = value[mine], number[owner[mine]], kind[mine]
+        order = np.lexsort((owner, band[owner], value))
+        value, owner, kind = value[order], owner[order], kind[order]
+        if not len(value):
+            continue
+        heads = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (band[owner[1:]] != band[owner[:-1]])])
+        count = np.diff(np.r_[heads, len(value)])
+        keep = np.repeat(owner[heads] != owner[np.r_[heads[1:], len(owner)] - 1], count)  # at least two different sets
+        hub = np.repeat(owner[heads], count)[keep]
+        owner, kind = owner[keep], kind[keep]
+        shared += np.bincount(owner, weights=kind, minlength=len(a1)).astype(np.int64)
+        pairs, at = np.unique(owner.astype(np.int64) * (len(a1) + 1) + hub, return_inverse=True)
+        found.append((pairs, np.bincount(at.ravel(), weights=kind, minlength=len(pairs)).astype(np.int32)))  # whole segments with this hub
+    if not found:
         return
-    shared = np.bincount(owner, weights=kind, minlength=len(a1)).astype(np.int32)
-    pairs, at = np.unique(owner.astype(np.int64) * (len(a1) + 1) + hub, return_inverse=True)
-    weight = np.bincount(at.ravel(), weights=kind).astype(np.int32)  # whole segments with this hub
+    pairs, weight = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+    del found
     pair_owner, pair_hub = pairs // (len(a1) + 1), pairs % (len(a1) + 1)
-    n_hubs = np.bincount(pair_owner, minlength=len(a1)).astype(np.int32)
-    live = np.flatnonzero(n_hubs)
-    task = _task(a1[live], parts)
-    by = np.argsort(task, kind="stable")
-    live, task = live[by], task[by]
     pair_task = _task(a1[pair_owner], parts)
-    by = np.argsort(pair_task, kind="stable")
-    pair_task, pair_hub, weight = pair_task[by], pair_hub[by], weight[by]
-    for t in np.unique(task).tolist():
-        own = live[slice(*np.searchsorted(task, [t, t + 1]))]
+    by = np.lexsort((pair_owner, pair_task))
+    pair_owner, pair_hub, pair_task, weight = pair_owner[by], pair_hub[by], pair_task[by], weight[by]
+    for t in np.unique(pair_task).tolist():
         mine = slice(*np.searchsorted(pair_task, [t, t + 1]))
-        columns = [a1[own], band[own], shared[own], n_hubs[own], a1[pair_hub[mine]], weight[mine]]
+        own, n_hubs = np.unique(pair_owner[mine], return_counts=True)
+        columns = [a1[own], band[own], shared[own].astype(np.int32), n_hubs.astype(np.int32), a1[pair_hub[mine]], weight[mine]]
         yield _batch(1, k=[t], blob=[[c.tobytes() for c in columns]])
 
 
 def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets and their shares in, sorted by k; out: (hub, set) rows, the hub in `ord`, for sets that can have a partner."""
+    """Sets and their shares in, sorted by k; out: (hub, set) rows, k = -1 and the hub in `ord`, for sets that can have a partner. Document rows pass."""
     for _, rows in _by_key(batches):
-        blobs = rows.column("blob").is_valid()
-        sets = rows.filter(pc.invert(blobs))
-        packed = rows.filter(blobs).column("blob").to_pylist()
+        blobs, named = rows.column("blob").is_valid(), rows.column("total").is_valid()
+        yield from rows.filter(pc.invert(pc.or_(blobs, named))).to_batches()
+        sets, packed = rows.filter(named), rows.filter(blobs).column("blob").to_pylist()
         if packed and sets.num_rows:
-            yield from _live_sets(np.stack([sets.column(c).to_numpy().astype(np.int64) for c in ("a1", "a2", "n", "total", "shared")], axis=1), packed)
+            names = np.stack([sets.column(c).to_numpy().astype(np.int64) for c in ("a1", "a2", "n", "total", "shared")], axis=1)
+            yield from _live_sets(np.unique(names, axis=0), packed)
 
 
 def _live_sets(sets: np.ndarray, packed: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +310,7 @@ def _live_sets(sets: np.ndarray, packed: list[list[bytes]]) -> Iterator[pa.Recor
 
 def _edge_rows(edges: list[np.ndarray]) -> pa.RecordBatch:
     e = np.concatenate(edges)
-    return _batch(len(e), ord=e[:, 0], a1=e[:, 1], a2=e[:, 2], n=e[:, 3])
+    return _batch(len(e), k=np.full(len(e), -1), ord=e[:, 0], a1=e[:, 1], a2=e[:, 2], n=e[:, 3])
 
 
 def _needed(hubs: np.ndarray, weight: np.ndarray, own: int, common: int) -> np.ndarray:
@@ -364,6 +381,26 @@ def _verify(group: pa.Table) -> pa.Table:
     return pa.table({"x1": a1[x], "x2": a2[x], "y1": a1[y], "y2": a2[y]}, schema=pa.schema([(c, pa.int64()) for c in ("x1", "x2", "y1", "y2")]))
 
 
+def _with_hot(left: DataFrame, right: DataFrame, keys: list[str], count: str, rows: int, spread: Column) -> DataFrame:
+    """left left-joined with right (a row per key, `count`: rows of left with it; rows: all of them), split by how common a key is.
+
+    Keys of many rows are joined by broadcast: a key of more than `rows` / BROADCAST_ROWS rows is one of BROADCAST_ROWS at
+    most. The others are joined by shuffle, in which rows that are done are spread by `spread` under keys of their own.
+    """
+    hot = F.col(count) > max(HOT, rows // BROADCAST_ROWS)
+    values = [c for c in right.columns if c not in (*keys, count)]
+    few = right.filter(hot).select(*[F.col(k).alias(f"_h_{k}") for k in keys], *[F.col(c).alias(f"_h{c}") for c in values])
+    many = right.filter(~hot).select(*[F.col(k).alias(f"_c_{k}") for k in keys], *values)
+    j = left.join(F.broadcast(few), [F.col(k) == F.col(f"_h_{k}") for k in keys], "left")
+    done = F.col(f"_h_{keys[0]}").isNotNull()
+    kind = left.schema[keys[0]].dataType
+    away = F.xxhash64(spread) if kind.simpleString() == "bigint" else F.struct(*[F.xxhash64(F.lit(i), spread).alias(f.name) for i, f in enumerate(kind.fields)])
+    j = j.withColumn("_dealt", F.when(done, away).otherwise(F.col(keys[0])))
+    j = j.join(many, [F.col("_dealt") == F.col(f"_c_{keys[0]}"), *[F.col(k) == F.col(f"_c_{k}") for k in keys[1:]]], "left")
+    out = [F.when(done, F.col(f"_h{c}")).otherwise(F.col(c)).alias(c) for c in values]
+    return j.select(*left.columns, *out)
+
+
 _LINKS = "x1 long, x2 long, y1 long, y2 long"
 
 
@@ -372,19 +409,21 @@ def least_labels(links: DataFrame) -> DataFrame:
     at = lambda a, b, c: F.struct(F.col(a).alias("p"), F.col(b).alias("q")).alias(c)
     edges = links.select(at("x1", "x2", "u"), at("y1", "y2", "v")).filter("u <> v")
     edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
+    before, n = None, edges.count()
     while True:  # each node hangs on to the least neighbour; large star, then small star
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = edges.select(F.col("v").alias("u"), F.col("u").alias("w")).union(edges.select("u", F.col("v").alias("w"))).join(low, "u")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c"))
+        around = edges.select(F.col("v").alias("u"), F.col("u").alias("w")).union(edges.select("u", F.col("v").alias("w")))
+        large = _with_hot(around, low, ["u"], "c", 2 * n, F.col("w"))
         large = large.filter(F.col("w") > F.col("u")).select(F.col("w").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_low.select("u", F.col("m").alias("v")))
+        small_low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+        small = _with_hot(large, small_low, ["u"], "c", 2 * n, F.col("v"))
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_low.select("u", F.col("m").alias("v")))
         edges = cut(small.filter("u > v").distinct())
-        now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
-        if now == before:
+        n, check = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
+        if (n, check) == before:
             break
-        before = now
+        before = (n, check)
     return edges.select(F.col("u.p").alias("a1"), F.col("u.q").alias("a2"), F.col("v.p").alias("l1"), F.col("v.q").alias("l2"))
 
 
@@ -409,7 +448,7 @@ def _with_sets(sets: DataFrame, members: DataFrame, n: int) -> DataFrame:
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """ord (the key), n_shingles, l1, l2 (name of the component), a row per document."""
+    """ord (the key), n_shingles, component_id: the least key of the component; a document without shingles is its own. A row per document."""
     spark = docs.sparkSession
     small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -418,13 +457,12 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     only: frozenset[int] | None = None
     classes = edges = None
     while True:
-        sent = cut(d.mapInArrow(lambda it, f=dict(finer), o=only: _sketch(it, parts, 2 * parts, f, o), _SKETCH))
-        own = sent.filter("blob IS NULL").select("ord", "a1", "a2", F.col("n").alias("n_shingles"), F.col("band").alias("poor"))
-        # totals of each distinct set once, whatever the number of its copies; copies and documents stay out of the shuffles by bucket
-        distinct = sent.filter("blob IS NULL AND total + shared > 0").groupBy("k", "a1", "a2", "n").agg(F.max("total").alias("total"), F.max("shared").alias("shared"))
         at_hand = lambda x: x.repartition(parts, "k").sortWithinPartitions("k")
-        told = at_hand(sent.filter("blob IS NOT NULL")).mapInArrow(lambda it: _groups(it, parts), _SKETCH)
-        found = cut(at_hand(told.unionByName(distinct, allowMissingColumns=True)).mapInArrow(_live, _SKETCH).select(F.col("ord").alias("h"), "a1", "a2", "n"))
+        sent = d.mapInArrow(lambda it, f=dict(finer), o=only: _sketch(it, parts, max(1, parts // 2), f, o), _SKETCH)
+        told = at_hand(sent).mapInArrow(lambda it: _groups(it, parts), _SKETCH)
+        rows = cut(at_hand(told).mapInArrow(_live, _SKETCH).drop("blob", "total", "shared"))
+        own = rows.filter("k <> -1").select("ord", "a1", "a2", F.col("n").alias("n_shingles"), F.col("band").alias("poor"))
+        found = rows.filter("k = -1").select(F.col("ord").alias("h"), "a1", "a2", "n")
         classes, edges = (own, found) if classes is None else (classes, edges.union(found))
         poor = [r["poor"] for r in own.filter("poor IS NOT NULL").select("poor").distinct().collect()]  # bands
         if not poor:
@@ -463,22 +501,24 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         again = cut(with_main.union(others).union(among))
         placed = _with_sets(sets, again, again.count())
         labels = least_labels(links.union(placed.groupBy("h", "i", "j").applyInArrow(_verify, _LINKS)))
-    out = classes.join(labels, ["a1", "a2"], "left")
-    return out.select("ord", "n_shingles", "a1", "a2", F.coalesce("l1", "a1").alias("l1"), F.coalesce("l2", "a2").alias("l2"))
-
-
-def with_component_ids(found: DataFrame) -> DataFrame:
-    """ord, n_shingles, component_id: the least key of the component; a document without shingles is its own."""
-    least = found.filter("n_shingles > 0").groupBy("l1", "l2").agg(F.min("ord").alias("least"))
-    out = found.join(least, ["l1", "l2"], "left")
-    return out.select("ord", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("ord")).alias("component_id"))
+    # component of each class with a label or with copies; the documents of all others are their own
+    sizes = classes.filter("n_shingles > 0").groupBy("a1", "a2").agg(F.min("ord").alias("least"), F.count("*").alias("c"))
+    labels = labels.unionByName(labels.select(F.col("l1").alias("a1"), F.col("l2").alias("a2"), "l1", "l2").distinct())
+    grouped = sizes.join(labels, ["a1", "a2"], "left").filter("c > 1 OR l1 IS NOT NULL")
+    grouped = cut(grouped.select("a1", "a2", "least", "c", F.coalesce("l1", "a1").alias("l1"), F.coalesce("l2", "a2").alias("l2")))
+    heads = grouped.groupBy("l1", "l2").agg(F.min("least").alias("component"), F.count("*").alias("members"))
+    placed = _with_hot(grouped, heads, ["l1", "l2"], "members", grouped.count(), F.xxhash64("a1", "a2")).select("a1", "a2", "c", "component")
+    some = F.col("n_shingles") > 0  # documents without shingles have one name and no class
+    named = classes.select("ord", "n_shingles", F.when(some, F.col("a1")).otherwise(F.xxhash64("ord")).alias("a1"), "a2")
+    out = _with_hot(named, placed, ["a1", "a2"], "c", classes.count(), F.col("ord"))
+    return out.select("ord", "n_shingles", F.when(some, F.coalesce("component", "ord")).otherwise(F.col("ord")).alias("component_id"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_component_ids(components(table(spark, sf_dir, "documents"))).withColumnRenamed("ord", "doc_id")
+    return components(table(spark, sf_dir, "documents")).withColumnRenamed("ord", "doc_id")
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the document of least id of each component stays, as do documents without shingles."""
-    ids = with_component_ids(components(docs)).filter(F.col("component_id").eqNullSafe(F.col("ord"))).select(F.col("ord").alias("_kept")).distinct()
+    ids = components(docs).filter(F.col("component_id").eqNullSafe(F.col("ord"))).select(F.col("ord").alias("_kept")).distinct()
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept"]), "left_semi")
