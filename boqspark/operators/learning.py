@@ -1,85 +1,266 @@
-"""Learning from confirmations: rolling hit rates, drift, queues by uncertainty, and per-category algorithm weights."""
+"""Learning from confirmations: rolling hit rates, drift, queues by uncertainty, and per-category algorithm weights.
+
+A confirmation is a row with, for each algorithm, its first candidate's id and score and where the confirmed id stood
+among its candidates (`signals` makes the columns). The weights of a category are one sequence by nature: its rows
+stream through one task in order, with a small state. Everything else is a window or an aggregate.
+"""
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WINDOW, DRIFT_FROM, DRIFT_BELOW = 50, 25, 0.5
 ALGORITHMS = ("edit", "tfidf", "vector")
-LOW, HIGH, EMA = 0.05, 0.85, 0.3
+# Start, bounds and smoothing of the weights; steps by phase; strategies (step, smoothing); windows of drift and fusion.
+START, LOW, HIGH, EMA = (0.3, 0.35, 0.35), 0.05, 0.85, 0.3
+BASE_RATE, LEAST_RATE, MOST_RATE, PHASES = 0.1, 0.02, 0.25, ((100, 1.5), (500, 1.0), (None, 0.5))
+STRATEGIES = (("fast", 1.5, 0.5), ("balanced", 1.0, 0.3), ("stable", 0.5, 0.15))
+FUSION_START, FUSION_WINDOW = 0.7, 20
+WINDOW, DRIFT_FROM, DRIFT_BELOW, NEW_BELOW = 50, 25, 0.5, 5
+UNSURE_HIGH, UNSURE_MEDIUM = 0.6, 0.3
+#: Halves go up when scores are rounded, whatever the order of the additions.
+_HALF = 1e-9
+
 
+# --- rolling windows ---
 
-def hit_rates(events: DataFrame, window: int = WINDOW) -> DataFrame:
-    """events: category, ts, id, hit (0/1) -> with the hit rate of the last confirmations of the category, and how many there are."""
-    w = Window.partitionBy("category").orderBy("ts", "id").rowsBetween(1 - window, 0)
-    return events.withColumns({"rate": F.avg("hit").over(w), "seen": F.count("*").over(w)})
+
+def hit_rates(events: DataFrame, window: int = WINDOW, chunk: int = 100_000) -> DataFrame:
+    """events: category, ts, id, hit (0/1) -> with the hit rate of the last confirmations of the category, and how many there are.
+
+    A category is not one task: its rows are numbered from counts by day, and cut into chunks that begin with the last
+    window - 1 rows of the chunk before.
+    """
+    rows = events.withColumn("_day", F.date_trunc("day", "ts"))
+    days = rows.groupBy("category", "_day").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("category").orderBy("_day"))
+    days = days.select(F.col("category").alias("_c"), F.col("_day").alias("_d"), (upto - F.col("_n")).alias("_before"))
+    rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy("category", "_day").orderBy("ts", "id")) - 1)
+    rows = rows.join(days, F.col("category").eqNullSafe(F.col("_c")) & F.col("_day").eqNullSafe(F.col("_d"))).withColumn("_at", F.col("_at") + F.col("_before"))
+    own = F.floor(F.col("_at") / chunk)
+    place = lambda k, extra: F.struct(k.alias("_chunk"), F.lit(extra).alias("_extra"))
+    tail = F.col("_at") - own * chunk >= chunk - (window - 1)
+    rows = rows.select("*", F.inline(F.when(tail, F.array(place(own, False), place(own + 1, True))).otherwise(F.array(place(own, False)))))
+    w = Window.partitionBy("category", "_chunk").orderBy("_at").rowsBetween(1 - window, 0)
+    return rows.withColumns({"rate": F.avg("hit").over(w), "seen": F.count("*").over(w)}).filter("NOT _extra").select(*events.columns, "rate", "seen")
 
 
 def drift(rated: DataFrame) -> DataFrame:
     return rated.withColumn("drift", (F.col("seen") >= DRIFT_FROM) & (F.col("rate") < DRIFT_BELOW))
 
 
-def queue(items: DataFrame) -> DataFrame:
-    """items: id, category, uncertainty, length -> priority: uncertainty, first of a category, short texts first."""
-    first = F.row_number().over(Window.partitionBy("category").orderBy("id")) == 1
-    term = 0.1 * F.greatest(F.lit(0.0), 1 - F.col("length") / 100)
-    return items.withColumn("priority", F.round(0.7 * F.col("uncertainty") + F.when(first, 0.2).otherwise(0.0) + term, 6))
+def surges(events: DataFrame, stream: str, window: int = WINDOW) -> DataFrame:
+    """events: stream, category, ts, id -> n_seen, n_categories, n_new and surge: at least half of the categories among the
+    last confirmations of the stream have had fewer than five confirmations in it so far."""
+    w = Window.partitionBy(stream).orderBy("ts", "id").rowsBetween(1 - window, 0)
+    so_far = F.count("*").over(Window.partitionBy(stream, "category").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = events.withColumn("_n", so_far).withColumn("_last", F.collect_list(F.struct("category", "_n")).over(w))
+    kinds = F.array_distinct(F.transform("_last", lambda x: x["category"]))
+    count = lambda k: F.array_max(F.transform(F.filter("_last", lambda x: x["category"].eqNullSafe(k)), lambda x: x["_n"]))
+    rows = rows.withColumns({"n_seen": F.size("_last"), "n_categories": F.size(kinds), "n_new": F.size(F.filter(kinds, lambda k: count(k) < NEW_BELOW))})
+    return rows.withColumn("surge", (F.col("n_seen") >= DRIFT_FROM) & (F.col("n_new") >= 0.5 * F.col("n_categories"))).drop("_n", "_last")
 
 
-def uncertainty_level(c: Column) -> Column:
-    return F.when(c >= 0.6, "high").when(c >= 0.3, "medium").otherwise("low")
+# --- uncertainty ---
 
 
 def info_quality(ids: Column, scores: Column) -> Column:
-    """Disagreement of the algorithms' first candidates, and how close their scores are; low if they agree or are few."""
-    n, distinct = F.size(ids), F.size(F.array_distinct(ids))
-    mean = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / n
-    var = F.aggregate(scores, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n
-    value = 0.6 * (distinct - 1) / F.greatest(n - 1, F.lit(1)) + 0.4 * (1 - F.least(F.lit(1.0), var / 100))
+    """Disagreement of the algorithms' first candidates (null: none) and how close their scores are; low if they agree or are few."""
+    known, real = F.filter(ids, lambda x: x.isNotNull()), F.filter(scores, lambda x: x > 0)
+    n, distinct = F.size(known), F.size(F.array_distinct(known))
+    mean = F.aggregate(real, F.lit(0.0), lambda a, x: a + x) / F.size(real)
+    var = F.aggregate(real, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size(real)
+    close = F.when(F.size(real) >= 2, 1 - F.least(F.lit(1.0), var / 100)).otherwise(0.5)
+    value = 0.6 * (distinct - 1) / F.greatest(n - 1, F.lit(1)) + 0.4 * close
     return F.when(n < 2, 0.3).when(distinct == 1, F.least(F.lit(0.4), value)).otherwise(value)
 
 
+def uncertainty(ids: Column, first: Column, second: Column) -> Column:
+    """0 to 1 from the algorithms' first ids, first and second scores: disagreement, low scores, small gaps, few algorithms."""
+    known, real = F.filter(ids, lambda x: x.isNotNull()), F.filter(first, lambda x: x > 0)
+    mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.size(xs)
+    gaps = F.transform(F.filter(F.arrays_zip(first.alias("a"), second.alias("b")), lambda p: (p["a"] > 0) & (p["b"] > 0)), lambda p: p["a"] - p["b"])
+    apart = F.when(F.size(known) >= 2, 0.35 * F.size(F.array_distinct(known)) / F.size(known)).otherwise(0.0)
+    weak = F.when(F.size(real) > 0, 0.25 * F.greatest(F.lit(0.0), 1 - mean(real) / 90)).otherwise(0.0)
+    near = F.when(F.size(gaps) > 0, 0.25 * F.greatest(F.lit(0.0), 1 - mean(gaps) / 15)).otherwise(0.0)
+    few = F.when(F.size(real) < 3, 0.15 * (1 - F.size(real) / 3)).otherwise(0.0)
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), apart + weak + near + few)) + _HALF, 4)
+
+
+def uncertainty_level(c: Column) -> Column:
+    return F.when(c >= UNSURE_HIGH, "high").when(c >= UNSURE_MEDIUM, "medium").otherwise("low")
+
+
+def queue(items: DataFrame) -> DataFrame:
+    """items: id, category, uncertainty, length (of name and spec) -> priority: uncertainty, the first of a category, longer texts first."""
+    first = F.row_number().over(Window.partitionBy("category").orderBy("id")) == 1
+    term = 0.1 * F.least(F.lit(1.0), F.col("length") / 50)
+    return items.withColumn("priority", F.round(0.7 * F.col("uncertainty") + F.when(first, 0.2).otherwise(0.0) + term + _HALF, 4))
+
+
+# --- weights ---
+
+
+def category_of(path: Column) -> Column:
+    """The first two parts of a category path."""
+    return F.when(F.coalesce(path, F.lit("")) == "", "_default").otherwise(F.array_join(F.slice(F.split(path, "/"), 1, 2), "/"))
+
+
+def rank_of(confirmed: Column, candidates: Column) -> Column:
+    """Place of the confirmed id among candidates, from 0; -1 if it is not there."""
+    return F.coalesce(F.array_position(candidates, confirmed) - 1, F.lit(-1))
+
+
+def signals(confirmations: DataFrame) -> DataFrame:
+    """confirmations: confirmed_id, path and per algorithm a: a_id, a_score, a_candidates -> category, a_hit, a_rank, a_score, quality."""
+    out = {"category": category_of(F.col("path"))}
+    for a in ALGORITHMS:
+        out |= {f"{a}_hit": F.coalesce((F.col(f"{a}_id") == F.col("confirmed_id")).cast("int"), F.lit(0)), f"{a}_rank": rank_of(F.col("confirmed_id"), F.col(f"{a}_candidates")).cast("int")}
+    out["quality"] = info_quality(F.array(*[F.col(f"{a}_id") for a in ALGORITHMS]), F.array(*[F.col(f"{a}_score").cast("double") for a in ALGORITHMS]))
+    return confirmations.withColumns(out)
+
+
+def _unit(values: list[float]) -> list[float]:
+    total = sum(values)
+    return [round(v / total, 4) for v in values] if total > 0 else values
+
+
 class Weights:
-    """Weights of one category; one confirmation at a time, in order."""
+    """State of one category; one event at a time, in order. Weights sum to one after each, in four decimals."""
 
-    def __init__(self, values=None, n: int = 0):
-        self.values, self.n = list(values or [1 / len(ALGORITHMS)] * len(ALGORITHMS)), n
+    def __init__(self, state: tuple | None = None):
+        if state is None:
+            state = (list(START), 0, 0, list(START) * len(STRATEGIES), [], [], FUSION_START)
+        values, self.n, self.n_rejected, flat, hits, own, self.fusion = state
+        self.values = list(values)
+        self.strategies = [list(flat[i : i + 3]) for i in range(0, len(flat), 3)]
+        self.hits = deque(hits, FUSION_WINDOW)  # whether any algorithm hit
+        self.own = deque(own, WINDOW)  # for each strategy a bit: whether the algorithm that it weights most hit
 
-    def rate(self) -> float:
-        return 0.25 if self.n < 100 else 0.1 if self.n < 500 else 0.02
+    def state(self) -> tuple:
+        return (self.values, self.n, self.n_rejected, [v for s in self.strategies for v in s], list(self.hits), list(self.own), self.fusion)
 
-    def confirm(self, hits: list[bool]) -> None:
-        """Algorithms whose first candidate was confirmed gain, the others lose; smoothed, bounded, summing to one."""
-        step = self.rate()
-        aim = [v + step if h else v - step for v, h in zip(self.values, hits, strict=True)]
-        aim = [min(HIGH, max(LOW, (1 - EMA) * v + EMA * a)) for v, a in zip(self.values, aim, strict=True)]
-        self.values, self.n = [a / sum(aim) for a in aim], self.n + 1
+    def rate(self, quality: float) -> float:
+        phase = next(m for upto, m in PHASES if upto is None or self.n < upto)
+        return max(LEAST_RATE, min(MOST_RATE, BASE_RATE * phase * (1 + quality)))
 
+    @staticmethod
+    def _moved(values: list[float], by: list[float], ema: float) -> list[float]:
+        aim = [max(LOW, min(HIGH, v + d)) for v, d in zip(values, by, strict=True)]
+        return _unit([ema * a + (1 - ema) * v for a, v in zip(aim, values, strict=True)])
 
-LEARNED = "category string, n long, edit double, tfidf double, vector double"
+    def confirm(self, hits: list[bool], ranks: list[int] | None = None, scores: list[float] | None = None, quality: float = 0.5) -> None:
+        """Algorithms whose first candidate was confirmed gain, more with a high score; others lose, most if the confirmed one stood high."""
+        ranks, scores = ranks or [-1] * len(hits), scores or [0.0] * len(hits)
+        self.n += 1
+        step = self.rate(quality)
+        change = [step * (1 + 0.3 * s / 100) if h else -step * (1 - 0.2 * r) if r >= 0 else -0.5 * step for h, r, s in zip(hits, ranks, scores, strict=True)]
+        self.values = self._moved(self.values, change, EMA)
+        bits = 0
+        for i, (_, faster, ema) in enumerate(STRATEGIES):
+            own = self.strategies[i]
+            bits |= bool(hits[own.index(max(own))]) << i
+            lr = BASE_RATE * faster * (1 + round(quality, 4))
+            self.strategies[i] = self._moved(own, [lr if h else -0.5 * lr for h in hits], ema)
+        self.own.append(bits)
+        self.hits.append(int(any(hits)))
+        if self.n >= FUSION_WINDOW:
+            self.fusion = 0.9 * self.fusion + 0.1 * (0.5 + 0.4 * sum(self.hits) / len(self.hits))
 
+    def reject(self, algorithm: int) -> None:
+        """A candidate of the algorithm was refused: it loses half a step."""
+        self.n_rejected += 1
+        self.values[algorithm] = max(LOW, self.values[algorithm] - 0.5 * self.rate(0.5))
+        self.values = _unit(self.values)
 
-def replay(events: DataFrame) -> DataFrame:
-    """events: category, ts, id, edit_hit, tfidf_hit, vector_hit -> final weights per category, replayed in order.
+    def best(self) -> int:
+        """The strategy with the highest rolling hit rate, the first of equals."""
+        rates = [sum(b >> i & 1 for b in self.own) for i in range(len(STRATEGIES))]
+        return rates.index(max(rates))
 
-    A category's confirmations are one sequence by nature; they stream through its task batch by batch.
-    """
+    def fused(self) -> list[float]:
+        """The best strategy by the fusion share, the others by equal parts of the rest."""
+        best, rest = self.best(), (1 - self.fusion) / (len(STRATEGIES) - 1)
+        return _unit([sum((self.fusion if i == best else rest) * s[a] for i, s in enumerate(self.strategies)) for a in range(len(ALGORITHMS))])
+
+
+LEARNED = "category string, n long, edit double, tfidf double, vector double, fused_edit double, fused_tfidf double, fused_vector double, fusion double, strategy string"
+_EACH = [f"{a}_{x}" for x in ("hit", "rank", "score") for a in ALGORITHMS]
+
+
+def event_columns(events: DataFrame) -> list[Column]:
+    """The columns that an event needs; ranks, scores, quality and the rejected algorithm (its place, null: a confirmation) may be missing."""
+    default = {"hit": 0, "rank": -1, "score": 0.0}
+    kind = {"hit": "int", "rank": "int", "score": "double"}
+    own = lambda c, d, t: (F.coalesce(F.col(c).cast(t), F.lit(d)) if c in events.columns else F.lit(d).cast(t)).alias(c)
+    each = [own(f"{a}_{x}", default[x], kind[x]) for x in default for a in ALGORITHMS]
+    rejected = (F.col("rejected").cast("int") if "rejected" in events.columns else F.lit(None).cast("int")).alias("rejected")
+    return [F.col("category"), *each, own("quality", 0.5, "double"), rejected]
+
+
+def apply_event(w: Weights, row: tuple) -> None:
+    """row: hits, ranks, scores of the algorithms, quality, rejected."""
+    if row[10] is not None and row[10] == row[10]:
+        w.reject(int(row[10]))
+    else:
+        w.confirm([bool(x) for x in row[:3]], [int(x) for x in row[3:6]], list(row[6:9]), row[9])
+
+
+def learned_row(category, w: Weights) -> tuple:
+    return (category, w.n, *w.values, *w.fused(), w.fusion, STRATEGIES[w.best()][0])
+
+
+def replay(events: DataFrame, each: bool = False) -> DataFrame:
+    """Weights per category after all its events (category, ts, id and `event_columns`), replayed in order; with each: after every event, with its id."""
     import pandas as pd
 
-    columns = [f"{a}_hit" for a in ALGORITHMS]
+    names = [x.split()[0] for x in LEARNED.split(", ")]
 
-    def run(batches):
+    def run(batches: Iterator) -> Iterator:
         state, category = Weights(), None
         for pdf in batches:
-            for row in pdf[["category", *columns]].itertuples(index=False):
-                if category is not None and row[0] != category:
-                    yield pd.DataFrame([(category, state.n, *state.values)], columns=["category", "n", *ALGORITHMS])
+            out = []
+            for row in pdf.itertuples(index=False):
+                if category is not None and row[1] != category:
+                    if not each:
+                        out.append(learned_row(category, state))
                     state = Weights()
-                category = row[0]
-                state.confirm([bool(x) for x in row[1:]])
-        if category is not None:
-            yield pd.DataFrame([(category, state.n, *state.values)], columns=["category", "n", *ALGORITHMS])
+                category = row[1]
+                apply_event(state, row[2:])
+                if each:
+                    out.append((row[0], *learned_row(category, state)))
+            if out:
+                yield pd.DataFrame(out, columns=["id", *names] if each else names)
+        if category is not None and not each:
+            yield pd.DataFrame([learned_row(category, state)], columns=names)
+
+    ordered = events.repartition("category").sortWithinPartitions("category", "ts", "id").select("id", *event_columns(events))
+    return ordered.mapInPandas(run, f"id long, {LEARNED}" if each else LEARNED)
+
+
+def weights_for(items: DataFrame, learned: DataFrame, overall: tuple[float, ...] = START) -> DataFrame:
+    """items (path) with w_<algorithm>: the category's from ten confirmations on, a blend with the overall ones below, these alone without any."""
+    own = learned.select(F.col("category").alias("_c"), F.col("n").alias("_n"), *[F.col(a).alias(f"_{a}") for a in ALGORITHMS])
+    j = items.join(F.broadcast(own), category_of(F.col("path")) == F.col("_c"), "left")
+    share = F.least(F.lit(0.5), F.col("_n") / 20)
+    use = lambda a, w: F.when(F.col("_n") >= 10, F.col(f"_{a}")).when(F.col("_n") > 0, F.round(share * F.col(f"_{a}") + (1 - share) * w, 4)).otherwise(w)
+    return j.withColumns({f"w_{a}": use(a, w) for a, w in zip(ALGORITHMS, overall, strict=True)}).drop("_c", "_n", *[f"_{a}" for a in ALGORITHMS])
+
+
+def stats(events: DataFrame) -> DataFrame:
+    """Per category: confirmations, rejections, those of high information, and each algorithm's hits of hits and rejections."""
+    e = events.select(*event_columns(events))
+    made = F.col("rejected").isNull()
+    rate = lambda i, a: F.round(F.coalesce(F.try_divide(F.sum(F.when(made, F.col(f"{a}_hit"))), F.sum(F.when(made, F.col(f"{a}_hit")).otherwise((F.col("rejected") == i).cast("int")))), F.lit(0.0)), 4)
+    return e.groupBy("category").agg(
+        F.count_if(made).alias("n_confirmed"), F.count_if(~made).alias("n_rejected"), F.count_if(made & (F.col("quality") > 0.6)).alias("n_high"), *[rate(i, a).alias(f"{a}_rate") for i, a in enumerate(ALGORITHMS)]
+    )
+
 
-    ordered = events.repartition("category").sortWithinPartitions("category", "ts", "id")
-    return ordered.select("category", *columns).mapInPandas(run, LEARNED)
+def trend(trajectory: DataFrame, last: int = 10) -> DataFrame:
+    """The last weights of each category, newest first; trajectory: `replay(each=True)` with the order columns ts, id."""
+    w = Window.partitionBy("category").orderBy(F.desc("ts"), F.desc("id"))
+    return trajectory.withColumn("back", F.row_number().over(w)).filter(F.col("back") <= last)

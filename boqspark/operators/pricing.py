@@ -1,4 +1,8 @@
-"""Price statistics over bills: rates in whole cents, one final division."""
+"""Price statistics over bills: rates in whole cents, one final division.
+
+Statistics of a group come from the counts of its distinct rates: rows are first added up by key and rate, so that a key
+with a large share of all rows is spread over its rates, and only the few distinct rates of a key meet in one task.
+"""
 
 from __future__ import annotations
 
@@ -8,14 +12,17 @@ from pyspark.sql import functions as F
 # Share of deviation from the average from which a price is an anomaly.
 THRESHOLDS = {"电线电缆": 0.90, "钢筋": 0.50, "水泥": 0.30, "混凝土": 0.30, "管道": 0.50, "配管配线": 0.50}
 DEFAULT_THRESHOLD, LEAST_SAMPLES, TRIM_FROM = 0.30, 3, 8
+DIMENSIONS = ["aggregate_id", "match_key_source", "province", "price_period"]
+RATE = "unit_rate_cents"
 
 
 def priced(df: DataFrame) -> DataFrame:
     """Lines that enter price history: active, completed, with a rate."""
-    return df.filter(F.col("active") & (F.col("data_source_type") == "completed") & F.col("unit_rate_cents").isNotNull())
+    return df.filter(F.col("active") & (F.col("data_source_type") == "completed") & F.col(RATE).isNotNull())
 
 
 def threshold(category: Column) -> Column:
+    """Share of deviation of a family; the default for others."""
     out = F.lit(DEFAULT_THRESHOLD)
     for name, share in THRESHOLDS.items():
         out = F.when(category == name, share).otherwise(out)
@@ -27,76 +34,103 @@ def weight() -> Column:
 
 
 def weighted_average() -> Column:
-    return F.sum(F.col("unit_rate_cents") * weight()) / F.sum(weight())
+    return F.coalesce(F.try_divide(F.sum(F.col(RATE) * weight()), F.sum(weight())), F.avg(RATE))
 
 
 def deviation_pct(rate: Column, average: Column) -> Column:
     return F.when(average == 0, 0.0).otherwise((rate - average) / average * 100)
 
 
-def is_anomaly(rate: Column, average: Column, n: Column, share=DEFAULT_THRESHOLD) -> Column:
-    return (n >= LEAST_SAMPLES) & (average != 0) & (F.abs(rate - average) > share * average)
+def is_anomaly(rate: Column, average: Column, n: Column, share: float | Column = DEFAULT_THRESHOLD) -> Column:
+    return (n >= LEAST_SAMPLES) & (average != 0) & (F.abs(rate - average) > share * F.abs(average))
+
+
+def rate_counts(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows (c) and weights (w) of each key and rate; a null rate has c = 0 and keeps its key."""
+    return df.groupBy(*keys, RATE).agg(F.count(RATE).alias("c"), F.sum(F.when(F.col(RATE).isNotNull(), weight())).alias("w"))
+
+
+def _average(kept: Column, own: Window) -> Column:
+    """Weighted average of the kept rates of a key; the plain one where the weights add up to nothing."""
+    total = lambda x: F.sum(F.when(kept, x)).over(own)
+    return F.coalesce(F.try_divide(total(F.col(RATE) * F.col("w")), total(F.col("w"))), F.try_divide(total(F.col(RATE) * F.col("c")), total(F.col("c"))))
 
 
 def group_prices(df: DataFrame, *keys: str, share: float = DEFAULT_THRESHOLD) -> DataFrame:
-    """Weighted average, least, greatest, count and anomalies against the own average, a row per key (null is a key)."""
-    stats = df.groupBy(*keys).agg(weighted_average().alias("avg_rate"), F.min("unit_rate_cents").alias("min_rate"), F.max("unit_rate_cents").alias("max_rate"), F.count("*").alias("n"))
-    # the small averages go back to the rates, so that no group has to fit one task
-    small = stats.select(*[F.col(k).alias(f"_{k}") for k in keys], "avg_rate", "n")
-    joined = df.join(small, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    odd = joined.groupBy(*[f"_{k}" for k in keys]).agg(F.count_if(is_anomaly(F.col("unit_rate_cents"), F.col("avg_rate"), F.col("n"), share)).alias("n_anomalies"))
-    return stats.join(odd, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).select(*keys, "avg_rate", "min_rate", "max_rate", "n", "n_anomalies")
+    """Weighted average, least, greatest, count and anomalies against the own average, a row per key (null is a key; no rates: zeros)."""
+    own = Window.partitionBy(*keys)
+    c = rate_counts(df, *keys).withColumns({"n": F.sum("c").over(own), "avg_rate": _average(F.col("c") > 0, own)})
+    odd = is_anomaly(F.col(RATE), F.col("avg_rate"), F.col("n"), share)
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    return c.groupBy(*keys).agg(
+        zero(F.first("avg_rate")).alias("avg_rate"), zero(F.min(RATE)).alias("min_rate"), zero(F.max(RATE)).alias("max_rate"),
+        F.first("n").alias("n"), zero(F.sum(F.when(odd, F.col("c")))).alias("n_anomalies"),
+    )
 
 
 def four_dimensions(df: DataFrame) -> DataFrame:
-    """Counts and averages by each of four keys in one pass of grouping sets; dim names the key, key its value."""
-    dims = ["aggregate_id", "match_key_source", "province", "price_period"]
-    df.select(*dims, "unit_rate_cents", "quantity").createOrReplaceTempView("_four_dimensions")
-    sets = ", ".join(f"({d})" for d in dims)
-    q = f"""SELECT {', '.join(dims)}, {', '.join(f'grouping({d}) AS g_{d}' for d in dims)}, count(*) AS n,
-      sum(unit_rate_cents * CASE WHEN coalesce(quantity, 0) = 0 THEN 1 ELSE quantity END) / sum(CASE WHEN coalesce(quantity, 0) = 0 THEN 1 ELSE quantity END) AS avg_rate,
-      min(unit_rate_cents) AS min_rate, max(unit_rate_cents) AS max_rate FROM _four_dimensions GROUP BY GROUPING SETS ({sets})"""
-    out = df.sparkSession.sql(q)
-    dim, key = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for d in dims:
-        dim, key = F.when(F.col(f"g_{d}") == 0, d).otherwise(dim), F.when(F.col(f"g_{d}") == 0, F.col(d).cast("string")).otherwise(key)
-    return out.select(dim.alias("dim"), key.alias("key"), "n", "avg_rate", "min_rate", "max_rate")
-
-
-def ranked(df: DataFrame, *keys: str) -> DataFrame:
-    """rn and n per group in the order of rate, id."""
+    """group_prices by each of four keys at once; dim names the key, key its value."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("key")) for d in DIMENSIONS])).alias("d"), RATE, "quantity")
+    return group_prices(long.select("d.dim", "d.key", RATE, "quantity"), "dim", "key")
+
+
+def _ranked(counts: DataFrame, *keys: str) -> DataFrame:
+    """Counts with n (rows of the key) and upto (rows of the key up to this rate), null rates left out."""
     w = Window.partitionBy(*keys)
-    return df.withColumns({"rn": F.row_number().over(w.orderBy("unit_rate_cents", "id")), "n": F.count("*").over(w)})
+    upto = F.sum("c").over(w.orderBy(RATE).rowsBetween(Window.unboundedPreceding, 0))
+    return counts.filter(F.col(RATE).isNotNull()).withColumns({"upto": upto, "n": F.sum("c").over(w)})
+
+
+def _at(place: Column, upto: Column, c: Column) -> Column:
+    """The rate, where it covers this place (from 0) of the sorted rows."""
+    return F.when((upto > place) & (upto - c <= place), F.col(RATE))
+
+
+def _quarter(i: int, n: Column) -> Column:
+    return F.floor(i * n / 4)
 
 
 def index_quantiles(df: DataFrame, *keys: str) -> DataFrame:
     """q1, q2, q3 at places n//4, n//2, 3n//4 of the sorted rates; groups under four rows have none."""
-    at = lambda num: F.max(F.when(F.col("rn") == F.floor(num * F.col("n") / 4) + 1, F.col("unit_rate_cents")))
-    return ranked(df, *keys).groupBy(*keys).agg(
-        F.max("n").alias("n"), *[F.when(F.max("n") >= 4, at(i)).alias(f"q{i}") for i in (1, 2, 3)]
-    )
+    r = _ranked(rate_counts(df, *keys), *keys)
+    at = lambda i: F.max(_at(_quarter(i, F.col("n")), F.col("upto"), F.col("c")))
+    return r.groupBy(*keys).agg(F.max("n").alias("n"), *[F.when(F.max("n") >= 4, at(i)).alias(f"q{i}") for i in (1, 2, 3)])
+
+
+def _inside(q1: Column, q3: Column, n: Column) -> Column:
+    return (n < TRIM_FROM) | F.col(RATE).between(q1 - 3 * (q3 - q1), q3 + 3 * (q3 - q1))
 
 
 def trimmed(df: DataFrame, *keys: str) -> DataFrame:
     """Without outliers: from 8 rows on, rates within three interquartile ranges of the quartiles stay."""
     q = index_quantiles(df, *keys).select(*[F.col(k).alias(f"_{k}") for k in keys], "n", "q1", "q3")
     out = df.join(q, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    inside = F.col("unit_rate_cents").between(F.col("q1") - 3 * (F.col("q3") - F.col("q1")), F.col("q3") + 3 * (F.col("q3") - F.col("q1")))
-    return out.filter((F.col("n") < TRIM_FROM) | inside).select(*df.columns)
-
-
-def kpis(df: DataFrame, *keys: str) -> DataFrame:
-    """Per group: rows, outliers, weighted average of what is left, least, greatest, index quartiles."""
-    all_rows = index_quantiles(df, *keys)
-    left = trimmed(df, *keys).groupBy(*keys).agg(weighted_average().alias("avg_rate"), F.min("unit_rate_cents").alias("min_rate"), F.max("unit_rate_cents").alias("max_rate"), F.count("*").alias("kept"))
-    left = left.select(*[F.col(k).alias(f"_{k}") for k in keys], "avg_rate", "min_rate", "max_rate", "kept")
-    out = all_rows.join(left, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    return out.select(*keys, "n", (F.col("n") - F.col("kept")).alias("n_outliers"), "avg_rate", "min_rate", "max_rate", "q1", "q2", "q3")
+    return out.filter(_inside(F.col("q1"), F.col("q3"), F.col("n"))).select(*df.columns)
+
+
+def kpis(df: DataFrame, *keys: str, share: float | Column = DEFAULT_THRESHOLD) -> DataFrame:
+    """Per group, outliers taken away first: rows, weighted average, least, greatest, index quartiles (the average under
+    four rows), anomalies against the average; and the number of outliers."""
+    own = Window.partitionBy(*keys)
+    r = _ranked(rate_counts(df, *keys), *keys)
+    quart = lambda i: F.max(_at(_quarter(i, F.col("n")), F.col("upto"), F.col("c"))).over(own)
+    r = r.withColumns({"o1": quart(1), "o3": quart(3)}).withColumn("in", _inside(F.col("o1"), F.col("o3"), F.col("n")))
+    kept = F.when(F.col("in"), F.col("c")).otherwise(0)
+    r = r.withColumns({"m": F.sum(kept).over(own), "below": F.sum(kept).over(own.orderBy(RATE).rowsBetween(Window.unboundedPreceding, 0)), "avg_rate": _average(F.col("in"), own)})
+    at = lambda i: F.max(F.when(F.col("in"), _at(_quarter(i, F.col("m")), F.col("below"), F.col("c")))).cast("double")
+    odd = F.col("in") & is_anomaly(F.col(RATE), F.col("avg_rate"), F.col("m"), share)
+    first = lambda c: F.first(c).alias(c)
+    return r.groupBy(*keys).agg(
+        F.first("m").alias("n"), (F.first("n") - F.first("m")).alias("n_outliers"), first("avg_rate"),
+        F.min(F.when(F.col("in"), F.col(RATE))).alias("min_rate"), F.max(F.when(F.col("in"), F.col(RATE))).alias("max_rate"),
+        *[F.when(F.first("m") >= 4, at(i)).otherwise(F.first("avg_rate")).alias(f"q{i}") for i in (1, 2, 3)],
+        F.coalesce(F.sum(F.when(odd, F.col("c"))), F.lit(0)).alias("n_anomalies"),
+    )
 
 
 def newest_first(df: DataFrame, *keys: str) -> DataFrame:
     """The first row of each key and rate, newest period first."""
-    w = Window.partitionBy(*keys, "unit_rate_cents").orderBy(F.col("price_period").desc_nulls_last(), "id")
+    w = Window.partitionBy(*keys, RATE).orderBy(F.col("price_period").desc_nulls_last(), "id")
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
@@ -108,23 +142,26 @@ def recent(df: DataFrame, today: Column, months: int, least: int, *keys: str) ->
 
 
 def histogram(df: DataFrame, bins: int = 10) -> DataFrame:
-    """Equal-width bins over all rates; one bin when all are equal. Empty bins count 0."""
-    ends = df.agg(F.min("unit_rate_cents").alias("lo"), F.max("unit_rate_cents").alias("hi"))
+    """Equal-width bins over all rates with their share; one bin when all are equal. Empty bins count 0."""
+    ends = df.agg(F.min(RATE).alias("lo"), F.max(RATE).alias("hi"), F.count(RATE).alias("all"))
     width = (F.col("hi") - F.col("lo")) / bins
-    bin_ = F.when(F.col("hi") <= F.col("lo"), 0).otherwise(F.least(F.lit(bins - 1), F.floor((F.col("unit_rate_cents") - F.col("lo")) / width)))
-    counts = df.join(F.broadcast(ends)).groupBy(bin_.cast("int").alias("bin")).agg(F.count("*").alias("n"))
-    spine = ends.filter("lo IS NOT NULL").select("lo", "hi", F.explode(F.sequence(F.lit(0), F.when(F.col("hi") <= F.col("lo"), 0).otherwise(bins - 1))).alias("bin"))
-    return spine.join(F.broadcast(counts), "bin", "left").select("bin", (F.col("lo") + F.col("bin") * width).alias("bin_low"), F.coalesce("n", F.lit(0)).alias("n"))
+    bin_ = F.when(F.col("hi") <= F.col("lo"), 0).otherwise(F.least(F.lit(bins - 1), F.floor((F.col(RATE) - F.col("lo")) / width)))
+    counts = df.filter(F.col(RATE).isNotNull()).join(F.broadcast(ends)).groupBy(bin_.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    spine = ends.filter("lo IS NOT NULL").select("lo", "hi", "all", F.explode(F.sequence(F.lit(0), F.when(F.col("hi") <= F.col("lo"), 0).otherwise(bins - 1))).alias("bin"))
+    out = spine.join(F.broadcast(counts), "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return out.select("bin", (F.col("lo") + F.col("bin") * width).alias("bin_low"), "n", F.round(100 * F.col("n") / F.col("all"), 1).alias("pct"))
 
 
 def summary_rows(df: DataFrame, *keys: str) -> DataFrame:
-    """Least, quartiles at round(p (n - 1)), greatest, population deviation and coefficient of variation."""
-    at = lambda p: F.max(F.when(F.col("rn") == F.bround(F.lit(p) * (F.col("n") - 1)) + 1, F.col("unit_rate_cents")))
-    r = ranked(df, *keys).groupBy(*keys).agg(
-        F.max("n").alias("n"), F.min("unit_rate_cents").alias("min_rate"), at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"),
-        F.max("unit_rate_cents").alias("max_rate"), F.round(F.stddev_pop("unit_rate_cents"), 4).alias("stddev"),
+    """Least, quartiles at round(p (n - 1)) with halves to the even place, greatest, and population deviation."""
+    r = _ranked(rate_counts(df, *keys), *keys)
+    at = lambda p: F.max(_at(F.bround(F.lit(p) * (F.col("n") - 1)), F.col("upto"), F.col("c")))
+    whole = lambda x: F.sum(x.cast("decimal(38,0)"))
+    n, one, two = F.sum("c").cast("decimal(38,0)"), whole(F.col(RATE) * F.col("c")), whole(F.col(RATE).cast("decimal(18,0)") * F.col(RATE).cast("decimal(18,0)") * F.col("c"))
+    return r.groupBy(*keys).agg(
+        F.max("n").alias("n"), F.min(RATE).alias("min_rate"), at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"), F.max(RATE).alias("max_rate"),
+        F.round(F.sqrt((n * two - one * one).cast("double")) / F.max("n"), 4).alias("stddev"),
     )
-    return r
 
 
 def monthly(df: DataFrame, last: Column, months: int = 12) -> DataFrame:
@@ -133,3 +170,9 @@ def monthly(df: DataFrame, last: Column, months: int = 12) -> DataFrame:
     spine = end.filter("_end IS NOT NULL").select(F.explode(F.sequence(F.add_months("_end", 1 - months), F.col("_end"), F.expr("INTERVAL 1 MONTH"))).alias("month"))
     counts = df.groupBy(F.trunc("price_period", "month").alias("month")).agg(F.count("*").alias("n"))
     return spine.join(counts, "month", "left").select("month", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def baseline_difference(pairs: DataFrame, *keys: str) -> DataFrame:
+    """pairs: price, base and the keys -> n, mean and median of the difference from the base price in percent."""
+    off = F.abs(F.col("price") - F.col("base")) / F.col("base") * 100
+    return pairs.filter("base > 0").groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg(off), 3).alias("mean_diff"), F.round(F.median(off), 3).alias("median_diff"))

@@ -37,6 +37,36 @@ def batch_checksum(df: DataFrame) -> DataFrame:
     )
 
 
+def reconciled(parsed: DataFrame, stated: DataFrame) -> DataFrame:
+    """parsed: import_batch_id, total_cents of the lines; stated: the same from the summary row. agrees within one cent or 0.1 percent; null if nothing is stated."""
+    j = parsed.join(stated.select("import_batch_id", F.col("total_cents").alias("stated_cents")), "import_batch_id", "left")
+    off = F.abs(F.col("total_cents") - F.col("stated_cents"))
+    return j.withColumns({"off_cents": off, "agrees": (off <= 1) | (off <= 0.001 * F.abs(F.col("stated_cents")))})
+
+
+def filled_share(df: DataFrame, columns: list[str]) -> DataFrame:
+    """field, n, share: how many rows have something in each column."""
+    some = lambda c: F.coalesce(F.trim(F.col(c).cast("string")) != "", F.lit(False)).cast("double")
+    one = df.agg(F.count("*").alias("n"), *[F.avg(some(c)).alias(c) for c in columns])
+    return one.select(F.expr(f"stack({len(columns)}, " + ", ".join(f"'{c}', n, {c}" for c in columns) + ") AS (field, n, share)"))
+
+
+def batch_kpis(items: DataFrame, batches: DataFrame) -> DataFrame:
+    """One row: batches, those in the bin, active items, anomalies and their share."""
+    b = batches.agg(F.count_if("active").alias("n_batches"), F.count_if(~F.col("active")).alias("n_recycled"))
+    odd = F.coalesce(F.col("anomaly_flag") != "normal", F.lit(False))
+    i = items.filter("active").agg(F.count("*").alias("n_items"), F.count_if(odd).alias("n_anomalies"))
+    return b.join(F.broadcast(i)).withColumn("anomaly_rate", F.coalesce(F.try_divide(F.col("n_anomalies"), F.col("n_items")), F.lit(0.0)))  # one row each
+
+
+def progress(df: DataFrame) -> DataFrame:
+    """One row over active items: shares of standardised, priced and linked ones in percent, and what is left to do of each."""
+    done = {"standard": F.col("std_name").isNotNull(), "priced": F.col("unit_rate_cents").isNotNull(), "linked": F.col("material_dict_id").isNotNull()}
+    out = df.filter("active").agg(F.count("*").alias("n"), *[F.count_if(c).alias(f"n_{k}") for k, c in done.items()], F.count_if(F.col("anomaly_flag") != "normal").alias("todo_anomalies"))
+    pct = {f"pct_{k}": F.round(F.coalesce(F.try_divide(100 * F.col(f"n_{k}"), F.col("n")), F.lit(0.0)), 1) for k in done}
+    return out.withColumns(pct | {f"todo_{k}": F.col("n") - F.col(f"n_{k}") for k in done})
+
+
 def catalog(df: DataFrame) -> DataFrame:
     """A row per match key: plain average, least, greatest, count and the fields of the newest row."""
     newest = F.max(F.struct("price_period", "id", "item_name", "unit_std", "province", "unit_rate_cents"))
@@ -49,7 +79,9 @@ def catalog(df: DataFrame) -> DataFrame:
 
 
 def catalog_preview(c: DataFrame, prefix: str = "", low: int = 3) -> DataFrame:
-    return c.filter(F.col("match_key").startswith(prefix)).select("match_key", "n", "avg_rate", (F.col("n") < low).alias("low_sample"))
+    # asked of the finished rows: pushed below the aggregation, the test would repeat all branches of the key
+    named = F.when(F.col("n") > 0, F.col("match_key"))
+    return c.filter(named.startswith(prefix)).select("match_key", "n", "avg_rate", (F.col("n") < low).alias("low_sample"))
 
 
 def merge_catalog(old: DataFrame, new: DataFrame, manual: list[str]) -> DataFrame:

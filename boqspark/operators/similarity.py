@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import cut
+
 # Weights of name and spec, of levels, and of the three algorithms.
 NAME_SHARE, SPEC_SHARE = 0.7, 0.3
 LEVEL_WEIGHT = {"l3": 0.8, "l4": 1.0, "l5": 1.0}
@@ -67,7 +69,7 @@ def near_pairs(left: DataFrame, right: DataFrame, l_text: str, r_text: str, abov
     shared = counted(left, l_text, "_l").join(counted(right, r_text, "_r"), "_g").filter(F.least(a, b) >= least)
     shared = shared.groupBy(l_text, r_text).agg(F.sum(F.least("_l", "_r")).alias("_shared")).filter(F.col("_shared") >= F.greatest(F.lit(1), 3 * least - 1 - a - b))
     # A checkpoint, so that each ratio is worked out once.
-    return shared.select(l_text, r_text, indel_ratio(F.col(l_text), F.col(r_text)).alias("score")).checkpoint().filter(F.col("score") > above)
+    return cut(shared.select(l_text, r_text, indel_ratio(F.col(l_text), F.col(r_text)).alias("score"))).filter(F.col("score") > above)
 
 
 def best_by_edit(left: DataFrame, right: DataFrame, l_text: str, r_text: str, k: int, blocks: int = 8) -> DataFrame:
@@ -111,33 +113,91 @@ def high_confidence(top: DataFrame, item: str, score: str = "score") -> DataFram
     return top.withColumn("sure", (F.col(score) >= 90) & (gap > 15)).filter("rank = 1").select(item, score, "sure")
 
 
+# Words that say nothing about a material.
+STOP_WORDS = [
+    "的", "了", "在", "是", "我", "有", "和", "就", "不", "人", "都", "一", "一个", "上", "也", "很", "到", "说", "要", "去", "你", "会", "着", "没有",
+    "看", "好", "自己", "这", "那", "他", "她", "它", "们", "这个", "那个", "什么", "怎么", "为什么", "哪", "哪里", "谁", "多少", "几", "些",
+]
+
+
 def tokens(c: Column) -> Column:
-    """ASCII words and CJK bigrams, lower case, without single characters."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([a-z0-9]{2,})"), 1)
-    runs = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("([\\u4e00-\\u9fff]{2,})"), 1)
-    pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
-    return F.concat(words, pairs)
-
-
-def tfidf(docs: DataFrame, key: str, text: str, vocabulary: DataFrame | None = None) -> DataFrame:
-    """key, term, w: smoothed inverse document frequency, unit length. vocabulary restricts the terms."""
-    terms = docs.select(key, F.explode(tokens(F.col(text))).alias("term"))
-    if vocabulary is not None:
-        terms = terms.join(vocabulary, "term", "left_semi")
-    tf = terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
-    n = docs.agg(F.count("*").alias("n"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n))  # one row
-    raw = tf.join(df.select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")), "term").withColumn("raw", F.col("tf") * F.col("idf"))
+    """ASCII words and CJK bigrams in the order of the text, lower case, without single characters and stop words."""
+    runs = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([a-z0-9]{2,}|[\\u4e00-\\u9fff]{2,})"), 1)
+    pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))
+    out = F.flatten(F.transform(runs, lambda r: F.when(r.rlike("^[a-z0-9]"), F.array(r)).otherwise(pairs(r))))
+    return F.filter(out, lambda w: ~w.isin(*STOP_WORDS))
+
+
+def terms(c: Column) -> Column:
+    """The tokens of a text and its pairs of following tokens."""
+    t = tokens(c)
+    return F.concat(t, F.when(F.size(t) > 1, F.transform(F.sequence(F.lit(2), F.size(t)), lambda i: F.concat(F.get(t, i - 2), F.lit(" "), F.get(t, i - 1)))).otherwise(F.array().cast("array<string>")))
+
+
+def _counted(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(key, F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
+def _unit(tf: DataFrame, idf: DataFrame, key: str) -> DataFrame:
+    raw = tf.join(F.broadcast(idf), "term").withColumn("raw", F.col("tf") * F.col("idf"))  # a bounded vocabulary
     norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     return raw.join(norm, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("w"))
 
 
+def fitted(docs: DataFrame, key: str, text: str, features: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """Vectors (key, term, w; unit length, smoothed inverse document frequency) of the docs over their `features` most
+    frequent terms (ties: by term), and term, idf for others."""
+    tf = cut(_counted(docs, key, text))
+    n = docs.agg(F.count("*").alias("n"))
+    df = tf.groupBy("term").agg(F.sum("tf").alias("all"), F.count("*").alias("df")).orderBy(F.desc("all"), "term").limit(features)
+    idf = cut(df.join(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))
+    return _unit(tf, idf, key), idf
+
+
+def transformed(docs: DataFrame, key: str, text: str, idf: DataFrame) -> DataFrame:
+    """Vectors of other texts in the vocabulary of fitted ones."""
+    return _unit(_counted(docs, key, text), idf, key)
+
+
+def tfidf(docs: DataFrame, key: str, text: str, features: int = 10_000) -> DataFrame:
+    """key, term, w: the vectors of docs fitted to themselves."""
+    return fitted(docs, key, text, features)[0]
+
+
 def cosine_pairs(a: DataFrame, b: DataFrame, a_key: str, b_key: str) -> DataFrame:
     """Scores in percent of pairs that share a term."""
     j = a.select(a_key, "term", F.col("w").alias("_wa")).join(b.select(b_key, "term", F.col("w").alias("_wb")), "term")
     return j.groupBy(a_key, b_key).agg((100 * F.sum(F.col("_wa") * F.col("_wb"))).alias("score"))
 
 
+def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, q_block: int = 1024, v_block: int = 16_384) -> DataFrame:
+    """query, rank, id, score: the k vectors (id, v) of greatest inner product for each query (id, v), itself left out; ties to the smaller id.
+
+    Blocks of queries meet blocks of vectors, one matrix product each, from which the k best of every query go on.
+    """
+    import numpy as np
+    import pandas as pd
+
+    nq, nv = -(-max(1, queries.count()) // q_block), -(-max(1, vectors.count()) // v_block)
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    left = queries.select("id", "v", block(nq).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nv - 1))).alias("vb"))
+    right = vectors.select("id", "v", block(nv).alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
+
+    def best(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(v):
+            ids = v["id"].to_numpy()
+            order = np.argsort(ids, kind="stable")
+            ids, scores = ids[order], np.round(np.stack(q["v"].to_numpy()) @ np.stack(v["v"].to_numpy())[order].T, 9)
+            for query, row in zip(q["id"].tolist(), scores, strict=True):
+                top = np.argsort(-row, kind="stable")[: k + 1]
+                out += [(query, int(i), float(x)) for i, x in zip(ids[top], row[top], strict=True) if i != query]
+        return pd.DataFrame(out, columns=["query", "id", "score"])
+
+    found = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(best, "query long, id long, score double")
+    return top_k(found, "query", k, by="id")
+
+
 def fuse(scores: dict[str, DataFrame], item: str, weights: dict[str, float] = FUSION, by: str = "dict_id") -> DataFrame:
     """item, dict_id, score, sources: weighted mean over the algorithms that found the candidate."""
     parts = [df.select(item, by, F.col("score"), F.lit(name).alias("source"), F.lit(weights[name]).alias("weight")) for name, df in scores.items()]
@@ -149,13 +209,13 @@ def fuse(scores: dict[str, DataFrame], item: str, weights: dict[str, float] = FU
     )
 
 
-def parts(df: DataFrame, text: str, of: DataFrame, whole: str) -> DataFrame:
-    """df with `part`: every substring of its text whose length, 2 or more, is that of some text of the other table."""
+def parts(df: DataFrame, text: str, of: DataFrame, whole: str, whole_too: bool = False) -> DataFrame:
+    """df with `part`: every substring of its text whose length, 2 or more, is that of some text of the other table; with whole_too the text itself too."""
     sizes = of.agg(F.collect_set(F.length(whole)).alias("_sizes"))  # one row, as many numbers as there are lengths
     n = F.length(text)
-    sized = F.filter("_sizes", lambda k: (k >= 2) & (k < n))
-    cut = F.transform(sized, lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col(text), i, k)))
-    return df.join(F.broadcast(sizes)).withColumn("part", F.explode(F.array_distinct(F.flatten(cut)))).drop("_sizes")
+    sized = F.filter("_sizes", lambda k: (k >= 2) & ((k <= n) if whole_too else (k < n)))
+    cut_ = F.transform(sized, lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col(text), i, k)))
+    return df.join(F.broadcast(sizes)).withColumn("part", F.explode(F.array_distinct(F.flatten(cut_)))).drop("_sizes")
 
 
 def progressive(items: DataFrame, dictionary: DataFrame) -> DataFrame:

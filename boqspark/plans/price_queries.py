@@ -60,39 +60,42 @@ def domain_filter(spark, sf):
     return boq(spark, sf).filter(domain(where)).select("id", "item_code", "province", "price_period")
 
 
-_RANKED = f"""{WITH_KEYS}, p AS (SELECT * FROM keyed WHERE {PRICED}),
-r AS (SELECT *, row_number() OVER (PARTITION BY province ORDER BY unit_rate_cents, id) AS rn, count(*) OVER (PARTITION BY province) AS n FROM p),
-q AS (SELECT province, max(n) AS n, CASE WHEN max(n) >= 4 THEN max(CASE WHEN rn = n // 4 + 1 THEN unit_rate_cents END) END AS q1,
- CASE WHEN max(n) >= 4 THEN max(CASE WHEN rn = n // 2 + 1 THEN unit_rate_cents END) END AS q2, CASE WHEN max(n) >= 4 THEN max(CASE WHEN rn = 3 * n // 4 + 1 THEN unit_rate_cents END) END AS q3 FROM r GROUP BY province),
-t AS (SELECT p.*, q.n, q1, q2, q3 FROM p JOIN q ON p.province = q.province WHERE q.n < 8 OR unit_rate_cents BETWEEN q1 - 3 * (q3 - q1) AND q3 + 3 * (q3 - q1))"""
+_SORTED = """row_number() OVER (PARTITION BY province ORDER BY unit_rate_cents, id) AS rn, count(*) OVER (PARTITION BY province) AS n"""
+# Outliers go first (from eight rows on); everything else comes from what is left.
+_TRIMMED = f"""{WITH_KEYS}, p AS (SELECT * FROM keyed WHERE {PRICED}), r AS (SELECT province, unit_rate_cents, {_SORTED} FROM p),
+q AS (SELECT province, max(n) AS n, max(CASE WHEN rn = n // 4 + 1 THEN unit_rate_cents END) AS q1, max(CASE WHEN rn = 3 * n // 4 + 1 THEN unit_rate_cents END) AS q3 FROM r GROUP BY province),
+t AS (SELECT p.id, p.province, unit_rate_cents, quantity, q.n AS before FROM p JOIN q ON p.province = q.province WHERE q.n < 8 OR unit_rate_cents BETWEEN q1 - 3 * (q3 - q1) AND q3 + 3 * (q3 - q1))"""
 
 
-@query(f"""{_RANKED} SELECT t.province, t.n, t.n - count(*) AS n_outliers, {AVG} AS avg_rate, min(unit_rate_cents) AS min_rate, max(unit_rate_cents) AS max_rate, q1, q2, q3
-FROM t GROUP BY t.province, t.n, q1, q2, q3""")
+@query(f"""{_TRIMMED}, s AS (SELECT *, {_SORTED}, CAST(sum(unit_rate_cents * quantity) OVER (PARTITION BY province) AS DOUBLE) / sum(quantity) OVER (PARTITION BY province) AS a FROM t)
+SELECT province, max(n) AS n, max(before) - max(n) AS n_outliers, max(a) AS avg_rate, min(unit_rate_cents) AS min_rate, max(unit_rate_cents) AS max_rate,
+ CASE WHEN max(n) < 4 THEN max(a) ELSE max(CASE WHEN rn = n // 4 + 1 THEN unit_rate_cents END) END AS q1, CASE WHEN max(n) < 4 THEN max(a) ELSE max(CASE WHEN rn = n // 2 + 1 THEN unit_rate_cents END) END AS q2,
+ CASE WHEN max(n) < 4 THEN max(a) ELSE max(CASE WHEN rn = 3 * n // 4 + 1 THEN unit_rate_cents END) END AS q3, count(*) FILTER (WHERE n >= 3 AND a <> 0 AND abs(unit_rate_cents - a) > 0.3 * abs(a)) AS n_anomalies FROM s GROUP BY province""")
 def price_kpis(spark, sf):
     return pricing.kpis(pricing.priced(boq(spark, sf)), "province")
 
 
-@query(f"""{_RANKED} SELECT province, count(*) AS kept, sum(unit_rate_cents) AS sum_rate FROM t GROUP BY province""")
+@query(f"""{_TRIMMED} SELECT province, count(*) AS kept, sum(unit_rate_cents) AS sum_rate FROM t GROUP BY province""")
 def price_iqr_trim(spark, sf):
     return pricing.trimmed(pricing.priced(boq(spark, sf)), "province").groupBy("province").agg(F.count("*").alias("kept"), F.sum("unit_rate_cents").alias("sum_rate"))
 
 
-_DIM = lambda d, key: f"SELECT '{d}' AS dim, CAST({key} AS VARCHAR) AS key, count(*) AS n, {AVG} AS avg_rate, min(unit_rate_cents) AS min_rate, max(unit_rate_cents) AS max_rate FROM p GROUP BY {key}"
+_DIM = lambda d: f"""SELECT '{d}' AS dim, CAST({d} AS VARCHAR) AS key, max(a) AS avg_rate, min(unit_rate_cents) AS min_rate, max(unit_rate_cents) AS max_rate, count(*) AS n, count(*) FILTER (WHERE c >= 3 AND a <> 0 AND abs(unit_rate_cents - a) > 0.3 * abs(a)) AS n_anomalies
+ FROM (SELECT {d}, unit_rate_cents, count(*) OVER w AS c, CAST(sum(unit_rate_cents * quantity) OVER w AS DOUBLE) / sum(quantity) OVER w AS a FROM p WINDOW w AS (PARTITION BY {d})) GROUP BY {d}"""
 
 
 @query(f"""{WITH_KEYS}, p AS (SELECT *, CASE WHEN match_key_source = 'dict' THEN match_key || '|' || coalesce(std_spec, p_spec) ELSE match_key END AS aggregate_id
  FROM (SELECT *, substr(item_feature, 4, strpos(item_feature, ';') - 4) || '|' || substr(item_feature, strpos(item_feature, ';') + 4) AS p_spec FROM keyed) WHERE {PRICED})
-{_DIM('aggregate_id', 'aggregate_id')} UNION ALL {_DIM('match_key_source', 'match_key_source')} UNION ALL {_DIM('province', 'province')} UNION ALL {_DIM('price_period', 'price_period')}""")
+{_DIM('aggregate_id')} UNION ALL {_DIM('match_key_source')} UNION ALL {_DIM('province')} UNION ALL {_DIM('price_period')}""")
 def price_4dims(spark, sf):
     return pricing.four_dimensions(pricing.priced(with_keys(boq(spark, sf))))
 
 
 @query(f"""{WITH_BOQ}, p AS (SELECT * FROM boq WHERE {PRICED}), e AS (SELECT min(unit_rate_cents) AS lo, max(unit_rate_cents) AS hi FROM p),
 c AS (SELECT CAST(least(9, floor((unit_rate_cents - lo) / ((hi - lo) / 10.0))) AS INTEGER) AS bin, count(*) AS n FROM p, e GROUP BY 1)
-SELECT CAST(s.i AS INTEGER) AS bin, lo + s.i * ((hi - lo) / 10.0) AS bin_low, coalesce(n, 0) AS n FROM e, (SELECT unnest(range(10)) AS i) s LEFT JOIN c ON c.bin = s.i""")
+SELECT CAST(s.i AS INTEGER) AS bin, lo + s.i * ((hi - lo) / 10.0) AS bin_low, coalesce(n, 0) AS n, round(100.0 * coalesce(n, 0) / (SELECT count(*) FROM p), 1) AS pct FROM e, (SELECT unnest(range(10)) AS i) s LEFT JOIN c ON c.bin = s.i""")
 def price_hist(spark, sf):
-    return pricing.histogram(pricing.priced(boq(spark, sf)).withColumn("unit_rate_cents", F.col("unit_rate_cents").cast("double"))).select("bin", "bin_low", "n")
+    return pricing.histogram(pricing.priced(boq(spark, sf)).withColumn("unit_rate_cents", F.col("unit_rate_cents").cast("double"))).select("bin", "bin_low", "n", "pct")
 
 
 @query(f"""{WITH_BOQ}, p AS (SELECT * FROM boq WHERE {PRICED}),
@@ -204,8 +207,22 @@ def classify_prefix(spark, sf):
     return b.groupBy(F.col("item_code_version").alias("version"), classify.by_prefix(F.col("item_code"), F.col("item_code_version")).alias("family")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH t AS (SELECT doc_id, upper(text) AS t FROM documents)
-SELECT doc_id, CASE WHEN regexp_matches(t, 'C[0-9]{2}') THEN '混凝土' WHEN regexp_matches(t, 'YJV|BVR|RVV') THEN '电线电缆' WHEN regexp_matches(t, 'PPR|PVC|HDPE|DN ?[0-9]+') THEN '管道' END AS family FROM t""")
+_EDGE = r"[^\p{L}\p{N}_]"
+_TRAY, _ANY_CABLE, _NO_CABLE = "桥架|托盘|梯架|线槽", "电缆|电线|配线|布电线", "电缆头|终端头|中间头|接线端子|电缆终端|电力电缆头|控制电缆头"
+_NO_PIPE = "截止阀|闸阀|球阀|蝶阀|止回阀|排气阀|安全阀|减压阀|低压螺纹阀门|管件|套管|地漏|法兰|弯头|三通|接头|堵头|栏杆|爬梯|扶手|支架|支吊架|一般填料|防水套管|绝热|凿|预留洞|雨水斗|散流器|风口"
+_PIPE = r"(?i)镀锌钢管|焊接钢管|无缝钢管|不锈钢管|螺旋焊管|直缝焊管|PPR[- ]?管?|PVC[- ]?U?管?|CPVC[- ]?管?|HDPE[- ]?管?|PE[- ]?RT?管?|UPVC|PP管|铸铁管|球墨铸铁管|铝塑复合管|铜管|给水管|排水管|雨水管|采暖管|燃气管道|DN\s*\d+|de\s*\d+"
+_CEMENT = r"(?i)P\.O\s*\d{3}|P\.C\s*\d{3}|P\.I\s*\d{3}|P\.II\s*\d{3}|硅酸盐水泥|白水泥"
+_NO_CEMENT = "砂浆|楼地面|砖基础|块料|石材|擦缝|勾缝|抹灰|找平|垫层|防水|堵漏|混凝土"
+
+
+def _by_text(name: str, text: str) -> str:
+    has = lambda c, p: f"regexp_matches({c}, '{p}')"
+    return f"""CASE WHEN ({has(text, f"(^|{_EDGE})C[0-9]{{2}}({_EDGE}|$)")} OR {has(text, f"(^|{_EDGE})(混凝土|砼)({_EDGE}|$)")}) AND NOT {has(name, _TRAY)} THEN '混凝土'
+ WHEN {has(text, _CEMENT)} AND NOT {has(text, _NO_CEMENT)} THEN '水泥' WHEN {has(text, "(?i)HRB400|HRB500|HPB300|HRBF400|螺纹钢|圆钢|钢筋")} AND NOT {has(name, _TRAY)} THEN '钢筋'
+ WHEN {has(name, _ANY_CABLE)} AND NOT {has(text, _NO_CABLE)} AND NOT {has(name, _TRAY)} THEN '电线电缆' WHEN {has(text, _PIPE)} AND NOT {has(text, _NO_PIPE)} THEN '管道' END"""
+
+
+@query(f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents) SELECT doc_id, {_by_text("t", "t")} AS family FROM t""")
 def classify_text(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", classify.by_text(F.col("text")).alias("family"))
 

@@ -83,3 +83,21 @@ keyed AS (SELECT *,
   WHEN code9 <> '' THEN 'code:' || item_code_version || ':' || code9 || '|' || unit_std
   ELSE 'raw:' || item_code_version || ':' || replace(lower(item_name), ' ', '') || '|' || replace(lower(item_feature), ' ', '') || '|' || unit_std END AS match_key FROM u)"""
 WITH_BOQ, WITH_KEYS = f"WITH {BOQ}", f"WITH {BOQ}, {KEYED}"
+
+
+def lcs_sql(a: str, b: str) -> str:
+    """Length of the longest common subsequence in DuckDB, a row of the table per character."""
+    cell = f"greatest(acc[-1], row[j + 1], row[j] + CASE WHEN substr({b}, j, 1) = ch THEN 1 ELSE 0 END)"
+    inner = f"list_reduce(range(1, CAST(length({b}) AS BIGINT) + 1), lambda acc, j: list_append(acc, {cell}), [CAST(0 AS BIGINT)])"
+    return f"list_reduce(string_split({a}, ''), lambda row, ch: {inner}, list_transform(range(0, CAST(length({b}) AS BIGINT) + 1), lambda i: CAST(0 AS BIGINT)))[-1]"
+
+
+def edit_sql(a: str, b: str) -> str:
+    """The greater of the ratio of the whole texts and of the shorter with its best part of the longer."""
+    whole = f"200.0 * {lcs_sql(a, b)} / (length({a}) + length({b}))"
+
+    def part(s: str, l: str) -> str:  # noqa: E741
+        cut = f"substr({l}, greatest(0, w) + 1, least(length({l}), w + length({s})) - greatest(0, w))"
+        return f"list_max(list_transform(range(1 - CAST(length({s}) AS BIGINT), CAST(length({l}) AS BIGINT)), lambda w: 200.0 * {lcs_sql(s, cut)} / (length({s}) + length({cut}))))"
+
+    return f"greatest({whole}, CASE WHEN length({a}) <= length({b}) THEN {part(a, b)} ELSE 0 END, CASE WHEN length({a}) >= length({b}) THEN {part(b, a)} ELSE 0 END)"

@@ -1,6 +1,7 @@
 """Queries of the library's operators and their DuckDB forms."""
 
-from . import price_queries, work_queries
+from . import flow_queries, price_queries, work_queries
 
-QUERIES = price_queries.QUERIES | work_queries.QUERIES
-ORACLE = price_queries.ORACLE | work_queries.ORACLE
+_PARTS = (price_queries, work_queries, flow_queries)
+QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+ORACLE = {k: v for p in _PARTS for k, v in p.ORACLE.items()}

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.codes import with_keys
-from ..functions.text import trigram_similarity, trigrams
-from ..operators import learning, merge, pricing, search, similarity, tree
+from ..functions.text import unit_std
+from ..operators import learning, matching, merge, pricing, search, similarity, tree
 from ..operators.quality import compare_tables
-from .proxy import WITH_BOQ, WITH_KEYS, boq
+from ..shared import cut, shared_dir
+from .proxy import BOQ, UNIT_STD, WITH_BOQ, WITH_KEYS, boq, edit_sql, lcs_sql
 
 QUERIES, ORACLE = {}, {}
 
@@ -35,8 +34,8 @@ def read(spark, sf, name):
 
 
 def before_after(spark, sf):
-    """Lines of the first ten batches, and the same batches imported again with changes."""
-    old = with_keys(boq(spark, sf, sequence=True)).filter("import_batch_id < 10")
+    """The bill, and all of its batches imported again with changes. Written once: both sides come from the same lines."""
+    old = cut(boq(spark, sf, sequence=True).withColumn("unit_std", unit_std(F.col("unit"))))
     new = old.filter("part % 11 <> 0").withColumns(
         {
             "sequence": F.col("sequence") + F.when(F.col("part") % 7 == 0, 1).otherwise(0),
@@ -49,16 +48,21 @@ def before_after(spark, sf):
     return old, new
 
 
-_NEXT = f"""{WITH_KEYS}, o AS (SELECT *, row_number() OVER (PARTITION BY import_batch_id ORDER BY id) AS sequence FROM keyed WHERE import_batch_id < 10),
+# Rows of the bill are matched by sequence alone; then by code, name and unit with the nearest sequence; then in order.
+_SAME = "o.import_batch_id = n.import_batch_id AND coalesce(trim(o.item_code), '') = coalesce(trim(n.item_code), '') AND lower(o.item_name) = lower(n.item_name) AND o.unit_std = n.unit_std"
+_NTH = "row_number() OVER (PARTITION BY import_batch_id, coalesce(trim(item_code), ''), lower(item_name), unit_std ORDER BY sequence, id) AS nth"
+_NEXT = f"""WITH {BOQ}, o AS (SELECT *, {UNIT_STD} AS unit_std, row_number() OVER (PARTITION BY import_batch_id ORDER BY id) AS sequence FROM boq),
 n AS (SELECT * REPLACE (sequence + CASE WHEN part % 7 = 0 THEN 1 ELSE 0 END AS sequence, quantity + CASE WHEN part % 13 = 0 THEN 1 ELSE 0 END AS quantity, item_name || CASE WHEN part % 17 = 0 THEN ' x' ELSE '' END AS item_name) FROM o WHERE part % 11 <> 0),
-m1 AS (SELECT o.id AS old_id, n.id AS new_id FROM o JOIN n ON o.import_batch_id = n.import_batch_id AND o.sequence = n.sequence AND o.item_code IS NOT DISTINCT FROM n.item_code AND o.item_name = n.item_name AND o.unit_std = n.unit_std),
-c AS (SELECT o.id AS old_id, n.id AS new_id, abs(o.sequence - n.sequence) AS gap, o.sequence AS os, n.sequence AS ns FROM (SELECT * FROM o WHERE id NOT IN (SELECT old_id FROM m1)) o
- JOIN (SELECT * FROM n WHERE id NOT IN (SELECT new_id FROM m1)) n ON o.import_batch_id = n.import_batch_id AND o.item_code IS NOT DISTINCT FROM n.item_code AND o.item_name = n.item_name AND o.unit_std = n.unit_std),
+m1 AS (SELECT o.id AS old_id, n.id AS new_id FROM (SELECT * FROM o WHERE active) o JOIN (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY import_batch_id, sequence ORDER BY id) = 1) n USING (import_batch_id, sequence)),
+c AS (SELECT o.id AS old_id, n.id AS new_id, abs(o.sequence - n.sequence) AS gap, o.sequence AS os, n.sequence AS ns FROM (SELECT * FROM o WHERE active AND id NOT IN (SELECT old_id FROM m1)) o
+ JOIN (SELECT * FROM n WHERE id NOT IN (SELECT new_id FROM m1)) n ON {_SAME}),
 c1 AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY gap, os, old_id) = 1),
 c2 AS (SELECT * FROM c1 QUALIFY row_number() OVER (PARTITION BY old_id ORDER BY gap, ns, new_id) = 1),
-m AS (SELECT old_id, new_id FROM m1 UNION ALL SELECT old_id, new_id FROM c2),
-r AS (SELECT o.id, o.import_batch_id, coalesce(n.sequence, o.sequence) AS sequence, coalesce(n.quantity, o.quantity) AS quantity, o.std_name, o.std_spec, o.material_dict_id, CASE WHEN n.id IS NULL THEN false ELSE o.active END AS active,
-  CASE WHEN n.id IS NULL THEN 'orphaned' ELSE 'updated' END AS change FROM o LEFT JOIN m ON o.id = m.old_id LEFT JOIN n ON m.new_id = n.id
+m2 AS (SELECT old_id, new_id FROM m1 UNION ALL SELECT old_id, new_id FROM c2),
+m3 AS (SELECT o.id AS old_id, n.id AS new_id FROM (SELECT *, {_NTH} FROM o WHERE active AND id NOT IN (SELECT old_id FROM m2)) o JOIN (SELECT *, {_NTH} FROM n WHERE id NOT IN (SELECT new_id FROM m2)) n ON {_SAME} AND o.nth = n.nth),
+m AS (SELECT * FROM m2 UNION ALL SELECT * FROM m3),
+r AS (SELECT o.id, o.import_batch_id, coalesce(n.sequence, o.sequence) AS sequence, coalesce(n.quantity, o.quantity) AS quantity, o.std_name, o.std_spec, o.material_dict_id, n.id IS NOT NULL AND o.active AS active,
+  CASE WHEN n.id IS NOT NULL THEN 'updated' WHEN o.active THEN 'orphaned' ELSE 'kept' END AS change FROM o LEFT JOIN m ON o.id = m.old_id LEFT JOIN n ON m.new_id = n.id
  UNION ALL SELECT n.id, n.import_batch_id, n.sequence, n.quantity, NULL, NULL, n.material_dict_id, true, 'created' FROM n WHERE id NOT IN (SELECT new_id FROM m))"""
 
 
@@ -72,19 +76,20 @@ def upsert_counts(spark, sf):
     return merge.upsert_counts(merge.upsert(*before_after(spark, sf)))
 
 
-@query(f"""{_NEXT}, b AS (SELECT c.id, c.std_name AS c_name, p.std_name, p.std_spec,
- row_number() OVER (PARTITION BY c.id ORDER BY abs(c.sequence - p.sequence), p.sequence, p.id) AS k FROM (SELECT * FROM r WHERE change = 'created') c
- LEFT JOIN (SELECT * FROM r WHERE change = 'orphaned') p ON c.import_batch_id = p.import_batch_id AND c.material_dict_id = p.material_dict_id)
-SELECT id, std_name, std_spec, std_name IS NOT NULL OR std_spec IS NOT NULL AS backfilled FROM b WHERE k = 1""")
+@query(f"""{_NEXT}, g AS (SELECT p.id AS from_id, p.sequence AS fs, p.std_name, p.std_spec, c.id, row_number() OVER (PARTITION BY p.id ORDER BY abs(c.sequence - p.sequence), c.sequence, c.id) AS k
+ FROM (SELECT * FROM r WHERE change = 'orphaned') p JOIN (SELECT * FROM r WHERE change = 'created') c ON c.import_batch_id = p.import_batch_id AND c.material_dict_id = p.material_dict_id),
+t AS (SELECT id, arg_min(std_name, (fs, from_id)) FILTER (WHERE std_name IS NOT NULL) AS std_name, arg_min(std_spec, (fs, from_id)) FILTER (WHERE std_spec IS NOT NULL) AS std_spec FROM g WHERE k = 1 GROUP BY id)
+SELECT r.id, t.std_name, t.std_spec, t.std_name IS NOT NULL OR t.std_spec IS NOT NULL AS backfilled FROM r LEFT JOIN t ON r.id = t.id WHERE r.change = 'created'""")
 def orphan_backfill(spark, sf):
-    return merge.backfill_from_orphans(merge.upsert(*before_after(spark, sf))).select("id", "std_name", "std_spec", "backfilled")
+    result = cut(merge.upsert(*before_after(spark, sf)))
+    return merge.backfill_from_orphans(result).select("id", "std_name", "std_spec", "backfilled")
 
 
 @query(f"""{WITH_BOQ} SELECT id, 'anomaly_flag' AS field, anomaly_flag AS old_value, 'warning' AS new_value, sha256(CAST(id AS VARCHAR) || '|anomaly_flag') AS trace_id
 FROM boq WHERE part % 50 = 0 AND anomaly_flag <> 'warning'""")
 def audit_changes(spark, sf):
     b = boq(spark, sf)
-    after = merge.confirm_anomalies(b, b.filter("part % 50 = 0").select("id"), "warning")
+    after = merge.confirm_anomalies(b, b.filter("part % 50 = 0").select("id"), "warning", confirmed=True)
     return merge.audit(b, after, ["anomaly_flag", "data_source_type"], "tester", "checked").select("id", "field", "old_value", "new_value", "trace_id")
 
 
@@ -124,14 +129,14 @@ _PATH = lambda k: " || '/' || ".join(f"n{i}" for i in range(1, k + 1))  # noqa:
 
 @query(f"{_TREE} " + " UNION ALL ".join(f"SELECT 'l{k}' AS level, {_PATH(k)} AS path FROM t{k}" for k in range(1, 6)))
 def tree_paths(spark, sf):
-    return tree.paths(dictionary(spark, sf)).select("level", "path")
+    return tree.paths(cut(dictionary(spark, sf))).select("level", "path")
 
 
 @query(f"""{_TREE} SELECT 'no_parent' AS "check", count(*) AS n FROM t3 WHERE n3 LIKE 'red%' HAVING count(*) > 0 UNION ALL SELECT 'orphan', count(*) FROM t4 WHERE n4 LIKE 'hot%' HAVING count(*) > 0
 UNION ALL SELECT 'level_gap', count(*) FROM t5 WHERE n5 LIKE '%7' HAVING count(*) > 0""")
 def tree_checks(spark, sf):
     """The tree with planted faults: categories without a parent, with a missing one, and leaves two levels too high."""
-    nodes = dictionary(spark, sf)
+    nodes = cut(dictionary(spark, sf))
     up = nodes.select(F.col("id").alias("_id"), F.col("parent_id").alias("_grand"))
     n = nodes.join(up, F.col("parent_id") == F.col("_id"), "left")
     parent = (
@@ -148,7 +153,8 @@ def _code_sql() -> str:
     parts, head = [], _TREE
     for k in range(1, 6):
         over = f"PARTITION BY {', '.join(f't{k}.n{i}' for i in range(1, k))}" if k > 1 else ""
-        digits = f"lpad(CAST(row_number() OVER ({over} ORDER BY t{k}.n{k}) AS VARCHAR), {widths[k - 1]}, '0')"
+        number = f"CAST(row_number() OVER ({over} ORDER BY t{k}.n{k}) AS VARCHAR)"
+        digits = f"repeat('0', greatest(0, {widths[k - 1]} - length({number}))) || {number}"
         up = "'I'" if k == 1 else "u.code"
         join = "" if k == 1 else f" JOIN c{k - 1} u ON " + " AND ".join(f"t{k}.n{i} = u.n{i}" for i in range(1, k))
         head += f", c{k} AS (SELECT t{k}.*, {up} || {digits} AS code FROM t{k}{join})"
@@ -158,15 +164,13 @@ def _code_sql() -> str:
 
 @query(_code_sql())
 def tree_recode(spark, sf):
-    nodes = dictionary(spark, sf)
-    return tree.recode(nodes).join(tree.paths(nodes).select("id", "path"), "id").select("level", "path", "new_code")
+    return tree.recode(cut(dictionary(spark, sf))).select("level", "path", "new_code")
 
 
 @query(f"""{_TREE}, a AS ({" UNION ALL ".join(f"SELECT {_PATH(k)} AS path, 'l{j}' AS level FROM t{j}" for k in range(1, 5) for j in range(k + 1, 6))})
 SELECT path, count(*) AS n_below, count(*) FILTER (WHERE level = 'l5') AS n_leaves FROM a GROUP BY path""")
 def tree_counts(spark, sf):
-    nodes = dictionary(spark, sf)
-    return tree.descendants(nodes).join(tree.paths(nodes).select("id", "path"), "id").select("path", "n_below", "n_leaves")
+    return tree.descendants(cut(dictionary(spark, sf))).select("path", "n_below", "n_leaves")
 
 
 @query("""SELECT p_name, p_size, min(p_partkey) AS id, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS sources, count(*) AS n_merged FROM part GROUP BY p_name, p_size""")
@@ -225,26 +229,50 @@ def ngram_candidates(spark, sf):
     return similarity.candidates(names, dict_, "name", "name", "dict_name", "dict_name", least_shared=6)
 
 
-@query()
+@query(f"""WITH a AS (SELECT DISTINCT p_name AS name FROM part), b AS (SELECT DISTINCT p_name || ' ' || CAST(p_size AS VARCHAR) AS dict_name FROM part),
+s AS (SELECT name, dict_name, round(200.0 * {lcs_sql("name", "dict_name")} / (length(name) + length(dict_name)), 4) AS score FROM a, b)
+SELECT name, rank, dict_name, score FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, dict_name) AS rank FROM s WHERE score > 0) WHERE rank <= 3""")
 def indel_match(spark, sf):
     """The three best dictionary names by edit similarity of every part name."""
     return similarity.best_by_edit(*_names(spark, sf), "name", "dict_name", 3).select("name", "rank", "dict_name", "score")
 
 
-_TFIDF = """WITH d AS (SELECT p_name || ' ' || p_brand AS doc FROM part GROUP BY 1), w AS (SELECT doc, unnest(regexp_extract_all(lower(doc), '[a-z0-9]{2,}')) AS term FROM d),
-tf AS (SELECT doc, term, count(*) AS tf FROM w GROUP BY ALL), df AS (SELECT term, ln((1 + (SELECT count(*) FROM d)) / (1.0 + count(*))) + 1 AS idf FROM tf GROUP BY term),
-r AS (SELECT doc, term, tf * idf AS raw FROM tf JOIN df USING (term)), v AS (SELECT doc, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc)) AS w FROM r),
-s AS (SELECT a.doc, b.doc AS other, 100 * sum(a.w * b.w) AS score FROM v a JOIN v b ON a.term = b.term WHERE a.doc LIKE 'red%' AND a.doc <> b.doc GROUP BY ALL)"""
+@query(f"""WITH a AS (SELECT DISTINCT p_name AS name FROM part), b AS (SELECT DISTINCT p_name AS other FROM part)
+SELECT name, other, round({edit_sql("name", "other")}, 4) AS score FROM a, b WHERE name < other""")
+def edit_score(spark, sf):
+    """Edit similarity with partial alignment of the names of the parts."""
+    names = _names(spark, sf)[0]
+    pairs = names.join(names.withColumnRenamed("name", "other"), F.col("name") < F.col("other"))  # some dozen names
+    return matching.text_pairs(pairs, "name", "other", "score").withColumn("score", F.round("score", 4))
+
+
+def _described(spark, sf):
+    """Distinct descriptions of the parts with the least part key of each."""
+    return read(spark, sf, "part").groupBy(F.concat("p_name", F.lit(" "), "p_brand").alias("doc")).agg(F.min("p_partkey").alias("id"))
+
+
+_TERMS = lambda doc: f"""list_concat(regexp_extract_all(lower({doc}), '[a-z0-9]{{2,}}'), list_transform(range(2, CAST(len(regexp_extract_all(lower({doc}), '[a-z0-9]{{2,}}')) AS BIGINT) + 1),
+ lambda i: regexp_extract_all(lower({doc}), '[a-z0-9]{{2,}}')[i - 1] || ' ' || regexp_extract_all(lower({doc}), '[a-z0-9]{{2,}}')[i]))"""
+
+
+def _vectors_sql(features: int, suffix: str = "") -> str:
+    x = suffix
+    return f"""w{x} AS (SELECT id, unnest({_TERMS("doc")}) AS term FROM d), tf{x} AS (SELECT id, term, count(*) AS tf FROM w{x} GROUP BY ALL),
+df{x} AS (SELECT term, ln((1 + (SELECT count(*) FROM d)) / (1.0 + count(*))) + 1 AS idf FROM tf{x} GROUP BY term ORDER BY sum(tf) DESC, term LIMIT {features}),
+r{x} AS (SELECT id, term, tf * idf AS raw FROM tf{x} JOIN df{x} USING (term)), v{x} AS (SELECT id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS w FROM r{x}),
+s{x} AS (SELECT a.id AS query, b.id AS other, round(100 * sum(a.w * b.w), 6) AS score FROM v{x} a JOIN v{x} b ON a.term = b.term WHERE a.id % 100 = 0 AND a.id <> b.id GROUP BY ALL)"""
 
 
-@query(f"""{_TFIDF}, k AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY round(score, 6) DESC, other) AS rank FROM s) SELECT doc, rank, other, round(score, 4) AS score FROM k WHERE rank <= 5""")
+_DOCS = "WITH d AS (SELECT p_name || ' ' || p_brand AS doc, min(p_partkey) AS id FROM part GROUP BY 1)"
+
+
+@query(f"""{_DOCS}, {_vectors_sql(10_000)}, k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, other) AS rank FROM s) SELECT query, rank, other, round(score, 4) AS score FROM k WHERE rank <= 5""")
 def tfidf_topk(spark, sf):
-    """Five nearest descriptions of each description of a red part."""
-    docs = read(spark, sf, "part").select(F.concat("p_name", F.lit(" "), "p_brand").alias("doc")).distinct()
-    v = similarity.tfidf(docs, "doc", "doc")
-    pairs = similarity.cosine_pairs(v.filter(F.col("doc").startswith("red")), v.withColumnRenamed("doc", "other"), "doc", "other").filter("doc <> other")
-    top = similarity.top_k(pairs.withColumn("score", F.round("score", 6)), "doc", 5, by="other")
-    return top.select("doc", "rank", "other", F.round("score", 4).alias("score"))
+    """Five nearest descriptions, of all, for each whose id is divisible by 100."""
+    v = similarity.tfidf(_described(spark, sf), "id", "doc")
+    pairs = similarity.cosine_pairs(v.filter("id % 100 = 0").withColumnRenamed("id", "query"), v.withColumnRenamed("id", "other"), "query", "other").filter("query <> other")
+    top = similarity.top_k(pairs.withColumn("score", F.round("score", 6)), "query", 5, by="other")
+    return top.select("query", "rank", "other", F.round("score", 4).alias("score"))
 
 
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0),
@@ -252,47 +280,48 @@ s AS (SELECT query_id, vec_id, round(list_inner_product(CAST(e AS DOUBLE[]), CAS
 SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
 def dense_topk(spark, sf):
     """Five vectors of greatest inner product for every hundredth vector: a stated query set against all rows."""
-    e = read(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    blocks = 8  # queries meet every block of vectors by an equi-join on the block, so that neither side is one task
-    left = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = left.join(e.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")), "block").filter("vec_id <> query_id")
-    scored = pairs.select("query_id", "vec_id", F.round(dot, 9).alias("score"))
-    return similarity.top_k(scored, "query_id", 5, by="vec_id").select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
-
-
-@query(f"""{_TFIDF}, g AS (SELECT doc, other, score FROM s),
-t AS (SELECT a.doc, b.doc AS other, 100.0 * len(list_intersect({_GRAMS('a.doc')}, {_GRAMS('b.doc')})) / len(list_distinct(list_concat({_GRAMS('a.doc')}, {_GRAMS('b.doc')}))) AS score
- FROM d a, d b WHERE a.doc LIKE 'red%' AND a.doc <> b.doc), e AS (SELECT * FROM t WHERE score >= 20)
-SELECT coalesce(g.doc, e.doc) AS doc, coalesce(g.other, e.other) AS other, CASE WHEN g.doc IS NULL THEN 'edit' WHEN e.doc IS NULL THEN 'tfidf' ELSE 'edit+tfidf' END AS sources,
- round(CASE WHEN g.doc IS NULL THEN e.score WHEN e.doc IS NULL THEN g.score ELSE (0.3 * e.score + 0.35 * g.score) / 0.65 END, 4) AS score FROM g FULL JOIN e ON g.doc = e.doc AND g.other = e.other""")
+    e = read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    top = similarity.dense_top_k(e.filter("id % 100 = 0"), e, 5)
+    return top.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+_SHORT_LIST = lambda x: f"SELECT query, other, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, other) AS k FROM s{x}) WHERE k <= 10"
+
+
+@query(f"""{_DOCS}, {_vectors_sql(10_000)}, {_vectors_sql(512, "x")},
+e AS (SELECT a.id AS query, b.id AS other, round(200.0 * {lcs_sql("a.doc", "b.doc")} / (length(a.doc) + length(b.doc)), 6) AS score FROM d a, d b WHERE a.id % 100 = 0 AND a.id <> b.id),
+u AS (SELECT query, other, score, 'edit' AS source, 0.3 AS weight FROM e WHERE score >= 60 UNION ALL SELECT *, 'tfidf', 0.35 FROM ({_SHORT_LIST("")}) UNION ALL SELECT *, 'vector', 0.35 FROM ({_SHORT_LIST("x")}))
+SELECT query, other, round(sum(score * weight) / sum(weight), 4) AS score, string_agg(source, '+' ORDER BY source) AS sources FROM u GROUP BY query, other""")
 def fuse3(spark, sf):
-    """Candidates of two algorithms joined: weights shared out over those that found a candidate."""
-    docs = read(spark, sf, "part").select(F.concat("p_name", F.lit(" "), "p_brand").alias("doc")).distinct()
-    v = similarity.tfidf(docs, "doc", "doc")
-    red = F.col("doc").startswith("red")
-    tfidf = similarity.cosine_pairs(v.filter(red), v.withColumnRenamed("doc", "other"), "doc", "other").filter("doc <> other")
-    grams = docs.withColumn("g", trigrams(F.col("doc")))
-    left = grams.filter(red).select("doc", F.col("g").alias("ga"), F.explode("g").alias("gram"))
-    pairs = left.join(grams.select(F.col("doc").alias("other"), F.col("g").alias("gb"), F.explode("g").alias("gram")), "gram").drop("gram").distinct().filter("doc <> other")
-    edit = pairs.select("doc", "other", (100 * trigram_similarity(F.col("ga"), F.col("gb"))).alias("score")).filter("score >= 20")
-    return similarity.fuse({"edit": edit, "tfidf": tfidf}, "doc", by="other").withColumn("score", F.round("score", 4)).select("doc", "other", "sources", "score")
-
-
-@query("""WITH i AS (SELECT DISTINCT p_name || ' ' || CAST(p_size AS VARCHAR) AS item FROM part WHERE p_partkey % 2 = 0), d AS (SELECT p_name AS dict_name, min(p_partkey) AS dict_id FROM part WHERE p_partkey % 3 = 0 GROUP BY 1
- UNION ALL SELECT p_name || ' 7', min(p_partkey) FROM part GROUP BY p_name),
+    """Candidates of three scorers joined, weights shared out over those that found one: edit ratio from 60 on, and the ten nearest by 10,000 and by 512 terms."""
+    docs = _described(spark, sf)
+    queries, others = docs.filter("id % 100 = 0").withColumnRenamed("id", "query"), docs.select(F.col("id").alias("other"), F.col("doc").alias("other_doc"))
+    # a ratio of 60 needs a pair of equal characters, not of pairs: the few queries meet all texts
+    edit = queries.join(others, F.col("query") != F.col("other")).select("query", "other", F.round(similarity.indel_ratio(F.col("doc"), F.col("other_doc")), 6).alias("score")).filter("score >= 60")
+
+    def near(features: int):
+        v = similarity.tfidf(docs, "id", "doc", features)
+        pairs = similarity.cosine_pairs(v.filter("id % 100 = 0").withColumnRenamed("id", "query"), v.withColumnRenamed("id", "other"), "query", "other").filter("query <> other")
+        return similarity.top_k(pairs.withColumn("score", F.round("score", 6)), "query", 10, by="other").drop("rank")
+
+    found = similarity.fuse({"edit": edit, "tfidf": near(10_000), "vector": near(512)}, "query", by="other")
+    return found.withColumn("score", F.round("score", 4)).select("query", "other", "sources", "score")
+
+
+@query("""WITH i AS (SELECT DISTINCT p_name || ' ' || CAST(p_size AS VARCHAR) AS item FROM part),
+d AS (SELECT p_name AS dict_name, min(p_partkey) AS dict_id FROM part GROUP BY 1 UNION ALL SELECT p_name || ' 7', min(p_partkey) FROM part GROUP BY p_name UNION ALL SELECT 'steel ' || p_name || ' 33 set', min(p_partkey) FROM part GROUP BY p_name),
 e AS (SELECT item, min(dict_id) AS dict_id FROM i JOIN d ON item = dict_name GROUP BY item),
-c AS (SELECT item, dict_id, 80 + 20.0 * length(dict_name) / length(item) AS score, row_number() OVER (PARTITION BY item ORDER BY 80 + 20.0 * length(dict_name) / length(item) DESC, dict_id) AS k
- FROM i JOIN d ON contains(item, dict_name) WHERE item NOT IN (SELECT item FROM e) AND list_contains(string_split(lower(item), ' '), split_part(lower(dict_name), ' ', 1)))
+p AS (SELECT item, dict_id, 80 + 20.0 * length(dict_name) / length(item) AS score FROM i JOIN d ON contains(item, dict_name) UNION ALL SELECT item, dict_id, 75 + 20.0 * length(item) / length(dict_name) FROM i JOIN d ON contains(dict_name, item)),
+c AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, dict_id) AS k FROM p WHERE item NOT IN (SELECT item FROM e))
 SELECT item, dict_id, 100.0 AS score, 'exact' AS how FROM e UNION ALL SELECT item, dict_id, round(score, 6), 'contained' FROM c WHERE k = 1
 UNION ALL SELECT item, NULL, 0.0, 'none' FROM i WHERE item NOT IN (SELECT item FROM e) AND item NOT IN (SELECT item FROM c)""")
 def progressive_match(spark, sf):
     part = read(spark, sf, "part")
-    name = F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"))
-    items = part.filter("p_partkey % 2 = 0").select(name.alias("item")).distinct().withColumn("name", F.col("item"))
-    d = part.filter("p_partkey % 3 = 0").groupBy(F.col("p_name").alias("dict_name")).agg(F.min("p_partkey").alias("dict_id"))
-    d = d.unionByName(part.groupBy(F.concat("p_name", F.lit(" 7")).alias("dict_name")).agg(F.min("p_partkey").alias("dict_id")))
+    items = part.select(F.concat("p_name", F.lit(" "), F.col("p_size").cast("string")).alias("item")).distinct().withColumn("name", F.col("item"))
+    d = None
+    for name in (F.col("p_name"), F.concat("p_name", F.lit(" 7")), F.concat(F.lit("steel "), "p_name", F.lit(" 33 set"))):
+        one = part.groupBy(name.alias("dict_name")).agg(F.min("p_partkey").alias("dict_id"))
+        d = one if d is None else d.unionByName(one)
     return similarity.progressive(items, d).withColumn("score", F.round("score", 6))
 
 
@@ -344,11 +373,15 @@ def baseline_cascade(spark, sf):
 
 
 def confirmations(spark, sf):
-    e = read(spark, sf, "events")
-    hit = lambda m: (F.col("event_id") % m != 0).cast("int")
+    """Confirmations and rejections made of the events: an algorithm hit, or had the confirmed one at a place, with a score."""
+    e, n = read(spark, sf, "events"), F.col("event_id")
+    hit = {"edit": n % 3 != 0, "tfidf": n % 2 != 0, "vector": F.col("value") > 20}
+    each = [hit[a].cast("int").alias(f"{a}_hit") for a in hit]
+    each += [((n + i) % 5 - 1).cast("int").alias(f"{a}_rank") for i, a in enumerate(hit)]
+    each += [(n * m % 101).cast("double").alias(f"{a}_score") for a, m in zip(hit, (7, 13, 29), strict=True)]
     return e.select(
-        F.col("event_type").alias("category"), "ts", F.col("event_id").alias("id"), (F.col("event_id") % 2).cast("int").alias("hit"),
-        hit(3).alias("edit_hit"), hit(2).alias("tfidf_hit"), (F.col("value") > 20).cast("int").alias("vector_hit"), "value",
+        F.col("event_type").alias("category"), "ts", n.alias("id"), (n % 2).cast("int").alias("hit"), F.col("user_id"), *each,
+        (n % 11 / 10).alias("quality"), F.when(n % 17 == 0, (n % 3).cast("int")).alias("rejected"),
     )
 
 
@@ -358,27 +391,80 @@ WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 49 PRECE
 
 @query(f"{_HITS} SELECT category, id, round(rate, 6) AS rate, seen FROM r")
 def hit_rate_window(spark, sf):
-    return learning.hit_rates(confirmations(spark, sf)).select("category", "id", F.round("rate", 6).alias("rate"), "seen")
+    return learning.hit_rates(confirmations(spark, sf).select("category", "ts", "id", "hit")).select("category", "id", F.round("rate", 6).alias("rate"), "seen")
 
 
 @query(f"{_HITS} SELECT category, count(*) AS n, count(*) FILTER (WHERE seen >= 25 AND rate < 0.5) AS n_drift FROM r GROUP BY category")
 def drift_flags(spark, sf):
-    return learning.drift(learning.hit_rates(confirmations(spark, sf))).groupBy("category").agg(F.count("*").alias("n"), F.count_if("drift").alias("n_drift"))
+    rated = learning.hit_rates(confirmations(spark, sf).select("category", "ts", "id", "hit"))
+    return learning.drift(rated).groupBy("category").agg(F.count("*").alias("n"), F.count_if("drift").alias("n_drift"))
+
+
+@query("""WITH c AS (SELECT event_id AS id, user_id, event_type AS category, ts, count(*) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM events),
+w AS (SELECT id, list({'c': category, 'n': n}) OVER (PARTITION BY user_id ORDER BY ts, id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS l FROM c),
+u AS (SELECT id, len(l) AS n_seen, list_distinct(list_transform(l, lambda x: x.c)) AS kinds, l FROM w)
+SELECT id, n_seen, len(kinds) AS n_categories, len(list_filter(kinds, lambda k: list_max(list_transform(list_filter(l, lambda x: x.c = k), lambda x: x.n)) < 5)) AS n_new FROM u""")
+def category_surge(spark, sf):
+    """For every event, how many of the kinds among the last fifty of its user are new to the user."""
+    return learning.surges(confirmations(spark, sf), "user_id").select("id", "n_seen", "n_categories", "n_new")
+
+
+_IDS = "[event_id % 3, event_id % 5 % 3, event_id % 7 % 3]"
+_FIRST = "[CAST(event_id * 7 % 101 AS DOUBLE), event_id * 13 % 101, event_id * 29 % 101]"
+
 
+def _arrays():
+    n = F.col("event_id")
+    ids = F.array(n % 3, n % 5 % 3, n % 7 % 3)
+    first = F.array(*[(n * m % 101).cast("double") for m in (7, 13, 29)])
+    return ids, first, F.transform(first, lambda x: x - n % 20)
 
-@query("""WITH q AS (SELECT event_id AS id, event_type AS category, value - floor(value) AS u, length(props) AS len, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events)
-SELECT id, category, round(0.7 * u + CASE WHEN k = 1 THEN 0.2 ELSE 0 END + 0.1 * greatest(0, 1 - len / 100.0), 4) AS priority,
- CASE WHEN round(u, 6) >= 0.6 THEN 'high' WHEN round(u, 6) >= 0.3 THEN 'medium' ELSE 'low' END AS level FROM q""")
+
+@query(f"""WITH q AS (SELECT event_id AS id, event_type AS category, {_IDS} AS ids, {_FIRST} AS a, event_id % 20 AS g, length(props) AS len, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events),
+t AS (SELECT *, list_filter(a, lambda x: x > 0) AS real, list_filter(a, lambda x: x > 0 AND x - g > 0) AS gaps FROM q),
+u AS (SELECT *, round(least(1.0, 0.35 * len(list_distinct(ids)) / 3 + CASE WHEN len(real) > 0 THEN 0.25 * greatest(0.0, 1 - list_avg(real) / 90) ELSE 0 END
+ + CASE WHEN len(gaps) > 0 THEN 0.25 * greatest(0.0, 1 - g / 15.0) ELSE 0 END + CASE WHEN len(real) < 3 THEN 0.15 * (1 - len(real) / 3.0) ELSE 0 END) + 1e-9, 4) AS u FROM t)
+SELECT id, category, u AS uncertainty, round(0.7 * u + CASE WHEN k = 1 THEN 0.2 ELSE 0 END + 0.1 * least(1.0, len / 50.0) + 1e-9, 4) AS priority, CASE WHEN u >= 0.6 THEN 'high' WHEN u >= 0.3 THEN 'medium' ELSE 'low' END AS level FROM u""")
 def uncertainty_queue(spark, sf):
     e = read(spark, sf, "events")
-    items = e.select(F.col("event_id").alias("id"), F.col("event_type").alias("category"), (F.col("value") - F.floor("value")).alias("uncertainty"), F.length("props").alias("length"))
-    return learning.queue(items).select("id", "category", F.round("priority", 4).alias("priority"), learning.uncertainty_level(F.round("uncertainty", 6)).alias("level"))
+    items = e.select(F.col("event_id").alias("id"), F.col("event_type").alias("category"), learning.uncertainty(*_arrays()).alias("uncertainty"), F.length("props").alias("length"))
+    return learning.queue(items).select("id", "category", "uncertainty", "priority", learning.uncertainty_level(F.col("uncertainty")).alias("level"))
 
 
-@query()
+@query(f"""WITH q AS (SELECT event_id AS id, {_IDS} AS ids, list_filter({_FIRST}, lambda x: x > 0) AS real FROM events),
+v AS (SELECT id, len(list_distinct(ids)) AS k, CASE WHEN len(real) >= 2 THEN 1 - least(1.0, list_var_pop(real) / 100) ELSE 0.5 END AS c FROM q)
+SELECT id, round(CASE WHEN k = 1 THEN least(0.4, 0.4 * c) ELSE 0.6 * (k - 1) / 2 + 0.4 * c END, 6) AS quality FROM v""")
+def info_quality(spark, sf):
+    ids, first, _ = _arrays()
+    return read(spark, sf, "events").select(F.col("event_id").alias("id"), F.round(learning.info_quality(ids, first), 6).alias("quality"))
+
+
+_STEP = """CASE WHEN {h} THEN lr * (1 + 0.3 * {s} / 100) WHEN {r} >= 0 THEN -lr * (1 - 0.2 * {r}) ELSE -0.5 * lr END"""
+_MOVED = lambda i: "0.3 * greatest(0.05, least(0.85, w%d + %s)) + 0.7 * w%d" % (i, _STEP.format(h=f"h{i}", s=f"s{i}", r=f"r{i}"), i)
+_LESS = lambda i: f"CASE WHEN rejected = {i - 1} THEN greatest(0.05, w{i} - 0.5 * lr) ELSE w{i} END"
+_FOLD = f"""WITH RECURSIVE e AS (SELECT event_type AS category, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k, event_id % 3 <> 0 AS h1, event_id % 2 <> 0 AS h2, value > 20 AS h3,
+ event_id % 5 - 1 AS r1, (event_id + 1) % 5 - 1 AS r2, (event_id + 2) % 5 - 1 AS r3, CAST(event_id * 7 % 101 AS DOUBLE) AS s1, CAST(event_id * 13 % 101 AS DOUBLE) AS s2, CAST(event_id * 29 % 101 AS DOUBLE) AS s3,
+ event_id % 11 / 10.0 AS q, CASE WHEN event_id % 17 = 0 THEN event_id % 3 END AS rejected FROM events),
+s AS (SELECT DISTINCT category, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS n, CAST(0.3 AS DOUBLE) AS w1, CAST(0.35 AS DOUBLE) AS w2, CAST(0.35 AS DOUBLE) AS w3 FROM e
+ UNION ALL SELECT category, k, n, round(a1 / (a1 + a2 + a3), 4), round(a2 / (a1 + a2 + a3), 4), round(a3 / (a1 + a2 + a3), 4) FROM (
+  SELECT category, k, n, CASE WHEN rejected IS NULL THEN {_MOVED(1)} ELSE {_LESS(1)} END AS a1, CASE WHEN rejected IS NULL THEN {_MOVED(2)} ELSE {_LESS(2)} END AS a2, CASE WHEN rejected IS NULL THEN {_MOVED(3)} ELSE {_LESS(3)} END AS a3 FROM (
+   SELECT e.*, s.w1, s.w2, s.w3, CASE WHEN rejected IS NULL THEN s.n + 1 ELSE s.n END AS n,
+    greatest(0.02, least(0.25, 0.1 * CASE WHEN CASE WHEN rejected IS NULL THEN s.n + 1 ELSE s.n END < 100 THEN 1.5 WHEN CASE WHEN rejected IS NULL THEN s.n + 1 ELSE s.n END < 500 THEN 1.0 ELSE 0.5 END * (1 + CASE WHEN rejected IS NULL THEN q ELSE 0.5 END))) AS lr
+   FROM s JOIN e ON s.category = e.category AND e.k = s.k + 1)))"""
+
+
+@query(f"{_FOLD} SELECT category, n, round(w1, 3) AS edit, round(w2, 3) AS tfidf, round(w3, 3) AS vector FROM s QUALIFY row_number() OVER (PARTITION BY category ORDER BY k DESC) = 1")
 def learned_weights(spark, sf):
     out = learning.replay(confirmations(spark, sf))
-    return out.select("category", "n", *[F.round(a, 9).alias(a) for a in learning.ALGORITHMS])
+    return out.select("category", "n", *[F.round(a, 3).alias(a) for a in learning.ALGORITHMS])
+
+
+@query("""WITH e AS (SELECT event_type AS category, event_id % 17 = 0 AS rj, event_id % 3 AS a, event_id % 3 <> 0 AS h1, event_id % 2 <> 0 AS h2, value > 20 AS h3, event_id % 11 > 6 AS high FROM events)
+SELECT category, count(*) FILTER (WHERE NOT rj) AS n_confirmed, count(*) FILTER (WHERE rj) AS n_rejected, count(*) FILTER (WHERE NOT rj AND high) AS n_high,
+ round(count(*) FILTER (WHERE NOT rj AND h1) / count(*) FILTER (WHERE (NOT rj AND h1) OR (rj AND a = 0)), 4) AS edit_rate, round(count(*) FILTER (WHERE NOT rj AND h2) / count(*) FILTER (WHERE (NOT rj AND h2) OR (rj AND a = 1)), 4) AS tfidf_rate,
+ round(count(*) FILTER (WHERE NOT rj AND h3) / count(*) FILTER (WHERE (NOT rj AND h3) OR (rj AND a = 2)), 4) AS vector_rate FROM e GROUP BY category""")
+def learning_stats(spark, sf):
+    return learning.stats(confirmations(spark, sf))
 
 
 @query()
@@ -386,18 +472,17 @@ def stream_equals_batch(spark, sf):
     """Weights from a stream of the same confirmations, next to those of the batch replay."""
     from ..streaming import streams
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="boqspark-")
-    name = f"learn_{uuid.uuid4().hex}"
-    events = read(spark, sf, "events")
-    source = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parquet*")
-    hit = lambda m: (F.col("event_id") % m != 0).cast("int")
-    rows = source.select(F.col("event_type").alias("category"), "ts", F.col("event_id").alias("id"), hit(3).alias("edit_hit"), hit(2).alias("tfidf_hit"), (F.col("value") > 20).cast("int").alias("vector_hit"))
+    base, name = shared_dir(spark), f"learn_{uuid.uuid4().hex}"
+    made = confirmations(spark, sf)
+    made.write.parquet(f"{base}/{name}/in")  # the stream reads what the batch has
+    rows = spark.readStream.schema(made.schema).parquet(f"{base}/{name}/in")
     q = streams.learn(rows).writeStream.outputMode("update").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{base}/{name}/out/batch={i}"))
     q.option("checkpointLocation", f"{base}/{name}/state").trigger(availableNow=True).start().awaitTermination()
     last = Window.partitionBy("category").orderBy(F.desc("n"))
     streamed = spark.read.parquet(f"{base}/{name}/out").withColumn("r", F.row_number().over(last)).filter("r = 1")
-    both = streamed.select("category", F.col("n").alias("n_stream"), *[F.col(a).alias(f"s_{a}") for a in learning.ALGORITHMS]).join(learning.replay(confirmations(spark, sf)), "category")
+    numbers = [*learning.ALGORITHMS, *[f"fused_{a}" for a in learning.ALGORITHMS], "fusion"]
+    both = streamed.select("category", F.col("n").alias("n_stream"), *[F.col(a).alias(f"s_{a}") for a in numbers]).join(learning.replay(made), "category")
     same = F.lit(True)
-    for a in learning.ALGORITHMS:
+    for a in numbers:
         same = same & (F.abs(F.col(a) - F.col(f"s_{a}")) < 1e-9)
     return both.select("category", "n", "n_stream", same.alias("same"))

@@ -10,11 +10,11 @@ from ..functions.text import ALIASES, squeezed
 LEAST_SCORE, LEAST_TEMPLATE = 0.5, 0.3
 
 
-def header_score(header: Column, alias: Column) -> Column:
-    """1 for a field's own label or alias, else 0.7 times the length ratio if one holds the other."""
+def header_score(header: Column, alias: Column, equal: Column) -> Column:
+    """`equal` (1 for a field's label, 0.95 for an alias) for the same text, else 0.7 times the length ratio if one holds the other."""
     h, a = squeezed(header), squeezed(alias)
     ratio = F.least(F.length(h), F.length(a)) / F.greatest(F.length(h), F.length(a))
-    return F.when(h == a, 1.0).when((h != "") & (a != "") & (F.contains(h, a) | F.contains(a, h)), 0.7 * ratio).otherwise(0.0)
+    return F.when(h == a, equal).when((h != "") & (a != "") & (F.contains(h, a) | F.contains(a, h)), 0.7 * ratio).otherwise(0.0)
 
 
 def propose(headers: DataFrame) -> DataFrame:
@@ -24,8 +24,9 @@ def propose(headers: DataFrame) -> DataFrame:
     """
     spark = headers.sparkSession
     alias = spark.createDataFrame([(f, a, 1.0 if i == 0 else 0.95) for f, names in ALIASES.items() for i, a in enumerate(names)], "field string, alias string, top double")
-    pairs = headers.join(F.broadcast(alias), header_score(F.col("header"), F.col("alias")) > 0)
-    scored = pairs.groupBy("path", "at", "header", "field").agg(F.max(header_score(F.col("header"), F.col("alias")) * F.col("top")).alias("score")).filter(F.col("score") >= LEAST_SCORE)
+    score = header_score(F.col("header"), F.col("alias"), F.col("top"))
+    pairs = headers.join(F.broadcast(alias), score > 0)
+    scored = pairs.groupBy("path", "at", "header", "field").agg(F.max(score).alias("score")).filter(F.col("score") >= LEAST_SCORE)
 
     def choose(pdf):
         used, rows = set(), []
@@ -50,7 +51,7 @@ def recommend_template(files: DataFrame, templates: DataFrame) -> DataFrame:
 
 
 def mapping_problems(mapping: DataFrame, required: tuple[str, ...] = ("item_name",)) -> DataFrame:
-    """mapping: path, header, field. Rows problem, path, name: unknown fields, fields mapped twice, required fields missing."""
+    """mapping: path, header, field. Rows problem, path, name: unknown fields, fields mapped twice, required fields missing, headers without a field (unmapped)."""
     spark = mapping.sparkSession
     known = spark.createDataFrame([(f,) for f in ALIASES], "field string")
     need = spark.createDataFrame([(f,) for f in required], "name string")
@@ -59,4 +60,5 @@ def mapping_problems(mapping: DataFrame, required: tuple[str, ...] = ("item_name
     wanted = mapping.select("path").distinct().join(F.broadcast(need), F.lit(True))
     have = mapping.select("path", F.col("field").alias("name"))
     missing = wanted.join(have, ["path", "name"], "left_anti").select(F.lit("missing").alias("problem"), "path", "name")
-    return unknown.unionByName(twice).unionByName(missing)
+    unmapped = mapping.filter("field IS NULL AND trim(coalesce(header, '')) <> ''").select(F.lit("unmapped").alias("problem"), "path", F.col("header").alias("name"))
+    return unknown.unionByName(twice).unionByName(missing).unionByName(unmapped)

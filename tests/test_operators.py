@@ -40,7 +40,7 @@ def test_recent_falls_back(spark):
 def test_trim_and_quantiles(spark):
     df = prices(spark, [("a", v, 1, DAY) for v in (10, 11, 12, 13, 14, 15, 16, 1000)])
     k = pricing.kpis(df, "k").first()
-    assert (k.n, k.n_outliers, k.q1, k.q2, k.q3, k.max_rate) == (8, 1, 12, 14, 16, 16)
+    assert (k.n, k.n_outliers, k.q1, k.q2, k.q3, k.max_rate) == (7, 1, 11, 13, 15, 16)  # seven are left: places 1, 3 and 5
 
 
 def test_histogram_of_equal_rates(spark):
@@ -60,6 +60,7 @@ def test_upsert(spark):
     new = bill(spark, [(11, 1, "a", "x", 5, "new"), (12, 2, "b", "y", 6, "new")])
     out = {r.id: r for r in merge.upsert(old, new).collect()}
     assert {r.change for r in out.values()} == {"updated", "orphaned"} and not out[3].active
+    assert out[3].anomaly_flag == "normal"
     assert out[1].quantity == 5 and out[1].std_name == "new" and out[2].std_name == "kept"
 
 
@@ -182,3 +183,52 @@ def test_replay_equals_any_partitioning(spark):
     df = spark.createDataFrame(rows, "category string, ts long, id long, edit_hit int, tfidf_hit int, vector_hit int")
     one, many = (sorted(map(tuple, learning.replay(df.repartition(n)).collect())) for n in (1, 7))
     assert one == many
+
+
+def test_a_sequence_matches_whatever_the_name(spark):
+    """The human annotation of a line stays when its name changes: it is the line of that place."""
+    old, new = bill(spark, [(1, 1, "a", "x", 1, "by hand")]), bill(spark, [(2, 1, "a", "x2", 3, None)])
+    row = merge.upsert(old, new).collect()
+    assert [(r.id, r.change, r.item_name, r.std_name, r.quantity) for r in row] == [(1, "updated", "x2", "by hand", 3)]
+
+
+def test_equal_keys_pair_up_until_one_side_is_empty(spark):
+    old = bill(spark, [(1, 10, "a", "X  y", 1, None), (2, 11, "a", "x y", 1, None)])
+    new = bill(spark, [(7, 20, "a", "x y", 5, None), (8, 21, "a", "x Y", 6, None), (9, 22, "b", "z", 7, None)])
+    got = {r.id: (r.change, r.sequence) for r in merge.upsert(old, new).collect()}
+    assert got == {1: ("updated", 21), 2: ("updated", 20), 9: ("created", 22)}
+    got = {r.id: (r.change, r.sequence) for r in merge.upsert(old, new.filter("id = 7")).collect()}
+    assert got == {1: ("orphaned", 10), 2: ("updated", 20)}
+
+
+def test_human_fields_and_inactive_rows_in_an_import(spark):
+    old = bill(spark, [(1, 1, "a", "x", 1, None), (2, 2, "b", "y", 1, None)]).withColumn("anomaly_flag", F.when(F.col("id") == 1, "error").otherwise("normal")).withColumn("active", F.col("id") == 1)
+    new = bill(spark, [(11, 1, "a", "x", 5, None), (12, 2, "b", "y", 6, None)]).withColumn("anomaly_flag", F.lit(None).cast("string"))
+    got = {r.id: (r.change, r.active, r.anomaly_flag) for r in merge.upsert(old, new).collect()}
+    assert got == {1: ("updated", True, "error"), 2: ("kept", False, "normal"), 12: ("created", True, "normal")}
+    counts = {n: {r.change: r.n for r in merge.upsert_counts(merge.upsert(old.repartition(n), new.repartition(n))).collect()} for n in (1, 7)}
+    assert counts[1] == counts[7]
+
+
+def test_orphans_give_their_annotations_to_the_nearest_created_row(spark):
+    rows = [(1, 1, 3, "orphaned", "n1", None), (2, 1, 9, "orphaned", "n2", "s2"), (3, 1, 4, "created", None, None), (4, 1, 10, "created", "own", None), (5, 2, 4, "created", None, None)]
+    df = spark.createDataFrame([(i, b, s, c, n, p, 7) for i, b, s, c, n, p in rows], "id long, import_batch_id long, sequence long, change string, std_name string, std_spec string, material_dict_id long")
+    got = {r.id: (r.std_name, r.std_spec, r.backfilled) for r in merge.backfill_from_orphans(df).collect()}
+    assert got == {3: ("n1", None, True), 4: ("own", "s2", True), 5: (None, None, False)}
+
+
+def test_kpis_of_few_rows_are_the_average_and_anomalies_count(spark):
+    k = pricing.kpis(prices(spark, [("a", 100, 1, DAY), ("a", 200, 3, DAY)]), "k").first()
+    assert (k.n, k.avg_rate, k.q1, k.q2, k.q3, k.n_anomalies) == (2, 175, 175, 175, 175, 0)
+    k = pricing.kpis(prices(spark, [("a", 100, 1, DAY), ("a", 100, 1, DAY), ("a", 100, 1, DAY), ("a", 400, 1, DAY)]), "k").first()
+    assert (k.n, k.avg_rate, k.n_anomalies) == (4, 175, 4)
+    assert pricing.kpis(prices(spark, [("a", 100, 1, DAY)] * 3 + [("a", 400, 1, DAY)]), "k", share=0.9).first().n_anomalies == 1
+
+
+def test_more_siblings_than_numbers_are_reported(spark):
+    rows = spark.createDataFrame([("a", f"b{i:03d}", "c", "d", str(i)) for i in range(130)], "l1 string, l2 string, l3 string, l4 string, l5 string")
+    codes = tree.recode(tree.build(rows, [F.col(f"l{i}") for i in range(1, 6)])).collect()
+    second = [r for r in codes if r.level == "l2"]
+    assert len({r.new_code for r in codes}) == len(codes) and sum(r.overflow for r in second) == 31
+    problems = tree.code_problems(spark.createDataFrame([(r.level, r.new_code) for r in codes], "level string, new_code string")).collect()
+    assert {r.problem for r in problems} == {"length"} and len(problems) == 4 * 31
