@@ -5,7 +5,10 @@ the blocks, and a join on the block number tests a URL with one comparison. Only
 join with the list, which removes false positives. Both joins deal hot URLs out over salts when the filter or list is
 too large to broadcast; its size is counted first.
 
-Defined results: null or `://`-less URLs have empty host and path, no rule and verdict allow unless the empty URL is
+The list of the query comes from what pages contain, not from their URLs: a page full of junk lists its canonical URL,
+and every URL of that form is judged by it, under whatever host prefix, scheme, query or page suffix.
+
+Defined results: of rules of equal length the later one counts; URLs of any length are judged whole; null or `://`-less URLs have empty host and path, no rule and verdict allow unless the empty URL is
 listed (it never is); repeated rows are judged one by one; empty pages or an empty list give their natural results.
 """
 
@@ -24,8 +27,8 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: Registered names whose pages make up the block list of the query.
-LISTED_NAMES = ("spam-farm", "cheap-pills", "casino")
+#: A page whose raw text holds this mark so often puts its URL on the block list of the query.
+JUNK, LEAST_JUNK = "%%%", 10
 KEYS_PER_BLOCK, BITS_PER_KEY, BROADCAST_BLOCKS, SALTS = 4, 5, 1 << 20, 16
 
 
@@ -78,15 +81,20 @@ def _deal(left: DataFrame, right: DataFrame, on: str, small: bool, row: Column)
     return left.withColumn("_salt", F.pmod(F.xxhash64(row), F.lit(SALTS)).cast("int")).join(salted, [on, "_salt"], "left").drop("_salt")
 
 
-def with_listed(rows: DataFrame, urls: DataFrame, key: str = "_key", row: str = "page_id") -> DataFrame:
-    """rows with `_listed`: whether the canonical URL in `key` is among those in column `key` of urls."""
-    urls = cut(urls.filter("key IS NOT NULL AND key <> ''").select(F.col("key").alias(key)).distinct())
-    n = urls.count()
-    n_blocks = max(1, -(-n // KEYS_PER_BLOCK))
+def with_possible(rows: DataFrame, urls: DataFrame, n: int, key: str = "_key", row: str = "page_id", keys_per_block: int | None = None) -> DataFrame:
+    """rows with `_possible`: whether the filter of the n distinct urls (column `key`) takes their key for a listed one. All listed ones are, and few others."""
+    n_blocks = max(1, -(-n // (keys_per_block or KEYS_PER_BLOCK)))
     blocks = bloom_blocks(urls.withColumnRenamed(key, "key"), n_blocks).withColumnRenamed("block", "_block").withColumnRenamed("bits", "_bits")
     mask = _mask(F.col(key))
     tested = _deal(rows.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(n_blocks))), blocks, "_block", n_blocks <= BROADCAST_BLOCKS, F.col(row))
-    tested = tested.withColumn("_possible", F.coalesce(mask.bitwiseAND(F.col("_bits")) == mask, F.lit(False))).drop("_block", "_bits")
+    return tested.withColumn("_possible", F.coalesce(mask.bitwiseAND(F.col("_bits")) == mask, F.lit(False))).drop("_block", "_bits")
+
+
+def with_listed(rows: DataFrame, urls: DataFrame, key: str = "_key", row: str = "page_id", keys_per_block: int | None = None) -> DataFrame:
+    """rows with `_listed`: whether the canonical URL in `key` is among those in column `key` of urls."""
+    urls = cut(urls.filter("key IS NOT NULL AND key <> ''").select(F.col("key").alias(key)).distinct())
+    n = urls.count()
+    tested = with_possible(rows, urls, n, key, row, keys_per_block)
     exact = _deal(tested.filter("_possible"), urls.withColumn("_listed", F.lit(True)), key, n <= BROADCAST_BLOCKS // 16, F.col(row))
     sure = tested.filter("NOT _possible").withColumn("_listed", F.lit(False))
     return exact.withColumn("_listed", F.coalesce("_listed", F.lit(False))).unionByName(sure).drop("_possible")
@@ -107,29 +115,31 @@ def judge_urls(pages: DataFrame, urls: DataFrame, rules=RULES, url: str = "url",
     return rows.filter("verdict IS NOT NULL").unionByName(by_list).drop("_key")
 
 
-def listed_urls(pages: DataFrame, names=LISTED_NAMES) -> DataFrame:
-    """Canonical URLs (`key`) of the pages of the listed names: the block list of the query, drawn from the table itself."""
-    return ruled(pages).filter(F.regexp_extract("_key", r"^([^./]*)", 1).isin(*names)).select(F.col("_key").alias("key"))
+def listed_urls(pages: DataFrame, mark: str = JUNK, least: int = LEAST_JUNK) -> DataFrame:
+    """Canonical URLs (`key`) of pages whose raw text holds a mark `least` times or more. pages: url, html."""
+    often = (F.length("html") - F.length(F.replace("html", F.lit(mark), F.lit("")))) >= least * len(mark)
+    return ruled(pages.filter(often).select("url")).select(F.col("_key").alias("key"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return judge_urls(pages, listed_urls(pages)).select("page_id", "host", "path", "rule", "verdict")
+    pages = table(spark, sf_dir, "pages")
+    return judge_urls(pages.select("page_id", "url"), listed_urls(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
 _HOST = r"lower(CASE WHEN url LIKE '%://%' THEN regexp_extract(url, '://([^/?#]*)', 1) ELSE '' END)"
 _PATH = r"CASE WHEN url LIKE '%://%' THEN regexp_extract(url, '://[^/?#]*([^?#]*)', 1) ELSE '' END"
 OP5_SQL = rf"""
-WITH p AS (SELECT page_id, coalesce({_HOST}, '') AS host, coalesce({_PATH}, '') AS path FROM pages),
+WITH p AS (SELECT page_id, html, coalesce({_HOST}, '') AS host, coalesce({_PATH}, '') AS path FROM pages),
 r AS (SELECT *,
   CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/en/1%' THEN 'example.org/en/1'
        WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/es/%' THEN 'example.org/es/'
        WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/fr/%' THEN 'com/fr/'
        WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/de/%' THEN 'com/de/'
        WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/' END AS rule,
-  regexp_replace(host, '^((www|m|blog)\.)+|:\d*$', '') AS bare FROM p)
+  regexp_replace(regexp_replace(host, '^((www|m|blog)\.)+', ''), ':\d*$', '') || regexp_replace(path, '(\.html)?/*$', '') AS canonical FROM p),
+l AS (SELECT DISTINCT canonical FROM r WHERE canonical <> '' AND len(html) - len(replace(html, '%%%', '')) >= 30)
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-       WHEN split_part(bare, '.', 1) IN ('spam-farm', 'cheap-pills', 'casino') THEN 'block' ELSE 'allow' END AS verdict
+       WHEN canonical IN (SELECT canonical FROM l) THEN 'block' ELSE 'allow' END AS verdict
 FROM r
 """
