@@ -58,6 +58,13 @@ def cuts(ids: np.ndarray) -> list[int]:
     return ends
 
 
+def fitting(ids: np.ndarray, wide: bool) -> np.ndarray:
+    """The ids, if they have room in the store; else an error, as they would come back as others."""
+    if not wide and len(ids) and int(ids.max()) > 65_535:
+        raise ValueError("an id needs more than 16 bits: write the store with wide=True")
+    return ids
+
+
 def merkle(names: list[bytes]) -> bytes:
     """Root of a binary hash tree; an odd last node goes up as it is."""
     level = names or [hashlib.sha256(b"").digest()]
@@ -89,6 +96,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 0
             for lo in range(0, len(keys), 250):
                 out: list[tuple] = []
                 for k, ids in zip(keys[lo : lo + 250], reader.encode(texts[lo : lo + 250], end_id), strict=True):
+                    fitting(ids, wide)
                     own, last = [], 0
                     for e in cuts(ids):
                         raw = ids[last:e].astype(width).tobytes()
