@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Order of places that never count as earlier ones.
+NOWHERE = np.iinfo(np.int32).max
+
 
 def suffix_array(rank: np.ndarray, reach: int) -> np.ndarray:
     """Order of the suffixes by prefix doubling. rank: symbol ranks, no two suffixes equal beyond `reach` symbols."""
@@ -52,40 +55,58 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Texts of symbols >= 1, each closed by a 0. Closing zeros count as different symbols, in the order of their texts."""
+    """Texts of symbols >= 1, each closed by a 0. Closing zeros count as different symbols, in the order of their texts.
+
+    Kept are the wavelet matrix and, if `order` gives the order of each place of the text, that of each suffix in 32 bits;
+    neither the text nor the suffix array.
+    """
 
-    def __init__(self, text: np.ndarray, reach: int):
+    def __init__(self, text: np.ndarray, reach: int, order: np.ndarray | None = None):
         ends = text == 0
         n_ends = int(ends.sum())
         rank = text.astype(np.int64) + n_ends
         rank[ends] = np.arange(n_ends)
-        self.suffixes = suffix_array(rank, reach)
-        self.wavelet = WaveletMatrix(text[self.suffixes - 1])
+        suffixes = suffix_array(rank, reach)
+        self.size = len(text)
+        self.wavelet = WaveletMatrix(text[suffixes - 1])
         counts = np.bincount(text, minlength=int(text.max(initial=0)) + 1)
         self.first = np.r_[0, np.cumsum(counts)[:-1]]
-        symbols = np.arange(len(counts))
-        self.base = self.wavelet.place(symbols, np.zeros(len(counts), np.int64))
-        self.text = text
+        self.base = self.wavelet.place(np.arange(len(counts)), np.zeros(len(counts), np.int64))
+        self.order = None if order is None else np.append(order[suffixes], NOWHERE).astype(np.int32)
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One step of backward search."""
         shift = self.first[symbol] - self.base[symbol]
         return shift + self.wavelet.place(symbol, lo), shift + self.wavelet.place(symbol, hi)
 
-    def repeated(self, starts: np.ndarray, size: int, order: np.ndarray) -> np.ndarray:
-        """Which windows text[s : s + size] also stand at a place of lower order; order: of each place of the text."""
-        out = np.zeros(len(starts), bool)
-        live = np.arange(len(starts))
-        lo, hi = np.zeros(len(starts), np.int64), np.full(len(starts), len(self.text), np.int64)
-        for back in range(size - 1, -1, -1):
-            lo, hi = self.extend(self.text[starts[live] + back], lo, hi)
-            more = hi - lo > 1  # its own place alone: a single one
+    def _least(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Least order of the suffixes of each interval."""
+        spans, own = np.unique(lo * (self.size + 1) + hi, return_inverse=True)
+        a, b = spans // (self.size + 1), spans % (self.size + 1)
+        return np.minimum.reduceat(self.order, np.stack([a, b], axis=1).ravel())[::2][own.ravel()]
+
+    def statistics(self, text: np.ndarray, ends: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
+        """Matching statistics of a streamed text: for each end the length of the longest part before it that also stands at
+        an earlier place of the index than its own; 0 where that is under `least`. order: of the places of the text.
+
+        Backward search over the wavelet matrix, a word at a time for all ends at once. An end is done when only its own
+        place is left, when its text begins, or when no place of the interval is an earlier one: parts of a part that
+        stands earlier stand earlier too, so the longest one is the last that did.
+        """
+        out = np.zeros(len(ends), np.int64)
+        live = np.arange(len(ends))
+        lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), self.size, np.int64)
+        length = 0
+        while len(live):
+            length += 1
+            at = ends[live] - length
+            inside = at >= 0
+            inside[inside] = text[at[inside]] != 0
+            live, lo, hi, at = live[inside], lo[inside], hi[inside], at[inside]
+            lo, hi = self.extend(text[at], lo, hi)
+            more = hi - lo > 1  # more than its own place
+            if length >= least:
+                more[more] = self._least(lo[more], hi[more]) < order[at[more]] if more.any() else False
+                out[live[more]] = length
             live, lo, hi = live[more], lo[more], hi[more]
-            if not len(live):
-                return out
-        spans, own = np.unique(lo * (len(self.text) + 1) + hi, return_inverse=True)
-        a, b = spans // (len(self.text) + 1), spans % (len(self.text) + 1)
-        by_suffix = np.r_[order[self.suffixes], np.iinfo(np.int64).max]
-        least = np.minimum.reduceat(by_suffix, np.stack([a, b], axis=1).ravel())[::2]
-        out[live] = least[own] < order[starts[live]]
         return out

@@ -9,8 +9,8 @@ Route, then index:
     the shard of the anchor value: equal windows meet in one shard. A task sends a stretch once, with its first place.
     Windows of very frequent anchors travel singly, dealt by their own words.
  3. Index. Each shard builds a compressed FM-index over its distinct stretches; backward search over the wavelet
-    matrix streams every window, drops it as soon as only its own place is left, and reports windows whose interval
-    holds an earlier place. Intervals go back to their documents.
+    matrix gives the matching statistics of every place of the streamed stretches: the longest part that ends there and
+    also stands at an earlier place. Parts of 20 words or more are reported as intervals, which go back to their documents.
 Anchors and buckets only choose what is compared; windows are compared word by word.
 
 Defined results: null text = no words; words `[^\x20\x09-\x0D]+` as they are; order of places: doc_id (null first),
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, small_batches, table, word_hashes
-from .fm_index import FMIndex
+from .fm_index import NOWHERE, FMIndex
 
 WINDOW, GRAM = 20, 10
 HOT_TEXTS, HOT_LISTS, SHARD_WORDS, BROADCAST_ROWS = 50_000, 10_000, 1_500_000, 1_000_000
@@ -258,7 +258,6 @@ def _search(groups: list[list[tuple]]) -> Iterator[pa.RecordBatch]:
             text += [number.setdefault(w, len(number) + 1) for w in row[4].split(b" ")]
             text.append(0)
         symbols = np.array(text, np.int64)
-        index = FMIndex(symbols, reach=2 * WINDOW)
         sizes = np.array([r[3] for r in kept])
         begin = np.array(begins)
         row = np.repeat(np.arange(len(kept)), sizes)
@@ -266,14 +265,17 @@ def _search(groups: list[list[tuple]]) -> Iterator[pa.RecordBatch]:
         starts = begin[row] + offset
         place = np.array([r[2] for r in kept])[row] + offset
         o, t1 = np.array([r[0] for r in kept])[row], np.array([r[1] for r in kept])[row]
-        order = np.full(len(symbols), np.iinfo(np.int64).max)
+        order = np.full(len(symbols), NOWHERE)
         order[starts[np.lexsort((place, t1, o))]] = np.arange(len(starts))
-        for i in np.flatnonzero(index.repeated(starts, WINDOW, order)).tolist():
-            s = int(place[i])
+        index = FMIndex(symbols, reach=2 * WINDOW, order=order)
+        longest = index.statistics(symbols, starts + WINDOW, order, WINDOW)
+        for i in np.flatnonzero(longest).tolist():
+            stop = int(place[i]) + WINDOW
+            s = stop - int(longest[i])
             if found and found[-1][:2] == (o[i], t1[i]) and found[-1][2] <= s <= found[-1][3]:
-                found[-1] = (*found[-1][:3], s + WINDOW)
+                found[-1] = (*found[-1][:3], stop)
             else:
-                found.append((int(o[i]), int(t1[i]), s, s + WINDOW))
+                found.append((int(o[i]), int(t1[i]), s, stop))
     for lo in range(0, len(found), 20_000):
         yield _intervals(found[lo : lo + 20_000])
 

@@ -256,6 +256,25 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.filter("false"), listing).count() == 0
 
 
+def test_false_positives_of_the_url_filter_are_taken_out(spark):
+    """A filter of few bits takes many URLs for listed ones; the exact join leaves the listed ones only."""
+    pages = spark.range(2000).select(F.col("id").alias("page_id"), F.concat(F.lit("n.net/"), F.col("id").cast("string")).alias("_key"))
+    keys = spark.range(0, 2000, 10).select(F.concat(F.lit("n.net/"), F.col("id").cast("string")).alias("key"))
+    possible = url_filter.with_possible(pages, keys.withColumnRenamed("key", "_key"), 200, keys_per_block=16).filter("_possible").count()
+    assert 260 < possible < 1900
+    listed = {r.page_id for r in url_filter.with_listed(pages, keys, keys_per_block=16).filter("_listed").collect()}
+    assert listed == set(range(0, 2000, 10))
+
+
+def test_long_urls_and_rules_of_equal_length(spark):
+    long = "http://n.net/" + "a/" * 50_000
+    pages = spark.createDataFrame([(1, long), (2, long + "b"), (3, "http://x.com/p")], "page_id long, url string")
+    rules = (("allow", "com", "/p"), ("block", "x.com", ""), ("allow", "om", "/p/"))
+    listing = spark.createDataFrame([("n.net/" + "a/" * 49_999 + "a",)], "key string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, listing, rules).collect()}
+    assert got == {1: (None, "block"), 2: (None, "allow"), 3: ("x.com", "block")}
+
+
 def test_urls_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "BROADCAST_BLOCKS", 0)
     pages = spark.range(500).select(F.col("id").alias("page_id"), F.concat(F.lit("http://n.net/"), (F.col("id") % 50).cast("string")).alias("url"))
@@ -403,6 +422,13 @@ def test_damaged_store_is_noticed(spark, docs):
         chunk_store.read_contents(spark, broken).collect()
 
 
+def test_ids_of_more_than_16_bits_need_a_wide_store():
+    ids = np.array([65_535, 70_000], "<u4")
+    assert chunk_store.fitting(ids[:1], False) is not None and chunk_store.fitting(ids, True) is ids
+    with pytest.raises(ValueError, match="16 bits"):
+        chunk_store.fitting(ids, False)
+
+
 def test_lost_or_repeated_recipes_are_noticed(spark, docs, none):
     path = fresh_path(spark, "store")
     chunk_store.write_store(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
@@ -493,6 +519,18 @@ def test_fm_index_finds_all_places():
             assert hi[0] - lo[0] == sum(np.array_equal(text[i : i + size], p) for i in range(len(text) - size + 1))
 
 
+def test_matching_statistics_equal_brute_force():
+    rng = np.random.default_rng(4)
+    text = rng.integers(1, 3, 300)
+    text[::37] = 0
+    text[-1] = 0
+    ends = np.arange(1, 300)
+    straight = np.arange(300)
+    got = fm_index.FMIndex(text, reach=64, order=straight).statistics(text, ends, straight, 3)
+    for e, found in zip(ends.tolist(), got.tolist(), strict=True):
+        assert found == max([n for n in range(3, 37) if e - n >= 0 and 0 not in text[e - n : e] and any(np.array_equal(text[i : i + n], text[e - n : e]) for i in range(e - n))], default=0)
+
+
 # --- 9 ---
 
 
