@@ -29,6 +29,11 @@ class PriceAnalysis:
     gate: DataFrame
 
 
+def newest(rows: DataFrame, n: int | None) -> DataFrame:
+    """The n lines of the newest periods; all without a number, which is the default everywhere."""
+    return rows if n is None else rows.orderBy(F.desc_nulls_last("price_period"), "id").limit(n)
+
+
 def pool(lines: DataFrame, today: Column, months: int = 24, least: int = 3, fall_back: bool = True) -> DataFrame:
     """Priced lines with family and group, of the last months; if these are fewer than `least`, of all time.
 

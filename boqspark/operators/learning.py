@@ -19,6 +19,7 @@ START, LOW, HIGH, EMA = (0.3, 0.35, 0.35), 0.05, 0.85, 0.3
 BASE_RATE, LEAST_RATE, MOST_RATE, PHASES = 0.1, 0.02, 0.25, ((100, 1.5), (500, 1.0), (None, 0.5))
 STRATEGIES = (("fast", 1.5, 0.5), ("balanced", 1.0, 0.3), ("stable", 0.5, 0.15))
 FUSION_START, FUSION_WINDOW = 0.7, 20
+PLAIN_STEP, PLAIN_LOW, PLAIN_HIGH = 0.1, 0.1, 0.8
 WINDOW, DRIFT_FROM, DRIFT_BELOW, NEW_BELOW = 50, 25, 0.5, 5
 UNSURE_HIGH, UNSURE_MEDIUM = 0.6, 0.3
 #: Halves go up when scores are rounded, whatever the order of the additions.
@@ -170,6 +171,11 @@ class Weights:
         if self.n >= FUSION_WINDOW:
             self.fusion = 0.9 * self.fusion + 0.1 * (0.5 + 0.4 * sum(self.hits) / len(self.hits))
 
+    def plain(self, hits: list[bool]) -> None:
+        """The first, simpler rule: a fixed step up or down within its own bounds, no smoothing."""
+        self.n += 1
+        self.values = _unit([max(PLAIN_LOW, min(PLAIN_HIGH, v + (PLAIN_STEP if h else -PLAIN_STEP))) for v, h in zip(self.values, hits, strict=True)])
+
     def reject(self, algorithm: int) -> None:
         """A candidate of the algorithm was refused: it loses half a step."""
         self.n_rejected += 1
@@ -213,8 +219,11 @@ def learned_row(category, w: Weights) -> tuple:
     return (category, w.n, *w.values, *w.fused(), w.fusion, STRATEGIES[w.best()][0])
 
 
-def replay(events: DataFrame, each: bool = False) -> DataFrame:
-    """Weights per category after all its events (category, ts, id and `event_columns`), replayed in order; with each: after every event, with its id."""
+def replay(events: DataFrame, each: bool = False, plain: bool = False) -> DataFrame:
+    """Weights per category after all its events (category, ts, id and `event_columns`), replayed in order.
+
+    each: after every event, with its id. plain: confirmations by the simpler rule, rejections left out.
+    """
     import pandas as pd
 
     names = [x.split()[0] for x in LEARNED.split(", ")]
@@ -229,7 +238,10 @@ def replay(events: DataFrame, each: bool = False) -> DataFrame:
                         out.append(learned_row(category, state))
                     state = Weights()
                 category = row[1]
-                apply_event(state, row[2:])
+                if not plain:
+                    apply_event(state, row[2:])
+                elif row[12] != row[12] or row[12] is None:
+                    state.plain([bool(x) for x in row[2:5]])
                 if each:
                     out.append((row[0], *learned_row(category, state)))
             if out:

@@ -1,8 +1,8 @@
 """Matching bill items to the dictionary: candidate pool, three scorers, fusion, pre-match, pending list, automatic confirmation.
 
-Items repeat their texts: everything is scored once per distinct name and spec and joined back. Names meet only names of
-the pool with a character pair in common (`blocked`); a pool node without one has an edit score near zero. Similarities
-with partial alignment run in Arrow batches over distinct pairs of texts; the rest is joins, windows and columns.
+Items repeat their texts: everything is scored once per distinct name and spec and joined back. Names meet all names of
+the pool that have a character in common; with the others a name has no similarity at all. Similarities with partial
+alignment run in Arrow batches over distinct pairs of texts; the rest is joins, windows and columns.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import cables
+from ..functions.text import canonical_spec
 from ..shared import cut
 from . import similarity as sim
 from .merge import confirm_matches
@@ -80,10 +82,9 @@ def candidate_pool(nodes: DataFrame, levels: tuple[str, ...] = ("l3", "l4"), lea
 
 
 def edit_candidates(queries: DataFrame, pool: DataFrame) -> DataFrame:
-    """qid, dict_id, score of every pool node whose name shares a character pair with the query's name. queries: qid, name, spec."""
-    names = queries.select("name").distinct()
-    pooled = pool.select(F.col("name").alias("pool_name")).distinct()
-    near = sim.candidates(names, pooled, "name", "name", "pool_name", "pool_name", least_shared=1)
+    """qid, dict_id, score of every pool node whose name shares a character with the query's name. queries: qid, name, spec."""
+    letters = lambda df, c: df.select(c).distinct().select(c, F.explode(F.array_distinct(F.split(F.replace(c, F.lit(" "), F.lit("")), ""))).alias("_ch")).filter("_ch <> ''")
+    near = letters(queries, "name").join(letters(pool.withColumnRenamed("name", "pool_name"), "pool_name"), "_ch")
     by_name = text_pairs(near, "name", "pool_name", "name_score")
     q, p = queries.select("qid", "name", "spec"), pool.select("dict_id", "level", F.col("name").alias("pool_name"), F.col("spec").alias("pool_spec"))
     met = cut(q.join(by_name, "name").join(p, "pool_name").select("qid", "spec", "dict_id", "level", "pool_spec", "name_score"))
@@ -248,6 +249,29 @@ def spec_matches(items: DataFrame, nodes: DataFrame) -> DataFrame:
     return j.filter(F.contains("_i", F.col("_s")) | F.contains("_s", F.col("_i"))).select("item", "dict_id", "child_id")
 
 
+def cable_baseline(items: DataFrame, baseline: DataFrame) -> DataFrame:
+    """items (item, spec), baseline (base_id, base_spec) -> item, base_id, how, score.
+
+    Equal canonical specs first, then an alias of the item's spec, then the baseline that shares most features, with 60
+    points or more. Sixty points need the main section or the cores in common, so that these are joined by equality.
+    Ties: the least base_id. Items without a spec or a match have none.
+    """
+    i = cut(items.withColumn("_s", canonical_spec(F.col("spec"))))
+    b = cut(baseline.select("base_id", canonical_spec(F.col("base_spec")).alias("_b"), cables.cable_features(F.col("base_spec")).alias("_bf")))
+    by_spec = b.filter("_b <> ''").groupBy("_b").agg(F.min("base_id").alias("base_id"))
+    exact = i.filter("_s <> ''").join(by_spec, F.col("_s") == F.col("_b")).select("item", "base_id", F.lit("spec").alias("how"), F.lit(100).alias("score"))
+    left = i.filter("_s <> ''").join(exact, "item", "left_anti")
+    alias = left.select("item", F.explode(cables.spec_aliases(F.col("spec"))).alias("_a")).join(by_spec, F.col("_a") == F.col("_b"))
+    alias = alias.groupBy("item").agg(F.min("base_id").alias("base_id")).select("item", "base_id", F.lit("alias").alias("how"), F.lit(100).alias("score"))
+    rest = left.join(alias, "item", "left_anti").select("item", cables.cable_features(F.col("spec")).alias("_f"))
+    keys = lambda f: F.explode(F.array_compact(F.array(F.when(F.col(f"{f}.section") > 0, F.concat(F.lit("s"), F.round(F.col(f"{f}.section"), 2).cast("string"))), F.concat(F.lit("c"), F.col(f"{f}.cores"))))).alias("_k")
+    near = rest.select("item", "_f", keys("_f")).join(b.select("base_id", "_bf", keys("_bf")), "_k").select("item", "base_id", cables.feature_score(F.col("_f"), F.col("_bf")).alias("score")).distinct()
+    feature = sim.top_k(near.filter(F.col("score") >= cables.LEAST_POINTS), "item", 1, by="base_id").select("item", "base_id", F.lit("feature").alias("how"), "score")
+    found = exact.unionByName(alias).unionByName(feature)
+    none = i.join(found, "item", "left_anti").select("item", F.lit(None).cast("long").alias("base_id"), F.lit("none").alias("how"), F.lit(0).alias("score"))
+    return found.unionByName(none)
+
+
 def match_rates(matches: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Matches of each type and their share, in all or by columns (specialty, edition)."""
     by = by or []

@@ -459,6 +459,18 @@ def learned_weights(spark, sf):
     return out.select("category", "n", *[F.round(a, 3).alias(a) for a in learning.ALGORITHMS])
 
 
+_PLAIN = lambda i: f"greatest(0.1, least(0.8, w{i} + CASE WHEN h{i} THEN 0.1 ELSE -0.1 END))"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT event_type AS category, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k, event_id % 3 <> 0 AS h1, event_id % 2 <> 0 AS h2, value > 20 AS h3 FROM events WHERE event_id % 17 <> 0),
+s AS (SELECT DISTINCT category, CAST(0 AS BIGINT) AS k, CAST(0.3 AS DOUBLE) AS w1, CAST(0.35 AS DOUBLE) AS w2, CAST(0.35 AS DOUBLE) AS w3 FROM e UNION ALL
+ SELECT category, k, round(a1 / (a1 + a2 + a3), 4), round(a2 / (a1 + a2 + a3), 4), round(a3 / (a1 + a2 + a3), 4) FROM (SELECT e.category, e.k, {_PLAIN(1)} AS a1, {_PLAIN(2)} AS a2, {_PLAIN(3)} AS a3 FROM s JOIN e ON s.category = e.category AND e.k = s.k + 1))
+SELECT category, k AS n, round(w1, 3) AS edit, round(w2, 3) AS tfidf, round(w3, 3) AS vector FROM s QUALIFY row_number() OVER (PARTITION BY category ORDER BY k DESC) = 1""")
+def plain_weights(spark, sf):
+    out = learning.replay(confirmations(spark, sf), plain=True)
+    return out.select("category", "n", *[F.round(a, 3).alias(a) for a in learning.ALGORITHMS])
+
+
 @query("""WITH e AS (SELECT event_type AS category, event_id % 17 = 0 AS rj, event_id % 3 AS a, event_id % 3 <> 0 AS h1, event_id % 2 <> 0 AS h2, value > 20 AS h3, event_id % 11 > 6 AS high FROM events)
 SELECT category, count(*) FILTER (WHERE NOT rj) AS n_confirmed, count(*) FILTER (WHERE rj) AS n_rejected, count(*) FILTER (WHERE NOT rj AND high) AS n_high,
  round(count(*) FILTER (WHERE NOT rj AND h1) / count(*) FILTER (WHERE (NOT rj AND h1) OR (rj AND a = 0)), 4) AS edit_rate, round(count(*) FILTER (WHERE NOT rj AND h2) / count(*) FILTER (WHERE (NOT rj AND h2) OR (rj AND a = 1)), 4) AS tfidf_rate,
