@@ -20,24 +20,26 @@ class Rule:
 
 
 def violated(rule: Rule) -> Column:
+    """Whether a row breaks a rule. Blank values break `required` only; numbers in texts are read as such."""
     c, a = F.col(rule.column), rule.args
+    text = F.trim(c.cast("string"))
+    some = F.coalesce(text != "", F.lit(False))
     if rule.kind == "required":
-        return c.isNull() | (F.trim(c.cast("string")) == "")
+        return ~some
     if rule.kind == "range":
-        v = c.cast("double")
-        out = F.lit(False)
+        v, out = c.try_cast("double"), F.lit(False)
         if "min" in a:
-            out = out | (v <= a["min"] if a.get("exclusive") else v < a["min"])
+            out = out | (v <= a["min"] if a.get("exclusive", a.get("exclusive_min")) else v < a["min"])
         if "max" in a:
-            out = out | (v >= a["max"] if a.get("exclusive") else v > a["max"])
+            out = out | (v >= a["max"] if a.get("exclusive", a.get("exclusive_max")) else v > a["max"])
         return F.coalesce(out, F.lit(False))
     if rule.kind == "regex":
-        return F.coalesce(~c.rlike(f"^(?:{a['pattern']})"), F.lit(False))
+        return some & ~c.cast("string").rlike(f"^(?:{a['pattern']})")
     if rule.kind == "enum":
-        return F.coalesce(~c.isin(*a["values"]), F.lit(False))
+        return some & ~text.isin(*[str(v) for v in a["values"]])
     if rule.kind == "formula":
-        product = F.col(a["a"]).cast("double") * F.col(a["b"])
-        return F.coalesce(F.try_divide(F.abs(c - product), F.abs(product)) > a.get("tolerance", 0.01), F.lit(False))
+        product = F.col(a["a"]).try_cast("double") * F.col(a["b"]).try_cast("double")
+        return F.coalesce(F.try_divide(F.abs(c.try_cast("double") - product), F.abs(product)) > a.get("tolerance", 0.01), F.lit(False))
     raise ValueError(f"no such rule: {rule.kind}")
 
 
@@ -54,14 +56,47 @@ def violations(df: DataFrame, rules: list[Rule], key: str = "id") -> DataFrame:
 
 
 def report(df: DataFrame, rules: list[Rule], key: str = "id") -> DataFrame:
-    """Violations per rule and level, with the rows that break at least one rule of that level."""
-    return violations(df, rules, key).groupBy("rule", "level").agg(F.count("*").alias("n"), F.countDistinct(key).alias("n_rows"))
+    """rule, level, n, n_rows: broken rules and the rows that break them. Counts of repeated values need no way back to the rows."""
+    plain = violations(df, [r for r in rules if r.kind != "unique"], key).groupBy("rule", "level").agg(F.count("*").alias("n"))
+    for r in rules:
+        if r.kind == "unique":
+            many = df.filter(F.col(r.column).isNotNull()).groupBy(r.column).agg(F.count("*").alias("c")).filter("c > 1").agg(F.sum("c").alias("n")).filter("n > 0")
+            plain = plain.unionByName(many.select(F.lit(r.name).alias("rule"), F.lit(r.level).alias("level"), "n"))
+    return plain.withColumn("n_rows", F.col("n"))  # a rule marks a row once
+
+
+def summary(df: DataFrame, rules: list[Rule], key: str = "id") -> DataFrame:
+    """One row: rows, rows without an error, errors, warnings, infos, and whether the rows may be imported (no errors)."""
+    v = violations(df, rules, key)
+    level = lambda x: F.count_if(F.col("level") == x).alias(f"{x}s")
+    out = v.agg(*[level(x) for x in ("error", "warning", "info")], F.countDistinct(F.when(F.col("level") == "error", F.col(key))).alias("_bad"))
+    total = df.agg(F.count("*").alias("total_rows"))
+    out = total.join(F.broadcast(out))  # one row each
+    return out.select("total_rows", (F.col("total_rows") - F.col("_bad")).alias("valid_rows"), "errors", "warnings", "infos", (F.col("errors") == 0).alias("can_import"))
 
 
 def can_import(df: DataFrame, rules: list[Rule], key: str = "id") -> DataFrame:
-    """One row: errors, warnings, infos and whether the rows may be imported (no errors)."""
-    v = violations(df, rules, key).groupBy().agg(*[F.count_if(F.col("level") == x).alias(f"{x}s") for x in ("error", "warning", "info")])
-    return v.withColumn("can_import", F.col("errors") == 0)
+    return summary(df, rules, key)
+
+
+# Rule templates of a bill, and which of them count unless others are chosen.
+TEMPLATES = {
+    "required_item_name": Rule("required_item_name", "required", "item_name", "error"),
+    "quantity_positive": Rule("quantity_positive", "range", "quantity", "warning", {"min": 0, "exclusive_min": True}),
+    "unit_rate_nonnegative": Rule("unit_rate_nonnegative", "range", "unit_rate", "warning", {"min": 0}),
+    "gb_code_format": Rule("gb_code_format", "regex", "item_code", "warning", {"pattern": r"\d{9,12}$"}),
+    "total_consistency": Rule("total_consistency", "formula", "total", "warning", {"a": "quantity", "b": "unit_rate", "tolerance": 0.01}),
+    "no_duplicate_item": Rule("no_duplicate_item", "unique", "item_name", "info"),
+    "unit_standard": Rule("unit_standard", "enum", "unit", "info", {"values": ["m", "m2", "m3", "kg", "t", "个", "套", "组", "台", "樘", "m²", "m³", "吨", "米", "平方米", "立方米"]}),
+}
+ENABLED = ("required_item_name", "quantity_positive", "unit_rate_nonnegative")
+
+
+def rules_from(table: DataFrame) -> list[Rule]:
+    """Rules kept as a table (name, kind, column, level, args as JSON), a few rows that people write."""
+    import json
+
+    return [Rule(r["name"], r["kind"], r["column"], r["level"] or "warning", json.loads(r["args"] or "{}")) for r in table.collect()]
 
 
 BILL_RULES = [

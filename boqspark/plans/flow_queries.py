@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from ..functions import cables, codes, text
-from ..operators import analysis, learning, matching, merge, pricing, quality, search, tree
+from ..operators import analysis, learning, matching, merge, pricing, quality, search, tree, validate
 from ..shared import cut
 from ..sources import imports, ingest
 from .price_queries import PRICED, _by_text
@@ -277,6 +277,13 @@ def import_report(spark, sf):
     return imports.report(imports.judged(records)).select("path", "n_lines", "n_skipped", "n_warnings", "total_cents")
 
 
+@query(f"""{WITH_BOQ}, v AS (SELECT id, unit_rate_cents <= 0 OR data_source_type = 'pending_review' OR abs(total_cents - quantity * unit_rate_cents) / CAST(quantity * unit_rate_cents AS DOUBLE) > 0.00001 AS bad FROM boq)
+SELECT (SELECT count(*) FROM boq) AS total_rows, (SELECT count(*) FROM boq) - count(DISTINCT id) FILTER (WHERE bad) AS valid_rows, NOT bool_or(coalesce(bad, false)) AS can_import FROM v""")
+def import_gate(spark, sf):
+    """Whether the bill may be imported, and how many of its rows break no rule of level error."""
+    return validate.summary(boq(spark, sf), validate.BILL_RULES).select("total_rows", "valid_rows", "can_import")
+
+
 @query(f"""{WITH_BOQ}, s AS (SELECT import_batch_id, sum(total_cents)::BIGINT AS total_cents FROM boq GROUP BY 1), t AS (SELECT *, CASE WHEN import_batch_id % 5 <> 0 THEN CAST(round(total_cents * CASE WHEN import_batch_id % 2 = 0 THEN 1.0005 ELSE 1.01 END) AS BIGINT) END AS stated FROM s)
 SELECT import_batch_id, total_cents, stated AS stated_cents, abs(total_cents - stated) <= 1 OR abs(total_cents - stated) <= 0.001 * abs(stated) AS agrees FROM t""")
 def batch_reconcile(spark, sf):

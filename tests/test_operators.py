@@ -171,6 +171,14 @@ def test_validation(spark):
     assert not validate.can_import(df, rules).first().can_import
 
 
+def test_rules_from_a_table_and_their_summary(spark):
+    df = spark.createDataFrame([(1, "a", "1"), (2, "", "-1"), (3, "b", "x")], "id long, name string, q string")
+    table = spark.createDataFrame([("r", "required", "name", "error", None), ("q", "range", "q", "warning", '{"min": 0}'), ("e", "enum", "q", None, '{"values": ["1", "x"]}')], "name string, kind string, column string, level string, args string")
+    s = validate.summary(df, validate.rules_from(table)).first()
+    assert (s.total_rows, s.valid_rows, s.errors, s.warnings, s.infos, s.can_import) == (3, 2, 1, 2, 0, False)
+    assert validate.summary(df.filter("false"), validate.rules_from(table)).first().can_import and set(validate.ENABLED) <= set(validate.TEMPLATES)
+
+
 def test_learner_weights_stay_bounded():
     w = learning.Weights()
     for i in range(300):
