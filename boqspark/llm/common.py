@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,3 +64,20 @@ class Memo(dict):
         if len(self) < self.cap and len(word) < 64:
             self[word] = value
         return value
+
+
+def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """(k, rows) for each key of a task whose rows are sorted by k."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for b in batches:
+        k = b.column("k").to_numpy()
+        heads = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else []
+        for lo, hi in zip(heads, [*heads[1:], len(k)], strict=True):
+            if held and k[lo] != now:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = int(k[lo])
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield now, pa.Table.from_batches(held)

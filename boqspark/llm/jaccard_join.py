@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table, word_hashes
+from .common import by_key, cut, small_batches, table, word_hashes
 
 SHINGLE, BLOCK, SMALL_BAND, BAND_RATIO, PER_SEGMENT = 5, 768, 200, 3, 2.2
 #: Signatures that a task holds before it sends them, and shingles that one block of sets to be compared may hold.
@@ -185,26 +185,9 @@ def _sketch(batches: Iterator[pa.RecordBatch], parts: int, buckets: int, finer:
     yield from run.packed(buckets)
 
 
-def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    """(k, rows) for each key of a task whose rows are sorted by k."""
-    held: list[pa.RecordBatch] = []
-    now = None
-    for b in batches:
-        k = b.column("k").to_numpy()
-        heads = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else []
-        for lo, hi in zip(heads, [*heads[1:], len(k)], strict=True):
-            if held and k[lo] != now:
-                yield now, pa.Table.from_batches(held)
-                held = []
-            now = int(k[lo])
-            held.append(b.slice(lo, hi - lo))
-    if held:
-        yield now, pa.Table.from_batches(held)
-
-
 def _groups(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Rows of buckets in, sorted by bucket; out: what each set shares in a bucket and the hubs of those groups, packed for the task of the set. Other rows pass."""
-    for _, rows in _by_key(batches):
+    for _, rows in by_key(batches):
         blobs = rows.column("blob").is_valid()
         yield from rows.filter(pc.invert(blobs)).to_batches()
         if packed := rows.filter(blobs).column("blob").to_pylist():
@@ -267,7 +250,7 @@ def _group(blobs: list[list[bytes]], parts: int) -> Iterator[pa.RecordBatch]:
 
 def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sets and their shares in, sorted by k; out: (hub, set) rows, k = -1 and the hub in `ord`, for sets that can have a partner. Document rows pass."""
-    for _, rows in _by_key(batches):
+    for _, rows in by_key(batches):
         blobs, named = rows.column("blob").is_valid(), rows.column("total").is_valid()
         yield from rows.filter(pc.invert(pc.or_(blobs, named))).to_batches()
         sets, packed = rows.filter(named), rows.filter(blobs).column("blob").to_pylist()

@@ -29,12 +29,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table, word_hashes
+from .common import by_key, cut, small_batches, table, word_hashes
 from .fm_index import NOWHERE, FMIndex
 
 WINDOW, GRAM = 20, 10
 HOT_TEXTS, HOT_LISTS, SHARD_WORDS, BROADCAST_ROWS = 50_000, 10_000, 1_500_000, 1_000_000
 FIRST_ID = -(1 << 63)
+#: Anchors that a task holds before it sends them.
+RUN = 2_000_000
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -66,30 +68,35 @@ def prepared(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows in: t1, t2, text. Out: bucket rows (values once per task) and texts whose anchors repeat within the task."""
-    t1s, t2s, values, owners = [], [], [], []
-    seen: set[tuple[int, int]] = set()
+    """Rows in: t1, t2, text. Out: bucket rows (values once per run of a task) and texts whose anchors repeat within a run; a run holds a bounded number of anchors."""
+    seen: dict[tuple[int, int], np.ndarray] = {}
+    size = 0
     for b in batches:
         for t1, t2, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             words = text.encode("utf-8", "replace").split()
             if len(words) < WINDOW or (t1, t2) in seen:
                 continue
-            seen.add((t1, t2))
             place, value = anchors(words)
-            first = np.r_[True, place[1:] != place[:-1]]
-            t1s.append(t1)
-            t2s.append(t2)
-            values.append(value[first])
-            owners.append(np.full(int(first.sum()), len(t1s) - 1, np.uint32))
-    if not t1s:
-        return
-    value, owner = np.concatenate(values), np.concatenate(owners)
-    del values, owners
+            seen[t1, t2] = own = value[np.r_[True, place[1:] != place[:-1]]]
+            size += len(own)
+            if size > RUN:
+                yield from _run(seen, buckets)
+                seen, size = {}, 0
+    if seen:
+        yield from _run(seen, buckets)
+
+
+def _run(seen: dict[tuple[int, int], np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+    names, values = list(seen), list(seen.values())
+    seen.clear()
+    owner = np.repeat(np.arange(len(names), dtype=np.uint32), [len(v) for v in values])
+    value = np.concatenate(values)
+    del values
     order = np.argsort(value, kind="stable")
     value, owner = value[order], owner[order]
     heads = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
     many = np.diff(np.r_[heads, len(value)])
-    t1a, t2a = np.array(t1s, np.int64), np.array(t2s, np.int64)
+    t1a, t2a = np.array(names, np.int64).reshape(-1, 2).T
     known = np.repeat(many > 1, many)
     yield from _marks(value[known], t1a[owner[known]], t2a[owner[known]])
     v, m, o = value[heads], many.astype(np.int64), owner[heads]
@@ -127,19 +134,22 @@ def _marks(value: np.ndarray, t1: np.ndarray, t2: np.ndarray) -> Iterator[pa.Rec
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bucket rows in, texts with repeated anchors out, and lists of the hot values; rows that already are such texts pass."""
-    parts: list[tuple[np.ndarray, ...]] = []
-    for b in batches:
-        ready = b.column(1).is_valid()
-        if (passing := b.filter(ready)).num_rows:
-            yield passing
-        for row in b.filter(pc.invert(ready)).to_pylist():
+    """Bucket rows in, sorted by bucket; texts with repeated anchors out, and lists of the hot values; rows that already are such texts pass."""
+    for _, rows in by_key(batches):
+        ready = rows.column("t").is_valid()
+        yield from rows.filter(ready).to_batches()
+        parts = []
+        for row in rows.filter(pc.invert(ready)).to_pylist():
             v, m, at = np.frombuffer(row["v"], np.uint64), np.frombuffer(row["m"], np.int64), np.frombuffer(row["l"], np.uint32)
             parts.append((v, m, np.frombuffer(row["t1"], np.int64)[at], np.frombuffer(row["t2"], np.int64)[at]))
-    if not parts:
-        return
+        if parts:
+            yield from _answered(parts)
+
+
+def _answered(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """One bucket."""
     v, m, t1, t2 = (np.concatenate([p[i] for p in parts]) for i in range(4))
-    del parts
+    parts.clear()
     order = np.lexsort((t2, t1, v))
     v, m, t1, t2 = v[order], m[order], t1[order], t2[order]
     new_value = np.r_[True, v[1:] != v[:-1]]
@@ -309,7 +319,7 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     ids = d.select("ord", "t1", "t2")
     firsts = cut(ids.groupBy("t1", "t2").agg(F.min("ord").alias("ord"), F.max("ord").alias("last")))
     sketch = d.select("t1", "t2", "text").mapInArrow(lambda it: _sketch(it, parts), _SKETCH)
-    answers = cut(sketch.repartition(parts, "k").mapInArrow(_answer, _SKETCH))
+    answers = cut(sketch.repartition(parts, "k").sortWithinPartitions("k").mapInArrow(_answer, _SKETCH))
     lists = answers.filter("t IS NULL").select("v").limit(HOT_LISTS).collect()  # only how hot values are dealt out depends on them
     hot = spark.sparkContext.broadcast(frozenset(int(x) for r in lists for x in np.frombuffer(r["v"], np.int64)[:HOT_LISTS]))
     marks = answers.filter("t IS NOT NULL").select(F.col("t").alias("t1"), F.col("u").alias("t2"), "v").groupBy("t1", "t2").agg(F.collect_list("v").alias("v"))
