@@ -502,6 +502,7 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the document of least id of each component stays, as do documents without shingles."""
+    """Pipeline stage: the document of least id of each component stays, as do documents without shingles. Rows that share an
+    id go or stay together, by whether one of them is the least of its component."""
     ids = components(docs).filter(F.col("component_id").eqNullSafe(F.col("ord"))).select(F.col("ord").alias("_kept")).distinct()
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept"]), "left_semi")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from itertools import accumulate, chain, compress, filterfalse
 
 import numpy as np
 
@@ -32,19 +33,14 @@ class WordMemo(dict):
         self.encode, self.prefix, self.cap, self.new = encode, prefix, cap, {}
 
     def learn(self, lists: list[list[str]]) -> None:
-        words = [w for w in set().union(*lists) if w not in self]
-        stems, closed = set(), []
-        for w in words:
-            if (w.endswith(".") or w.endswith(",")) and w[-2:-1].isalpha():
-                closed.append(w)
-                w = w[:-1]
-                if w in self:
-                    continue
-            stems.add(w)
+        words = list(filterfalse(self.__contains__, set().union(*lists)))
+        closed = [w for w in words if w.endswith((".", ",")) and w[-2:-1].isalpha()]
+        stems = set(words).difference(closed)
+        stems.update(filterfalse(self.__contains__, [w[:-1] for w in closed]))
         if _ODD.search(" ".join(stems)):
             stems = {s for s in stems if not _ODD.search(s)}
-        found = dict(zip(stems, self.encode([self.prefix + s for s in stems]), strict=True))
-        ends = {e: self.encode([e])[0] for e in ".,"}
+        found = dict(zip(stems, self.encode(list(stems), self.prefix), strict=True))
+        ends = {e: self.encode([e], "")[0] for e in ".,"}
         for w in closed:
             stem = found.get(w[:-1]) or self.get(w[:-1])
             if stem is not None:
@@ -96,15 +92,18 @@ class WordIds:
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Words, each with a space before it or not. Letters alone are one piece, which needs the merges only."""
+    def _words(self, words: list[str], prefix: str) -> list[bytes]:
+        """Ids of words, each with the prefix before it. Letters alone are one piece, which needs the merges only."""
         if self.piece is None:
-            return self._bytes(words)
-        out = [array("I", self.piece(w.encode())).tobytes() if w.isalpha() or w[:1] == " " and w[1:].isalpha() else None for w in words]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(rest, self._bytes([words[i] for i in rest]), strict=True):
-            out[i] = x
-        return out
+            return self._bytes([prefix + w for w in words] if prefix else words)
+        one = list(map(str.isalpha, words))
+        lead = prefix.encode()
+        pieces = list(map(self.piece, [lead + x for x in map(str.encode, compress(words, one))]))
+        flat = array("I", chain.from_iterable(pieces)).tobytes()
+        ends = [0, *accumulate(4 * len(p) for p in pieces)]
+        letters = map(flat.__getitem__, map(slice, ends, ends[1:]))
+        others = iter(self._bytes([prefix + w for w, x in zip(words, one, strict=True) if not x]))
+        return [next(letters) if x else next(others) for x in one]
 
     def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
         """Ids of each text, then the end id."""
