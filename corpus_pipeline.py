@@ -3,6 +3,12 @@
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and works on all that its predecessor kept.
 All but the last return the columns of documents; `run` writes each stage's result to the shared folder and reads it
 again, so a lost executor costs one stage at most.
+
+Defined results of `run`: a null text is an empty one: the base rule of the first stage rejects it (fewer than 50
+words), as it does short texts; rows that share a doc_id go or stay together in the first two stages, copies of a
+document are near duplicates of each other, and of rows equal in id and text one piece list each is packed; an empty
+documents table, or one of which nothing is kept, gives no rows in the schema of the last stage; extra columns travel
+up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
