@@ -340,7 +340,7 @@ def prematch_top5(spark, sf):
 SELECT k.id, m.name AS std_name FROM keyed k JOIN mapping m ON k.item_code_version = m.version AND k.code9 = m.code9 JOIN n ON n.p_name = m.name WHERE k.active AND k.material_dict_id IS NULL""")
 def auto_confirm(spark, sf):
     """Lines that are linked without asking: the code maps to the exact name of a node."""
-    items = match_items(spark, sf)
+    items = cut(match_items(spark, sf).select("id", "active", "material_dict_id", "item_code_version", "item_name", "code9"))
     sure = matching.auto_confirmed(items, match_mapping(items), pool_nodes(spark, sf))
     return sure.select("id", F.col("name").alias("std_name"))
 
@@ -349,7 +349,7 @@ def auto_confirm(spark, sf):
 SELECT o.id, o.part % 3 = 0 AS from_cache, CASE WHEN o.part % 3 = 0 THEN 2 WHEN m.name IS NULL THEN 0 ELSE 1 END AS n, CASE WHEN o.part % 3 = 0 THEN 'a;b' ELSE coalesce(m.name, '') END AS names FROM o LEFT JOIN mapping m ON o.item_code_version = m.version AND o.code9 = m.code9""")
 def pending_matches(spark, sf):
     """What is shown for unlinked lines: stored matches of the last day (two names, one twice), else the category of the code."""
-    items = match_items(spark, sf)
+    items = cut(match_items(spark, sf).select("id", "active", "material_dict_id", "item_code_version", "item_name", "code9", "part"))
     now = F.lit("2026-01-02 12:00:00").cast("timestamp")
     one = lambda n, s: F.struct(F.lit(1).cast("long"), F.lit(n), F.lit(""), F.lit(s), F.lit(n), F.lit("match"))
     stored = F.array(one("a", 90.0), one("a ", 80.0), one("b", 70.0)).cast(f"array<{matching._CANDIDATE}>")
