@@ -152,7 +152,7 @@ def price_analysis_gate(spark, sf):
     return _analysis(spark, sf).gate.select("n", F.round("coverage", 6).alias("coverage"), F.round("anomaly_rate", 6).alias("anomaly_rate"), "passes")
 
 
-@query("""WITH e AS (SELECT event_id AS id, event_type AS category, value FROM events) SELECT id, CASE category WHEN 'click' THEN 0.9 WHEN 'view' THEN 0.5 ELSE 0.3 END AS share FROM e""")
+@query("""WITH e AS (SELECT event_id AS id, event_type AS category, value FROM events) SELECT id, CAST(CASE category WHEN 'click' THEN 0.9 WHEN 'view' THEN 0.5 ELSE 0.3 END AS DOUBLE) AS share FROM e""")
 def category_thresholds(spark, sf):
     kinds = F.when(F.col("event_type") == "click", "电线电缆").when(F.col("event_type") == "view", "钢筋").otherwise("门窗")
     return read(spark, sf, "events").select(F.col("event_id").alias("id"), pricing.threshold(kinds).alias("share"))
