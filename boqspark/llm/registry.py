@@ -7,6 +7,7 @@ from .chunk_store import op7_chunk_store
 from .jaccard_join import op6_jaccard_join
 from .language_model import op4_language_model
 from .packing import op9_packing
+from .periodic_runs import op13_periodic_runs
 from .quality_rules import op3_quality_rules
 from .sp_codec import op1_sentencepiece
 from .substring_dedup import op8_substring_dedup
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_packing": op9_packing,
     "op10_vector_search": op10_vector_search,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLE = {"op5_url_filter": OP5_SQL}
