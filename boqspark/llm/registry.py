@@ -6,6 +6,7 @@ from .chat_format import op2_chat_format
 from .chunk_store import op7_chunk_store
 from .jaccard_join import op6_jaccard_join
 from .language_model import op4_language_model
+from .lexical_search import OP11_SQL, op11_lexical_search
 from .packing import op9_packing
 from .periodic_runs import op13_periodic_runs
 from .quality_rules import op3_quality_rules
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_packing": op9_packing,
     "op10_vector_search": op10_vector_search,
+    "op11_lexical_search": op11_lexical_search,
     "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLE = {"op5_url_filter": OP5_SQL}
+ORACLE = {"op5_url_filter": OP5_SQL, "op11_lexical_search": OP11_SQL}
