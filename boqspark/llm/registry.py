@@ -12,6 +12,7 @@ from .periodic_runs import op13_periodic_runs
 from .quality_rules import op3_quality_rules
 from .sp_codec import op1_sentencepiece
 from .substring_dedup import op8_substring_dedup
+from .suffix_dedup import op12_suffix_dedup
 from .url_filter import OP5_SQL, op5_url_filter
 from .vector_search import op10_vector_search
 
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_vector_search": op10_vector_search,
     "op11_lexical_search": op11_lexical_search,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLE = {"op5_url_filter": OP5_SQL, "op11_lexical_search": OP11_SQL}
