@@ -249,6 +249,13 @@ _STRETCH_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa
 Judge = Callable[[list[tuple]], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
+def ranges(own: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of neighbouring offsets of one owner, both sorted: owner, first, after the last."""
+    heads = np.flatnonzero(np.r_[True, (np.diff(own) != 0) | (np.diff(offset) != 1)][: len(own)])
+    last = np.r_[heads[1:], len(own)] - 1 if len(own) else heads
+    return own[heads], offset[heads], offset[last] + 1
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _STRETCH_TYPES, strict=True)], _STRETCH_NAMES)
 

@@ -18,7 +18,7 @@ def suffix_array(rank: np.ndarray, reach: int) -> np.ndarray:
         if step < n:
             after[: n - step] = rank[step:] + 1
         key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         own = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.r_[False, own[1:] != own[:-1]])

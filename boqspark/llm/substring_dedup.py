@@ -1,17 +1,11 @@
 r"""Removal of passages that stand in the corpus before: windows of 20 words whose words also start earlier.
 
-Route, then index:
- 1. Sketch. Of every 20-word window the least 10-word hash (the last of equals) is its anchor. Each task sends each
-    anchor value once, packed by hash bucket; buckets answer which values stand in more than one text. Texts are
-    known by a 128-bit hash, so that exact copies count once; of a group of exact copies only the first is looked at
-    further, the others are wholly repeated.
- 2. Stretches. In the texts with repeated anchors, the windows of one anchor make a stretch of up to 30 words, sent to
-    the shard of the anchor value: equal windows meet in one shard. A task sends a stretch once, with its first place.
-    Windows of very frequent anchors travel singly, dealt by their own words.
- 3. Index. Each shard builds a compressed FM-index over its distinct stretches; backward search over the wavelet
-    matrix gives the matching statistics of every place of the streamed stretches: the longest part that ends there and
-    also stands at an earlier place. Parts of 20 words or more are reported as intervals, which go back to their documents.
-Anchors and buckets only choose what is compared; windows are compared word by word.
+Routing as in `anchors`: stretches of windows with one repeated anchor meet in the shard of the anchor. Each shard builds a
+compressed FM-index over all its stretches, equal ones too; backward search over the wavelet matrix gives the matching
+statistics of the streamed stretches: for an end, the longest part before it that also stands at an earlier place. The last end
+of a stretch comes first: what its part covers needs no further look, so a stretch that stands earlier as a whole takes one
+search. Then come the ends before that part. Parts of 20 words or more are reported as intervals, which go back to their
+documents. Hashes tell exact copies of whole documents only; all else is compared word by word by the index.
 
 Defined results: null text = no words; words `[^\x20\x09-\x0D]+` as they are; order of places: doc_id (null first),
 then start; rows with the same doc_id and different texts are compared like other documents, their order within the
@@ -25,315 +19,53 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_key, cut, small_batches, table, word_hashes
+from .anchors import Windows, ranges, repeats, with_repeats
+from .common import small_batches, table
 from .fm_index import NOWHERE, FMIndex
 
-WINDOW, GRAM = 20, 10
-HOT_TEXTS, HOT_LISTS, SHARD_WORDS, BROADCAST_ROWS = 50_000, 10_000, 1_500_000, 1_000_000
-FIRST_ID = -(1 << 63)
-#: Anchors that a task holds before it sends them.
-RUN = 2_000_000
-_ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-
-
-def hashes_of(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words))
-
-
-def anchors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Place and value of the anchor of each window of the text."""
-    h = hashes_of(words)
-    n = len(h) - GRAM + 1
-    g = np.zeros(n, np.uint64)
-    for j in range(GRAM):
-        g *= _ODD
-        g += h[j : j + n]
-    g ^= g >> np.uint64(31)
-    g *= _MIX
-    g ^= g >> np.uint64(29)
-    span = WINDOW - GRAM + 1
-    views = np.lib.stride_tricks.sliding_window_view(g, span)[:, ::-1]
-    place = np.arange(len(views)) + span - 1 - np.argmin(views, axis=1)
-    return place, g[place]
-
-
-def prepared(docs: DataFrame, key: str, text: str) -> DataFrame:
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    d = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(FIRST_ID)).alias("ord"), t.alias("text"))
-    return d.select("ord", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
-
-
-def _sketch(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows in: t1, t2, text. Out: bucket rows (values once per run of a task) and texts whose anchors repeat within a run; a run holds a bounded number of anchors."""
-    seen: dict[tuple[int, int], np.ndarray] = {}
-    size = 0
-    for b in batches:
-        for t1, t2, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            words = text.encode("utf-8", "replace").split()
-            if len(words) < WINDOW or (t1, t2) in seen:
-                continue
-            place, value = anchors(words)
-            seen[t1, t2] = own = value[np.r_[True, place[1:] != place[:-1]]]
-            size += len(own)
-            if size > RUN:
-                yield from _run(seen, buckets)
-                seen, size = {}, 0
-    if seen:
-        yield from _run(seen, buckets)
-
-
-def _run(seen: dict[tuple[int, int], np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
-    names, values = list(seen), list(seen.values())
-    seen.clear()
-    owner = np.repeat(np.arange(len(names), dtype=np.uint32), [len(v) for v in values])
-    value = np.concatenate(values)
-    del values
-    order = np.argsort(value, kind="stable")
-    value, owner = value[order], owner[order]
-    heads = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
-    many = np.diff(np.r_[heads, len(value)])
-    t1a, t2a = np.array(names, np.int64).reshape(-1, 2).T
-    known = np.repeat(many > 1, many)
-    yield from _marks(value[known], t1a[owner[known]], t2a[owner[known]])
-    v, m, o = value[heads], many.astype(np.int64), owner[heads]
-    bucket = (v >> np.uint64(20)) % np.uint64(buckets)
-    by = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
-    for k in range(buckets):
-        at = by[edges[k] : edges[k + 1]]
-        if len(at):
-            own, local = np.unique(o[at], return_inverse=True)
-            columns = [v[at].tobytes(), m[at].tobytes(), local.astype(np.uint32).tobytes(), t1a[own].tobytes(), t2a[own].tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([k]), *[pa.nulls(1, pa.int64())] * 2, *(pa.array([c], pa.binary()) for c in columns)], _NAMES)
-
-
-_NAMES = ["k", "t", "u", "v", "m", "l", "t1", "t2"]
-_SKETCH = "k long, t long, u long, v binary, m binary, l binary, t1 binary, t2 binary"
-
-
-def _marks(value: np.ndarray, t1: np.ndarray, t2: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row per text: t, u (its hashes), v (its repeated anchor values)."""
-    if not len(value):
-        return
-    order = np.lexsort((t2, t1))
-    value, t1, t2 = value[order], t1[order], t2[order]
-    heads = np.flatnonzero(np.r_[True, (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1])])
-    edges = np.r_[heads, len(t1)]
-    for lo in range(0, len(heads), 1000):
-        own = range(lo, min(lo + 1000, len(heads)))
-        binary = lambda x: pa.array([x[edges[i] : edges[i + 1]].tobytes() for i in own], pa.binary())  # noqa: B023, E731
-        n = len(own)
-        t1own, t2own = t1[heads[lo : lo + n]], t2[heads[lo : lo + n]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(t1own), pa.array(t1own), pa.array(t2own), binary(value), *[pa.nulls(n, pa.binary())] * 4], _NAMES
-        )
-
-
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bucket rows in, sorted by bucket; texts with repeated anchors out, and lists of the hot values; rows that already are such texts pass."""
-    for _, rows in by_key(batches):
-        ready = rows.column("t").is_valid()
-        yield from rows.filter(ready).to_batches()
-        parts = []
-        for row in rows.filter(pc.invert(ready)).to_pylist():
-            v, m, at = np.frombuffer(row["v"], np.uint64), np.frombuffer(row["m"], np.int64), np.frombuffer(row["l"], np.uint32)
-            parts.append((v, m, np.frombuffer(row["t1"], np.int64)[at], np.frombuffer(row["t2"], np.int64)[at]))
-        if parts:
-            yield from _answered(parts)
-
-
-def _answered(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-    """One bucket."""
-    v, m, t1, t2 = (np.concatenate([p[i] for p in parts]) for i in range(4))
-    parts.clear()
-    order = np.lexsort((t2, t1, v))
-    v, m, t1, t2 = v[order], m[order], t1[order], t2[order]
-    new_value = np.r_[True, v[1:] != v[:-1]]
-    new_text = new_value | np.r_[True, (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1])]
-    group = np.cumsum(new_value) - 1
-    # a copy of a text in another task is the same text; m > 1 says that its task has seen the value more than once
-    texts = np.bincount(group, weights=np.where(new_text, m, 0)).astype(np.int64)
-    texts = np.maximum(texts, np.bincount(group, weights=(m > 1) * 2.0).astype(np.int64))
-    keep = (texts[group] > 1) & new_text
-    hot = v[np.flatnonzero(new_value)][texts >= HOT_TEXTS]
-    if len(hot):
-        yield pa.RecordBatch.from_arrays([pa.array([-1]), *[pa.nulls(1, pa.int64())] * 2, pa.array([hot.tobytes()], pa.binary()), *[pa.nulls(1, pa.binary())] * 4], _NAMES)
-    yield from _marks(v[keep], t1[keep], t2[keep])
-
-
-_STRETCH = "shard long, value long, ord long, t1 long, start long, size int, words binary"
-_STRETCH_NAMES = ["shard", "value", "ord", "t1", "start", "size", "words"]
-
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], _STRETCH_NAMES)
-
-
-def _stretches(batches: Iterator[pa.RecordBatch], hot: frozenset[int]) -> Iterator[pa.RecordBatch]:
-    """Rows in: ord, t1, text, value lists. Out: stretches, and places of stretches that the task has seen earlier (words null)."""
-    import xxhash
-
-    first: dict[tuple[int, bytes], tuple[int, int, int, int]] = {}
-    repeated: list[tuple] = []
-    for b in batches:
-        for o, t1, text, vs in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            words = text.encode("utf-8", "replace").split()
-            place, value = anchors(words)
-            marked = np.unique(np.concatenate([np.frombuffer(v, np.uint64) for v in vs]))
-            hit = marked[np.minimum(np.searchsorted(marked, value), len(marked) - 1)] == value
-            edges = np.r_[np.flatnonzero(np.r_[True, place[1:] != place[:-1]]), len(place)]
-            for k in np.flatnonzero(hit[edges[:-1]]).tolist():
-                start, stop = int(edges[k]), int(edges[k + 1])
-                v = int(value[start].astype(np.int64))
-                for i, j in [(i, i + 1) for i in range(start, stop)] if v in hot else [(start, stop)]:
-                    own = b" ".join(words[i : j - 1 + WINDOW])
-                    here = (o, t1, i, j - i)
-                    old = first.setdefault((v, own), here)
-                    if old != here:
-                        if here < old:
-                            first[v, own], here = here, old
-                        repeated.append((here[0], 0, *here, None))
-            if len(repeated) > 5000:
-                yield _rows(repeated)
-                repeated = []
-    if repeated:
-        yield _rows(repeated)
-    out = []
-    for (v, own), here in first.items():
-        shard = int(np.uint64(xxhash.xxh64_intdigest(own)).astype(np.int64)) if v in hot else v
-        out.append((shard, v, *here, own))
-        if len(out) >= 5000:
-            yield _rows(out)
-            out = []
-    if out:
-        yield _rows(out)
-
-
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches sorted by value in, repeated intervals (ord, t1, start, stop) out."""
-    groups: list[list[tuple]] = []
-    group: list[tuple] = []
-    n_words, last = 0, None
-    for b in batches:
-        done: list[tuple] = []
-        for shard, value, o, t1, start, size, words in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
-            if words is None:
-                done.append((o, t1, start, start + size - 1 + WINDOW))
-                continue
-            if (shard, value) != last:
-                if group:
-                    groups.append(group)
-                    group = []
-                if n_words > SHARD_WORDS:
-                    yield from _search(groups)
-                    groups, n_words = [], 0
-                last = (shard, value)
-            group.append((o, t1, start, size, words))
-            n_words += size + WINDOW
-        if done:
-            yield _intervals(done)
-    if group:
-        groups.append(group)
-    yield from _search(groups)
-
-
-def _intervals(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["ord", "t1", "start", "stop"])
-
-
-def _search(groups: list[list[tuple]]) -> Iterator[pa.RecordBatch]:
-    found: list[tuple] = []
-    kept: list[tuple] = []
-    for group in groups:
-        first: dict[bytes, tuple] = {}
-        for row in sorted(group):
-            if row[4] in first:
-                o, t1, start, size, _ = row
-                found.append((o, t1, start, start + size - 1 + WINDOW))
-            else:
-                first[row[4]] = row
-        if len(first) > 1:
-            kept += first.values()
-    if kept:
-        number: dict[bytes, int] = {}
-        text: list[int] = []
-        begins = []
-        for row in kept:
-            begins.append(len(text))
-            text += [number.setdefault(w, len(number) + 1) for w in row[4].split(b" ")]
-            text.append(0)
-        symbols = np.array(text, np.int64)
-        sizes = np.array([r[3] for r in kept])
-        begin = np.array(begins)
-        row = np.repeat(np.arange(len(kept)), sizes)
-        offset = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        starts = begin[row] + offset
-        place = np.array([r[2] for r in kept])[row] + offset
-        o, t1 = np.array([r[0] for r in kept])[row], np.array([r[1] for r in kept])[row]
-        order = np.full(len(symbols), NOWHERE)
-        order[starts[np.lexsort((place, t1, o))]] = np.arange(len(starts))
-        index = FMIndex(symbols, reach=2 * WINDOW, order=order)
-        longest = index.statistics(symbols, starts + WINDOW, order, WINDOW)
-        for i in np.flatnonzero(longest).tolist():
-            stop = int(place[i]) + WINDOW
-            s = stop - int(longest[i])
-            if found and found[-1][:2] == (o[i], t1[i]) and found[-1][2] <= s <= found[-1][3]:
-                found[-1] = (*found[-1][:3], stop)
-            else:
-                found.append((int(o[i]), int(t1[i]), s, stop))
-    for lo in range(0, len(found), 20_000):
-        yield _intervals(found[lo : lo + 20_000])
-
-
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """ord, t1, starts, stops in; ord, t1, spans out, overlapping and touching spans joined."""
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-    for b in batches:
-        out = []
-        for starts, stops in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            a, e = np.array(starts), np.array(stops)
-            order = np.argsort(a, kind="stable")
-            a, reach = a[order], np.maximum.accumulate(e[order])
-            first = np.flatnonzero(np.r_[True, a[1:] > reach[:-1]])
-            last = np.r_[first[1:], len(a)] - 1
-            out.append([{"start": x, "stop": y} for x, y in zip(a[first].tolist(), reach[last].tolist(), strict=True)])
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, kind)], ["ord", "t1", "spans"])
-
-
-def _restrict(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """docs whose (ord, t1) are in ids: by broadcast up to a counted bound, by shuffle beyond it."""
-    return docs.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, ["ord", "t1"], "left_semi")
+WINDOW, GRAM, SHARD_BYTES = 20, 10, 8_000_000
+
+
+def judge(rows: list[tuple], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretch, first window and window after the last of what also starts at an earlier place."""
+    o, t1, start, size = (np.array([r[i] for r in rows], np.int64) for i in (2, 3, 4, 5))
+    pair = np.array([r[:2] for r in rows], np.int64).reshape(-1, 2)
+    group = np.cumsum(np.r_[True, (np.diff(pair, axis=0) != 0).any(axis=1)][: len(rows)])
+    by = np.lexsort((start, t1, o, group))
+    fresh = np.ones(len(rows), bool)  # rows of repeated documents once
+    fresh[by[1:]] = np.any([np.diff(x[by]) != 0 for x in (start, t1, o, group)], axis=0)
+    kept = np.flatnonzero(fresh & (np.bincount(group, weights=fresh)[group] > 1))
+    if not len(kept):
+        return kept, kept, kept
+    number: dict[bytes, int] = {}
+    text: list[int] = []
+    for k in kept.tolist():
+        text += [number.setdefault(w, len(number) + 1) for w in rows[k][6].split(b" ")]
+        text.append(0)
+    symbols = np.array(text, np.int64)
+    size = size[kept]
+    begin = np.r_[0, np.flatnonzero(symbols == 0)[:-1] + 1]
+    row, offset = np.repeat(np.arange(len(kept)), size), np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    order = np.full(len(symbols), NOWHERE)
+    order[(begin[row] + offset)[np.lexsort((start[kept][row] + offset, t1[kept][row], o[kept][row]))]] = np.arange(len(row))
+    index = FMIndex(symbols, reach=2 * window, order=order)
+    longest = index.statistics(symbols, begin + size - 1 + window, order, window)
+    first = np.where(longest > 0, size - 1 + window - longest, size)  # window from which on the last part covers all
+    left = offset < np.minimum(first, size - 1)[row]
+    row, offset = row[left], offset[left]
+    hit = index.statistics(symbols, begin[row] + offset + window, order, window) > 0
+    own, lo, hi = ranges(row[hit], offset[hit])
+    last = np.flatnonzero(longest)
+    return kept[np.r_[last, own]], np.r_[first[last], lo], np.r_[size[last], hi]
 
 
 def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """ord, t1, whole (an exact copy of an earlier document), spans (start, stop in words): a row per document with a repeat."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = prepared(docs, key, text)
-    ids = d.select("ord", "t1", "t2")
-    firsts = cut(ids.groupBy("t1", "t2").agg(F.min("ord").alias("ord"), F.max("ord").alias("last")))
-    sketch = d.select("t1", "t2", "text").mapInArrow(lambda it: _sketch(it, parts), _SKETCH)
-    answers = cut(sketch.repartition(parts, "k").sortWithinPartitions("k").mapInArrow(_answer, _SKETCH))
-    lists = answers.filter("t IS NULL").select("v").limit(HOT_LISTS).collect()  # only how hot values are dealt out depends on them
-    hot = spark.sparkContext.broadcast(frozenset(int(x) for r in lists for x in np.frombuffer(r["v"], np.int64)[:HOT_LISTS]))
-    marks = answers.filter("t IS NOT NULL").select(F.col("t").alias("t1"), F.col("u").alias("t2"), "v").groupBy("t1", "t2").agg(F.collect_list("v").alias("v"))
-    todo = cut(marks.join(firsts.select("t1", "t2", "ord"), ["t1", "t2"]).select("ord", "t1", "v"))
-    chosen = _restrict(d.select("ord", "t1", "text"), todo.select("ord", "t1"), todo.count())
-    rows = chosen.join(todo, ["ord", "t1"]).select("ord", "t1", "text", "v")
-    stretches = rows.mapInArrow(lambda it: _stretches(it, hot.value), _STRETCH).repartition(parts, "shard").sortWithinPartitions("shard", "value")
-    spans = stretches.mapInArrow(_index, "ord long, t1 long, start long, stop long")
-    spans = spans.groupBy("ord", "t1").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    spans = spans.mapInArrow(_merged, "ord long, t1 long, spans array<struct<start:bigint,stop:bigint>>")
-    copied = firsts.filter("ord <> last").withColumnRenamed("ord", "first").drop("last")
-    whole = ids.join(copied, ["t1", "t2"]).filter("ord <> first").select("ord", "t1").distinct()
-    whole = whole.select("ord", "t1", F.lit(True).alias("whole"), F.lit(None).cast("array<struct<start:bigint,stop:bigint>>").alias("spans"))
-    return cut(spans.select("ord", "t1", F.lit(False).alias("whole"), "spans").unionByName(whole))
+    small_batches(docs.sparkSession)
+    return repeats(docs, key, text, Windows(WINDOW, GRAM), judge, SHARD_BYTES)
 
 
 def cut_words(text: str, whole: bool, spans: list[dict] | None) -> tuple[int, int, str]:
@@ -351,29 +83,24 @@ def cut_words(text: str, whole: bool, spans: list[dict] | None) -> tuple[int, in
     return n, n - len(words), b" ".join(words).decode()
 
 
-_MADE = ("_sd_ord", "_sd_t1", "_sd_whole", "_sd_spans", "_sd_words", "_sd_removed", "_sd_kept")
+_MADE = ("_sd_words", "_sd_removed", "_sd_kept")
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with _sd_words, _sd_removed and _sd_kept: words, words removed, and the words left joined by one space."""
-    found = find_repeats(docs, key, text)
-    n = found.agg(F.count("*") + F.coalesce(F.sum(F.greatest(F.size("spans"), F.lit(0))), F.lit(0))).first()[0]
-    found = found.select(*(F.col(c).alias(f"_sd_{c}") for c in found.columns))
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.withColumns({"_sd_ord": F.coalesce(F.col(key).cast("long"), F.lit(FIRST_ID)), "_sd_t1": F.xxhash64(t)})
-    rows = rows.join(F.broadcast(found) if n <= BROADCAST_ROWS // 4 else found, ["_sd_ord", "_sd_t1"], "left").drop("_sd_ord", "_sd_t1")
-    names = [c for c in rows.columns if not c.startswith("_sd_")]
+    rows = with_repeats(docs, find_repeats(docs, key, text), key, text)
+    names = docs.columns
     at = rows.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [cut_words(*r) for r in zip(b.column(at).to_pylist(), b.column("_sd_whole").to_pylist(), b.column("_sd_spans").to_pylist(), strict=True)]
+            out = [cut_words(*r) for r in zip(b.column(at).to_pylist(), b.column("_wr_whole").to_pylist(), b.column("_wr_spans").to_pylist(), strict=True)]
             columns = list(zip(*out, strict=True)) if out else [[], [], []]
             made = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *made], [*names, *_MADE[4:]])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *made], [*names, *_MADE])
 
     schema = rows.select(*names).schema.add("_sd_words", "long").add("_sd_removed", "long").add("_sd_kept", "string")
-    return rows.select(*names, "_sd_whole", "_sd_spans").mapInArrow(run, schema)
+    return rows.select(*names, "_wr_whole", "_wr_spans").mapInArrow(run, schema)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,20 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import ByteWindows, repeats, with_repeats
+from .anchors import ByteWindows, ranges, repeats, with_repeats
 from .common import small_batches, table
 from .suffix_sort import grouped
 
 WINDOW, GRAM, SHARD_BYTES = 50, 24, 2_000_000
 
 
-def _ranges(own: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of neighbouring offsets of one owner, both sorted: owner, first, after the last."""
-    heads = np.flatnonzero(np.r_[True, (np.diff(own) != 0) | (np.diff(offset) != 1)][: len(own)])
-    last = np.r_[heads[1:], len(own)] - 1 if len(own) else heads
-    return own[heads], offset[heads], offset[last] + 1
-
-
 def judge(rows: list[tuple], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Stretch, first window and window after the last of what also starts in a document of smaller ord."""
     pieces = [r[6] for r in rows]
@@ -72,7 +65,7 @@ def judge(rows: list[tuple], window: int = WINDOW) -> tuple[np.ndarray, np.ndarr
     if len(at):
         before[order] = first[order] > np.repeat(np.minimum.reduceat(first[order], heads), np.diff(np.r_[heads, len(at)]))
     hit = np.flatnonzero(before) if len(at) else np.empty(0, np.int64)
-    which, lo, hi = _ranges(own[hit], offset[hit])
+    which, lo, hi = ranges(own[hit], offset[hit])
     # the stretches that are as the examples and of the same ord
     left = np.flatnonzero(o == least[kind])
     left = left[np.argsort(kind[left], kind="stable")]

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boqspark.llm import (
+    anchors,
     chat_format,
     chunk_store,
     fm_index,
@@ -495,8 +496,10 @@ def test_substrings(spark, docs, none):
 
 @pytest.mark.parametrize("hot", [50_000, 2])
 def test_substrings_of_families(spark, monkeypatch, hot):
-    monkeypatch.setattr(substring_dedup, "HOT_TEXTS", hot)
-    monkeypatch.setattr(substring_dedup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(anchors, "HOT_TEXTS", hot)
+    monkeypatch.setattr(anchors, "RUN_TEXTS", 1)
+    monkeypatch.setattr(anchors, "FOLD", 50)
+    monkeypatch.setattr(anchors, "BROADCAST_ROWS", 0)
     rows = family(40, 120, 6) + family(30, 30, 7) + [(900 + i, "b a " * (15 + i)) for i in range(5)]
     got = substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert sorted((r.doc_id, r._sd_words, r._sd_removed, r._sd_kept) for r in got) == sorted(brute_removal(rows))
