@@ -1,8 +1,9 @@
 """Token ids of whole texts with a tokenizers file, word by word from a memo.
 
 Both tokenizer kinds used here split texts into words before any merge, so a word's ids do not depend on its
-neighbours, and a closing full stop or comma after a letter is a piece of its own. Texts with white space other than
-single spaces and single line ends go to the library whole.
+neighbours, and a closing full stop or comma after a letter is a piece of its own; the library is asked once per letter
+whether it is, as lower-casing leaves a combining mark after some. Texts with white space other than single spaces and single
+line ends, and texts in which an added token of the vocabulary stands, go to the library whole.
 """
 
 from __future__ import annotations
@@ -31,10 +32,22 @@ class WordMemo(dict):
     def __init__(self, encode, prefix: str, cap: int):
         super().__init__()
         self.encode, self.prefix, self.cap, self.new = encode, prefix, cap, {}
+        self.apart: dict[str, bool] = {}
+
+    def _closes(self, word: str) -> bool:
+        """Whether a full stop or comma after the last letter is a piece of its own."""
+        if not word.endswith((".", ",")) or not word[-2:-1].isalpha():
+            return False
+        end = word[-2:]
+        if end not in self.apart:
+            heads = [end[0], f"a{end[0]}", f"A{end[0]}"]
+            *own, mark = self.encode([*heads, end[1]], "")
+            self.apart[end] = self.encode([h + end[1] for h in heads], "") == [x + mark for x in own]
+        return self.apart[end]
 
     def learn(self, lists: list[list[str]]) -> None:
         words = list(filterfalse(self.__contains__, set().union(*lists)))
-        closed = [w for w in words if w.endswith((".", ",")) and w[-2:-1].isalpha()]
+        closed = list(filter(self._closes, words))
         stems = set(words).difference(closed)
         stems.update(filterfalse(self.__contains__, [w[:-1] for w in closed]))
         if _ODD.search(" ".join(stems)):
@@ -81,7 +94,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         with_space, without = self._bytes([" a b", "a b"])
         self.spaces_count = with_space != without  # whether a leading space is part of a word
         self.bare = WordMemo(self._words, "", cap if not self.spaces_count else cap // 8)
@@ -109,7 +122,7 @@ class WordIds:
         """Ids of each text, then the end id."""
         end = np.array([end_id], "<u4").tobytes()
         plan = self._by_line if self.spaces_count else self._by_word
-        plans = [plan(t) if t else None for t in texts]
+        plans = [plan(t) if t and not any(map(t.__contains__, self.added)) else None for t in texts]
         heads = [first for p in plans if p for first, _ in p]
         self.bare.learn([[f] for f in heads] if self.spaces_count else heads)
         if self.spaces_count:

@@ -561,11 +561,34 @@ def test_packing(spark, docs, none):
 
 
 def test_packing_settles_when_many_are_open():
-    p = packing.LevelPacker(4096, 0, max_open=3)
-    for i in range(200):
-        p.add(i, np.arange(100 + i, dtype="<u4"))
-    p.settle()
-    assert sum(len(r[2]) // 4 for r in p.done) == sum(100 + i for i in range(200))
+    for most in (1, 3, 2048):
+        p = packing.LevelPacker(4096, 0, max_open=most)
+        for i in range(200):
+            p.add(i, np.arange(100 + i, dtype="<u4"))
+        p.settle()
+        own = collections.defaultdict(list)
+        for doc, start, ids, _, seq, at in p.done:
+            own[doc].append((start, np.frombuffer(ids, "<u4").tolist()))
+            own[f"seq {seq}"].append((at, len(ids) // 4))
+        assert all(sum((x for _, x in sorted(own[i])), []) == list(range(100 + i)) for i in range(200))
+        for pieces in (sorted(v) for k, v in own.items() if isinstance(k, str)):
+            full = sum(n for _, n in pieces)
+            assert [a for a, _ in pieces] == [sum(n for _, n in pieces[:i]) for i in range(len(pieces))] and (full == 4096 or full & (full - 1) == 0)
+
+
+def test_packing_cuts_little():
+    """64 partitions of documents: under a twentieth of the tokens is moved by cuts."""
+    r = random.Random(3)
+    moved = total = 0
+    for _ in range(64):
+        p = packing.LevelPacker(4096, 0)
+        for i in range(800):
+            n = max(1, int(r.lognormvariate(6, 1.2)))
+            total += n
+            p.add(i, np.zeros(n, "<u4"))
+        p.settle()
+        moved += p.cut_tokens
+    assert moved < 0.05 * total
 
 
 # --- 10 ---
@@ -599,6 +622,41 @@ def test_search(spark):
     assert vector_search.search(df, df.filter("false")).count() == 0
 
 
+def test_search_counts_rows_and_scales_huge_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.1]), (1, [2.0, 0.1]), (2, [1e200, 1e199]), (2, [0.0, -1.0]), (3, [-1e-200, 0.0]), (0, [1.0, 0.0]), (50, [1e308, 1e308])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = collections.defaultdict(list)
+    for r in vector_search.search(df, F.col("vec_id") % 50 == 0, k=7).orderBy("query_id", "rank", "vec_id").collect():
+        got[r.query_id].append((r.rank, r.vec_id, round(r.score, 9)))
+    near, far = round(2 / np.hypot(2, 0.1), 9), round(1 / np.hypot(1, 0.1), 9)
+    assert got[50][0][1:] == (2, round(1.1 / np.hypot(1, 0.1) / np.sqrt(2), 9)) and len(got[50]) == 7
+    one = [(0, 1.0), (1, near), (1, near), (2, far), (50, round(np.sqrt(0.5), 9)), (2, 0.0), (3, -1.0)]
+    assert got[0] == [(i + 1, *x) for i, x in enumerate(one) for _ in range(2)]  # two rows ask, each finds the other
+    outside = spark.createDataFrame([(1, [1e200, 0.0])], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in vector_search.search(df, outside, k=3).orderBy("rank").collect()] == [0, 0, 2]
+
+
+# --- tokenizers ---
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_word_ids_equal_the_library(name):
+    from tokenizers import Tokenizer
+
+    from boqspark.llm.word_ids import WordIds
+
+    file = public_tokenizers.path(name)
+    library, own, r = Tokenizer.from_file(file), WordIds(file), random.Random(11)
+    letters = [c for c in map(chr, range(0x80, 0x2000)) if c.isalpha()] + ["\u0130", "\u0958", "\ufb1d"]
+    odd = ["<|endoftext|>", "<|startoftext|>", "<|endoftext|", "\u0307", "\u0301", "don't", "'s", "123", "...", " ", "\n", "\t", "😀", "İ,", "İ."]
+    texts = [c + mark for c in ["\u0130", "\u0958", "Σ", "ß"] for mark in (".", ",", ".,", "")] + ["a <|endoftext|> b", "x<|endoftext|>.", "<|ENDOFTEXT|>"]
+    for _ in range(1500):
+        texts.append("".join(r.choice(odd) if r.random() < 0.3 else "".join(r.choice(letters) for _ in range(r.randint(1, 4))) + r.choice([" ", ". ", ", ", ".", ",\n"]) for _ in range(r.randint(1, 8))))
+    for lo in range(0, len(texts), 300):
+        for t, ids in zip(texts[lo : lo + 300], own.encode(texts[lo : lo + 300], 7), strict=True):
+            assert ids.tolist() == [*library.encode(t, add_special_tokens=False).ids, 7], t
+
+
 # --- pipeline ---
 
 
