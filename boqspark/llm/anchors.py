@@ -3,12 +3,12 @@
 A window is so many consecutive symbols (words, bytes) of a text. Its anchor is the least hash of the shorter grams in it, so
 equal windows have equal anchors. Three passes over the texts:
  1. `hot_values`. Each task counts, run by run, in how many of its texts an anchor stands; what many texts of a run have is
-    added up. Very frequent anchors are known from here on.
+    added up. Very frequent anchors, and how many there are of all, are known from here on.
  2. `repeated`. All other anchors are sent once per run, packed by hash bucket; the buckets answer which of them stand in
     more than one text. Texts are known by a 128-bit hash, so that exact copies count once.
- 3. `stretches`. In the first of each group of equal texts, the windows of one repeated anchor make a stretch, which is sent
-    to the shard of the anchor. Windows of very frequent anchors travel singly, to the shard of what they say, and a task
-    first folds its own: no shard gets more of one window than there are runs.
+ 3. `stretches`. In the first of each group of equal texts, the windows of one repeated anchor make a stretch. A task folds its
+    stretches by the operator's own index; what stands in none of its earlier texts is sent to the shard of the anchor. Windows
+    of very frequent anchors are sent singly, to the shard of what they say: no shard gets more of one than there are folds.
 Anchors, buckets and shards only choose what is compared. What repeats is for the operator's index to tell.
 """
 
@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 from .common import by_key, cut, word_hashes
 
 FIRST_ID = -(1 << 63)
-#: Anchors of a run, and stretches that a task folds at once.
-RUN, FOLD = 2_000_000, 100_000
-#: An anchor is very frequent from this many texts on, and from this share of all; a run reports what half that share of its own texts have.
-HOT_TEXTS, HOT_SHARE, RUN_TEXTS = 1000, 1 / 1024, 8
+#: Anchors of a run and of a bucket, and stretches that a task folds at once.
+RUN, BUCKET, FOLD = 2_000_000, 3_000_000, 300_000
+#: An anchor is very frequent from this many texts on, and from this share of all; a run reports what half that share of its own
+#: texts have; one text in so many is asked, where that leaves enough of them.
+HOT_TEXTS, HOT_SHARE, RUN_TEXTS, TEXT_PART = 1000, 1 / 1024, 8, 8
 BROADCAST_ROWS = 1_000_000
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _PLACE = np.uint64(63)
@@ -49,6 +50,9 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Windows:
     """Windows of `size` words, with anchors among their grams of `gram` words; size - gram < 64."""
 
+    #: Whether what repeats within one text counts.
+    within = True
+
     def __init__(self, size: int, gram: int):
         self.size, self.gram = size, gram
 
@@ -87,8 +91,9 @@ class Windows:
 
 
 class ByteWindows(Windows):
-    """Windows of bytes."""
+    """Windows of bytes; only what repeats in another text counts."""
 
+    within = False
     _symbol = np.random.default_rng(12).integers(0, 1 << 64, 256, np.uint64, endpoint=False)
 
     def split(self, text: str) -> bytes:
@@ -135,18 +140,23 @@ def _runs(batches: Iterator[pa.RecordBatch], windows: Windows) -> Iterator[dict[
         yield seen
 
 
-def hot_values(d: DataFrame, windows: Windows, n_texts: int) -> np.ndarray:
-    """The values of very frequent anchors, sorted: at most mean anchors of a text / HOT_SHARE of them."""
+def hot_values(d: DataFrame, windows: Windows, n_texts: int) -> tuple[np.ndarray, int]:
+    """The values of very frequent anchors, sorted (at most mean anchors of a text / HOT_SHARE of them), and about how many
+    anchors there are. A part of the texts tells, chosen by hash: it decides only how stretches travel and are dealt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for seen in _runs(batches, windows):
             value, n = np.unique(np.concatenate([np.unique(v) for v in seen.values()]), return_counts=True)
             many = n > max(RUN_TEXTS, len(seen) * HOT_SHARE / 2)
-            yield pa.RecordBatch.from_arrays([pa.array(value[many].view(np.int64)), pa.array(n[many])], ["value", "n"])
+            columns = [np.r_[value[many].view(np.int64), -1], np.r_[n[many], sum(map(len, seen.values()))]]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["value", "n"])
 
-    least = max(HOT_TEXTS, n_texts * HOT_SHARE)
-    found = d.select("t1", "t2", "text").mapInArrow(run, "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    return np.sort(np.array([r["value"] for r in found.select("value").collect()], np.int64).view(np.uint64))
+    part = TEXT_PART if n_texts * HOT_SHARE / TEXT_PART >= RUN_TEXTS else 1
+    some = d.filter(F.pmod("t1", F.lit(part)) == 0).select("t1", "t2", "text")
+    found = some.mapInArrow(run, "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
+    rows = found.filter((F.col("n") * part >= max(HOT_TEXTS, n_texts * HOT_SHARE)) | (F.col("value") < 0)).collect()
+    hot = np.sort(np.array([r["value"] for r in rows if r["value"] >= 0], np.int64).view(np.uint64))
+    return hot, sum(r["n"] for r in rows if r["value"] < 0) * part
 
 
 def among(values: np.ndarray, some: np.ndarray) -> np.ndarray:
@@ -154,89 +164,98 @@ def among(values: np.ndarray, some: np.ndarray) -> np.ndarray:
     return some[np.minimum(np.searchsorted(some, values), len(some) - 1)] == values if len(some) else np.zeros(len(values), bool)
 
 
-_NAMES = ["k", "t", "u", "v", "m", "l", "t1", "t2"]
-_SKETCH = "k long, t long, u long, v binary, m binary, l binary, t1 binary, t2 binary"
+def _short(value: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each value, and its 32 bits there: as buckets grow with the input, few different values fall together. (Where they
+    do, there is more to compare, no more.)"""
+    return (value >> np.uint64(32)) % np.uint64(buckets), value.astype(np.uint32)
+
+
+_NAMES = ["k", "t", "u", "v", "m", "n", "t1", "t2"]
+_SKETCH = "k long, t long, u long, v binary, m binary, n binary, t1 binary, t2 binary"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], windows: Windows, buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Bucket rows (values once per run) and texts whose anchors are very frequent or repeat within the run."""
+    """Bucket rows (values once per run, by text) and texts with very frequent anchors (t and u only)."""
     for seen in _runs(batches, windows):
-        t1a, t2a = np.array(list(seen), np.int64).reshape(-1, 2).T
-        owner = np.repeat(np.arange(len(seen), dtype=np.uint32), [len(v) for v in seen.values()])
+        t1, t2 = np.array(list(seen), np.int64).reshape(-1, 2).T
+        owner = np.repeat(np.arange(len(seen)), [len(v) for v in seen.values()])
         value = np.concatenate(list(seen.values()))
         seen.clear()
         known = among(value, hot)
         own = np.unique(owner[known])
-        yield from _marks(np.full(len(own), hot[0] if len(hot) else 0, np.uint64), t1a[own], t2a[own])
+        yield from _lists(0, t1[own], t2[own], np.empty(0, np.uint32), np.zeros(len(own) + 1, np.int64))
         value, owner = value[~known], owner[~known]
-        order = np.argsort(value, kind="stable")
-        value, owner = value[order], owner[order]
-        heads = np.flatnonzero(np.r_[True, value[1:] != value[:-1]][: len(value)])
-        many = np.diff(np.r_[heads, len(value)])
-        known = np.repeat(many > 1, many)
-        yield from _marks(value[known], t1a[owner[known]], t2a[owner[known]])
-        v, m, o = value[heads], (many > 1).astype(np.uint8), owner[heads]
-        bucket = (v >> np.uint64(20)) % np.uint64(buckets)
-        by = np.argsort(bucket, kind="stable")
+        order = np.argsort(value)
+        new = np.r_[True, np.diff(value[order]) != 0][: len(value)]
+        pair = np.cumsum(new) - 1
+        several = np.zeros(len(value), bool)  # at several places of the run that count
+        heads = np.flatnonzero(new)
+        if len(heads):
+            low, high = (f.reduceat(owner[order], heads) for f in (np.minimum, np.maximum))
+            several[order] = ((low != high) | windows.within & (np.diff(np.r_[heads, len(value)]) > 1))[pair]
+        once = np.zeros(len(value), bool)
+        once[order[heads]] = True
+        once |= several  # each text has to hear of what it shares
+        bucket, short = _short(value, buckets)
+        by = np.flatnonzero(once)
+        by = by[np.argsort(bucket[by], kind="stable")]  # by bucket, then text
         edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
         for k in range(buckets):
             at = by[edges[k] : edges[k + 1]]
             if len(at):
-                own, local = np.unique(o[at], return_inverse=True)
-                columns = [v[at].tobytes(), m[at].tobytes(), local.astype(np.uint32).tobytes(), t1a[own].tobytes(), t2a[own].tobytes()]
+                own, n = np.unique(owner[at], return_counts=True)
+                columns = [short[at].tobytes(), np.packbits(several[at]).tobytes(), n.astype(np.uint32).tobytes(), t1[own].tobytes(), t2[own].tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([k]), *[pa.nulls(1, pa.int64())] * 2, *(pa.array([c], pa.binary()) for c in columns)], _NAMES)
 
 
-def _marks(value: np.ndarray, t1: np.ndarray, t2: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row per text: t, u (its hashes), v (its repeated anchor values)."""
-    if not len(value):
-        return
-    order = np.lexsort((t2, t1))
-    value, t1, t2 = value[order], t1[order], t2[order]
-    heads = np.flatnonzero(np.r_[True, (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1])])
-    edges = np.r_[heads, len(t1)]
-    for lo in range(0, len(heads), 1000):
-        own = range(lo, min(lo + 1000, len(heads)))
-        lists = pa.array([value[edges[i] : edges[i + 1]].tobytes() for i in own], pa.binary())
-        n = len(own)
-        t1own, t2own = t1[heads[lo : lo + n]], t2[heads[lo : lo + n]]
-        yield pa.RecordBatch.from_arrays([pa.array(t1own), pa.array(t1own), pa.array(t2own), lists, *[pa.nulls(n, pa.binary())] * 4], _NAMES)
+def _lists(k: int, t1: np.ndarray, t2: np.ndarray, values: np.ndarray, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row per text: t, u (its hashes), v (the bucket, then its repeated values there)."""
+    head = np.array([k], np.uint32).tobytes()
+    for lo in range(0, len(t1), 1000):
+        part = slice(lo, lo + 1000)
+        n = len(t1[part])
+        lists = pa.array([head + values[a:b].tobytes() for a, b in zip(edges[lo : lo + n], edges[lo + 1 : lo + n + 1], strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(t1[part]), pa.array(t1[part]), pa.array(t2[part]), lists, *[pa.nulls(n, pa.binary())] * 4], _NAMES)
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bucket rows in, sorted by bucket; texts with repeated anchors out; rows that already are such texts pass."""
-    for _, rows in by_key(batches):
+    for k, rows in by_key(batches):
         ready = rows.column("t").is_valid()
         yield from rows.filter(ready).to_batches()
         parts = []
         for row in rows.filter(pc.invert(ready)).to_pylist():
-            v, m, at = np.frombuffer(row["v"], np.uint64), np.frombuffer(row["m"], np.uint8), np.frombuffer(row["l"], np.uint32)
-            parts.append((v, m, np.frombuffer(row["t1"], np.int64)[at], np.frombuffer(row["t2"], np.int64)[at]))
+            v, n, t1, t2 = (np.frombuffer(row[c], t) for c, t in (("v", np.uint32), ("n", np.uint32), ("t1", np.int64), ("t2", np.int64)))
+            parts.append((v, np.unpackbits(np.frombuffer(row["m"], np.uint8), count=len(v)), n, t1, t2))
         if not parts:
             continue
-        v, m, t1, t2 = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        v, m, n, t1, t2 = (np.concatenate([p[i] for p in parts]) for i in range(5))
         parts.clear()
-        order = np.argsort(v, kind="stable")
-        v, m, t1, t2 = v[order], m[order], t1[order], t2[order]
-        group = np.cumsum(np.r_[True, v[1:] != v[:-1]]) - 1
-        heads = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
-        # repeated: in two texts of one run, or in different texts of two runs (a copy of a text elsewhere is the same text)
-        many = np.add.reduceat(m.astype(np.int64), heads) > 0
+        text = np.repeat(np.arange(len(n)), n)
+        order = np.argsort(v)
+        heads = np.flatnonzero(np.r_[True, np.diff(v[order]) != 0])
+        # repeated: at several places of one run, or in different texts of two runs (a copy of a text elsewhere is the same text)
+        many = np.maximum.reduceat(m[order], heads) > 0
         for t in (t1, t2):
-            many |= np.minimum.reduceat(t, heads) != np.maximum.reduceat(t, heads)
-        keep = many[group]
-        yield from _marks(v[keep], t1[keep], t2[keep])
+            own = t[text[order]]
+            many |= np.minimum.reduceat(own, heads) != np.maximum.reduceat(own, heads)
+        keep = np.empty(len(v), bool)
+        keep[order] = np.repeat(many, np.diff(np.r_[heads, len(v)]))
+        counts = np.bincount(text[keep], minlength=len(n))
+        has = np.flatnonzero(counts)
+        yield from _lists(k, t1[has], t2[has], v[keep], np.r_[0, np.cumsum(counts[has])])
 
 
 def repeated(d: DataFrame, first: DataFrame, windows: Windows) -> tuple[DataFrame, Broadcast]:
-    """(ord, t1, v): the first row of each text with repeated anchors, and these (binary lists); the very frequent anchors."""
+    """(ord, t1, v): the first row of each text with repeated anchors, and these (binary lists); number of buckets and very frequent anchors."""
     spark = d.sparkSession
+    hot, n_anchors = hot_values(d, windows, first.count())
+    buckets = max(1, -(-n_anchors // BUCKET))
+    sketch = d.select("t1", "t2", "text").mapInArrow(lambda it: _sketch(it, windows, buckets, hot), _SKETCH)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hot = hot_values(d, windows, first.count())
-    sketch = d.select("t1", "t2", "text").mapInArrow(lambda it: _sketch(it, windows, parts, hot), _SKETCH)
-    answers = sketch.repartition(parts, "k").sortWithinPartitions("k").mapInArrow(_answer, _SKETCH)
+    answers = sketch.repartition(max(parts, buckets), "k").sortWithinPartitions("k").mapInArrow(_answer, _SKETCH)
     marks = answers.select(F.col("t").alias("t1"), F.col("u").alias("t2"), "v").groupBy("t1", "t2").agg(F.collect_list("v").alias("v"))
-    return cut(marks.join(first.select("t1", "t2", "ord"), ["t1", "t2"]).select("ord", "t1", "v")), spark.sparkContext.broadcast(hot)
+    return cut(marks.join(first.select("t1", "t2", "ord"), ["t1", "t2"]).select("ord", "t1", "v")), spark.sparkContext.broadcast((buckets, hot))
 
 
 _STRETCH = "shard long, value long, ord long, t1 long, start long, size int, piece binary"
@@ -260,22 +279,30 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _STRETCH_TYPES, strict=True)], _STRETCH_NAMES)
 
 
-def _found(rows: list[tuple], at: np.ndarray, lo: np.ndarray, hi: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-    """ord, t1, start and stop of what a judge has told."""
+def _found(rows: list[tuple], at: np.ndarray, lo: np.ndarray, hi: np.ndarray, size: int) -> list[np.ndarray]:
+    """ord, t1, start and stop of what a judge has told, joined where it overlaps or touches."""
     o, t1, start = (np.array([r[i] for r in rows], np.int64)[at] for i in (2, 3, 4))
-    return o, t1, start + lo, start + hi - 1 + size
-
-
-def _fold(rows: list[tuple], windows: Windows, judge: Judge) -> Iterator[pa.RecordBatch]:
-    """Stretches of very frequent anchors: windows that the task itself has earlier go out as found (no piece), the others singly to their shard."""
+    start, stop = start + lo, start + hi - 1 + size
+    order = np.lexsort((start, t1, o))
+    o, t1, start, stop = (x[order] for x in (o, t1, start, stop))
+    new = np.r_[True, (np.diff(o) != 0) | (np.diff(t1) != 0)][: len(o)]
+    shift = np.cumsum(new) * (int(stop.max(initial=0)) + 2)
+    reach = np.maximum.accumulate(stop + shift)
+    heads = np.flatnonzero(np.r_[True, start[1:] + shift[1:] > reach[:-1]][: len(o)])
+    last = np.r_[heads[1:], len(o)] - 1 if len(o) else heads
+    return [o[heads], t1[heads], start[heads], (reach - shift)[last]]
+
+
+def _fold(rows: list[tuple], windows: Windows, judge: Judge, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A task's stretches: what stands earlier among them goes out as found (no piece), what is left to its shard; of very frequent anchors singly."""
     import xxhash
 
     rows.sort(key=lambda r: r[:2])
     at, lo, hi = judge(rows)
     o, t1, start, stop = _found(rows, at, lo, hi, windows.size)
-    for a in range(0, len(at), 20_000):
+    for a in range(0, len(o), 20_000):
         part = slice(a, a + 20_000)
-        n = len(at[part])
+        n = len(o[part])
         columns = [o[part], np.zeros(n, np.int64), o[part], t1[part], start[part], (stop - start)[part].astype(np.int32)]
         yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(n, pa.binary())], _STRETCH_NAMES)
     sizes = np.array([r[5] for r in rows])
@@ -283,14 +310,18 @@ def _fold(rows: list[tuple], windows: Windows, judge: Judge) -> Iterator[pa.Reco
     change = np.zeros(int(sizes.sum()) + 1, np.int64)
     np.add.at(change, begin[at] + lo, 1)
     np.add.at(change, begin[at] + hi, -1)
-    left = np.flatnonzero(np.cumsum(change)[:-1] == 0)
-    own = np.repeat(np.arange(len(rows)), sizes)[left]
+    open_windows = np.cumsum(change)[:-1] == 0
+    frequent = among(np.array([r[1] for r in rows], np.uint64), hot)
     out = []
-    for k, i in zip(own.tolist(), (left - begin[own]).tolist(), strict=True):
-        _, _, o1, t, s, _, piece = rows[k]
-        single = windows.part(piece, i)
-        h = xxhash.xxh64_intdigest(single) >> 1
-        out.append((h, h, o1, t, s + i, 1, single))
+    for k in np.flatnonzero(np.logical_or.reduceat(open_windows, begin)).tolist():
+        if not frequent[k]:
+            out.append(rows[k])
+        else:
+            _, _, o1, t, s, size, piece = rows[k]
+            for i in np.flatnonzero(open_windows[begin[k] : begin[k] + size]).tolist():
+                single = windows.part(piece, i)
+                h = xxhash.xxh64_intdigest(single) >> 1
+                out.append((h, h, o1, t, s + i, 1, single))
         if len(out) >= 5000:
             yield _rows(out)
             out = []
@@ -298,33 +329,33 @@ def _fold(rows: list[tuple], windows: Windows, judge: Judge) -> Iterator[pa.Reco
         yield _rows(out)
 
 
-def stretches(d: DataFrame, todo: DataFrame, windows: Windows, hot: Broadcast, judge: Judge) -> DataFrame:
+def stretches(d: DataFrame, todo: DataFrame, windows: Windows, known: Broadcast, judge: Judge) -> DataFrame:
     """Stretches by shard, sorted by value; rows without a piece are found already (size: its symbols)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        single: list[tuple] = []
+        buckets, hot = known.value
+        held: list[tuple] = []
         for b in batches:
             for o, t1, text, lists in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 symbols = windows.split(text)
                 place, value = windows.anchors(symbols)
-                marked = np.unique(np.concatenate([np.frombuffer(v, np.uint64) for v in lists]))
                 edges = np.r_[np.flatnonzero(np.r_[True, place[1:] != place[:-1]]), len(place)]
                 own = value[edges[:-1]]
-                frequent = among(own, hot.value)
-                for k in np.flatnonzero(among(own, marked) | frequent).tolist():
+                chosen = among(own, hot)
+                bucket, short = _short(own, buckets)
+                marked = []
+                for x in lists:
+                    x = np.frombuffer(x, np.uint32).astype(np.uint64)
+                    marked.append(x[0] << np.uint64(32) | x[1:])
+                chosen |= among(bucket << np.uint64(32) | short, np.unique(np.concatenate(marked)))
+                for k in np.flatnonzero(chosen).tolist():
                     start, stop, v = int(edges[k]), int(edges[k + 1]), int(own[k])  # 58 bits
-                    (single if frequent[k] else out).append((v, v, o, t1, start, stop - start, windows.join(symbols[start : stop - 1 + windows.size])))
-                if len(out) >= 5000:
-                    yield _rows(out)
-                    out = []
-                if len(single) >= FOLD:
-                    yield from _fold(single, windows, judge)
-                    single = []
-        if out:
-            yield _rows(out)
-        if single:
-            yield from _fold(single, windows, judge)
+                    held.append((v, v, o, t1, start, stop - start, windows.join(symbols[start : stop - 1 + windows.size])))
+                if len(held) >= FOLD:
+                    yield from _fold(held, windows, judge, hot)
+                    held = []
+        if held:
+            yield from _fold(held, windows, judge, hot)
 
     parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chosen = d.select("ord", "t1", "text")
