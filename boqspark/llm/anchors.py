@@ -27,7 +27,7 @@ from .common import by_key, cut, word_hashes
 
 FIRST_ID = -(1 << 63)
 #: Anchors of a run and of a bucket, and stretches that a task folds at once.
-RUN, BUCKET, FOLD = 2_000_000, 3_000_000, 300_000
+RUN, BUCKET, FOLD = 2_000_000, 3_000_000, 60_000
 #: An anchor is very frequent from this many texts on, and from this share of all; a run reports what half that share of its own
 #: texts have; one text in so many is asked, where that leaves enough of them.
 HOT_TEXTS, HOT_SHARE, RUN_TEXTS, TEXT_PART = 1000, 1 / 1024, 8, 8

@@ -23,11 +23,15 @@ class HashedText:
         self.text = np.frombuffer(text, np.uint8)
         n = len(self.text)
         self.base, self.mask = _BASES[attempt % len(_BASES)], np.uint64((1 << bits) - 1)
-        inverse = np.uint64(pow(int(self.base), -1, 1 << 64))
-        up, down = (np.cumprod(np.r_[np.uint64(1), np.full(n, b, np.uint64)]) for b in (self.base, inverse))
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.text * down[1:] + down[1:], out=sums[1:])
-        self.prefix = up * sums  # prefix[i + 1] = prefix[i] * base + text[i] + 1
+        power = np.full(n + 1, np.uint64(pow(int(self.base), -1, 1 << 64)), np.uint64)
+        power[0] = 1
+        np.cumprod(power, out=power)
+        self.prefix = np.zeros(n + 1, np.uint64)
+        np.cumsum(power[1:] * (self.text.astype(np.uint16) + 1), out=self.prefix[1:])
+        power.fill(self.base)
+        power[0] = 1
+        np.cumprod(power, out=power)
+        self.prefix *= power  # prefix[i + 1] = prefix[i] * base + text[i] + 1
 
     def common(self, p: np.ndarray, q: np.ndarray, cap: np.ndarray) -> np.ndarray:
         """Length of the common extension of the places, up to the cap."""
