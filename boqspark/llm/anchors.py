@@ -1,14 +1,15 @@
 """Where equal windows of texts meet: the routing that the removals of repeated passages share.
 
 A window is so many consecutive symbols (words, bytes) of a text. Its anchor is the least hash of the shorter grams in it, so
-equal windows have equal anchors. Three passes over the texts:
+equal windows have equal anchors. Of equal texts only the first row is looked at; the others repeat it whole. Passes:
  1. `hot_values`. Each task counts, run by run, in how many of its texts an anchor stands; what many texts of a run have is
     added up. Very frequent anchors, and how many there are of all, are known from here on.
- 2. `repeated`. All other anchors are sent once per run, packed by hash bucket; the buckets answer which of them stand in
-    more than one text. Texts are known by a 128-bit hash, so that exact copies count once.
- 3. `stretches`. In the first of each group of equal texts, the windows of one repeated anchor make a stretch. A task folds its
-    stretches by the operator's own index; what stands in none of its earlier texts is sent to the shard of the anchor. Windows
-    of very frequent anchors are sent singly, to the shard of what they say: no shard gets more of one than there are folds.
+ 2. `marked`. All other anchors are sent once per run, packed by hash bucket; the buckets answer each run which of them stand in
+    more than one text. A text is a number within its run there; its run turns the answers into a list per text.
+ 3. `stretches`. Texts meet their lists in the order of their least anchor, which brings near copies together. The windows of
+    one repeated anchor make a stretch. A task folds its stretches by the operator's own index; what stands in none of its
+    earlier texts is sent to the shard of the anchor. Windows of very frequent anchors are sent singly, to the shard of what
+    they say: no shard gets more of one than there are folds.
 Anchors, buckets and shards only choose what is compared. What repeats is for the operator's index to tell.
 """
 
@@ -19,11 +20,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_key, cut, word_hashes
+from .common import by_key, cut, fresh_path, word_hashes
 
 FIRST_ID = -(1 << 63)
 #: Anchors of a run and of a bucket, and stretches that a task folds at once.
@@ -31,7 +32,7 @@ RUN, BUCKET, FOLD = 2_000_000, 3_000_000, 60_000
 #: An anchor is very frequent from this many texts on, and from this share of all; a run reports what half that share of its own
 #: texts have; one text in so many is asked, where that leaves enough of them.
 HOT_TEXTS, HOT_SHARE, RUN_TEXTS, TEXT_PART = 1000, 1 / 1024, 8, 8
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS, FEW_TEXTS = 1_000_000, 500
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _PLACE = np.uint64(63)
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
@@ -121,23 +122,31 @@ def firsts(d: DataFrame) -> DataFrame:
     return cut(d.groupBy("t1", "t2").agg(F.min("ord").alias("ord"), F.max("ord").alias("last")))
 
 
-def _runs(batches: Iterator[pa.RecordBatch], windows: Windows) -> Iterator[dict[tuple[int, int], np.ndarray]]:
-    """Rows in: t1, t2, text. Out: the anchor values of each text, for a bounded number of anchors at a time."""
-    seen: dict[tuple[int, int], np.ndarray] = {}
+def only_firsts(d: DataFrame, first: DataFrame) -> DataFrame:
+    """The rows of d that are the first of their text; by broadcast of the texts with several rows, up to a counted bound."""
+    copied = first.filter("ord <> last").select("t1", "t2", F.col("ord").alias("_first"))
+    return d.join(F.broadcast(copied) if copied.count() <= BROADCAST_ROWS else copied, ["t1", "t2"], "left").filter("_first IS NULL OR ord = _first").select("ord", "t1", "text")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], windows: Windows) -> Iterator[tuple[list[tuple[int, int]], list[np.ndarray]]]:
+    """Rows in: ord, t1, text. Out: ord and t1 of the texts, and the anchor values of each, for a bounded number of anchors at a time."""
+    names: list[tuple[int, int]] = []
+    values: list[np.ndarray] = []
     size = 0
     for b in batches:
-        for t1, t2, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+        for o, t1, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             symbols = windows.split(text)
-            if len(symbols) < windows.size or (t1, t2) in seen:
+            if len(symbols) < windows.size:
                 continue
             place, value = windows.anchors(symbols)
-            seen[t1, t2] = own = value[np.r_[True, place[1:] != place[:-1]]]
-            size += len(own)
+            names.append((o, t1))
+            values.append(value[np.r_[True, place[1:] != place[:-1]]])
+            size += len(values[-1])
             if size > RUN:
-                yield seen
-                seen, size = {}, 0
-    if seen:
-        yield seen
+                yield names, values
+                names, values, size = [], [], 0
+    if names:
+        yield names, values
 
 
 def hot_values(d: DataFrame, windows: Windows, n_texts: int) -> tuple[np.ndarray, int]:
@@ -145,14 +154,14 @@ def hot_values(d: DataFrame, windows: Windows, n_texts: int) -> tuple[np.ndarray
     anchors there are. A part of the texts tells, chosen by hash: it decides only how stretches travel and are dealt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for seen in _runs(batches, windows):
-            value, n = np.unique(np.concatenate([np.unique(v) for v in seen.values()]), return_counts=True)
-            many = n > max(RUN_TEXTS, len(seen) * HOT_SHARE / 2)
-            columns = [np.r_[value[many].view(np.int64), -1], np.r_[n[many], sum(map(len, seen.values()))]]
+        for names, values in _runs(batches, windows):
+            value, n = np.unique(np.concatenate([np.unique(v) for v in values]), return_counts=True)
+            many = n > max(RUN_TEXTS, len(names) * HOT_SHARE / 2)
+            columns = [np.r_[value[many].view(np.int64), -1], np.r_[n[many], sum(map(len, values))]]
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["value", "n"])
 
     part = TEXT_PART if n_texts * HOT_SHARE / TEXT_PART >= RUN_TEXTS else 1
-    some = d.filter(F.pmod("t1", F.lit(part)) == 0).select("t1", "t2", "text")
+    some = d.filter(F.pmod("t1", F.lit(part)) == 0).select("ord", "t1", "text")
     found = some.mapInArrow(run, "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
     rows = found.filter((F.col("n") * part >= max(HOT_TEXTS, n_texts * HOT_SHARE)) | (F.col("value") < 0)).collect()
     hot = np.sort(np.array([r["value"] for r in rows if r["value"] >= 0], np.int64).view(np.uint64))
@@ -170,32 +179,50 @@ def _short(value: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return (value >> np.uint64(32)) % np.uint64(buckets), value.astype(np.uint32)
 
 
-_NAMES = ["k", "t", "u", "v", "m", "n", "t1", "t2"]
-_SKETCH = "k long, t long, u long, v binary, m binary, n binary, t1 binary, t2 binary"
+_NAMES = ["k", "run", "kind", "v", "i", "m", "h"]
+_SKETCH = "k long, run long, kind int, v binary, i binary, m binary, h binary"
+TEXTS, BUCKET_ROW, ANSWER = 0, 1, 2
+
+
+def _row(k: int, run: int, kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+    binary = [pa.array([c.tobytes()], pa.binary()) for c in columns] + [pa.nulls(1, pa.binary())] * (4 - len(columns))
+    return pa.RecordBatch.from_arrays([pa.array([k]), pa.array([run]), pa.array([kind], pa.int32()), *binary], _NAMES)
+
+
+def _steps(owner: np.ndarray) -> np.ndarray:
+    """Rising numbers by their differences, in one byte each if they fit."""
+    d = np.diff(owner, prepend=0)
+    return d.astype(np.uint8 if d.max(initial=0) < 256 else np.uint32)
+
+
+def _owners(steps: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(steps, np.uint8 if len(steps) == n else np.uint32), dtype=np.int64)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], windows: Windows, buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Bucket rows (values once per run, by text) and texts with very frequent anchors (t and u only)."""
-    for seen in _runs(batches, windows):
-        t1, t2 = np.array(list(seen), np.int64).reshape(-1, 2).T
-        owner = np.repeat(np.arange(len(seen)), [len(v) for v in seen.values()])
-        value = np.concatenate(list(seen.values()))
-        seen.clear()
+    """Per run: its texts (ord, t1, least anchor, whether a very frequent anchor is in it), and a row per bucket: values by text, once per
+    run, what stands at several places of it for each of them."""
+    first = TaskContext.get().partitionId() << 32
+    for run, (names, values) in enumerate(_runs(batches, windows), first):
+        owner = np.repeat(np.arange(len(names)), [len(v) for v in values])
+        value = np.concatenate(values)
+        least = np.array([v.min() for v in values])
+        values.clear()
         known = among(value, hot)
-        own = np.unique(owner[known])
-        yield from _lists(0, t1[own], t2[own], np.empty(0, np.uint32), np.zeros(len(own) + 1, np.int64))
+        frequent = np.zeros(len(names), bool)
+        frequent[owner[known]] = True
+        o, t1 = np.array(names, np.int64).T
+        yield _row(run % buckets, run, TEXTS, o, t1, least, frequent)
         value, owner = value[~known], owner[~known]
         order = np.argsort(value)
         new = np.r_[True, np.diff(value[order]) != 0][: len(value)]
-        pair = np.cumsum(new) - 1
-        several = np.zeros(len(value), bool)  # at several places of the run that count
         heads = np.flatnonzero(new)
+        several = np.zeros(len(value), bool)  # at several places of the run that count
         if len(heads):
             low, high = (f.reduceat(owner[order], heads) for f in (np.minimum, np.maximum))
-            several[order] = ((low != high) | windows.within & (np.diff(np.r_[heads, len(value)]) > 1))[pair]
-        once = np.zeros(len(value), bool)
+            several[order] = ((low != high) | windows.within & (np.diff(np.r_[heads, len(value)]) > 1))[np.cumsum(new) - 1]
+        once = several.copy()  # each text has to hear of what it shares
         once[order[heads]] = True
-        once |= several  # each text has to hear of what it shares
         bucket, short = _short(value, buckets)
         by = np.flatnonzero(once)
         by = by[np.argsort(bucket[by], kind="stable")]  # by bucket, then text
@@ -203,59 +230,74 @@ def _sketch(batches: Iterator[pa.RecordBatch], windows: Windows, buckets: int, h
         for k in range(buckets):
             at = by[edges[k] : edges[k + 1]]
             if len(at):
-                own, n = np.unique(owner[at], return_counts=True)
-                columns = [short[at].tobytes(), np.packbits(several[at]).tobytes(), n.astype(np.uint32).tobytes(), t1[own].tobytes(), t2[own].tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([k]), *[pa.nulls(1, pa.int64())] * 2, *(pa.array([c], pa.binary()) for c in columns)], _NAMES)
-
-
-def _lists(k: int, t1: np.ndarray, t2: np.ndarray, values: np.ndarray, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row per text: t, u (its hashes), v (the bucket, then its repeated values there)."""
-    head = np.array([k], np.uint32).tobytes()
-    for lo in range(0, len(t1), 1000):
-        part = slice(lo, lo + 1000)
-        n = len(t1[part])
-        lists = pa.array([head + values[a:b].tobytes() for a, b in zip(edges[lo : lo + n], edges[lo + 1 : lo + n + 1], strict=True)], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(t1[part]), pa.array(t1[part]), pa.array(t2[part]), lists, *[pa.nulls(n, pa.binary())] * 4], _NAMES)
+                yield _row(k, run, BUCKET_ROW, short[at], _steps(owner[at]), np.packbits(several[at]))
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bucket rows in, sorted by bucket; texts with repeated anchors out; rows that already are such texts pass."""
+    """Bucket rows in, sorted by bucket; each run's repeated values out. Texts pass."""
     for k, rows in by_key(batches):
-        ready = rows.column("t").is_valid()
-        yield from rows.filter(ready).to_batches()
-        parts = []
-        for row in rows.filter(pc.invert(ready)).to_pylist():
-            v, n, t1, t2 = (np.frombuffer(row[c], t) for c, t in (("v", np.uint32), ("n", np.uint32), ("t1", np.int64), ("t2", np.int64)))
-            parts.append((v, np.unpackbits(np.frombuffer(row["m"], np.uint8), count=len(v)), n, t1, t2))
-        if not parts:
+        texts = pc.equal(rows.column("kind"), TEXTS)
+        yield from rows.filter(texts).to_batches()
+        rows = rows.filter(pc.invert(texts)).to_pylist()
+        if not rows:
             continue
-        v, m, n, t1, t2 = (np.concatenate([p[i] for p in parts]) for i in range(5))
-        parts.clear()
-        text = np.repeat(np.arange(len(n)), n)
+        v = np.concatenate([np.frombuffer(r["v"], np.uint32) for r in rows])
+        edges = np.cumsum([0, *(len(r["v"]) // 4 for r in rows)])
+        m = np.concatenate([np.unpackbits(np.frombuffer(r["m"], np.uint8), count=len(r["v"]) // 4) for r in rows])
         order = np.argsort(v)
         heads = np.flatnonzero(np.r_[True, np.diff(v[order]) != 0])
-        # repeated: at several places of one run, or in different texts of two runs (a copy of a text elsewhere is the same text)
-        many = np.maximum.reduceat(m[order], heads) > 0
-        for t in (t1, t2):
-            own = t[text[order]]
-            many |= np.minimum.reduceat(own, heads) != np.maximum.reduceat(own, heads)
+        many = (np.maximum.reduceat(m[order], heads) > 0) | (np.diff(np.r_[heads, len(v)]) > 1)  # in several places of one run, or in several runs
         keep = np.empty(len(v), bool)
         keep[order] = np.repeat(many, np.diff(np.r_[heads, len(v)]))
-        counts = np.bincount(text[keep], minlength=len(n))
-        has = np.flatnonzero(counts)
-        yield from _lists(k, t1[has], t2[has], v[keep], np.r_[0, np.cumsum(counts[has])])
-
+        for r, a, b in zip(rows, edges, edges[1:], strict=False):
+            own = keep[a:b]
+            if own.any():
+                yield _row(k, r["run"], ANSWER, v[a:b][own], _steps(_owners(r["i"], b - a)[own]))
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by run and kind in; out a row per text with repeated or very frequent anchors: ord, t1, least, v (values with their bucket)."""
+    run, names, owners, values = None, None, [], []
+
+    def lists() -> Iterator[pa.RecordBatch]:
+        o, t1, least, frequent = names
+        owner = np.concatenate([*owners, np.empty(0, np.int64)])
+        order = np.argsort(owner, kind="stable")
+        v = np.concatenate([*values, np.empty(0, np.uint64)])[order]
+        edges = np.searchsorted(owner[order], np.arange(len(o) + 1))
+        at = np.flatnonzero((np.diff(edges) > 0) | frequent)
+        for lo in range(0, len(at), 2000):
+            part = at[lo : lo + 2000]
+            marks = pa.array([v[edges[i] : edges[i + 1]].tobytes() for i in part.tolist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(o[part]), pa.array(t1[part]), pa.array(least[part].view(np.int64)), marks], ["ord", "t1", "least", "v"])
 
-def repeated(d: DataFrame, first: DataFrame, windows: Windows) -> tuple[DataFrame, Broadcast]:
-    """(ord, t1, v): the first row of each text with repeated anchors, and these (binary lists); number of buckets and very frequent anchors."""
-    spark = d.sparkSession
-    hot, n_anchors = hot_values(d, windows, first.count())
+    for b in batches:
+        for r in b.to_pylist():
+            if r["kind"] == TEXTS:
+                if names is not None:
+                    yield from lists()
+                run, owners, values = r["run"], [], []
+                names = [np.frombuffer(r[c], t) for c, t in (("v", np.int64), ("i", np.int64), ("m", np.uint64), ("h", bool))]
+            else:
+                short = np.frombuffer(r["v"], np.uint32)
+                owners.append(_owners(r["i"], len(short)))
+                values.append(short.astype(np.uint64) | np.uint64(r["k"] << 32))
+    if names is not None:
+        yield from lists()
+
+
+def marked(own: DataFrame, windows: Windows, n_texts: int) -> tuple[DataFrame, Broadcast]:
+    """(ord, t1, least, v): the texts with repeated anchors, and these; number of buckets and very frequent anchors. own: ord, t1, text, each text once."""
+    spark = own.sparkSession
+    hot, n_anchors = hot_values(own, windows, n_texts)
     buckets = max(1, -(-n_anchors // BUCKET))
-    sketch = d.select("t1", "t2", "text").mapInArrow(lambda it: _sketch(it, windows, buckets, hot), _SKETCH)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    sketch = own.mapInArrow(lambda it: _sketch(it, windows, buckets, hot), _SKETCH)
     answers = sketch.repartition(max(parts, buckets), "k").sortWithinPartitions("k").mapInArrow(_answer, _SKETCH)
-    marks = answers.select(F.col("t").alias("t1"), F.col("u").alias("t2"), "v").groupBy("t1", "t2").agg(F.collect_list("v").alias("v"))
-    return cut(marks.join(first.select("t1", "t2", "ord"), ["t1", "t2"]).select("ord", "t1", "v")), spark.sparkContext.broadcast((buckets, hot))
+    lists = answers.repartition(parts, "run").sortWithinPartitions("run", "kind").mapInArrow(_listed, "ord long, t1 long, least long, v binary")
+    path = fresh_path(spark, "marks")
+    lists.write.parquet(path)
+    return spark.read.parquet(path), spark.sparkContext.broadcast((buckets, hot))
 
 
 _STRETCH = "shard long, value long, ord long, t1 long, start long, size int, piece binary"
@@ -329,39 +371,65 @@ def _fold(rows: list[tuple], windows: Windows, judge: Judge, hot: np.ndarray) ->
         yield _rows(out)
 
 
-def stretches(d: DataFrame, todo: DataFrame, windows: Windows, known: Broadcast, judge: Judge) -> DataFrame:
+def _packed(windows: Windows):
+    """ord, t1, text in; least, ord, t1, text (compressed), v (none) out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            texts = b.column(2).to_pylist()
+            least = [int(windows.anchors(windows.split(t))[1].min()) for t in texts]
+            pressed = [press.compress(t.encode("utf-8", "replace")) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(least, pa.int64()), b.column(0), b.column(1), pa.array(pressed, pa.binary()), pa.nulls(len(texts), pa.binary())], ["least", "ord", "t1", "text", "v"])
+
+    return run
+
+
+def stretches(own: DataFrame, todo: DataFrame, windows: Windows, known: Broadcast, judge: Judge) -> DataFrame:
     """Stretches by shard, sorted by value; rows without a piece are found already (size: its symbols)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdDecompressor()
         buckets, hot = known.value
         held: list[tuple] = []
+        marks: tuple = ()
         for b in batches:
-            for o, t1, text, lists in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                symbols = windows.split(text)
+            for o, t1, pressed, v in zip(*(b.column(c).to_pylist() for c in ("ord", "t1", "text", "v")), strict=True):
+                if pressed is None:
+                    marks = (o, t1, np.unique(np.frombuffer(v, np.uint64)))
+                    continue
+                if marks[:2] != (o, t1):
+                    raise ValueError("a text without its list")
+                symbols = windows.split(press.decompress(pressed).decode())
                 place, value = windows.anchors(symbols)
                 edges = np.r_[np.flatnonzero(np.r_[True, place[1:] != place[:-1]]), len(place)]
-                own = value[edges[:-1]]
-                chosen = among(own, hot)
-                bucket, short = _short(own, buckets)
-                marked = []
-                for x in lists:
-                    x = np.frombuffer(x, np.uint32).astype(np.uint64)
-                    marked.append(x[0] << np.uint64(32) | x[1:])
-                chosen |= among(bucket << np.uint64(32) | short, np.unique(np.concatenate(marked)))
+                bucket, short = _short(value[edges[:-1]], buckets)
+                chosen = among(value[edges[:-1]], hot) | among(bucket << np.uint64(32) | short, marks[2])
                 for k in np.flatnonzero(chosen).tolist():
-                    start, stop, v = int(edges[k]), int(edges[k + 1]), int(own[k])  # 58 bits
-                    held.append((v, v, o, t1, start, stop - start, windows.join(symbols[start : stop - 1 + windows.size])))
+                    start, stop = int(edges[k]), int(edges[k + 1])
+                    x = int(value[start])  # 58 bits
+                    held.append((x, x, o, t1, start, stop - start, windows.join(symbols[start : stop - 1 + windows.size])))
                 if len(held) >= FOLD:
                     yield from _fold(held, windows, judge, hot)
                     held = []
         if held:
             yield from _fold(held, windows, judge, hot)
 
-    parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chosen = d.select("ord", "t1", "text")
-    if todo.count() <= BROADCAST_ROWS:  # only the rows that have something to look at go through the join
-        chosen = chosen.join(F.broadcast(todo.select("ord", "t1")), ["ord", "t1"], "left_semi")
-    rows = chosen.join(todo, ["ord", "t1"]).select("ord", "t1", "text", "v")
+    parts = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = todo.count()
+    ids = todo.select("ord", "t1").distinct()
+    chosen = own.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, ["ord", "t1"], "left_semi").select("ord", "t1", "text")
+    lists = todo.select("least", "ord", "t1", F.lit(None).cast("binary").alias("text"), "v").dropDuplicates(["least", "ord", "t1"])
+    rows = chosen.mapInArrow(_packed(windows), "least long, ord long, t1 long, text binary, v binary").unionByName(lists)
+    # a least anchor that many texts share is dealt to several tasks
+    limit = max(FEW_TEXTS, n // (4 * parts))
+    many = todo.groupBy("least").count().filter(F.col("count") > limit).select("least", (F.col("count") / limit + 1).cast("int").alias("_pieces"))
+    rows = rows.join(F.broadcast(many), "least", "left").withColumn("_piece", F.pmod(F.xxhash64("ord", "t1"), F.coalesce("_pieces", F.lit(1)))).drop("_pieces")  # 4 * parts rows at most
+    rows = rows.repartition(parts, "least", "_piece").sortWithinPartitions("least", "_piece", "ord", "t1", F.col("text").isNotNull()).drop("_piece")
     return rows.mapInArrow(run, _STRETCH).repartition(parts, "shard").sortWithinPartitions("shard", "value")
 
 
@@ -416,8 +484,9 @@ def repeats(docs: DataFrame, key: str, text: str, windows: Windows, judge: Judge
     """ord, t1, whole (the text stands in a row of smaller ord), spans: a row per ord and text with a repeat."""
     d = prepared(docs, key, text)
     first = firsts(d)
-    todo, hot = repeated(d, first, windows)
-    spans = judged(stretches(d, todo, windows, hot, judge), windows, judge, shard_bytes)
+    own = only_firsts(d, first)
+    todo, known = marked(own, windows, first.count())
+    spans = judged(stretches(own, todo, windows, known, judge), windows, judge, shard_bytes)
     copied = first.filter("ord <> last").withColumnRenamed("ord", "first").drop("last")
     whole = d.select("ord", "t1", "t2").join(copied, ["t1", "t2"]).filter("ord <> first").select("ord", "t1").distinct()
     whole = whole.select("ord", "t1", F.lit(True).alias("whole"), F.lit(None).cast("array<struct<start:bigint,stop:bigint>>").alias("spans"))

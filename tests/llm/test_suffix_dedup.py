@@ -106,4 +106,6 @@ def test_very_frequent_anchors(spark, monkeypatch):
     hot, n = anchors.hot_values(d, anchors.ByteWindows(50, 24), len(rows))
     assert len(hot) > 10 and n > 1000
     monkeypatch.setattr(anchors, "BUCKET", 500)
+    monkeypatch.setattr(anchors, "FEW_TEXTS", 1)
+    monkeypatch.setattr(anchors, "BROADCAST_ROWS", 0)
     check(spark, rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
