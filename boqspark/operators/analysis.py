@@ -83,13 +83,11 @@ def price_analysis(lines: DataFrame, today: Column, months: int = 24, family: st
     distinct = cut(pricing.newest_first(chosen, "group_id"))
     own = distinct.filter(F.col("group_id") == group) if group else distinct
     share = pricing.THRESHOLDS.get(family, pricing.DEFAULT_THRESHOLD)
-    one = own.withColumn("_all", F.lit(1))
-    spread = pricing.summary_rows(one, "_all")
-    kpis = pricing.kpis(one, "_all", share=share).join(spread.select("_all", "stddev"), "_all").drop("_all")
-    # spread over all distinct rates, average without outliers
-    kpis = kpis.withColumn("cv_pct", F.round(F.try_divide(100 * F.col("stddev"), F.col("avg_rate")), 1)).withColumn("threshold", F.lit(share))
-    overall = pricing.kpis(one, "_all", share=share)
+    spread = cut(pricing.summary_rows(own))
+    # spread over all distinct rates, average without outliers; one row
+    kpis = pricing.kpis(own, share=share).join(F.broadcast(spread.select("stddev")))
+    kpis = cut(kpis.withColumn("cv_pct", F.round(F.try_divide(100 * F.col("stddev"), F.col("avg_rate")), 1)).withColumn("threshold", F.lit(share)))
     return PriceAnalysis(
         pool=rows, kpis=kpis, trend=pricing.group_prices(own, "price_period", share=share), histogram=pricing.histogram(own.withColumn(pricing.RATE, F.col(pricing.RATE).cast("double"))),
-        quantiles=spread.drop("_all"), groups=price_groups(chosen, overall), gate=quality.gate(quality.metrics(rows)),
+        quantiles=spread, groups=price_groups(chosen, kpis), gate=quality.gate(quality.metrics(rows)),
     )

@@ -1,21 +1,22 @@
 """Matching bill items to the dictionary: candidate pool, three scorers, fusion, pre-match, pending list, automatic confirmation.
 
-Items repeat their texts: everything is scored once per distinct name and spec and joined back. Names meet all names of
-the pool that have a character in common; with the others a name has no similarity at all. Similarities with partial
-alignment run in Arrow batches over distinct pairs of texts; the rest is joins, windows and columns.
+Items repeat their texts: everything is scored once per distinct name and spec and joined back. The best nodes are found
+without scoring all pairs (`topk`): by falling bounds, down to the k-th score. Similarities with partial alignment run in Arrow
+batches over distinct pairs of texts; the rest is joins, windows and columns.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cables
 from ..functions.text import canonical_spec
 from ..shared import cut
+from . import learning, topk
 from . import similarity as sim
 from .merge import confirm_matches
+from .topk import edit_score, edit_similarity  # noqa: F401
 
 # Ranks of candidates shown, features of the two vector models, hours that a stored match is good for.
 TOP, SHOWN, SCORED, FEATURES, VECTOR_FEATURES, GOOD_HOURS = 5, 3, 10, 10_000, 512, 24
@@ -25,45 +26,7 @@ FUZZY, FUZZY_LOW, FUZZY_STAGE = 85, 75, 65
 _CANDIDATE = "struct<dict_id:bigint,name:string,spec:string,score:double,path:string,source:string>"
 
 
-# --- similarity with partial alignment ---
-
-
-def _lcs(bits: dict[str, int], size: int, text: str) -> int:
-    """Longest common subsequence of a text with the one whose character places are in bits, one integer a row."""
-    row = full = (1 << size) - 1
-    for ch in text:
-        if (at := bits.get(ch)) is not None:
-            hit = row & at
-            row = (row + hit | row - hit) & full
-    return size - row.bit_count()
-
-
-def edit_score(a: str | None, b: str | None) -> float:
-    """The greater of 200 LCS / (|a| + |b|) of the whole texts and of the shorter with the best part of the longer; 0 if one is empty."""
-    a, b = (a or "").strip(), (b or "").strip()
-    if not a or not b:
-        return 0.0
-    if len(a) > len(b):
-        a, b = b, a
-    best = 0.0
-    for short, long in ((a, b), (b, a)) if len(a) == len(b) else ((a, b),):
-        bits: dict[str, int] = {}
-        for i, ch in enumerate(short):
-            bits[ch] = bits.get(ch, 0) | 1 << i
-        m, n = len(short), len(long)
-        best = max(best, 200 * _lcs(bits, m, long) / (m + n))
-        for i in range(1 - m, n):
-            part = long[max(0, i) : min(n, i + m)]
-            if 200 * len(part) / (m + len(part)) > best:
-                best = max(best, 200 * _lcs(bits, m, part) / (m + len(part)))
-    return best
-
-
-def edit_similarity(a: str, b: str) -> Column:
-    def scored(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([edit_score(*t) for t in zip(x, y, strict=True)], dtype="float64")
-
-    return F.pandas_udf(scored, "double")(a, b)
+# --- candidates and their scores ---
 
 
 def text_pairs(pairs: DataFrame, a: str, b: str, score: str) -> DataFrame:
@@ -71,9 +34,6 @@ def text_pairs(pairs: DataFrame, a: str, b: str, score: str) -> DataFrame:
     return cut(pairs.select(a, b).distinct()).withColumn(score, edit_similarity(a, b))
 
 
-# --- candidates and their scores ---
-
-
 def candidate_pool(nodes: DataFrame, levels: tuple[str, ...] = ("l3", "l4"), least_name: int = 1) -> DataFrame:
     """dict_id, level, name, spec, path of the nodes of these levels with a name of so many characters. nodes: id, level, name, spec (may be missing), path."""
     spec = F.nullif(F.trim("spec"), F.lit("")) if "spec" in nodes.columns else F.lit(None).cast("string")
@@ -81,15 +41,12 @@ def candidate_pool(nodes: DataFrame, levels: tuple[str, ...] = ("l3", "l4"), lea
     return n.select(F.col("id").alias("dict_id"), "level", "name", F.coalesce(spec, "name").alias("spec"), F.coalesce("path", "name").alias("path"))
 
 
-def edit_candidates(queries: DataFrame, pool: DataFrame) -> DataFrame:
-    """qid, dict_id, score of every pool node whose name shares a character with the query's name. queries: qid, name, spec."""
-    letters = lambda df, c: df.select(c).distinct().select(c, F.explode(F.array_distinct(F.split(F.replace(c, F.lit(" "), F.lit("")), ""))).alias("_ch")).filter("_ch <> ''")
-    near = letters(queries, "name").join(letters(pool.withColumnRenamed("name", "pool_name"), "pool_name"), "_ch")
-    by_name = text_pairs(near, "name", "pool_name", "name_score")
+def edit_candidates(queries: DataFrame, pool: DataFrame, pairs: DataFrame) -> DataFrame:
+    """qid, dict_id, score of the given pairs (qid, dict_id). queries: qid, name, spec; pool: dict_id, level, name, spec."""
     q, p = queries.select("qid", "name", "spec"), pool.select("dict_id", "level", F.col("name").alias("pool_name"), F.col("spec").alias("pool_spec"))
-    met = cut(q.join(by_name, "name").join(p, "pool_name").select("qid", "spec", "dict_id", "level", "pool_spec", "name_score"))
-    by_spec = text_pairs(met.filter("spec <> ''"), "spec", "pool_spec", "spec_score")
-    scored = met.join(by_spec, ["spec", "pool_spec"], "left")
+    met = cut(pairs.select("qid", "dict_id").distinct().join(q, "qid").join(p, "dict_id"))
+    scored = met.join(text_pairs(met, "name", "pool_name", "name_score"), ["name", "pool_name"])
+    scored = scored.join(text_pairs(met.filter("spec <> ''"), "spec", "pool_spec", "spec_score"), ["spec", "pool_spec"], "left")
     exact = (F.col("level") == "l3") & (F.trim("spec") != "") & (F.trim("spec") == F.trim("pool_spec"))
     return scored.select("qid", "dict_id", sim.match_score(F.col("name_score"), F.coalesce("spec_score", F.lit(0.0)), F.col("level"), exact).alias("score"))
 
@@ -99,22 +56,32 @@ def vector_candidates(queries: DataFrame, pool: DataFrame, features: int, k: int
     docs = pool.select("dict_id", F.concat_ws(" ", "name", "spec", "path").alias("text"))
     own, idf = sim.fitted(docs, "dict_id", "text", features)
     mine = sim.transformed(queries.select("qid", F.concat_ws(" ", "name", "spec").alias("text")), "qid", "text", idf)
-    scored = sim.cosine_pairs(mine, own, "qid", "dict_id").withColumn("score", F.round("score", 6)).filter("score > 0")
-    return sim.top_k(scored, "qid", k).select("qid", "dict_id", "score")
+    return topk.cosine_top_k(mine, own, "qid", "dict_id", k).select("qid", "dict_id", "score")
 
 
 def recall(queries: DataFrame, pool: DataFrame, weights: dict[str, float] = sim.FUSION, k: int = TOP) -> DataFrame:
-    """qid, rank, dict_id, name, spec, path, score, sources: the k best nodes of different names, by all three scorers."""
-    found = {
-        "edit": edit_candidates(queries, pool),
-        "tfidf": vector_candidates(queries, pool, FEATURES),
-        "vector": vector_candidates(queries, pool, VECTOR_FEATURES),
-    }
-    fused = sim.fuse(found, "qid", weights).withColumn("score", F.round("score", 2)).filter("score > 0")
-    named = fused.join(pool, "dict_id")
-    once = F.row_number().over(Window.partitionBy("qid", "name").orderBy(F.desc("score"), "dict_id"))
-    best = sim.top_k(named.withColumn("_n", once).filter("_n = 1"), "qid", k)
-    return best.select("qid", "rank", "dict_id", "name", "spec", "path", "score", "sources")
+    """qid, rank, dict_id, name, spec, path, score, sources: the k best nodes of different names, by all three scorers.
+
+    queries: qid, name, spec, and w_edit, w_tfidf, w_vector where each has weights of its own (`learning.weights_for`).
+    A node's score is the weighted mean over the scorers that have it: the edit score has all nodes, the other two their ten
+    nearest. These twenty at most are scored and fused first; their k-th best is then the least that a node with the edit
+    score alone has to reach, and such nodes are searched from this floor up.
+    """
+    w = {a: F.col(f"w_{a}") if f"w_{a}" in queries.columns else F.lit(x) for a, x in weights.items()}
+    lists = {"tfidf": vector_candidates(queries, pool, FEATURES), "vector": vector_candidates(queries, pool, VECTOR_FEATURES)}
+    near = cut(lists["tfidf"].withColumn("source", F.lit("tfidf")).unionByName(lists["vector"].withColumn("source", F.lit("vector"))))
+    edit = edit_candidates(queries, pool, near).filter("score > 0").withColumn("source", F.lit("edit"))
+    weight = F.when(F.col("source") == "edit", w["edit"]).when(F.col("source") == "tfidf", w["tfidf"]).otherwise(w["vector"])
+    own = near.unionByName(edit).join(queries.select("qid", *[c for c in queries.columns if c.startswith("w_")]), "qid").withColumn("weight", weight)
+    fused = own.groupBy("qid", "dict_id").agg(F.round(F.try_divide(F.sum(F.col("score") * F.col("weight")), F.sum("weight")), 2).alias("score"), F.array_join(F.array_sort(F.collect_set("source")), "+").alias("sources"))
+    fused = cut(fused.filter("score > 0").join(pool.select("dict_id", "name"), "dict_id"))
+    once = Window.partitionBy("qid", "name").orderBy(F.desc("score"), "dict_id")
+    floor = sim.top_k(fused.withColumn("_n", F.row_number().over(once)).filter("_n = 1"), "qid", k).groupBy("qid").agg(F.when(F.count("*") == k, F.min("score")).alias("floor"))
+    known = fused.groupBy("qid").agg(F.collect_list("dict_id").alias("excluded"))
+    asked = cut(queries.select("qid", "name", "spec").join(floor, "qid", "left").join(known, "qid", "left"))
+    alone = topk.edit_top_k(asked, pool, k, spare=2 * SCORED).filter("score > 0").withColumn("sources", F.lit("edit")).join(pool.select("dict_id", "name"), "dict_id")
+    best = sim.top_k(fused.unionByName(alone).withColumn("_n", F.row_number().over(once)).filter("_n = 1"), "qid", k)
+    return best.join(pool.select("dict_id", "spec", "path"), "dict_id").select("qid", "rank", "dict_id", "name", "spec", "path", "score", "sources")
 
 
 def mapped(items: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -123,22 +90,33 @@ def mapped(items: DataFrame, mapping: DataFrame) -> DataFrame:
     return items.join(one, (F.col("item_code_version") == F.col("_v")) & (F.col("code9") == F.col("_c")), "left").withColumn("category", F.col("_m.name")).drop("_v", "_c", "_m")
 
 
-def prematch(items: DataFrame, pool: DataFrame, mapping: DataFrame | None = None, weights: dict[str, float] = sim.FUSION, k: int = TOP) -> DataFrame:
+def prematch(
+    items: DataFrame, pool: DataFrame, mapping: DataFrame | None = None, weights: dict[str, float] = sim.FUSION, k: int = TOP, learned: DataFrame | None = None, batch: int | None = None, first: int | None = None
+) -> DataFrame:
     """id, candidates (the k best, best first), top_score, for active items without a dictionary id. items: id, name, spec and what `mapped` needs.
 
-    A code with a mapping has its category as the only candidate, of score 100 and without an id.
+    A code with a mapping has its category as the only candidate, of score 100 and without an id. learned: weights by category
+    (`learning.replay`) for items with a `path`, blended with `weights` as `learning.weights_for` does; without it all items have these.
+    batch: items of this import batch only; first: so many items of the least ids only (default: all).
     """
     todo = items.filter("active AND material_dict_id IS NULL")
+    todo = todo if batch is None else todo.filter(F.col("import_batch_id") == batch)
+    todo = todo if first is None else todo.orderBy("id").limit(first)
     todo = mapped(todo, mapping) if mapping is not None else todo.withColumn("category", F.lit(None).cast("string"))
     text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
-    todo = cut(todo.select("id", text("name").alias("name"), text("spec").alias("spec"), "category"))
+    kind_of = learning.category_of(F.col("path")) if learned is not None else F.lit("")
+    todo = cut(todo.select("id", text("name").alias("name"), text("spec").alias("spec"), "category", kind_of.alias("_kind")))
     rest = todo.filter("category IS NULL")
-    queries = cut(rest.select("name", "spec").distinct().withColumn("qid", F.xxhash64("name", "spec")))
+    queries = rest.select("name", "spec", "_kind").distinct().withColumn("qid", F.xxhash64("name", "spec", "_kind"))
+    if learned is not None:
+        queries = learning.weights_for(queries.withColumn("path", F.col("_kind")), learned, tuple(weights[a] for a in learning.ALGORITHMS)).drop("path")
+    queries = cut(queries)
     best = recall(queries, pool, weights, k)
     one = F.struct("rank", F.struct("dict_id", "name", "spec", "score", "path", F.lit("match").alias("source")).cast(_CANDIDATE).alias("c"))
     lists = best.groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["c"]).alias("candidates"))
     none = F.array().cast(f"array<{_CANDIDATE}>")
-    matched = rest.join(queries.join(lists, "qid", "left").drop("qid"), ["name", "spec"]).select("id", F.coalesce("candidates", none).alias("candidates"))
+    lists = queries.join(lists, "qid", "left").select("name", "spec", "_kind", "candidates")
+    matched = rest.join(lists, ["name", "spec", "_kind"]).select("id", F.coalesce("candidates", none).alias("candidates"))
     kind = F.struct(F.lit(None).cast("long"), F.col("category"), F.lit(""), F.lit(100.0), F.concat(F.lit("大类分类/"), "category"), F.lit("mapping")).cast(_CANDIDATE)
     by_code = todo.filter("category IS NOT NULL").select("id", F.array(kind).alias("candidates"))
     return matched.unionByName(by_code).withColumn("top_score", F.coalesce(F.get("candidates", F.lit(0))["score"], F.lit(0.0)))
@@ -152,6 +130,11 @@ def fresh_matches(cache: DataFrame, now: Column, hours: int = GOOD_HOURS) -> Dat
     return cache.filter(F.col("computed_at") > now - F.make_dt_interval(hours=F.lit(hours)))
 
 
+def stored(cache: DataFrame, matches: DataFrame, now: Column) -> DataFrame:
+    """The store (id, candidates, top_score, computed_at) after a match job: its items replaced or added, the others kept."""
+    return invalidated(cache, matches).select("id", "candidates", "top_score", "computed_at").unionByName(matches.select("id", "candidates", "top_score", now.alias("computed_at")))
+
+
 def invalidated(cache: DataFrame, ids: DataFrame) -> DataFrame:
     """The store without the matches of these items."""
     return cache.join(ids.select("id").distinct(), "id", "left_anti")

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import unit_std
-from ..operators import learning, matching, merge, pricing, search, similarity, tree
+from ..operators import learning, matching, merge, pricing, search, similarity, topk, tree
 from ..operators.quality import compare_tables
 from ..shared import cut, shared_dir
 from .proxy import BOQ, UNIT_STD, WITH_BOQ, WITH_KEYS, boq, edit_sql, lcs_sql
@@ -270,8 +270,8 @@ _DOCS = "WITH d AS (SELECT p_name || ' ' || p_brand AS doc, min(p_partkey) AS id
 def tfidf_topk(spark, sf):
     """Five nearest descriptions, of all, for each whose id is divisible by 100."""
     v = similarity.tfidf(_described(spark, sf), "id", "doc")
-    pairs = similarity.cosine_pairs(v.filter("id % 100 = 0").withColumnRenamed("id", "query"), v.withColumnRenamed("id", "other"), "query", "other").filter("query <> other")
-    top = similarity.top_k(pairs.withColumn("score", F.round("score", 6)), "query", 5, by="other")
+    near = topk.cosine_top_k(v.filter("id % 100 = 0").withColumnRenamed("id", "query"), v.withColumnRenamed("id", "other"), "query", "other", 6)
+    top = similarity.top_k(near.filter("query <> other"), "query", 5, by="other")
     return top.select("query", "rank", "other", F.round("score", 4).alias("score"))
 
 
@@ -301,8 +301,8 @@ def fuse3(spark, sf):
 
     def near(features: int):
         v = similarity.tfidf(docs, "id", "doc", features)
-        pairs = similarity.cosine_pairs(v.filter("id % 100 = 0").withColumnRenamed("id", "query"), v.withColumnRenamed("id", "other"), "query", "other").filter("query <> other")
-        return similarity.top_k(pairs.withColumn("score", F.round("score", 6)), "query", 10, by="other").drop("rank")
+        found = topk.cosine_top_k(v.filter("id % 100 = 0").withColumnRenamed("id", "query"), v.withColumnRenamed("id", "other"), "query", "other", 11)
+        return similarity.top_k(found.filter("query <> other"), "query", 10, by="other").drop("rank")
 
     found = similarity.fuse({"edit": edit, "tfidf": near(10_000), "vector": near(512)}, "query", by="other")
     return found.withColumn("score", F.round("score", 4)).select("query", "other", "sources", "score")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boqspark.functions import cables, classify, codes, text
-from boqspark.operators import analysis, learning, matching, search, tree
+from boqspark.operators import analysis, learning, matching, search, topk, tree
 from boqspark.sources import imports, ingest, mapping
 from boqspark.streaming import streams
 
@@ -103,32 +103,118 @@ def test_edit_score_equals_brute_force():
         assert abs(matching.edit_score(a, b) - brute_edit(a, b)) < 1e-9
 
 
-def test_prematch_against_brute_force(spark):
-    """All nodes with a character of the name are scored, as by hand: nearly all of the five best of the whole pool."""
+def node_score(q_name, q_spec, level, name, spec):
+    own = topk.edit_score(q_name, name)
+    base = 0.7 * own + 0.3 * (topk.edit_score(q_spec, spec) if q_spec else 0)
+    s = min(100.0, base * (0.8 if level == "l3" else 1.0) + (30 if own > 90 else 0))
+    return round(100.0 if level == "l3" and q_spec and q_spec == spec else s, 6)
+
+
+def made_up(rng, n, letters="电力缆线箱管钢阀abc"):
+    return ["".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(n)]
+
+
+def test_edit_top_k_equals_all_pairs(spark, monkeypatch):
+    """10,000 made-up names: the best of all pairs, while few are scored."""
     rng = random.Random(8)
-    names = ["".join(rng.choice("电力缆线箱管钢阀") for _ in range(rng.randint(2, 6))) for _ in range(60)]
-    pool = [(i, "l4" if i % 3 else "l3", n, n[:2], f"a/b/{n}") for i, n in enumerate(dict.fromkeys(names))]
-    items = [(i, "".join(rng.choice("电力缆线箱管钢阀") for _ in range(rng.randint(2, 6))), rng.choice(["", "电力", "缆线"])) for i in range(40)]
-    p = spark.createDataFrame(pool, "dict_id long, level string, name string, spec string, path string")
-    q = spark.createDataFrame(items, "qid long, name string, spec string")
-    got = {(r.qid, r.dict_id): r.score for r in matching.edit_candidates(q, p).collect()}
-
-    def score(q_name, q_spec, level, name, spec):
-        base = 0.7 * brute_edit(q_name, name) + 0.3 * (brute_edit(q_spec, spec) if q_spec else 0)
-        s = min(100.0, base * (0.8 if level == "l3" else 1.0) + (30 if brute_edit(q_name, name) > 90 else 0))
-        return 100.0 if level == "l3" and q_spec and q_spec == spec else s
-
-    best = found = 0
-    for i, q_name, q_spec in items:
-        all_ = {d: score(q_name, q_spec, level, name, spec) for d, level, name, spec, _ in pool}
-        assert all(abs(got[i, d] - all_[d]) < 0.0051 for d in all_ if (i, d) in got)
-        top = sorted(all_, key=lambda d: (-all_[d], d))[:5]
-        best, found = best + 5, found + sum((i, d) in got for d in top)
-    assert found / best >= 0.9
-    lines = q.select(F.col("qid").alias("id"), "name", "spec", F.lit(True).alias("active"), F.lit(None).cast("long").alias("material_dict_id"))
-    out = {r.id: r for r in matching.prematch(lines, p).collect()}
-    assert len(out) == 40 and all(len({c.name for c in r.candidates}) == len(r.candidates) <= 5 for r in out.values())
-    assert all([c.score for c in r.candidates] == sorted((c.score for c in r.candidates), reverse=True) for r in out.values())
+    names = list(dict.fromkeys(made_up(rng, 10_500)))[:10_000]
+    pool = [(i, "l4" if i % 3 else "l3", n, n[:2]) for i, n in enumerate(names)]
+    asked = [(i, n if i % 2 else n[1:] + "x", rng.choice(["", "电力", "缆线"])) for i, n in enumerate(rng.sample(names, 24))]
+    p, q = spark.createDataFrame(pool, "dict_id long, level string, name string, spec string"), spark.createDataFrame(asked, "qid long, name string, spec string")
+    got = {}
+    for r in topk.edit_top_k(q, p, 5).collect():
+        got.setdefault(r.qid, {})[r.dict_id] = r.score
+    block, scored = topk.NodeBlock([{"level": level, "name": n, "spec": s, "ids": [i]} for i, level, n, s in pool]), 0
+    for i, q_name, q_spec in asked:
+        all_ = {d: node_score(q_name, q_spec, level, n, s) for d, level, n, s in pool}
+        best = sorted(all_, key=lambda d: (-round(all_[d] + 1e-9, 2), d))[:5]
+        mine = sorted(got[i], key=lambda d: (-got[i][d], d))[:5]
+        assert [round(all_[d] + 1e-9, 2) for d in best] == [got[i][d] for d in mine] and best == mine
+        before = block.scored
+        block.best(q_name, q_spec, 5, 0.0, frozenset())
+        scored += block.scored - before
+        assert all(topk.edit_score(q_name, n) <= b + 1e-9 for n, b in zip(block.names.names[::50], block.names.bounds(q_name)[::50], strict=True))
+    assert scored < 0.2 * len(asked) * len(pool)
+    monkeypatch.setattr(topk, "POOL_ROWS", 3000)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 7)
+    again = topk.sim.top_k(topk.edit_top_k(q, p, 5), "qid", 5).collect()
+    assert {(r.qid, r.dict_id) for r in again} == {(i, d) for i in got for d in sorted(got[i], key=lambda d: (-got[i][d], d))[:5]}
+
+
+def test_cosine_top_k_equals_all_pairs(spark):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(words[min(39, int(rng.expovariate(0.15)))] for _ in range(rng.randint(0, 12)))) for i in range(400)], "id long, text string")
+    v = topk.sim.tfidf(docs, "id", "text", 30)
+    a, b = v.filter("id % 7 = 0").withColumnRenamed("id", "a"), v.withColumnRenamed("id", "b")
+    want = topk.sim.top_k(topk.sim.cosine_pairs(a, b, "a", "b").withColumn("score", F.round("score", 6)).filter("score > 0"), "a", 6, by="b")
+    got = topk.cosine_top_k(a, b, "a", "b", 6)
+    assert sorted((r.a, r["rank"], r.b, r.score) for r in got.collect()) == sorted((r.a, r["rank"], r.b, r.score) for r in want.collect())
+
+
+def brute_recall(spark, q, p, weights, k=5):
+    """qid -> [(dict_id, score)]: the edit score of all nodes, the ten nearest of both vector models, weighted means, the best node of each name."""
+    pool = {r.dict_id: r for r in p.collect()}
+    scores = {}
+    for r in q.collect():
+        for n in pool.values():
+            if s := round(node_score(r.name, r.spec, n.level, n.name, n.spec) + 1e-9, 2):
+                scores.setdefault((r.qid, n.dict_id), {})["edit"] = s
+    for source, features in (("tfidf", 10_000), ("vector", 512)):
+        own, idf = topk.sim.fitted(p.select("dict_id", F.concat_ws(" ", "name", "spec", "path").alias("text")), "dict_id", "text", features)
+        mine = topk.sim.transformed(q.select("qid", F.concat_ws(" ", "name", "spec").alias("text")), "qid", "text", idf)
+        for r in topk.sim.top_k(topk.sim.cosine_pairs(mine, own, "qid", "dict_id").withColumn("score", F.round("score", 6)).filter("score > 0"), "qid", 10).collect():
+            scores.setdefault((r.qid, r.dict_id), {})[source] = r.score
+    out = {}
+    for r in q.collect():
+        w = weights[r.qid]
+        means = {d: round(sum(s[x] * w[x] for x in s) / sum(w[x] for x in s) + 1e-9, 2) for (i, d), s in scores.items() if i == r.qid}
+        best = {}
+        for d in sorted(means, key=lambda d: (-means[d], d)):
+            best.setdefault(pool[d].name, d)
+        out[r.qid] = [(d, means[d]) for d in sorted(best.values(), key=lambda d: (-means[d], d))[:k]]
+    return out
+
+
+def test_recall_equals_brute_force(spark):
+    rng = random.Random(5)
+    names = made_up(rng, 250) + ["配电箱", "照明配电箱"] * 3
+    rows = [(i, rng.choice(["l3", "l4"]), n, rng.choice([n, "电力", "x1", "缆线 2"]), f"a/{n[:2]}/{n}") for i, n in enumerate(names + names[:40])]
+    p = spark.createDataFrame(rows, "dict_id long, level string, name string, spec string, path string")
+    asked = [(i, n, rng.choice(["", "电力", "x1", "ab"])) for i, n in enumerate(made_up(rng, 20) + names[:6] + ["配电箱", "zz"])]
+    q = spark.createDataFrame(asked, "qid long, name string, spec string")
+    plain = {i: topk.sim.FUSION for i, _, _ in asked}
+    got = lambda frame: {i: [(r.dict_id, r.score) for r in sorted((r for r in frame if r.qid == i), key=lambda r: r["rank"])] for i, _, _ in asked}
+    want = brute_recall(spark, q, p, plain)
+    assert got(matching.recall(q, p).collect()) == want and sum(map(len, want.values())) > 100
+    own = {i: {"edit": 0.8, "tfidf": 0.1, "vector": 0.1} if i % 2 else {"edit": 0.05, "tfidf": 0.15, "vector": 0.8} for i, _, _ in asked}
+    w = lambda a: F.when(F.col("qid") % 2 == 1, own[1][a]).otherwise(own[0][a])
+    weighted = q.withColumns({f"w_{a}": w(a) for a in own[0]})
+    other = brute_recall(spark, q, p, own)
+    assert got(matching.recall(weighted, p).collect()) == other != want
+
+
+def test_prematch_learns_from_confirmations(spark):
+    """Confirmations of a category change the order of its candidates, and of no others."""
+    rng = random.Random(6)
+    names = made_up(rng, 200, "电力缆线箱管钢阀")
+    p = spark.createDataFrame([(i, "l4", n, n, f"a/{n}") for i, n in enumerate(names)], "dict_id long, level string, name string, spec string, path string")
+    items = [(i, n, "", f"材料/{'电缆' if i % 2 else '管道'}/x", i % 3, True, None) for i, n in enumerate(made_up(rng, 30, "电力缆线箱管钢阀"))]
+    lines = spark.createDataFrame(items, "id long, name string, spec string, path string, import_batch_id long, active boolean, material_dict_id long")
+    e = spark.createDataFrame([("材料/电缆", DAY, i, 0, 0, 1) for i in range(60)], "category string, ts date, id long, edit_hit int, tfidf_hit int, vector_hit int").withColumn("ts", F.col("ts").cast("timestamp"))
+    learned = learning.replay(e)
+    plain = {r.id: r.candidates for r in matching.prematch(lines, p).collect()}
+    taught = {r.id: r.candidates for r in matching.prematch(lines, p, learned=learned).collect()}
+    assert all(len({c.name for c in r}) == len(r) <= 5 and [c.score for c in r] == sorted((c.score for c in r), reverse=True) for r in taught.values())
+    assert all(plain[i] == taught[i] for i in plain if i % 2 == 0) and any(plain[i] != taught[i] for i in plain if i % 2)
+    assert {r.id for r in matching.prematch(lines, p, batch=1, first=4).collect()} == {1, 4, 7, 10}
+    now = F.lit("2026-01-02 12:00:00").cast("timestamp")
+    some = matching.prematch(lines, p, batch=1).withColumn("top_score", F.lit(-1.0))
+    old = matching.prematch(lines, p).withColumn("computed_at", F.lit("2025-01-01").cast("timestamp"))
+    store = matching.stored(old, some, now)
+    kept = {r.id: r for r in store.collect()}
+    assert len(kept) == 30 and all((r.top_score == -1) == (i % 3 == 1) for i, r in kept.items())
+    assert {r.id for r in matching.fresh_matches(store, now).collect()} == {i for i in kept if i % 3 == 1}
 
 
 def test_stages_of_the_list_match(spark):
