@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,12 +33,35 @@ def gate(m: DataFrame) -> DataFrame:
 
 
 def batch_checksum(df: DataFrame) -> DataFrame:
-    """Active rows, total and SHA-256 of the rows of each batch in the order of sequence, id."""
+    """Active rows, total and SHA-256 of the rows of each batch in the order of sequence, id.
+
+    The hash runs over one long text by definition: the rows of a batch stream through its task in order, and only the state of
+    the hash is held, whatever the length of the batch.
+    """
     line = F.concat_ws(":", F.col("sequence").cast("string"), F.coalesce("item_code", F.lit("")), "item_name", F.col("total_cents").cast("string"))
-    rows = F.sort_array(F.collect_list(F.struct("sequence", "id", line.alias("line"))))
-    return df.filter("active").groupBy("import_batch_id").agg(
-        F.count("*").alias("n"), F.sum("total_cents").alias("total_cents"), F.sha2(F.array_join(F.transform(rows, lambda r: r["line"]), "|"), 256).alias("checksum")
-    )
+    rows = df.filter("active").select("import_batch_id", "sequence", "id", F.col("total_cents").cast("long").alias("total_cents"), line.alias("line"))
+    kind = rows.schema["import_batch_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["import_batch_id", "n", "total_cents", "checksum"]
+        key, n, total, digest = None, 0, None, hashlib.sha256()
+        for b in batches:
+            keys, cents, lines = b.column(0), b.column(3).to_pylist(), b.column(4).to_pylist()
+            done = []
+            for k, c, text in zip(keys.to_pylist(), cents, lines, strict=True):
+                if n and k != key:
+                    done.append((key, n, total, digest.hexdigest()))
+                    n, total, digest = 0, None, hashlib.sha256()
+                digest.update(("|" + text if n else text).encode())
+                key, n, total = k, n + 1, total if c is None else (total or 0) + c
+            key_type = keys.type
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (key_type, pa.int64(), pa.int64(), pa.string()), strict=True)], names)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([key], key_type), pa.array([n], pa.int64()), pa.array([total], pa.int64()), pa.array([digest.hexdigest()])], names)
+
+    ordered = rows.repartition("import_batch_id").sortWithinPartitions("import_batch_id", "sequence", "id")
+    return ordered.mapInArrow(run, f"import_batch_id {kind}, n long, total_cents long, checksum string")
 
 
 def reconciled(parsed: DataFrame, stated: DataFrame) -> DataFrame:

@@ -48,8 +48,8 @@ def _merged(names: str) -> Column:
 
 
 def paths(nodes: DataFrame, depth: int = 5) -> DataFrame:
-    """id, level, path (names from the root, equal neighbours merged), ancestors (ids from the root)."""
-    return chains(nodes, ["name"], depth).select("id", "level", _merged("name").alias("path"), "ancestors")
+    """id, level, path (names from the root, equal neighbours merged; null for a node deeper than depth), ancestors (ids from the root, or from as far up as depth goes)."""
+    return chains(nodes, ["name"], depth).select("id", "level", F.when(F.col("open_end").isNull(), _merged("name")).alias("path"), "ancestors")
 
 
 def checks(nodes: DataFrame) -> DataFrame:
@@ -160,11 +160,13 @@ def rebuilt(nodes: DataFrame, depth: int = 13) -> DataFrame:
 
     Of a leaf's path the first three categories stay; a shorter path repeats its last category, a leaf without one stands
     under its own name. Leaves of one name share the node of level four. Result: nodes as `build` makes them, the leaf's
-    old id as the name of level five.
+    old id as the name of level five. A leaf deeper than depth is an error.
     """
     ups = nodes.filter("parent_id IS NOT NULL").select(F.col("parent_id").alias("_up")).distinct()
     leaves = nodes.join(ups, F.col("id") == F.col("_up"), "left_anti").select("id")
-    c = chains(nodes, ["name"], depth).join(leaves, "id", "left_semi")
+    c = cut(chains(nodes, ["name"], depth).join(leaves, "id", "left_semi"))
+    if not c.filter("open_end IS NOT NULL").isEmpty():
+        raise ValueError(f"the tree is deeper than {depth} levels")
     above = F.slice("name", 1, F.greatest(F.lit(1), F.size("name") - 1))
     at = lambda k: F.element_at(above, F.least(F.lit(k), F.size(above)))
     return build(c, [at(1), at(2), at(3), F.element_at("name", -1), F.col("id")])

@@ -29,10 +29,10 @@ def query(sql: str | None = None):
 g AS (SELECT match_key, {AVG} AS avg_rate, min(unit_rate_cents) AS min_rate, max(unit_rate_cents) AS max_rate, count(*) AS n FROM p GROUP BY match_key)
 SELECT g.match_key, avg_rate, min_rate, max_rate, n,
  count(*) FILTER (WHERE n >= 3 AND avg_rate <> 0 AND abs(p.unit_rate_cents - avg_rate) > 0.3 * avg_rate) AS n_anomalies
-FROM g JOIN p ON g.match_key = p.match_key GROUP BY ALL ORDER BY n DESC, match_key LIMIT 100""")
+FROM g JOIN p ON g.match_key = p.match_key GROUP BY ALL""")
 def price_by_key(spark, sf):
-    """What did this item cost before: the hundred keys with most prices."""
-    return pricing.group_prices(pricing.priced(with_keys(boq(spark, sf))), "match_key").orderBy(F.desc("n"), "match_key").limit(100)
+    """What did this item cost before: every key."""
+    return pricing.group_prices(pricing.priced(with_keys(boq(spark, sf))), "match_key")
 
 
 @query(f"""{WITH_BOQ} SELECT unit, {UNIT_STD} AS unit_std, unit = '樘' AS unit_unknown, count(*) AS n FROM boq GROUP BY ALL""")

@@ -51,19 +51,19 @@ def before_after(spark, sf):
 # Rows of the bill are matched by sequence alone; then by code, name and unit with the nearest sequence; then in order.
 _SAME = "o.import_batch_id = n.import_batch_id AND coalesce(trim(o.item_code), '') = coalesce(trim(n.item_code), '') AND lower(o.item_name) = lower(n.item_name) AND o.unit_std = n.unit_std"
 _NTH = "row_number() OVER (PARTITION BY import_batch_id, coalesce(trim(item_code), ''), lower(item_name), unit_std ORDER BY sequence, id) AS nth"
-_NEXT = f"""WITH {BOQ}, o AS (SELECT *, {UNIT_STD} AS unit_std, row_number() OVER (PARTITION BY import_batch_id ORDER BY id) AS sequence FROM boq),
-n AS (SELECT * REPLACE (sequence + CASE WHEN part % 7 = 0 THEN 1 ELSE 0 END AS sequence, quantity + CASE WHEN part % 13 = 0 THEN 1 ELSE 0 END AS quantity, item_name || CASE WHEN part % 17 = 0 THEN ' x' ELSE '' END AS item_name) FROM o WHERE part % 11 <> 0),
-m1 AS (SELECT o.id AS old_id, n.id AS new_id FROM (SELECT * FROM o WHERE active) o JOIN (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY import_batch_id, sequence ORDER BY id) = 1) n USING (import_batch_id, sequence)),
-c AS (SELECT o.id AS old_id, n.id AS new_id, abs(o.sequence - n.sequence) AS gap, o.sequence AS os, n.sequence AS ns FROM (SELECT * FROM o WHERE active AND id NOT IN (SELECT old_id FROM m1)) o
- JOIN (SELECT * FROM n WHERE id NOT IN (SELECT new_id FROM m1)) n ON {_SAME}),
-c1 AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY gap, os, old_id) = 1),
+_NEXT = f"""WITH {BOQ}, o AS MATERIALIZED (SELECT *, {UNIT_STD} AS unit_std, row_number() OVER (PARTITION BY import_batch_id ORDER BY id) AS sequence FROM boq),
+n AS MATERIALIZED (SELECT * REPLACE (sequence + CASE WHEN part % 7 = 0 THEN 1 ELSE 0 END AS sequence, quantity + CASE WHEN part % 13 = 0 THEN 1 ELSE 0 END AS quantity, item_name || CASE WHEN part % 17 = 0 THEN ' x' ELSE '' END AS item_name) FROM o WHERE part % 11 <> 0),
+m1 AS MATERIALIZED (SELECT o.id AS old_id, n.id AS new_id FROM (SELECT * FROM o WHERE active) o JOIN (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY import_batch_id, sequence ORDER BY id) = 1) n USING (import_batch_id, sequence)),
+c AS (SELECT o.id AS old_id, n.id AS new_id, abs(o.sequence - n.sequence) AS gap, o.sequence AS os, n.sequence AS ns FROM (SELECT * FROM o ANTI JOIN m1 ON o.id = m1.old_id WHERE active) o
+ JOIN (SELECT * FROM n ANTI JOIN m1 ON n.id = m1.new_id) n ON {_SAME}),
+c1 AS MATERIALIZED (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY gap, os, old_id) = 1),
 c2 AS (SELECT * FROM c1 QUALIFY row_number() OVER (PARTITION BY old_id ORDER BY gap, ns, new_id) = 1),
-m2 AS (SELECT old_id, new_id FROM m1 UNION ALL SELECT old_id, new_id FROM c2),
-m3 AS (SELECT o.id AS old_id, n.id AS new_id FROM (SELECT *, {_NTH} FROM o WHERE active AND id NOT IN (SELECT old_id FROM m2)) o JOIN (SELECT *, {_NTH} FROM n WHERE id NOT IN (SELECT new_id FROM m2)) n ON {_SAME} AND o.nth = n.nth),
-m AS (SELECT * FROM m2 UNION ALL SELECT * FROM m3),
-r AS (SELECT o.id, o.import_batch_id, coalesce(n.sequence, o.sequence) AS sequence, coalesce(n.quantity, o.quantity) AS quantity, o.std_name, o.std_spec, o.material_dict_id, n.id IS NOT NULL AND o.active AS active,
+m2 AS MATERIALIZED (SELECT old_id, new_id FROM m1 UNION ALL SELECT old_id, new_id FROM c2),
+m3 AS (SELECT o.id AS old_id, n.id AS new_id FROM (SELECT *, {_NTH} FROM o ANTI JOIN m2 ON o.id = m2.old_id WHERE active) o JOIN (SELECT *, {_NTH} FROM n ANTI JOIN m2 ON n.id = m2.new_id) n ON {_SAME} AND o.nth = n.nth),
+m AS MATERIALIZED (SELECT * FROM m2 UNION ALL SELECT * FROM m3),
+r AS MATERIALIZED (SELECT o.id, o.import_batch_id, coalesce(n.sequence, o.sequence) AS sequence, coalesce(n.quantity, o.quantity) AS quantity, o.std_name, o.std_spec, o.material_dict_id, n.id IS NOT NULL AND o.active AS active,
   CASE WHEN n.id IS NOT NULL THEN 'updated' WHEN o.active THEN 'orphaned' ELSE 'kept' END AS change FROM o LEFT JOIN m ON o.id = m.old_id LEFT JOIN n ON m.new_id = n.id
- UNION ALL SELECT n.id, n.import_batch_id, n.sequence, n.quantity, NULL, NULL, n.material_dict_id, true, 'created' FROM n WHERE id NOT IN (SELECT new_id FROM m))"""
+ UNION ALL SELECT n.id, n.import_batch_id, n.sequence, n.quantity, NULL, NULL, n.material_dict_id, true, 'created' FROM n ANTI JOIN m ON n.id = m.new_id)"""
 
 
 @query(f"{_NEXT} SELECT id, sequence, quantity, std_name, active, change FROM r")
