@@ -10,9 +10,12 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import cut
+
 ALGORITHMS = ("edit", "tfidf", "vector")
 # Start, bounds and smoothing of the weights; steps by phase; strategies (step, smoothing); windows of drift and fusion.
 START, LOW, HIGH, EMA = (0.3, 0.35, 0.35), 0.05, 0.85, 0.3
@@ -29,24 +32,76 @@ _HALF = 1e-9
 # --- rolling windows ---
 
 
-def hit_rates(events: DataFrame, window: int = WINDOW, chunk: int = 100_000) -> DataFrame:
-    """events: category, ts, id, hit (0/1) -> with the hit rate of the last confirmations of the category, and how many there are.
+def running(rows: DataFrame, count: Column, name: str, *keys: str, unit: str = "hour") -> DataFrame:
+    """rows (ts, id) with `name`: how many of the key's rows up to this one, in the order of ts, id, count (an integer column).
 
-    A category is not one task: its rows are numbered from counts by day, and cut into chunks that begin with the last
-    window - 1 rows of the chunk before.
+    Counts by unit of time are added up first; only the rows of one unit are ordered in a task. Without keys: of all rows.
     """
-    rows = events.withColumn("_day", F.date_trunc("day", "ts"))
-    days = rows.groupBy("category", "_day").agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy("category").orderBy("_day"))
-    days = days.select(F.col("category").alias("_c"), F.col("_day").alias("_d"), (upto - F.col("_n")).alias("_before"))
-    rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy("category", "_day").orderBy("ts", "id")) - 1)
-    rows = rows.join(days, F.col("category").eqNullSafe(F.col("_c")) & F.col("_day").eqNullSafe(F.col("_d"))).withColumn("_at", F.col("_at") + F.col("_before"))
+    rows = rows.withColumns({"_unit": F.date_trunc(unit, "ts"), "_one": count})
+    w = Window.partitionBy(*keys)
+    upto = F.sum("_n").over(w.orderBy("_unit").rowsBetween(Window.unboundedPreceding, 0))
+    units = rows.groupBy(*keys, "_unit").agg(F.sum("_one").alias("_n")).withColumn("_before", upto - F.col("_n"))
+    units = units.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_unit").alias("_u"), "_before")
+    inside = F.sum("_one").over(Window.partitionBy(*keys, "_unit").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0))
+    same = F.col("_unit").eqNullSafe(F.col("_u"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    out = rows.withColumn("_inside", inside).join(units, same)
+    return out.withColumn(name, F.col("_before") + F.col("_inside")).drop("_unit", "_one", "_before", "_inside", "_u", *[f"_k_{k}" for k in keys])
+
+
+def _in_chunks(events: DataFrame, window: int, chunk: int) -> DataFrame:
+    """events (category, ts, id, hit) with rate, seen (over the last `window` rows of the category), _at (place from 0) and _chunk.
+
+    A category is not one task: its rows are numbered and cut into chunks that begin with the last window - 1 rows of the chunk before.
+    """
+    rows = running(events, F.lit(1), "_at", "category").withColumn("_at", F.col("_at") - 1)
     own = F.floor(F.col("_at") / chunk)
     place = lambda k, extra: F.struct(k.alias("_chunk"), F.lit(extra).alias("_extra"))
     tail = F.col("_at") - own * chunk >= chunk - (window - 1)
     rows = rows.select("*", F.inline(F.when(tail, F.array(place(own, False), place(own + 1, True))).otherwise(F.array(place(own, False)))))
     w = Window.partitionBy("category", "_chunk").orderBy("_at").rowsBetween(1 - window, 0)
-    return rows.withColumns({"rate": F.avg("hit").over(w), "seen": F.count("*").over(w)}).filter("NOT _extra").select(*events.columns, "rate", "seen")
+    return rows.withColumns({"rate": F.avg("hit").over(w), "seen": F.count("*").over(w)}).filter("NOT _extra").drop("_extra")
+
+
+def hit_rates(events: DataFrame, window: int = WINDOW, chunk: int = 100_000) -> DataFrame:
+    """events: category, ts, id, hit (0/1) -> with the hit rate of the last confirmations of the category, and how many there are."""
+    return _in_chunks(events, window, chunk).select(*events.columns, "rate", "seen")
+
+
+def fusion(events: DataFrame, chunk: int = 100_000) -> DataFrame:
+    """events (ts, id, hit: whether any algorithm hit) -> id, fusion: the share of the best strategy after each confirmation, over the one
+    sequence of all of them.
+
+    From the twentieth confirmation on it moves a tenth of the way to 0.5 + 0.4 * the hit rate of the last twenty. That is linear in
+    what it was before: each chunk of the sequence is worked out from nothing, the ends of the chunks (a row each) give what each really
+    starts from, and 0.9 to the power of the steps since then says how much of that is left.
+    """
+    rows = _in_chunks(events.select(F.lit("").alias("category"), "ts", "id", "hit"), FUSION_WINDOW, chunk).select("_chunk", "_at", "id", "rate")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own, left = None, 0.0, 1.0
+        for b in batches:
+            out = []
+            for k, at, key, rate in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if k != now:
+                    now, own, left = k, 0.0, 1.0
+                if at >= FUSION_WINDOW - 1:
+                    own, left = 0.9 * own + 0.1 * (0.5 + 0.4 * rate), 0.9 * left
+                out.append((k, at, key, own, left))
+            if out:
+                types = [pa.int64(), pa.int64(), b.column(2).type, pa.float64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["_chunk", "_at", "id", "own", "left"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    alone = cut(rows.repartition("_chunk").sortWithinPartitions("_chunk", "_at").mapInArrow(run, f"_chunk long, _at long, id {kind}, own double, left double"))
+    ends = alone.groupBy("_chunk").agg(F.max(F.struct("_at", "own", "left")).alias("e")).select("_chunk", "e.own", "e.left").orderBy("_chunk").collect()  # a row per chunk
+    starts, value = [], FUSION_START
+    for r in ends:
+        starts.append((r["_chunk"], value))
+        value = r["own"] + r["left"] * value
+    begin = F.broadcast(events.sparkSession.createDataFrame(starts, "_chunk long, _start double"))
+    return alone.join(begin, "_chunk").select("id", (F.col("own") + F.col("left") * F.col("_start")).alias("fusion"))
 
 
 def drift(rated: DataFrame) -> DataFrame:
@@ -144,8 +199,9 @@ class Weights:
     def state(self) -> tuple:
         return (self.values, self.n, self.n_rejected, [v for s in self.strategies for v in s], list(self.hits), list(self.own), self.fusion)
 
-    def rate(self, quality: float) -> float:
-        phase = next(m for upto, m in PHASES if upto is None or self.n < upto)
+    def rate(self, quality: float, n: int | None = None) -> float:
+        """Step of a confirmation; the phase goes by the confirmations of the category, or by those of all where that is given."""
+        phase = next(m for upto, m in PHASES if upto is None or (self.n if n is None else n) < upto)
         return max(LEAST_RATE, min(MOST_RATE, BASE_RATE * phase * (1 + quality)))
 
     @staticmethod
@@ -153,11 +209,11 @@ class Weights:
         aim = [max(LOW, min(HIGH, v + d)) for v, d in zip(values, by, strict=True)]
         return _unit([ema * a + (1 - ema) * v for a, v in zip(aim, values, strict=True)])
 
-    def confirm(self, hits: list[bool], ranks: list[int] | None = None, scores: list[float] | None = None, quality: float = 0.5) -> None:
+    def confirm(self, hits: list[bool], ranks: list[int] | None = None, scores: list[float] | None = None, quality: float = 0.5, overall: int | None = None) -> None:
         """Algorithms whose first candidate was confirmed gain, more with a high score; others lose, most if the confirmed one stood high."""
         ranks, scores = ranks or [-1] * len(hits), scores or [0.0] * len(hits)
         self.n += 1
-        step = self.rate(quality)
+        step = self.rate(quality, overall)
         change = [step * (1 + 0.3 * s / 100) if h else -step * (1 - 0.2 * r) if r >= 0 else -0.5 * step for h, r, s in zip(hits, ranks, scores, strict=True)]
         self.values = self._moved(self.values, change, EMA)
         bits = 0
@@ -176,10 +232,10 @@ class Weights:
         self.n += 1
         self.values = _unit([max(PLAIN_LOW, min(PLAIN_HIGH, v + (PLAIN_STEP if h else -PLAIN_STEP))) for v, h in zip(self.values, hits, strict=True)])
 
-    def reject(self, algorithm: int) -> None:
+    def reject(self, algorithm: int, overall: int | None = None) -> None:
         """A candidate of the algorithm was refused: it loses half a step."""
         self.n_rejected += 1
-        self.values[algorithm] = max(LOW, self.values[algorithm] - 0.5 * self.rate(0.5))
+        self.values[algorithm] = max(LOW, self.values[algorithm] - 0.5 * self.rate(0.5, overall))
         self.values = _unit(self.values)
 
     def best(self) -> int:
@@ -198,34 +254,42 @@ _EACH = [f"{a}_{x}" for x in ("hit", "rank", "score") for a in ALGORITHMS]
 
 
 def event_columns(events: DataFrame) -> list[Column]:
-    """The columns that an event needs; ranks, scores, quality and the rejected algorithm (its place, null: a confirmation) may be missing."""
+    """The columns that an event needs; ranks, scores, quality, the rejected algorithm (its place, null: a confirmation) and the number of
+    confirmations of all categories so far (`overall`, null: the phase goes by the category's own) may be missing."""
     default = {"hit": 0, "rank": -1, "score": 0.0}
     kind = {"hit": "int", "rank": "int", "score": "double"}
     own = lambda c, d, t: (F.coalesce(F.col(c).cast(t), F.lit(d)) if c in events.columns else F.lit(d).cast(t)).alias(c)
     each = [own(f"{a}_{x}", default[x], kind[x]) for x in default for a in ALGORITHMS]
     rejected = (F.col("rejected").cast("int") if "rejected" in events.columns else F.lit(None).cast("int")).alias("rejected")
-    return [F.col("category"), *each, own("quality", 0.5, "double"), rejected]
+    overall = (F.col("overall").cast("long") if "overall" in events.columns else F.lit(None).cast("long")).alias("overall")
+    return [F.col("category"), *each, own("quality", 0.5, "double"), rejected, overall]
 
 
 def apply_event(w: Weights, row: tuple) -> None:
-    """row: hits, ranks, scores of the algorithms, quality, rejected."""
+    """row: hits, ranks, scores of the algorithms, quality, rejected, overall."""
+    overall = int(row[11]) if row[11] is not None and row[11] == row[11] else None
     if row[10] is not None and row[10] == row[10]:
-        w.reject(int(row[10]))
+        w.reject(int(row[10]), overall)
     else:
-        w.confirm([bool(x) for x in row[:3]], [int(x) for x in row[3:6]], list(row[6:9]), row[9])
+        w.confirm([bool(x) for x in row[:3]], [int(x) for x in row[3:6]], list(row[6:9]), row[9], overall)
 
 
 def learned_row(category, w: Weights) -> tuple:
     return (category, w.n, *w.values, *w.fused(), w.fusion, STRATEGIES[w.best()][0])
 
 
-def replay(events: DataFrame, each: bool = False, plain: bool = False) -> DataFrame:
+def replay(events: DataFrame, each: bool = False, plain: bool = False, overall: bool = False) -> DataFrame:
     """Weights per category after all its events (category, ts, id and `event_columns`), replayed in order.
 
-    each: after every event, with its id. plain: confirmations by the simpler rule, rejections left out.
+    each: after every event, with its id. plain: confirmations by the simpler rule, rejections left out. overall: the learning phase goes
+    by the confirmations of all categories so far, which are counted first.
     """
     import pandas as pd
 
+    if overall:
+        made = (F.col("rejected").isNull() if "rejected" in events.columns else F.lit(True)).cast("int")
+        events = running(events, made, "overall")
+
     names = [x.split()[0] for x in LEARNED.split(", ")]
 
     def run(batches: Iterator) -> Iterator:

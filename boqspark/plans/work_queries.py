@@ -442,20 +442,26 @@ def info_quality(spark, sf):
 _STEP = """CASE WHEN {h} THEN lr * (1 + 0.3 * {s} / 100) WHEN {r} >= 0 THEN -lr * (1 - 0.2 * {r}) ELSE -0.5 * lr END"""
 _MOVED = lambda i: "0.3 * greatest(0.05, least(0.85, w%d + %s)) + 0.7 * w%d" % (i, _STEP.format(h=f"h{i}", s=f"s{i}", r=f"r{i}"), i)
 _LESS = lambda i: f"CASE WHEN rejected = {i - 1} THEN greatest(0.05, w{i} - 0.5 * lr) ELSE w{i} END"
-_FOLD = f"""WITH RECURSIVE e AS (SELECT event_type AS category, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k, event_id % 3 <> 0 AS h1, event_id % 2 <> 0 AS h2, value > 20 AS h3,
+def _fold_sql(n: str) -> str:
+    """The replay as a recursion; n: the number of confirmations by which the phase goes."""
+    return f"""WITH RECURSIVE e AS (SELECT event_type AS category, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k, event_id % 3 <> 0 AS h1, event_id % 2 <> 0 AS h2, value > 20 AS h3,
  event_id % 5 - 1 AS r1, (event_id + 1) % 5 - 1 AS r2, (event_id + 2) % 5 - 1 AS r3, CAST(event_id * 7 % 101 AS DOUBLE) AS s1, CAST(event_id * 13 % 101 AS DOUBLE) AS s2, CAST(event_id * 29 % 101 AS DOUBLE) AS s3,
- event_id % 11 / 10.0 AS q, CASE WHEN event_id % 17 = 0 THEN event_id % 3 END AS rejected FROM events),
+ event_id % 11 / 10.0 AS q, CASE WHEN event_id % 17 = 0 THEN event_id % 3 END AS rejected, count(*) FILTER (WHERE event_id % 17 <> 0) OVER (ORDER BY ts, event_id) AS overall FROM events),
 s AS (SELECT DISTINCT category, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS n, CAST(0.3 AS DOUBLE) AS w1, CAST(0.35 AS DOUBLE) AS w2, CAST(0.35 AS DOUBLE) AS w3 FROM e
  UNION ALL SELECT category, k, n, round(a1 / (a1 + a2 + a3), 4), round(a2 / (a1 + a2 + a3), 4), round(a3 / (a1 + a2 + a3), 4) FROM (
   SELECT category, k, n, CASE WHEN rejected IS NULL THEN {_MOVED(1)} ELSE {_LESS(1)} END AS a1, CASE WHEN rejected IS NULL THEN {_MOVED(2)} ELSE {_LESS(2)} END AS a2, CASE WHEN rejected IS NULL THEN {_MOVED(3)} ELSE {_LESS(3)} END AS a3 FROM (
    SELECT e.*, s.w1, s.w2, s.w3, CASE WHEN rejected IS NULL THEN s.n + 1 ELSE s.n END AS n,
-    greatest(0.02, least(0.25, 0.1 * CASE WHEN CASE WHEN rejected IS NULL THEN s.n + 1 ELSE s.n END < 100 THEN 1.5 WHEN CASE WHEN rejected IS NULL THEN s.n + 1 ELSE s.n END < 500 THEN 1.0 ELSE 0.5 END * (1 + CASE WHEN rejected IS NULL THEN q ELSE 0.5 END))) AS lr
+    greatest(0.02, least(0.25, 0.1 * CASE WHEN {n} < 100 THEN 1.5 WHEN {n} < 500 THEN 1.0 ELSE 0.5 END * (1 + CASE WHEN rejected IS NULL THEN q ELSE 0.5 END))) AS lr
    FROM s JOIN e ON s.category = e.category AND e.k = s.k + 1)))"""
 
 
-@query(f"{_FOLD} SELECT category, n, round(w1, 3) AS edit, round(w2, 3) AS tfidf, round(w3, 3) AS vector FROM s QUALIFY row_number() OVER (PARTITION BY category ORDER BY k DESC) = 1")
+_FOLD = _fold_sql("CASE WHEN rejected IS NULL THEN s.n + 1 ELSE s.n END")
+
+
+@query(f"{_fold_sql('overall')} SELECT category, n, round(w1, 3) AS edit, round(w2, 3) AS tfidf, round(w3, 3) AS vector FROM s QUALIFY row_number() OVER (PARTITION BY category ORDER BY k DESC) = 1")
 def learned_weights(spark, sf):
-    out = learning.replay(confirmations(spark, sf))
+    """Weights of each category, its phase by the confirmations of all."""
+    out = learning.replay(confirmations(spark, sf), overall=True)
     return out.select("category", "n", *[F.round(a, 3).alias(a) for a in learning.ALGORITHMS])
 
 
@@ -479,6 +485,16 @@ def learning_stats(spark, sf):
     return learning.stats(confirmations(spark, sf))
 
 
+# 0.9 to the power of 400 is nothing at six decimals
+@query("""WITH e AS (SELECT event_id AS id, row_number() OVER (ORDER BY ts, event_id) AS k, avg(event_id % 3 // 2) OVER (ORDER BY ts, event_id ROWS 19 PRECEDING) AS rate FROM events),
+s AS (SELECT a.k, sum(0.1 * pow(0.9, a.k - b.k) * (0.5 + 0.4 * b.rate)) AS moved FROM e a JOIN e b ON b.k BETWEEN greatest(20, a.k - 400) AND a.k GROUP BY a.k)
+SELECT id, round(0.7 * pow(0.9, greatest(0, e.k - 19)) + coalesce(moved, 0), 6) AS fusion FROM e LEFT JOIN s USING (k)""")
+def fusion_share(spark, sf):
+    """The share of the best strategy after every confirmation, over the one sequence of all confirmations."""
+    e = read(spark, sf, "events").select("ts", F.col("event_id").alias("id"), F.expr("event_id % 3 div 2").cast("int").alias("hit"))
+    return learning.fusion(e, chunk=1000).select("id", F.round("fusion", 6).alias("fusion"))
+
+
 @query()
 def stream_equals_batch(spark, sf):
     """Weights from a stream of the same confirmations, next to those of the batch replay."""
