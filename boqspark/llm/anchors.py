@@ -7,8 +7,8 @@ equal windows have equal anchors. Of equal texts only the first row is looked at
  2. `marked`. All other anchors are sent once per run, packed by hash bucket; the buckets answer each run which of them stand in
     more than one text. A text is a number within its run there; its run turns the answers into a list per text.
  3. `stretches`. Texts meet their lists in the order of their least anchor, which brings near copies together. The windows of
-    one repeated anchor make a stretch. A task folds its stretches by the operator's own index; what stands in none of its
-    earlier texts is sent to the shard of the anchor. Windows of very frequent anchors are sent singly, to the shard of what
+    one repeated anchor make a stretch. A task folds its stretches by the operator's own index (all, or those of very frequent
+    anchors only); what stands in none of its earlier texts is sent to the shard of the anchor. Windows of very frequent anchors are sent singly, to the shard of what
     they say: no shard gets more of one than there are folds.
 Anchors, buckets and shards only choose what is compared. What repeats is for the operator's index to tell.
 """
@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import by_key, cut, fresh_path, word_hashes
 
@@ -32,7 +33,7 @@ RUN, BUCKET, FOLD = 2_000_000, 3_000_000, 60_000
 #: An anchor is very frequent from this many texts on, and from this share of all; a run reports what half that share of its own
 #: texts have; one text in so many is asked, where that leaves enough of them.
 HOT_TEXTS, HOT_SHARE, RUN_TEXTS, TEXT_PART = 1000, 1 / 1024, 8, 8
-BROADCAST_ROWS, FEW_TEXTS = 1_000_000, 500
+BROADCAST_ROWS, BROADCAST_SPANS, FEW_TEXTS = 1_000_000, 50_000, 500
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _PLACE = np.uint64(63)
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
@@ -51,8 +52,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Windows:
     """Windows of `size` words, with anchors among their grams of `gram` words; size - gram < 64."""
 
-    #: Whether what repeats within one text counts.
-    within = True
+    #: Whether what repeats within one text counts, and whether tasks fold all stretches or those of very frequent anchors only.
+    within, folds_all = True, False
 
     def __init__(self, size: int, gram: int):
         self.size, self.gram = size, gram
@@ -94,7 +95,7 @@ class Windows:
 class ByteWindows(Windows):
     """Windows of bytes; only what repeats in another text counts."""
 
-    within = False
+    within, folds_all = False, True
     _symbol = np.random.default_rng(12).integers(0, 1 << 64, 256, np.uint64, endpoint=False)
 
     def split(self, text: str) -> bytes:
@@ -380,7 +381,7 @@ def _packed(windows: Windows):
         press = zstandard.ZstdCompressor(level=3)
         for b in batches:
             texts = b.column(2).to_pylist()
-            least = [int(windows.anchors(windows.split(t))[1].min()) for t in texts]
+            least = [int(windows.anchors(x)[1].min()) if len(x := windows.split(t)) >= windows.size else 0 for t in texts]
             pressed = [press.compress(t.encode("utf-8", "replace")) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(least, pa.int64()), b.column(0), b.column(1), pa.array(pressed, pa.binary()), pa.nulls(len(texts), pa.binary())], ["least", "ord", "t1", "text", "v"])
 
@@ -396,6 +397,7 @@ def stretches(own: DataFrame, todo: DataFrame, windows: Windows, known: Broadcas
         press = zstandard.ZstdDecompressor()
         buckets, hot = known.value
         held: list[tuple] = []
+        out: list[tuple] = []
         marks: tuple = ()
         for b in batches:
             for o, t1, pressed, v in zip(*(b.column(c).to_pylist() for c in ("ord", "t1", "text", "v")), strict=True):
@@ -403,26 +405,33 @@ def stretches(own: DataFrame, todo: DataFrame, windows: Windows, known: Broadcas
                     marks = (o, t1, np.unique(np.frombuffer(v, np.uint64)))
                     continue
                 if marks[:2] != (o, t1):
-                    raise ValueError("a text without its list")
+                    continue  # nothing of it repeats
                 symbols = windows.split(press.decompress(pressed).decode())
                 place, value = windows.anchors(symbols)
                 edges = np.r_[np.flatnonzero(np.r_[True, place[1:] != place[:-1]]), len(place)]
                 bucket, short = _short(value[edges[:-1]], buckets)
-                chosen = among(value[edges[:-1]], hot) | among(bucket << np.uint64(32) | short, marks[2])
+                frequent = among(value[edges[:-1]], hot)
+                chosen = frequent | among(bucket << np.uint64(32) | short, marks[2])
                 for k in np.flatnonzero(chosen).tolist():
                     start, stop = int(edges[k]), int(edges[k + 1])
                     x = int(value[start])  # 58 bits
-                    held.append((x, x, o, t1, start, stop - start, windows.join(symbols[start : stop - 1 + windows.size])))
+                    (held if windows.folds_all or frequent[k] else out).append((x, x, o, t1, start, stop - start, windows.join(symbols[start : stop - 1 + windows.size])))
                 if len(held) >= FOLD:
                     yield from _fold(held, windows, judge, hot)
                     held = []
+                if len(out) >= 5000:
+                    yield _rows(out)
+                    out = []
         if held:
             yield from _fold(held, windows, judge, hot)
+        if out:
+            yield _rows(out)
 
     parts = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = todo.count()
-    ids = todo.select("ord", "t1").distinct()
-    chosen = own.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, ["ord", "t1"], "left_semi").select("ord", "t1", "text")
+    chosen = own.filter(F.lit(n > 0))
+    if n <= BROADCAST_ROWS:  # beyond that texts without a list go along, and are passed over
+        chosen = own.join(F.broadcast(todo.select("ord", "t1")), ["ord", "t1"], "left_semi").select("ord", "t1", "text")
     lists = todo.select("least", "ord", "t1", F.lit(None).cast("binary").alias("text"), "v").dropDuplicates(["least", "ord", "t1"])
     rows = chosen.mapInArrow(_packed(windows), "least long, ord long, t1 long, text binary, v binary").unionByName(lists)
     # a least anchor that many texts share is dealt to several tasks
@@ -493,10 +502,44 @@ def repeats(docs: DataFrame, key: str, text: str, windows: Windows, judge: Judge
     return cut(spans.select("ord", "t1", F.lit(False).alias("whole"), "spans").unionByName(whole))
 
 
-def with_repeats(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
-    """docs with _wr_whole and _wr_spans: by broadcast up to a counted bound, by shuffle beyond it."""
+def with_repeats(docs: DataFrame, found: DataFrame, key: str, text: str, cut_: Callable, made: dict[str, str]) -> DataFrame:
+    """docs with the columns that `cut_` makes of texts (UTF-8), wholes and spans. Spans are brought to the rows by broadcast up to a
+    counted bound; beyond it the rows travel, their texts compressed."""
     n = found.agg(F.count("*") + F.coalesce(F.sum(F.greatest(F.size("spans"), F.lit(0))), F.lit(0))).first()[0]
+    small = n <= BROADCAST_SPANS
     found = found.select(*(F.col(c).alias(f"_wr_{c}") for c in found.columns))
+    names, at = docs.columns, docs.columns.index(text)
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.withColumns({"_wr_ord": F.coalesce(F.col(key).cast("long"), F.lit(FIRST_ID)), "_wr_t1": F.xxhash64(t)})
-    return rows.join(F.broadcast(found) if n <= BROADCAST_ROWS // 4 else found, ["_wr_ord", "_wr_t1"], "left").drop("_wr_ord", "_wr_t1")
+    rows = docs.withColumns({"_wr_ord": F.coalesce(F.col(key).cast("long"), F.lit(FIRST_ID)), "_wr_t1": F.xxhash64(t), "_wr_text": F.lit(None).cast("binary")})
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            pressed = [None if t is None else press.compress(t.encode("utf-8", "replace")) for t in b.column(at).to_pylist()]
+            yield b.set_column(at, text, pa.nulls(b.num_rows, b.column(at).type)).set_column(len(names) + 2, "_wr_text", pa.array(pressed, pa.binary()))
+
+    if not small:
+        rows = rows.mapInArrow(pack, rows.schema)
+    rows = rows.join(F.broadcast(found) if small else found, ["_wr_ord", "_wr_t1"], "left").select(*names, "_wr_text", "_wr_whole", "_wr_spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdDecompressor()
+        for b in batches:
+            own = b.column(at)
+            if small:
+                texts = [(x or "").encode() for x in own.to_pylist()]
+            else:
+                raw = [None if x is None else press.decompress(x) for x in b.column("_wr_text").to_pylist()]
+                own, texts = pa.array([None if x is None else x.decode() for x in raw], own.type), [x or b"" for x in raw]
+            columns = cut_(texts, b.column("_wr_whole").to_pylist(), b.column("_wr_spans").to_pylist())
+            kept = [own if i == at else b.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*kept, *columns], [*names, *made])
+
+    schema = StructType(list(docs.schema.fields))
+    for name, kind in made.items():
+        schema = schema.add(name, kind)
+    return rows.mapInArrow(run, schema)

@@ -15,8 +15,6 @@ under 20 words are never touched; extra columns are dropped by `find_repeats` an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -68,9 +66,9 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return repeats(docs, key, text, Windows(WINDOW, GRAM), judge, SHARD_BYTES)
 
 
-def cut_words(text: str, whole: bool, spans: list[dict] | None) -> tuple[int, int, str]:
+def cut_words(text: bytes, whole: bool, spans: list[dict] | None) -> tuple[int, int, str]:
     """Words, words removed, and the words left joined by one space."""
-    words = (text or "").encode("utf-8", "replace").split()
+    words = text.split()
     n = len(words)
     if whole:
         return (n, n, "") if n >= WINDOW else (n, 0, b" ".join(words).decode())
@@ -88,19 +86,12 @@ _MADE = ("_sd_words", "_sd_removed", "_sd_kept")
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with _sd_words, _sd_removed and _sd_kept: words, words removed, and the words left joined by one space."""
-    rows = with_repeats(docs, find_repeats(docs, key, text), key, text)
-    names = docs.columns
-    at = rows.columns.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [cut_words(*r) for r in zip(b.column(at).to_pylist(), b.column("_wr_whole").to_pylist(), b.column("_wr_spans").to_pylist(), strict=True)]
-            columns = list(zip(*out, strict=True)) if out else [[], [], []]
-            made = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *made], [*names, *_MADE])
-
-    schema = rows.select(*names).schema.add("_sd_words", "long").add("_sd_removed", "long").add("_sd_kept", "string")
-    return rows.select(*names, "_wr_whole", "_wr_spans").mapInArrow(run, schema)
+    def cut_(texts: list[bytes], wholes: list, spans: list) -> list[pa.Array]:
+        out = [cut_words(*r) for r in zip(texts, wholes, spans, strict=True)]
+        columns = list(zip(*out, strict=True)) if out else [[], [], []]
+        return [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True)]
+
+    return with_repeats(docs, find_repeats(docs, key, text), key, text, cut_, dict(zip(_MADE, ("long", "long", "string"), strict=True)))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

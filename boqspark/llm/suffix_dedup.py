@@ -16,8 +16,6 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .anchors import ByteWindows, ranges, repeats, with_repeats
 from .common import small_batches, table
-from .suffix_sort import grouped
+from .suffix_sort import HashedText, grouped
 
 WINDOW, GRAM, SHARD_BYTES = 50, 24, 2_000_000
 
@@ -39,8 +37,9 @@ def judge(rows: list[tuple], window: int = WINDOW) -> tuple[np.ndarray, np.ndarr
     o = np.array([r[2] for r in rows], np.int64)
     pair = np.array([r[:2] for r in rows], np.int64).reshape(-1, 2)
     group = np.cumsum(np.r_[True, (np.diff(pair, axis=0) != 0).any(axis=1)][: len(rows)])
+    hashed = HashedText(text)
     # whole stretches
-    order, new = grouped(text, begin, size, [size, group])
+    order, new = grouped(text, begin, size, [size, group], own=hashed)
     kind = np.empty(len(rows), np.int64)
     kind[order] = np.cumsum(new) - 1
     heads = np.flatnonzero(new)
@@ -58,7 +57,7 @@ def judge(rows: list[tuple], window: int = WINDOW) -> tuple[np.ndarray, np.ndarr
     head = np.zeros(len(at), np.uint64)
     for j in range(8):
         head = head << np.uint64(8) | padded[at + j]
-    order, new = grouped(text, at, np.full(len(at), window), [head, group[example][own]])
+    order, new = grouped(text, at, np.full(len(at), window), [head, group[example][own]], own=hashed)
     first = least[kind[example]][own]
     heads = np.flatnonzero(new)
     before = np.empty(len(at), bool)
@@ -92,22 +91,13 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """docs with _sb_bytes, _sb_removed, _sb_spans (how many) and _sb_kept (binary)."""
     small_batches(docs.sparkSession)
     found = repeats(docs, key, text, ByteWindows(WINDOW, GRAM), judge, SHARD_BYTES)
-    rows = with_repeats(docs, found, key, text)
-    names = docs.columns
-    at = names.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [(t or "").encode() for t in b.column(at).to_pylist()]
-            out = [cut_bytes(*r) for r in zip(texts, b.column("_wr_whole").to_pylist(), b.column("_wr_spans").to_pylist(), strict=True)]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 4
-            made = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *made], [*names, *_MADE])
-
-    schema = docs.schema
-    for name, kind in zip(_MADE, ("long", "long", "long", "binary"), strict=True):
-        schema = schema.add(name, kind)
-    return rows.select(*names, "_wr_whole", "_wr_spans").mapInArrow(run, schema)
+
+    def cut_(texts: list[bytes], wholes: list, spans: list) -> list[pa.Array]:
+        out = [cut_bytes(*r) for r in zip(texts, wholes, spans, strict=True)]
+        columns = list(zip(*out, strict=True)) if out else [[]] * 4
+        return [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+
+    return with_repeats(docs, found, key, text, cut_, dict(zip(_MADE, ("long", "long", "long", "binary"), strict=True)))
 
 
 _MADE = ("_sb_bytes", "_sb_removed", "_sb_spans", "_sb_kept")

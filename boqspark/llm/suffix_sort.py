@@ -17,21 +17,28 @@ class Collision(Exception):
     """Parts with equal hashes differ."""
 
 
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of a base and of its inverse modulo 2**64, n of each at least; the worker keeps those of the last base."""
+    if int(base) not in _powers or len(_powers[int(base)][0]) < n:
+        inverse = np.uint64(pow(int(base), -1, 1 << 64))
+        _powers.clear()
+        _powers[int(base)] = tuple(np.cumprod(np.r_[np.uint64(1), np.full(n, b, np.uint64)]) for b in (base, inverse))
+    return _powers[int(base)]
+
+
 class HashedText:
     def __init__(self, text: bytes, attempt: int = 0, bits: int = 64):
         """bits: of the hashes; fewer only to force collisions."""
         self.text = np.frombuffer(text, np.uint8)
         n = len(self.text)
         self.base, self.mask = _BASES[attempt % len(_BASES)], np.uint64((1 << bits) - 1)
-        power = np.full(n + 1, np.uint64(pow(int(self.base), -1, 1 << 64)), np.uint64)
-        power[0] = 1
-        np.cumprod(power, out=power)
+        up, down = powers(self.base, n + 1)
         self.prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(power[1:] * (self.text.astype(np.uint16) + 1), out=self.prefix[1:])
-        power.fill(self.base)
-        power[0] = 1
-        np.cumprod(power, out=power)
-        self.prefix *= power  # prefix[i + 1] = prefix[i] * base + text[i] + 1
+        np.cumsum(down[1 : n + 1] * (self.text.astype(np.uint16) + 1), out=self.prefix[1:])
+        self.prefix *= up[: n + 1]  # prefix[i + 1] = prefix[i] * base + text[i] + 1
 
     def common(self, p: np.ndarray, q: np.ndarray, cap: np.ndarray) -> np.ndarray:
         """Length of the common extension of the places, up to the cap."""
@@ -103,9 +110,9 @@ def _checked(own: HashedText, at: np.ndarray, cap: np.ndarray, again: np.ndarray
     return same
 
 
-def grouped(text: bytes, at: np.ndarray, cap: np.ndarray, keys: list[np.ndarray], bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def grouped(text: bytes, at: np.ndarray, cap: np.ndarray, keys: list[np.ndarray], bits: int = 64, own: HashedText | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of the places, sorted by keys (the last is the first) and then by the `cap` bytes that follow, and where a new
-    group of equal ones begins. Places of equal keys have equal caps and are sorted stably."""
+    group of equal ones begins. Places of equal keys have equal caps and are sorted stably. own: the text, if it is hashed already."""
     order = np.lexsort(keys) if len(at) else np.empty(0, np.int64)
     new = np.zeros(len(at), bool)
     new[:1] = True
@@ -115,7 +122,7 @@ def grouped(text: bytes, at: np.ndarray, cap: np.ndarray, keys: list[np.ndarray]
     sizes = np.diff(np.r_[heads, len(at)])
     begin, size = np.repeat(heads, sizes), np.repeat(sizes, sizes)
     for attempt in range(len(_BASES)):
-        own = HashedText(text, attempt, bits)
+        own = own if own is not None and not attempt else HashedText(text, attempt, bits)
         try:
             out = order[_merged(own, at[order], cap[order], begin, size)]
             return out, ~_checked(own, at[out], cap[out], np.flatnonzero(~new))

@@ -500,6 +500,7 @@ def test_substrings_of_families(spark, monkeypatch, hot):
     monkeypatch.setattr(anchors, "RUN_TEXTS", 1)
     monkeypatch.setattr(anchors, "FOLD", 50)
     monkeypatch.setattr(anchors, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(anchors, "BROADCAST_SPANS", 0)
     rows = family(40, 120, 6) + family(30, 30, 7) + [(900 + i, "b a " * (15 + i)) for i in range(5)]
     got = substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert sorted((r.doc_id, r._sd_words, r._sd_removed, r._sd_kept) for r in got) == sorted(brute_removal(rows))

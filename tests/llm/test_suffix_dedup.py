@@ -108,4 +108,5 @@ def test_very_frequent_anchors(spark, monkeypatch):
     monkeypatch.setattr(anchors, "BUCKET", 500)
     monkeypatch.setattr(anchors, "FEW_TEXTS", 1)
     monkeypatch.setattr(anchors, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(anchors, "BROADCAST_SPANS", 0)
     check(spark, rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
