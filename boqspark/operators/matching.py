@@ -262,6 +262,18 @@ def match_rates(matches: DataFrame, by: list[str] | None = None) -> DataFrame:
     return n.withColumn("pct", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy(*by)), 2))  # a few types
 
 
+# The types that a list match ends with.
+MATCH_TYPES = ["exact", "synonym", "contained", "fuzzy", "feature", "none"]
+
+
+def match_pivot(matches: DataFrame, by: str, types: list[str] | None = None) -> DataFrame:
+    """A row per value of a column (specialty, edition): lines, a count for each match type, and the share of lines with a match in percent."""
+    types = types or MATCH_TYPES
+    wide = matches.groupBy(by).pivot("how", types).count().na.fill(0, types)
+    n = sum((F.col(t) for t in types[1:]), F.col(types[0]))
+    return wide.withColumns({"n": n, "pct_matched": F.round(100 * (n - F.col("none")) / n, 2)})
+
+
 def unmatched_profile(items: DataFrame, words: list[str], by: str) -> DataFrame:
     """of, value, n: items without a match by a column, by length of name, and by words that their names hold."""
     group = items.groupBy(F.lit(by).alias("of"), F.col(by).cast("string").alias("value")).agg(F.count("*").alias("n"))

@@ -215,3 +215,16 @@ def baseline_difference(pairs: DataFrame, *keys: str) -> DataFrame:
     """pairs: price, base and the keys -> n, mean and median of the difference from the base price in percent."""
     off = F.abs(F.col("price") - F.col("base")) / F.col("base") * 100
     return pairs.filter("base > 0").groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg(off), 3).alias("mean_diff"), F.round(F.median(off), 3).alias("median_diff"))
+
+
+def complete_periods(df: DataFrame, key: str) -> DataFrame:
+    """df with `period`: per period, over the keys that have a price in every period, how many they are, mean and median of their rates."""
+    k = df.agg(F.countDistinct("period").alias("_k"))
+    whole = df.groupBy(key).agg(F.countDistinct("period").alias("_n")).join(F.broadcast(k), F.col("_n") == F.col("_k"), "left_semi")  # one row
+    rows = df.join(whole.select(key), key, "left_semi").withColumn(RATE, F.col(RATE).cast("long"))
+    c = cut(rows.groupBy("period", RATE).agg(F.count("*").alias("c")))
+    ranges = _ranges(c, ("period",))
+    middle = _rates_at(c, ranges, _totals(ranges, ("period",)).select("period", F.floor((F.col("n") - 1) / 2).alias("lo"), F.floor(F.col("n") / 2).alias("hi")), ("period",))
+    mean = c.groupBy("period").agg(F.round(F.sum(F.col(RATE) * F.col("c")) / F.sum("c"), 4).alias("mean_rate"))
+    n = rows.groupBy("period").agg(F.countDistinct(key).alias("n_items"))
+    return n.join(mean, "period").join(middle, "period").select("period", "n_items", "mean_rate", ((F.col("lo") + F.col("hi")) / 2).alias("median_rate"))

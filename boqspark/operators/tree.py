@@ -188,6 +188,21 @@ def profile(nodes: DataFrame, filled: tuple[str, ...] = ("spec", "unit", "materi
     return nodes.groupBy("level").agg(F.count("*").alias("n"), F.countDistinct("name").alias("n_names"), *[some(c).alias(f"n_{c}") for c in filled if c in nodes.columns])
 
 
+def root_profile(nodes: DataFrame) -> DataFrame:
+    """Per root: its name, leaves, and distinct names of level four below it."""
+    c = chains(nodes, ["name"]).filter(F.col("level").isin("l4", "l5"))
+    root = c.select(F.get("ancestors", F.lit(0)).alias("root"), F.get("name", F.lit(0)).alias("root_name"), "level", F.get("name", F.lit(3)).alias("_name"))
+    return root.groupBy("root", "root_name").agg(F.count_if(F.col("level") == "l5").alias("n_leaves"), F.countDistinct("_name").alias("n_names"))
+
+
+def top_values(nodes: DataFrame, columns: tuple[str, ...] = ("unit", "material"), k: int = 15) -> DataFrame:
+    """of, value, n, rank: the k most frequent values of each column, empty ones left out; ties by value."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("of"), F.nullif(F.trim(F.col(c).cast("string")), F.lit("")).alias("value")) for c in columns]))
+    n = nodes.select(each.alias("x")).select("x.of", "x.value").filter("value IS NOT NULL").groupBy("of", "value").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("of").orderBy(F.desc("n"), "value")
+    return n.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def duplicates(nodes: DataFrame, keys: tuple[str, ...] = ("name", "spec", "model", "unit")) -> DataFrame:
     """Groups of nodes equal in the keys (null equals empty), how many parents they have, and the least id: across is true for several parents."""
     text = [F.coalesce(F.trim(F.col(k).cast("string")), F.lit("")).alias(k) for k in keys]

@@ -332,13 +332,13 @@ _PRICED = "active AND data_source_type = 'completed' AND unit_rate_cents IS NOT
 
 @query(f"""{WITH_KEYS}, p AS (SELECT item_name, CAST(date_trunc('year', price_period) AS DATE) AS period, avg(unit_rate_cents) AS rate, count(*) AS n FROM keyed WHERE {_PRICED} GROUP BY ALL),
 b AS (SELECT item_name, rate AS base FROM p WHERE period = DATE '1995-01-01')
-SELECT period, count(*) AS n, count(*) FILTER (WHERE abs(rate - base) > 0.1 * base) AS n_anomalies FROM p JOIN b USING (item_name) WHERE period <> DATE '1995-01-01' GROUP BY period""")
+SELECT period, count(*) AS n, count(*) FILTER (WHERE abs(rate - base) > 0.1 * base) AS n_anomalies, round(100.0 * count(*) FILTER (WHERE abs(rate - base) > 0.1 * base) / count(*), 4) AS pct FROM p JOIN b USING (item_name) WHERE period <> DATE '1995-01-01' GROUP BY ROLLUP (period)""")
 def period_anomaly(spark, sf):
-    """Yearly prices of each item against the base year."""
+    """Yearly prices of each item against the base year, by year and over all."""
     p = pricing.priced(boq(spark, sf)).groupBy("item_name", F.trunc("price_period", "year").alias("period")).agg(F.avg("unit_rate_cents").alias("rate"))
     base = p.filter("period = DATE '1995-01-01'").select("item_name", F.col("rate").alias("base"))
     odd = F.abs(F.col("rate") - F.col("base")) > 0.1 * F.col("base")
-    return p.filter("period <> DATE '1995-01-01'").join(base, "item_name").groupBy("period").agg(F.count("*").alias("n"), F.count_if(odd).alias("n_anomalies"))
+    return p.filter("period <> DATE '1995-01-01'").join(base, "item_name").rollup("period").agg(F.count("*").alias("n"), F.count_if(odd).alias("n_anomalies"), F.round(100 * F.count_if(odd) / F.count("*"), 4).alias("pct"))
 
 
 @query(f"""{WITH_BOQ}, p AS (SELECT item_name, date_trunc('year', price_period) AS y, unit_rate_cents FROM boq WHERE {_PRICED}), k AS (SELECT count(DISTINCT y) AS k FROM p)
@@ -403,10 +403,10 @@ def drift_flags(spark, sf):
 @query("""WITH c AS (SELECT event_id AS id, user_id, event_type AS category, ts, count(*) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM events),
 w AS (SELECT id, list({'c': category, 'n': n}) OVER (PARTITION BY user_id ORDER BY ts, id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS l FROM c),
 u AS (SELECT id, len(l) AS n_seen, list_distinct(list_transform(l, lambda x: x.c)) AS kinds, l FROM w)
-SELECT id, n_seen, len(kinds) AS n_categories, len(list_filter(kinds, lambda k: list_max(list_transform(list_filter(l, lambda x: x.c = k), lambda x: x.n)) < 5)) AS n_new FROM u""")
+SELECT *, n_seen >= 25 AND n_new >= 0.5 * n_categories AS surge FROM (SELECT id, n_seen, len(kinds) AS n_categories, len(list_filter(kinds, lambda k: list_max(list_transform(list_filter(l, lambda x: x.c = k), lambda x: x.n)) < 5)) AS n_new FROM u)""")
 def category_surge(spark, sf):
     """For every event, how many of the kinds among the last fifty of its user are new to the user."""
-    return learning.surges(confirmations(spark, sf), "user_id").select("id", "n_seen", "n_categories", "n_new")
+    return learning.surges(confirmations(spark, sf), "user_id").select("id", "n_seen", "n_categories", "n_new", "surge")
 
 
 _IDS = "[event_id % 3, event_id % 5 % 3, event_id % 7 % 3]"
