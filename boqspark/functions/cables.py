@@ -25,7 +25,7 @@ SPELLINGS = {
 GRADES = [("A级", ["WDZA", "WDZ-A"]), ("B级", ["WDZB", "WDZ-B"]), ("C级", ["WDZ"]), ("A级", ["ZRA", "ZA-"]), ("B级", ["ZRB", "ZB-"]), ("C级", ["ZRC", "ZC-", "ZR"])]
 XLPE, PVC, PE = "交联聚乙烯(XLPE)", "聚氯乙烯(PVC)", "聚乙烯(PE)"
 CORES = r"(\d+)\*(\d+(?:\.\d+)?)(?:\+(\d+)\*(\d+(?:\.\d+)?))?"
-#: Points of a shared feature when two cables are compared; from LEAST_POINTS on they are taken as the same.
+# Points of a shared feature when two cables are compared; from LEAST_POINTS on they are taken as the same.
 POINTS, LEAST_POINTS = {"section": 40, "cores": 30, "grade": 10, "fire": 5, "halogen_free": 5, "armoured": 5, "insulation": 5}, 60
 
 

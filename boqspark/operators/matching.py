@@ -212,7 +212,7 @@ def progressive_all(items: DataFrame, dictionary: DataFrame, synonyms: DataFrame
     done = first.unionByName(by_synonym)
     done = cut(done.unionByName(three.filter("how = 'contained'").join(by_synonym, "item", "left_anti")))
     left = cut(items.join(done, "item", "left_anti"))
-    fuzzy = sim.best_by_edit(left.select("name").distinct(), d.select("dict_name"), "name", "dict_name", 1).filter(F.col("score") >= FUZZY_STAGE)
+    fuzzy = sim.best_by_edit(left.select("name").distinct(), d.select("dict_name"), "name", "dict_name", 1, FUZZY_STAGE)
     fuzzy = left.select("item", "name").join(fuzzy, "name").join(d, "dict_name").select("item", "dict_id", "score", F.lit("fuzzy").alias("how"))
     left = left.join(fuzzy, "item", "left_anti")
     inside = contained_names(left, d, "item", "feature").select("item", "dict_id", F.lit(100.0).alias("score"), F.length("dict_name").alias("n"))

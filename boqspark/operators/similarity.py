@@ -72,19 +72,14 @@ def near_pairs(left: DataFrame, right: DataFrame, l_text: str, r_text: str, abov
     return cut(shared.select(l_text, r_text, indel_ratio(F.col(l_text), F.col(r_text)).alias("score"))).filter(F.col("score") > above)
 
 
-def best_by_edit(left: DataFrame, right: DataFrame, l_text: str, r_text: str, k: int, blocks: int = 8) -> DataFrame:
-    """The k best of right for each text of left by indel ratio (four decimals), of all pairs of a positive ratio.
+def best_by_edit(left: DataFrame, right: DataFrame, l_text: str, r_text: str, k: int, least: float = 0.0) -> DataFrame:
+    """The k best of right for each text of left by indel ratio (four decimals), of all pairs of a positive ratio, from `least` on.
 
-    Texts with k near ones are done with these; the others meet every text of the right table.
+    Texts meet in blocks; what a pair can reach by its common characters decides whether it is scored (`topk.ratio_pairs`).
     """
-    near = near_pairs(left.select(l_text).distinct(), right.select(r_text).distinct(), l_text, r_text)
-    done = near.groupBy(l_text).count().filter(F.col("count") >= k).select(l_text)
-    rest = left.select(l_text).distinct().join(done, l_text, "left_anti").withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    other = right.select(r_text).distinct().withColumn("_block", F.pmod(F.xxhash64(r_text), F.lit(blocks)).cast("int"))
-    far = rest.join(other, "_block").filter(F.arrays_overlap(F.split(l_text, ""), F.split(r_text, "")))
-    far = far.select(l_text, r_text, indel_ratio(F.col(l_text), F.col(r_text)).alias("score"))
-    scored = near.join(done, l_text, "left_semi").unionByName(far).withColumn("score", F.round("score", 4))
-    return top_k(scored, l_text, k, by=r_text)
+    from .topk import ratio_pairs
+
+    return top_k(ratio_pairs(left, right, l_text, r_text, k, least).withColumn("score", F.round("score", 4)), l_text, k, by=r_text)
 
 
 def level_weight(level: Column) -> Column:

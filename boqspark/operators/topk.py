@@ -20,8 +20,8 @@ from . import similarity as sim
 
 #: Rows of a block of queries (of fewer, where there are tasks enough) and of the pool.
 QUERY_ROWS, LEAST_ROWS, POOL_ROWS = 2048, 64, 16_384
-#: What rounding to two decimals can make of a score, and to six.
-_CENT, _MILLIONTH = 0.0101, 2e-6
+#: What rounding to two decimals can make of a score, to four, and to six.
+_CENT, _TENTHOUSANDTH, _MILLIONTH = 0.0101, 1.01e-4, 2e-6
 
 
 # --- edit similarity with partial alignment ---
@@ -77,16 +77,45 @@ class Names:
                 held[ch].append((i, c))
         self.places = {ch: tuple(np.array(x) for x in zip(*rows, strict=True)) for ch, rows in held.items()}
 
-    def bounds(self, name: str) -> np.ndarray:
-        """At most so much is the edit score of each name: of m characters of the shorter text c are common, so its best part matches c of
-        c characters."""
+    def common(self, name: str) -> np.ndarray:
+        """How many characters each name has in common with this one, whatever their order."""
         common = np.zeros(len(self.names), np.int64)
         for ch, c in Counter(name).items():
             if ch in self.places:
                 at, n = self.places[ch]
                 common[at] += np.minimum(n, c)
+        return common
+
+    def bounds(self, name: str) -> np.ndarray:
+        """At most so much is the edit score of each name: of m characters of the shorter text c are common, so its best part matches c of
+        c characters."""
+        common = self.common(name)
         return 200.0 * common / np.maximum(np.minimum(self.lengths, len(name)) + common, 1)
 
+    def whole_bounds(self, name: str) -> np.ndarray:
+        """At most so much is the ratio of the whole texts."""
+        return 200.0 * self.common(name) / np.maximum(self.lengths + len(name), 1)
+
+    def ratios(self, name: str, k: int | None, least: float) -> list[tuple[int, float]]:
+        """Number and ratio of the k best names (of all, without k) from `least` on, and of those that rounding may bring level; by falling bounds."""
+        bits: dict[str, int] = {}
+        for i, ch in enumerate(name):
+            bits[ch] = bits.get(ch, 0) | 1 << i
+        bound = self.whole_bounds(name)
+        best: list[float] = []
+        found: list[tuple[int, float]] = []
+        for i in np.argsort(-bound, kind="stable").tolist():
+            floor = max(least, best[0] if k and len(best) == k else 0.0) - _TENTHOUSANDTH
+            if bound[i] <= 0 or bound[i] < floor:
+                break
+            score = 200 * _lcs(bits, len(name), self.names[i]) / (len(name) + len(self.names[i]))
+            if score > 0 and score >= floor:
+                found.append((i, score))
+                if k:
+                    (heapq.heappushpop if len(best) == k else heapq.heappush)(best, score)
+        floor = max(least, best[0] if k and len(best) == k else 0.0) - _TENTHOUSANDTH
+        return [x for x in found if x[1] >= floor]
+
 
 class NodeBlock:
     """Nodes of a pool by name: (level weight, is l3, spec, ids) for each."""
@@ -197,6 +226,24 @@ _NAMES = ["qid", "dict_id", "level", "name_score", "spec_score", "exact"]
 _TYPES = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.bool_()]
 
 
+def ratio_pairs(left: DataFrame, right: DataFrame, l_text: str, r_text: str, k: int | None = None, least: float = 0.0) -> DataFrame:
+    """l_text, r_text, score: of the pairs with a positive ratio of the whole texts, those from `least` on, with k those that the k best of each
+    text of left need (in every block). Repeated texts count once, null ones not at all."""
+    texts = lambda df, c: df.select(c).filter(F.col(c).isNotNull()).distinct()
+    a, b = _dealt(texts(left, l_text), texts(right, r_text), l_text, r_text)
+
+    def best(asked: pa.Table, pool: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if asked.num_rows and pool.num_rows:
+            names = Names(pool.column(r_text).to_pylist())
+            for text in asked.column(l_text).to_pylist():
+                out += [(text, names.names[i], score) for i, score in names.ratios(text, k, least)]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 3, (pa.string(), pa.string(), pa.float64()), strict=True)], [l_text, r_text, "score"])
+
+    found = a.groupBy("qb", "vb").cogroup(b.groupBy("qb", "vb")).applyInArrow(best, f"`{l_text}` string, `{r_text}` string, score double")
+    return found.filter(F.col("score") >= least)
+
+
 # --- cosine over sparse vectors ---
 
 

@@ -207,6 +207,7 @@ def classify_prefix(spark, sf):
     return b.groupBy(F.col("item_code_version").alias("version"), classify.by_prefix(F.col("item_code"), F.col("item_code_version")).alias("family")).agg(F.count("*").alias("n"))
 
 
+# The words and patterns of the classifier by text, as the SQL form needs them.
 _EDGE = r"[^\p{L}\p{N}_]"
 _TRAY, _ANY_CABLE, _NO_CABLE = "桥架|托盘|梯架|线槽", "电缆|电线|配线|布电线", "电缆头|终端头|中间头|接线端子|电缆终端|电力电缆头|控制电缆头"
 _NO_PIPE = "截止阀|闸阀|球阀|蝶阀|止回阀|排气阀|安全阀|减压阀|低压螺纹阀门|管件|套管|地漏|法兰|弯头|三通|接头|堵头|栏杆|爬梯|扶手|支架|支吊架|一般填料|防水套管|绝热|凿|预留洞|雨水斗|散流器|风口"

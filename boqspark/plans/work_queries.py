@@ -296,8 +296,8 @@ def fuse3(spark, sf):
     """Candidates of three scorers joined, weights shared out over those that found one: edit ratio from 60 on, and the ten nearest by 10,000 and by 512 terms."""
     docs = _described(spark, sf)
     queries, others = docs.filter("id % 100 = 0").withColumnRenamed("id", "query"), docs.select(F.col("id").alias("other"), F.col("doc").alias("other_doc"))
-    # a ratio of 60 needs a pair of equal characters, not of pairs: the few queries meet all texts
-    edit = queries.join(others, F.col("query") != F.col("other")).select("query", "other", F.round(similarity.indel_ratio(F.col("doc"), F.col("other_doc")), 6).alias("score")).filter("score >= 60")
+    pairs = topk.ratio_pairs(queries, others, "doc", "other_doc", least=60)
+    edit = pairs.join(queries, "doc").join(others, "other_doc").filter("query <> other").select("query", "other", F.round("score", 6).alias("score"))
 
     def near(features: int):
         v = similarity.tfidf(docs, "id", "doc", features)

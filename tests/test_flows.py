@@ -141,6 +141,33 @@ def test_edit_top_k_equals_all_pairs(spark, monkeypatch):
     assert {(r.qid, r.dict_id) for r in again} == {(i, d) for i in got for d in sorted(got[i], key=lambda d: (-got[i][d], d))[:5]}
 
 
+def test_ratio_pairs_equal_all_pairs(spark, monkeypatch):
+    rng = random.Random(12)
+    left, right = made_up(rng, 40), made_up(rng, 300) + ["", " ", "电力电缆" * 5]
+    a, b = spark.createDataFrame([(x,) for x in [*left, None]], "a string"), spark.createDataFrame([(x,) for x in [*right, None]], "b string")
+
+    def ratio(x, y):
+        row = [0] * (len(y) + 1)
+        for c in x:
+            old, row = row, [0]
+            for j, d in enumerate(y):
+                row.append(max(row[-1], old[j + 1], old[j] + (c == d)))
+        return 200 * row[-1] / (len(x) + len(y)) if x or y else 0.0
+
+    all_ = {(x, y): ratio(x, y) for x in set(left) for y in set(right)}
+    monkeypatch.setattr(topk, "POOL_ROWS", 90)
+    for k, least in ((3, 0.0), (1, 65.0), (None, 60.0)):
+        want = {p: s for p, s in all_.items() if s > 0 and s >= least}
+        if k:
+            best = {x: sorted((y for p, y in want if p == x), key=lambda y: (-round(all_[x, y] + 1e-9, 4), y))[:k] for x in set(left)}  # noqa: B023
+            got = {}
+            for r in topk.sim.best_by_edit(a, b, "a", "b", k, least).collect():
+                got.setdefault(r.a, []).append((r["rank"], r.b))
+            assert {x: [y for _, y in sorted(v)] for x, v in got.items()} == {x: v for x, v in best.items() if v}
+        else:
+            assert {(r.a, r.b): r.score for r in topk.ratio_pairs(a, b, "a", "b", k, least).collect()} == want
+
+
 def test_cosine_top_k_equals_all_pairs(spark):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(40)]
