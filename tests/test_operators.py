@@ -240,3 +240,25 @@ def test_more_siblings_than_numbers_are_reported(spark):
     assert len({r.new_code for r in codes}) == len(codes) and sum(r.overflow for r in second) == 31
     problems = tree.code_problems(spark.createDataFrame([(r.level, r.new_code) for r in codes], "level string, new_code string")).collect()
     assert {r.problem for r in problems} == {"length"} and len(problems) == 4 * 31
+
+
+def test_merge_moves_only_what_is_asked_for(spark):
+    from boqspark.plans import work_queries as w
+
+    old, new = w.before_after(spark, "/root/testdata/sf0.001")
+    assert set(old.columns) == {"id", "import_batch_id", "sequence", "item_code", "item_name", "unit_std", "active", "part"} == set(new.columns)
+
+
+def test_merge_of_one_large_key_has_no_square_frames(spark):
+    """Frames from the row to the end of its group cost the square of the group; a key of all rows is merged and keeps every row."""
+    n = 3000
+    row = lambda k: f"id + {k} AS id, 1L AS import_batch_id, 2 * id + {k % 2} AS sequence, 'a' AS item_code, 'b' AS item_name, 'm' AS unit_std, 1L AS material_dict_id, 'x' AS std_name, true AS active"
+    old, new = spark.range(1, n + 1).selectExpr(*row(0).split(", ")), spark.range(1, n + 1).selectExpr(*row(100_001).split(", "))
+    result = merge.upsert(old, new)
+    assert {r.change: r.n for r in merge.upsert_counts(result).collect()} == {"updated": n}
+    asked = result.select("id", "sequence", "import_batch_id", "material_dict_id")
+    near = merge.nearest(asked, asked.withColumn("sequence", F.col("sequence") + 1), ["import_batch_id", "material_dict_id"])
+    for df in (result, near):
+        plan = df._jdf.queryExecution().toString().lower()
+        assert "currentrow$(), unboundedfollowing$()" not in plan
+    assert near.filter("near IS NULL").isEmpty() and near.count() == n
