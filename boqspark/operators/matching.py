@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cables
 from ..functions.text import canonical_spec
-from ..shared import cut
+from ..shared import cut, kept
 from . import learning, topk
 from . import similarity as sim
 from .merge import confirm_matches
@@ -189,11 +189,16 @@ def match_type(exact: Column, name_score: Column, by_feature: Column) -> Column:
 
 
 def contained_names(texts: DataFrame, dictionary: DataFrame, key: str, text: str, least: int = 2) -> DataFrame:
-    """key, dict_id, dict_name: all dictionary names of two characters or more that stand in a text, by equality with its substrings."""
-    d = dictionary.filter(F.length("dict_name") >= least).groupBy("dict_name").agg(F.min("dict_id").alias("dict_id"))
+    """key, dict_id, dict_name: all dictionary names of two characters or more that stand in a text, by equality with its substrings.
+
+    Equal texts are taken apart once. The names are written first, so that their size is known: few of them are broadcast, and
+    the substrings, which are a thousand times the texts, are not shuffled.
+    """
+    d = kept(dictionary.filter(F.length("dict_name") >= least).groupBy("dict_name").agg(F.min("dict_id").alias("dict_id")), "names")
     rows = texts.select(key, text).filter(F.length(text) >= least)
-    inside = sim.parts(rows, text, d, "dict_name", whole_too=True).select(key, F.col("part").alias("dict_name")).distinct()
-    return inside.join(d, "dict_name").select(key, "dict_id", "dict_name")
+    inside = sim.parts(rows.select(F.col(text).alias("_text")).distinct(), "_text", d, "dict_name", whole_too=True)
+    inside = inside.join(d, F.col("part") == F.col("dict_name")).select("_text", "dict_id", "dict_name")
+    return rows.join(inside, F.col(text) == F.col("_text")).select(key, "dict_id", "dict_name").distinct()
 
 
 def progressive_all(items: DataFrame, dictionary: DataFrame, synonyms: DataFrame) -> DataFrame:
