@@ -30,12 +30,16 @@ def build(rows: DataFrame, paths: list[Column]) -> DataFrame:
     return leaves.select(F.inline(F.array(*[node(k) for k in range(1, len(paths) + 1)]))).distinct()
 
 
-def chains(nodes: DataFrame, columns: list[str], depth: int = 5) -> DataFrame:
-    """id, level, ancestors (ids from the root, the node last) and each column as an array in that order. Stops after depth steps; a cycle ends."""
+def chains(nodes: DataFrame, columns: list[str], depth: int = 5, of: DataFrame | None = None) -> DataFrame:
+    """id, level, ancestors (ids from the root, the node last) and each column as an array in that order. Stops after depth steps; a cycle ends.
+
+    of: the nodes (all columns of them) whose chains are wanted; all without it. Chains that have ended go by their own id in the
+    joins: with no key they would all meet in one task.
+    """
     up = nodes.select(F.col("id").alias("_id"), F.col("parent_id").alias("_up"), *[F.col(c).alias(f"_{c}") for c in columns])
-    out = nodes.select("id", "level", F.array("id").alias("ancestors"), F.col("parent_id").alias("_next"), *[F.array(c).alias(c) for c in columns])
+    out = (nodes if of is None else of).select("id", "level", F.array("id").alias("ancestors"), F.col("parent_id").alias("_next"), *[F.array(c).alias(c) for c in columns])
     for _ in range(depth - 1):
-        j = out.join(up, F.col("_next") == F.col("_id"), "left")
+        j = out.join(up, (F.coalesce("_next", "id") == F.col("_id")) & F.col("_next").isNotNull(), "left")
         step = F.col("_id").isNotNull() & ~F.array_contains("ancestors", F.col("_id"))
         more = lambda c, x: F.when(step, F.array_prepend(c, F.col(x))).otherwise(F.col(c)).alias(c)  # noqa: B023, E731
         out = j.select("id", "level", more("ancestors", "_id"), F.when(step, F.col("_up")).alias("_next"), *[more(c, f"_{c}") for c in columns])
@@ -163,8 +167,8 @@ def rebuilt(nodes: DataFrame, depth: int = 13) -> DataFrame:
     old id as the name of level five. A leaf deeper than depth is an error.
     """
     ups = nodes.filter("parent_id IS NOT NULL").select(F.col("parent_id").alias("_up")).distinct()
-    leaves = nodes.join(ups, F.col("id") == F.col("_up"), "left_anti").select("id")
-    c = cut(chains(nodes, ["name"], depth).join(leaves, "id", "left_semi"))
+    leaves = nodes.join(ups, F.col("id") == F.col("_up"), "left_anti")
+    c = cut(chains(nodes, ["name"], depth, leaves))
     if not c.filter("open_end IS NOT NULL").isEmpty():
         raise ValueError(f"the tree is deeper than {depth} levels")
     above = F.slice("name", 1, F.greatest(F.lit(1), F.size("name") - 1))
@@ -173,13 +177,11 @@ def rebuilt(nodes: DataFrame, depth: int = 13) -> DataFrame:
 
 
 def descendants(nodes: DataFrame) -> DataFrame:
-    """id, path, n_below, n_leaves, n_names per node with something below it."""
-    c = chains(nodes, ["name"])
-    below = c.select(F.col("id").alias("leaf"), "level", F.element_at("name", -1).alias("own"), F.posexplode("ancestors").alias("at", "id"), "name").filter("leaf <> id")
-    upto = below.withColumn("name", F.slice("name", 1, F.col("at") + 1))
-    return upto.groupBy("id").agg(
-        F.first(_merged("name")).alias("path"), F.count("*").alias("n_below"), F.count_if(F.col("level") == "l5").alias("n_leaves"), F.count_if(F.col("level") == "l4").alias("n_names")
-    )
+    """id, path, n_below, n_leaves, n_names per node with something below it. Only numbers are counted; the path is that of the node's own chain."""
+    c = cut(chains(nodes, ["name"]))
+    below = c.select("level", F.explode(F.slice("ancestors", 1, F.size("ancestors") - 1)).alias("_up"))
+    n = below.groupBy("_up").agg(F.count("*").alias("n_below"), F.count_if(F.col("level") == "l5").alias("n_leaves"), F.count_if(F.col("level") == "l4").alias("n_names"))
+    return n.join(c.select("id", _merged("name").alias("path")), F.col("_up") == F.col("id")).select("id", "path", "n_below", "n_leaves", "n_names")
 
 
 def profile(nodes: DataFrame, filled: tuple[str, ...] = ("spec", "unit", "material")) -> DataFrame:
