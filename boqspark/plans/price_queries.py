@@ -8,6 +8,7 @@ from ..functions import classify
 from ..functions.codes import code_full, with_keys
 from ..functions.text import unit_std, unit_unknown
 from ..operators import pricing, quality, validate
+from ..shared import cut
 from .proxy import BOQ, KEYED, UNIT_STD, WITH_BOQ, WITH_KEYS, boq
 
 QUERIES, ORACLE = {}, {}
@@ -251,8 +252,10 @@ x AS (SELECT px, split_part(s, ',', 1) AS v, split_part(s, ',', 2) AS c, CAST(sp
 SELECT CASE WHEN c = 'low' AND px <> v THEN 'unknown' ELSE v END AS version,
  CASE WHEN c = 'medium' AND px <> v THEN 'low' WHEN c = 'low' AND px <> v THEN 'unknown' ELSE c END AS confidence, layer, count(*) AS n FROM x GROUP BY ALL""")
 def version_layers(spark, sf):
-    keyed = with_keys(boq(spark, sf))
-    return classify.edition(keyed.select("code9", "item_name"), version_lookup(keyed)).groupBy("version", "confidence", "layer").agg(F.count("*").alias("n"))
+    # lines repeat their code and name: these are counted, written, and judged once
+    keyed = cut(with_keys(boq(spark, sf)).groupBy("item_code_version", "code9", "item_name").agg(F.count("*").alias("n")))
+    items = keyed.groupBy("code9", "item_name").agg(F.sum("n").alias("n"))
+    return classify.edition(items, version_lookup(keyed)).groupBy("version", "confidence", "layer").agg(F.sum("n").alias("n"))
 
 
 _MAPPING = "mapping AS (SELECT DISTINCT item_code_version AS version, code9 FROM keyed WHERE regexp_matches(code9, '^[0-9]{9}$') AND CAST(substr(code9, 7, 3) AS INTEGER) % 2 = 0)"
@@ -261,11 +264,13 @@ _MAPPING = "mapping AS (SELECT DISTINCT item_code_version AS version, code9 FROM
 @query(f"""{WITH_KEYS}, {_MAPPING} SELECT k.item_code_version AS version, count(DISTINCT k.code9) AS n_codes, count(DISTINCT m.code9) AS n_mapped,
  count(*) AS n_rows, count(m.code9) AS n_rows_mapped FROM keyed k LEFT JOIN mapping m ON k.item_code_version = m.version AND k.code9 = m.code9 WHERE k.code9 <> '' GROUP BY 1""")
 def mapping_coverage(spark, sf):
-    keyed = with_keys(boq(spark, sf))
+    # the rows of each code are counted before codes meet the mapping, from one pass over the bill
+    keyed = cut(with_keys(boq(spark, sf)).groupBy("item_code_version", "code9").agg(F.count("*").alias("n"))).filter("code9 <> ''")
     m = keyed.filter("code9 RLIKE '^[0-9]{9}$'").filter("CAST(substring(code9, 7, 3) AS INT) % 2 = 0").select(F.col("item_code_version").alias("version"), F.col("code9").alias("mapped")).distinct()
-    j = keyed.filter("code9 <> ''").join(m, (F.col("item_code_version") == F.col("version")) & (F.col("code9") == F.col("mapped")), "left")
+    j = keyed.join(m, (F.col("item_code_version") == F.col("version")) & (F.col("code9") == F.col("mapped")), "left")
+    mapped = F.col("mapped").isNotNull()
     return j.groupBy(F.col("item_code_version").alias("version")).agg(
-        F.countDistinct("code9").alias("n_codes"), F.countDistinct("mapped").alias("n_mapped"), F.count("*").alias("n_rows"), F.count("mapped").alias("n_rows_mapped")
+        F.count("*").alias("n_codes"), F.count_if(mapped).alias("n_mapped"), F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(mapped, F.col("n"))), F.lit(0)).alias("n_rows_mapped")
     )
 
 
