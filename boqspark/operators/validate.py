@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import kept
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -67,11 +69,18 @@ def report(df: DataFrame, rules: list[Rule], key: str = "id") -> DataFrame:
 
 def summary(df: DataFrame, rules: list[Rule], key: str = "id") -> DataFrame:
     """One row: rows, rows without an error, errors, warnings, infos, and whether the rows may be imported (no errors)."""
-    v = violations(df, rules, key)
-    level = lambda x: F.count_if(F.col("level") == x).alias(f"{x}s")
-    out = v.agg(*[level(x) for x in ("error", "warning", "info")], F.countDistinct(F.when(F.col("level") == "error", F.col(key))).alias("_bad"))
-    total = df.agg(F.count("*").alias("total_rows"))
-    out = total.join(F.broadcast(out))  # one row each
+    levels, once = ("error", "warning", "info"), [r for r in rules if r.kind == "unique"]
+    broken = lambda x: sum((violated(r).cast("int") for r in rules if r.kind != "unique" and r.level == x), F.lit(0)).alias(f"_{x}")
+    # a narrow row for each, written once: key, broken rules by level, and the columns whose values may not repeat
+    rows = kept(df.select(F.col(key).alias("_key"), *[broken(x) for x in levels], *[F.col(r.column).alias(f"_u{i}") for i, r in enumerate(once)]), "judged")
+    bad = rows.filter("_error > 0").select("_key")
+    out = rows.agg(F.count("*").alias("total_rows"), *[F.coalesce(F.sum(f"_{x}"), F.lit(0)).cast("long").alias(f"{x}s") for x in levels])
+    for i, r in enumerate(once):
+        many = rows.filter(f"_u{i} IS NOT NULL").groupBy(f"_u{i}").agg(F.count("*").alias("_c")).filter("_c > 1")
+        out = out.join(F.broadcast(many.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("_more")))).withColumn(f"{r.level}s", F.col(f"{r.level}s") + F.col("_more")).drop("_more")
+        if r.level == "error":  # only these need the way back to the rows
+            bad = bad.unionByName(rows.join(many, f"_u{i}", "left_semi").select("_key"))
+    out = out.join(F.broadcast(bad.agg(F.countDistinct("_key").alias("_bad"))))  # one row each
     return out.select("total_rows", (F.col("total_rows") - F.col("_bad")).alias("valid_rows"), "errors", "warnings", "infos", (F.col("errors") == 0).alias("can_import"))
 
 
