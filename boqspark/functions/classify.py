@@ -57,6 +57,9 @@ PIPE = (
     r"镀锌钢管|焊接钢管|无缝钢管|不锈钢管|螺旋焊管|直缝焊管|PPR[- ]?管?|PVC[- ]?U?管?|CPVC[- ]?管?|HDPE[- ]?管?|PE[- ]?RT?管?|UPVC|PP管|"
     r"铸铁管|球墨铸铁管|铝塑复合管|铜管|给水管|排水管|雨水管|采暖管|燃气管道|DN\s*\d+|de\s*\d+|DE\s*\d+"
 )
+# The same as a test: its words, and the shortest form of each of its other alternatives.
+PIPE_WORDS = [w for w in PIPE.split("|") if all("\u4e00" <= x <= "\u9fff" for x in w)]
+PIPE_FORMS = r"P(?:PR|VC|P管|E[- ]?R)|HDPE|D[NE]\s*\d"
 NO_PIPE = "截止阀|闸阀|球阀|蝶阀|止回阀|排气阀|安全阀|减压阀|低压螺纹阀门|管件|套管|地漏|法兰|弯头|三通|接头|堵头|栏杆|爬梯|扶手|支架|支吊架|一般填料|防水套管|绝热|凿|预留洞|雨水斗|散流器|风口"
 CONDUIT_NAMES = "穿线|线管|配管"
 SECTION = r"\d+\s*[×x*]\s*\d+(?:\s*[+]\s*\d+\s*[×x*]\s*\d+)?(?:\s*mm2?)?"
@@ -67,9 +70,20 @@ _I = "(?iuU)"  # any case, letters and spaces of all scripts
 
 
 def _has(text: Column, pattern: str, flags: str = _I) -> Column:
+    """Whether the pattern is in the text. Words without letters that have a case are looked for as such, which is faster."""
+    words = pattern.split("|")
+    if flags == _I and all(w and all("\u4e00" <= x <= "\u9fff" for x in w) for w in words):
+        return _holds(text, words)
     return F.coalesce(text.rlike(f"{flags}(?:{pattern})"), F.lit(False))
 
 
+def _holds(text: Column, words: list[str]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(text, F.lit(w))
+    return F.coalesce(out, F.lit(False))
+
+
 def _found(text: Column, pattern: str, group: int = 1, flags: str = _I) -> Column:
     """The group of the first match; null without one."""
     return F.nullif(F.regexp_extract(text, flags + pattern, group), F.lit(""))
@@ -154,13 +168,14 @@ def by_text(name: Column, feature: Column | None = None) -> Column:
     """Family by the words of name and feature, in the order concrete, cement, rebar, cable, pipe."""
     feature = F.lit(None).cast("string") if feature is None else feature
     text, tray = both_texts(name, feature), _has(name, TRAYS)
-    concrete = _has(text, CONCRETE, "(?U)") | _has(text, CONCRETE_NAMES, "(?U)")
+    # what a pattern cannot do without is looked for first: most texts have none of it
+    concrete = (_holds(text, ["C"]) & _has(text, CONCRETE, "(?U)")) | (_holds(text, ["混凝土", "砼"]) & _has(text, CONCRETE_NAMES, "(?U)"))
     cable = _has(name, CABLE_NAMES) & ~_has(text, NO_CABLE)
-    pipe = ~_has(text, NO_PIPE) & (_has(text, PIPE) | _has(name, CONDUIT_NAMES) & _has(text, r"SC\s*\d+"))
+    pipe = ~_has(text, NO_PIPE) & (_holds(text, PIPE_WORDS) | _has(text, PIPE_FORMS) | _has(name, CONDUIT_NAMES) & _has(text, r"SC\s*\d+"))
     return (
         F.when(concrete & ~tray, "混凝土")
-        .when(_has(text, CEMENT) & ~_has(text, NO_CEMENT), "水泥")
-        .when(_has(text, REBAR) & ~tray, "钢筋")
+        .when(_holds(text, ["P.", "p.", "水泥"]) & _has(text, CEMENT) & ~_has(text, NO_CEMENT), "水泥")
+        .when(_holds(text, ["300", "400", "500", "钢"]) & _has(text, REBAR) & ~tray, "钢筋")
         .when(cable & ~tray, "电线电缆")
         .when(pipe, "管道")
     )
