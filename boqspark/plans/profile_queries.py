@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import with_keys
 from ..operators import matching, pricing, tree
+from ..shared import cut
 from ..sources import ingest
 from .flow_queries import _LEAVES, _MAPPING, match_mapping
 from .proxy import WITH_BOQ, WITH_KEYS, boq
@@ -37,8 +38,9 @@ def bill_profile(spark, sf):
 
 @query(f"""{WITH_KEYS}, {_MAPPING} SELECT DISTINCT item_code_version AS version, code9 FROM keyed WHERE code9 <> '' AND (item_code_version, code9) NOT IN (SELECT (version, code9) FROM mapping)""")
 def unmapped_codes(spark, sf):
-    keyed = with_keys(boq(spark, sf))
-    return ingest.unmapped_codes(keyed.filter("code9 <> ''").select(F.col("item_code_version").alias("version"), "code9"), match_mapping(keyed))
+    # a row per code from one pass over the bill: the codes in use and the mapping both come from it
+    keyed = cut(with_keys(boq(spark, sf)).groupBy("item_code_version", "code9").agg(F.min("item_name").alias("item_name"))).filter("code9 <> ''")
+    return ingest.unmapped_codes(keyed.select(F.col("item_code_version").alias("version"), "code9"), match_mapping(keyed))
 
 
 @query("""WITH m AS (SELECT p_brand AS specialty, p_size % 6 AS t FROM part)
