@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.classify import with_family
-from ..shared import cut
+from ..shared import cut, kept
 from . import pricing, quality
 
 # Families of the analysis; lines of the sixth count with the first.
@@ -42,6 +42,7 @@ def pool(lines: DataFrame, today: Column, months: int = 24, least: int = 3, fall
     rows = with_family(pricing.priced(lines))
     kind = F.when(F.col("std_name").isin(*FAMILIES, CONDUIT), F.col("std_name")).otherwise(F.col("family"))
     rows = rows.withColumn("family", kind).filter("family IS NOT NULL").withColumn("group_id", F.concat_ws(":", F.lit("regex"), "family", F.coalesce("spec", F.lit(""))))
+    rows = kept(rows, "pool")  # read twice: for the number of new lines, and for the lines
     new = F.coalesce(F.col("price_period") >= F.date_sub(F.trunc(today, "month"), int(months * 30.5)), F.lit(False))
     if not fall_back:
         return rows.filter(new)
@@ -78,7 +79,7 @@ def price_analysis(lines: DataFrame, today: Column, months: int = 24, family: st
 
     One rate of a group counts once, whatever the number of projects that repeat it. The lines are classified once and written.
     """
-    rows = cut(pool(lines, today, months, least))
+    rows = pool(lines, today, months, least)
     chosen = of_family(rows, family)
     distinct = cut(pricing.newest_first(chosen, "group_id"))
     own = distinct.filter(F.col("group_id") == group) if group else distinct
