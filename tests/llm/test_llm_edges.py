@@ -667,6 +667,20 @@ def test_word_ids_equal_the_library(name):
             assert ids.tolist() == [*library.encode(t, add_special_tokens=False).ids, 7], t
 
 
+def test_words_of_many_lines_are_looked_up_at_once():
+    from tokenizers import Tokenizer
+
+    from boqspark.llm.word_ids import WordIds
+
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    own, library = WordIds(file), Tokenizer.from_file(file)
+    assert own._by_line("a b\nc d") == ["\na", "b", "\nc", "d"]
+    texts = ["a b\nc d", "b\na", "x", "a\u2003b\nc", " a", "a ", "a  b", "a\n\nb", "a \nb", "a\n b", "\na", "a\n", "\n", " ", ""]
+    for _ in range(2):
+        for t, ids in zip(texts, own.encode(texts, 0), strict=True):
+            assert ids.tolist() == [*library.encode(t, add_special_tokens=False).ids, 0], t
+
+
 # --- pipeline ---
 
 
