@@ -681,6 +681,21 @@ def test_words_of_many_lines_are_looked_up_at_once():
             assert ids.tolist() == [*library.encode(t, add_special_tokens=False).ids, 0], t
 
 
+def test_workers_keep_as_many_words_as_they_are_told():
+    from tokenizers import Tokenizer
+
+    from boqspark.llm.word_ids import word_ids
+
+    file = public_tokenizers.path("word_bpe_49k.json")
+    own, library = word_ids(file, 50), Tokenizer.from_file(file)
+    texts = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(20)]
+    for lo in range(0, 20, 5):
+        for t, ids in zip(texts[lo : lo + 5] + texts[:1], own.encode(texts[lo : lo + 5] + texts[:1], 2), strict=True):
+            assert ids.tolist() == [*library.encode(t, add_special_tokens=False).ids, 2], t
+    own.encode(texts[:1], 2)
+    assert 30 <= len(own.bare) <= 50 < packing.STAGE_WORDS
+
+
 # --- pipeline ---
 
 
