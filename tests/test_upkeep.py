@@ -201,3 +201,22 @@ def test_matches_use_what_the_stream_has_learned(spark, tmp_path):
 def test_permits_nothing_to_hide():
     with pytest.raises(ValueError, match="below 80"):
         similarity.near_pairs(None, None, "a", "b", 70)
+
+
+def test_import_writes_little_beside_the_table(spark, tmp_path):
+    import os
+
+    from boqspark.shared import shared_dir
+
+    source = tmp_path / "in"
+    source.mkdir()
+    for name in range(2):
+        lines = [f"{i * 7 % 99991:09d},part {i % 100},m2,{i % 50},7,{i % 50 * 7}" for i in range(20_000)]
+        (source / f"{name}.csv").write_text("\n".join(["项目编码,项目名称,计量单位,工程量,综合单价,合价", *lines[name:]]))
+    base = shared_dir(spark).removeprefix("file:").replace("//", "/")
+    held = lambda: sum(os.path.getsize(os.path.join(r, x)) for r, _, names in os.walk(base) for x in names)
+    before, table = held(), str(tmp_path / "table")
+    streams.load_files(spark.read.format("binaryFile").load(str(source)), table)
+    assert sorted(r["n_lines"] for r in streams.import_batches(spark, table).collect()) == [19_999, 20_000]
+    written, size = held() - before, sum(f.stat().st_size for f in source.iterdir())
+    assert written < 3 * size
