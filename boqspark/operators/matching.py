@@ -105,7 +105,7 @@ def prematch(
     todo = mapped(todo, mapping) if mapping is not None else todo.withColumn("category", F.lit(None).cast("string"))
     text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
     kind_of = learning.category_of(F.col("path")) if learned is not None else F.lit("")
-    todo = cut(todo.select("id", text("name").alias("name"), text("spec").alias("spec"), "category", kind_of.alias("_kind")))
+    todo = kept(todo.select("id", text("name").alias("name"), text("spec").alias("spec"), "category", kind_of.alias("_kind")), "todo")
     rest = todo.filter("category IS NULL")
     queries = rest.select("name", "spec", "_kind").distinct().withColumn("qid", F.xxhash64("name", "spec", "_kind"))
     if learned is not None:

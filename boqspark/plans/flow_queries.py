@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cables, codes, text
 from ..operators import analysis, learning, matching, merge, pricing, quality, search, tree, validate
-from ..shared import cut
+from ..shared import cut, kept
 from ..sources import imports, ingest
 from .price_queries import PRICED, _by_text
 from .proxy import BOQ, WITH_BOQ, WITH_KEYS, boq
@@ -308,21 +308,27 @@ def mapping_rebuild(spark, sf):
 
 
 def pool_nodes(spark, sf):
-    """The dictionary with paths and, for level four, the size as spec."""
-    nodes = cut(dictionary(spark, sf))
-    c = tree.chains(nodes, ["name"])
+    """The dictionary down to level four, as deep as pools go, with paths and, for level four, the size as spec."""
+    nodes = cut(dictionary(spark, sf, 4))
+    c = tree.chains(nodes, ["name"], 4)
     size = F.when(F.col("level") == "l4", F.element_at(F.split(F.element_at("name", -1), " "), -1)).otherwise(F.lit(""))
     return cut(c.select("id", "level", F.array_join("name", "/").alias("path"), F.element_at("name", -1).alias("node"), size.alias("spec")).withColumnRenamed("node", "name"))
 
 
 def match_items(spark, sf):
-    b = codes.with_keys(boq(spark, sf))
+    return _named(codes.with_keys(boq(spark, sf)))
+
+
+def _named(b):
     return b.withColumns({"name": F.col("item_name"), "spec": F.regexp_extract("item_feature", "规格:(.*)$", 1)})
 
 
 def match_mapping(keyed):
-    """Codes of an even number with the name of their family, for each edition."""
-    rows = keyed.filter("code9 RLIKE '^[0-9]{9}$' AND CAST(substring(code9, 7, 3) AS INT) % 2 = 0")
+    """Codes of an even number with the name of their family, for each edition.
+
+    The least of texts is found by sorting, so that equal lines are counted into one first (a plain distinct is optimised away).
+    """
+    rows = keyed.groupBy("item_code_version", "code9", "item_name").agg(F.count("*").alias("_n")).filter("_n > 0").filter("code9 RLIKE '^[0-9]{9}$' AND CAST(substring(code9, 7, 3) AS INT) % 2 = 0")
     return rows.groupBy(F.col("item_code_version").alias("version"), "code9").agg(F.min("item_name").alias("name")).withColumn("id", F.xxhash64("version", "code9"))
 
 
@@ -331,7 +337,8 @@ _MAPPING = "mapping AS (SELECT item_code_version AS version, code9, min(item_nam
 @query()
 def prematch_top5(spark, sf):
     """The five best nodes of the dictionary for every unlinked line, or the category of its code; tested against brute force on a small bill."""
-    items = cut(match_items(spark, sf))
+    bill = codes.with_keys(boq(spark, sf)).select("id", "active", "material_dict_id", "item_code_version", "item_name", "item_feature", "code9")
+    items = _named(kept(bill, "items"))  # specs are taken out of the lines that ask for them only
     out = matching.prematch(items, matching.candidate_pool(pool_nodes(spark, sf)), match_mapping(items))
     return out.select("id", F.size("candidates").alias("n"), F.array_join(F.transform("candidates", lambda c: c["name"]), ";").alias("names"), "top_score")
 
