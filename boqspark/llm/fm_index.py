@@ -6,25 +6,33 @@ import numpy as np
 
 #: Order of places that never count as earlier ones.
 NOWHERE = np.iinfo(np.int32).max
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: The bits below each place of a word.
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
 
 
 def suffix_array(rank: np.ndarray, reach: int) -> np.ndarray:
-    """Order of the suffixes by prefix doubling. rank: symbol ranks, no two suffixes equal beyond `reach` symbols."""
-    n, step = len(rank), 1
-    _, rank = np.unique(rank, return_inverse=True)
-    rank = rank.astype(np.int64)
+    """Order of the suffixes by prefix doubling, from as many symbols on (four at most) as fit in one number. rank: symbol ranks, no two
+    suffixes equal beyond `reach` symbols."""
+    n = len(rank)
+    base = int(rank.max(initial=0)) + 2
+    step = next(w for w in (4, 3, 2, 1) if base**w < 1 << 63)
+    key = np.zeros(n, np.int64)
+    for j in range(step):
+        key *= base
+        key[: max(0, n - j)] += rank[j:] + 1
     while True:
-        after = np.zeros(n, np.int64)
-        if step < n:
-            after[: n - step] = rank[step:] + 1
-        key = rank * (n + 2) + after
         order = np.argsort(key)
         own = key[order]
+        if step > reach or n == 0:
+            return order
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.r_[False, own[1:] != own[:-1]])
-        step *= 2
-        if step > reach or n == 0 or rank[order[-1]] == n - 1:
+        if rank[order[-1]] == n - 1:
             return order
+        key = rank * (n + 2)
+        key[: max(0, n - step)] += rank[step:] + 1
+        step *= 2
 
 
 class WaveletMatrix:
@@ -45,12 +53,14 @@ class WaveletMatrix:
             s = np.concatenate([s[bit == 0], s[bit == 1]])
 
     def place(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Where prefix ends `at` go in the last level on the way of the symbol; differences of two are counts."""
+        """Where prefix ends `at` (one row or several) go in the last level on the way of the symbol; differences of two are counts."""
         for k in range(self.levels):
             block = at >> 6
-            inside = np.left_shift(np.uint64(1), (at & 63).astype(np.uint64)) - np.uint64(1)
-            ones = self.before[k][block] + np.bitwise_count(self.words[k][block] & inside).astype(np.int64)
-            at = np.where(symbol >> (self.levels - 1 - k) & 1 == 1, self.zeros[k] + ones, at - ones)
+            inside = self.words[k].take(block)
+            inside &= _BELOW.take(at & 63)
+            ones = self.before[k].take(block)
+            ones += np.bitwise_count(inside)
+            at = np.where(symbol & 1 << self.levels - 1 - k, ones + self.zeros[k], at - ones)
         return at
 
 
@@ -77,7 +87,8 @@ class FMIndex:
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One step of backward search."""
         shift = self.first[symbol] - self.base[symbol]
-        return shift + self.wavelet.place(symbol, lo), shift + self.wavelet.place(symbol, hi)
+        lo, hi = shift + self.wavelet.place(symbol, np.stack([lo, hi]))
+        return lo, hi
 
     def _least(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Least order of the suffixes of each interval."""
@@ -91,10 +102,14 @@ class FMIndex:
 
         Backward search over the wavelet matrix, a word at a time for all ends at once. An end is done when only its own
         place is left, when its text begins, or when no place of the interval is an earlier one: parts of a part that
-        stands earlier stand earlier too, so the longest one is the last that did.
+        stands earlier stand earlier too, so the longest one is the last that did. Ends with equal words before them follow each
+        other, and neighbours with the same interval and word take one step together.
         """
         out = np.zeros(len(ends), np.int64)
-        live = np.arange(len(ends))
+        tails = np.zeros(len(ends), np.uint64)
+        for j in range(1, least + 1):
+            tails = tails * _BASE + text[np.maximum(ends - j, 0)].astype(np.uint64)
+        live = np.argsort(tails)
         lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), self.size, np.int64)
         length = 0
         while len(live):
@@ -103,10 +118,18 @@ class FMIndex:
             inside = at >= 0
             inside[inside] = text[at[inside]] != 0
             live, lo, hi, at = live[inside], lo[inside], hi[inside], at[inside]
-            lo, hi = self.extend(text[at], lo, hi)
-            more = hi - lo > 1  # more than its own place
+            symbol = text[at]
+            new = np.r_[True, (symbol[1:] != symbol[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])][: len(live)]
+            lo, hi = self.extend(symbol[new], lo[new], hi[new])
+            own = np.cumsum(new) - 1
+            several = hi - lo > 1  # more than its own place
+            more = several[own]
             if length >= least:
-                more[more] = self._least(lo[more], hi[more]) < order[at[more]] if more.any() else False
+                earliest = np.full(len(lo), NOWHERE, np.int64)
+                if several.any():
+                    earliest[several] = self._least(lo[several], hi[several])
+                more &= earliest[own] < order[at]
                 out[live[more]] = length
+            lo, hi = lo[own], hi[own]
             live, lo, hi = live[more], lo[more], hi[more]
         return out

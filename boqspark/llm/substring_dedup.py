@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,12 @@ from .fm_index import NOWHERE, FMIndex
 WINDOW, GRAM, SHARD_BYTES = 20, 10, 8_000_000
 
 
+def numbered(pieces: list[bytes]) -> np.ndarray:
+    """The words of the pieces as numbers from 1, a 0 after each piece. No word holds a line feed, which stands for the 0 and comes first."""
+    words = pc.split_pattern(pa.array([b"\n " + b" \n ".join(pieces) + b" \n"], pa.large_binary()), " ").values
+    return words.dictionary_encode().indices.to_numpy()[1:].astype(np.int64)
+
+
 def judge(rows: list[tuple], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Stretch, first window and window after the last of what also starts at an earlier place."""
     o, t1, start, size = (np.array([r[i] for r in rows], np.int64) for i in (2, 3, 4, 5))
@@ -38,18 +45,13 @@ def judge(rows: list[tuple], window: int = WINDOW) -> tuple[np.ndarray, np.ndarr
     kept = np.flatnonzero(fresh & (np.bincount(group, weights=fresh)[group] > 1))
     if not len(kept):
         return kept, kept, kept
-    number: dict[bytes, int] = {}
-    text: list[int] = []
-    for k in kept.tolist():
-        text += [number.setdefault(w, len(number) + 1) for w in rows[k][6].split(b" ")]
-        text.append(0)
-    symbols = np.array(text, np.int64)
+    symbols = numbered([rows[k][6] for k in kept.tolist()])
     size = size[kept]
     begin = np.r_[0, np.flatnonzero(symbols == 0)[:-1] + 1]
     row, offset = np.repeat(np.arange(len(kept)), size), np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
     order = np.full(len(symbols), NOWHERE)
     order[(begin[row] + offset)[np.lexsort((start[kept][row] + offset, t1[kept][row], o[kept][row]))]] = np.arange(len(row))
-    index = FMIndex(symbols, reach=2 * window, order=order)
+    index = FMIndex(symbols, reach=int(size.max()) - 1 + window, order=order)
     longest = index.statistics(symbols, begin + size - 1 + window, order, window)
     first = np.where(longest > 0, size - 1 + window - longest, size)  # window from which on the last part covers all
     left = offset < np.minimum(first, size - 1)[row]
