@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import cut
+from ..shared import cut, dealt
 
 ALGORITHMS = ("edit", "tfidf", "vector")
 # Start, bounds and smoothing of the weights; steps by phase; strategies (step, smoothing); windows of drift and fusion.
@@ -94,7 +94,7 @@ def fusion(events: DataFrame, chunk: int = 100_000) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["_chunk", "_at", "id", "own", "left"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    alone = cut(rows.repartition("_chunk").sortWithinPartitions("_chunk", "_at").mapInArrow(run, f"_chunk long, _at long, id {kind}, own double, left double"))
+    alone = cut(dealt(rows, "_chunk").sortWithinPartitions("_chunk", "_at").mapInArrow(run, f"_chunk long, _at long, id {kind}, own double, left double"))
     ends = alone.groupBy("_chunk").agg(F.max(F.struct("_at", "own", "left")).alias("e")).select("_chunk", "e.own", "e.left").orderBy("_chunk").collect()  # a row per chunk
     starts, value = [], FUSION_START
     for r in ends:
@@ -313,7 +313,7 @@ def replay(events: DataFrame, each: bool = False, plain: bool = False, overall:
         if category is not None and not each:
             yield pd.DataFrame([learned_row(category, state)], columns=names)
 
-    ordered = events.repartition("category").sortWithinPartitions("category", "ts", "id").select("id", *event_columns(events))
+    ordered = dealt(events, "category").sortWithinPartitions("category", "ts", "id").select("id", *event_columns(events))
     return ordered.mapInPandas(run, f"id long, {LEARNED}" if each else LEARNED)
 
 
